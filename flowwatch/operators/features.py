@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowwatch.functions.ports import is_ephemeral
-from flowwatch.operators.ordered import HEAVY_FLOOR, SLOT_US, heavy_groups, ordered_scan, same, slot_of
+from flowwatch.operators.ordered import HEAVY_FLOOR, SLOT_US, heavy_groups, ordered_scan, slot_of
 from flowwatch.schemas import FEATURES
+from flowwatch.session import shared_dir
 
 HORIZON_US = 15_000_000
 SENSOR = ["sensor_id"]
 SOURCE = ["sensor_id", "src_ip"]
 _REQUIRED = ["ts_us", "src_ip", "packet_size", "sport", "seq", "sensor_id"]
 _BEFORE_ALL = -(1 << 62)
+_SEQ_RANGE = 10**19
 _AFTER_ALL = 1 << 62
 
 # Rows of one source that share a window in the capped mode, by arrival index.
@@ -53,104 +55,134 @@ def with_arrival_index(df: DataFrame, **scan) -> DataFrame:
     return ordered_scan(df, SENSOR, **scan).withColumnRenamed("running", "arrival_index").drop("prev_ts")
 
 
-def _copy_edges(df: DataFrame, bucket: str) -> DataFrame:
-    """Add ``_chunk``; rows in a chunk's edge buckets also go to the neighbour chunk, with
-    ``_own`` false there."""
+def _copy_edges(df: DataFrame, bucket: str, edge: int = 1) -> DataFrame:
+    """Add ``_chunk``; rows in the ``edge`` buckets at a chunk's ends also go to the neighbour
+    chunk, with ``_own`` false there."""
     b = F.col(bucket)
-    mine = F.expr(f"{bucket} div {_CHUNK}") if bucket == "_ib" else F.floor(b / _CHUNK).cast("bigint")
+    mine = F.floor(b / _CHUNK).cast("bigint")
     at = F.pmod(b, F.lit(_CHUNK))
-    homes = F.array_compact(F.array(mine, F.when(at == _CHUNK - 1, mine + 1), F.when(at == 0, mine - 1)))
+    homes = F.array_compact(F.array(mine, F.when(at >= _CHUNK - edge, mine + 1), F.when(at < edge, mine - 1)))
     return df.withColumn("_mine", mine).withColumn("_chunk", F.explode(homes)).withColumn(
         "_own", F.col("_mine") == F.col("_chunk")
     )
 
 
-def _port_marks(packets: DataFrame, horizon_us: int) -> DataFrame:
-    """Where a source's set of recent ports grows (+1) or shrinks (-1).
+def port_spans(packets: DataFrame) -> DataFrame:
+    """One row per sensor, source, port and slot: first and last packet, and how many.
 
-    Packets of one source and port that lie at most the horizon apart keep the
-    port in the set without a break. Inside one horizon-wide bucket that always
-    holds, so a bucket's first and last packet say everything, and only the next
-    bucket can continue the run. Marks are therefore bounded by ports and time,
-    not by packets.
+    The first packet's (time, sequence) travels as one decimal, so that the aggregate keeps
+    fixed-width buffers and combines in a hash table on the map side. Sequence numbers are
+    not negative and a slot is narrower than the decimal's head.
     """
-    spans = (
-        packets.filter(F.col("dport").isNotNull())
-        .groupBy(*SOURCE, "dport", F.floor(F.col("ts_us") / horizon_us).cast("bigint").alias("_bucket"))
-        .agg(
-            F.min(F.struct("ts_us", "seq")).alias("_first"),
-            F.max("ts_us").alias("_last"),
+    slot = slot_of(F.col("ts_us"), SLOT_US)
+    place = F.expr(
+        f"cast(pmod(ts_us, {SLOT_US}L) as decimal(8,0)) * {_SEQ_RANGE}BD + cast(seq as decimal(19,0))"
+    )
+    return (
+        packets.groupBy(*SOURCE, "dport", slot.alias("_slot"))
+        .agg(F.min(place).alias("_place"), F.max("ts_us").alias("_last"), F.count("*").alias("n_rows"))
+        .withColumns(
+            {
+                "_first_seq": F.expr(f"cast(_place % {_SEQ_RANGE}BD as bigint)"),
+                "_first": F.expr(f"_slot + cast(floor(_place / {_SEQ_RANGE}BD) as bigint)"),
+            }
         )
+        .drop("_place")
     )
+
+
+def _port_marks(spans: DataFrame, horizon_us: int) -> DataFrame:
+    """Where a source's set of recent ports grows (+1) or shrinks (-1).
+
+    Packets of one source and port that lie at most the horizon apart keep the port in the
+    set without a break. Inside one slot that always holds, so a slot's first and last packet
+    say everything. Marks are therefore bounded by ports and time, not by packets.
+    """
+    edge = -(-horizon_us // SLOT_US)
     w = Window.partitionBy(*SOURCE, "dport", "_chunk").orderBy("_bucket")
-    gaps = _copy_edges(spans, "_bucket").select(
+    gaps = _copy_edges(
+        spans.filter(F.col("dport").isNotNull()).withColumn("_bucket", F.expr(f"_slot div {SLOT_US}")), "_bucket", edge
+    ).select(
         *SOURCE,
         "_own",
         "_first",
+        "_first_seq",
         "_last",
-        (F.col("_first.ts_us") - F.lag("_last").over(w)).alias("_gap_before"),
-        (F.lead("_first.ts_us").over(w) - F.col("_last")).alias("_gap_after"),
+        (F.col("_first") - F.lag("_last").over(w)).alias("_gap_before"),
+        (F.lead("_first").over(w) - F.col("_last")).alias("_gap_after"),
     )
     opened = F.coalesce(F.col("_gap_before") > horizon_us, F.lit(True))
     closed = F.coalesce(F.col("_gap_after") > horizon_us, F.lit(True))
 
     def mark(at: Column, seq: Column, change: int) -> Column:
         return F.struct(
-            at.cast("bigint").alias("ts_us"), seq.cast("bigint").alias("seq"), F.lit(change).cast("bigint").alias("_w")
+            at.cast("bigint").alias("ts_us"),
+            seq.cast("bigint").alias("seq"),
+            slot_of(at, SLOT_US).alias("_slot"),
+            F.lit(change).cast("bigint").alias("_w"),
         )
 
     marks = F.array_compact(
         F.array(
-            F.when(opened, mark(F.col("_first.ts_us"), F.col("_first.seq"), 1)),
+            F.when(opened, mark(F.col("_first"), F.col("_first_seq"), 1)),
             F.when(closed, mark(F.col("_last") + horizon_us + 1, F.lit(_BEFORE_ALL), -1)),
         )
     )
     return gaps.filter("_own").select(*SOURCE, F.inline(marks))
 
 
+def _port_steps(spans: DataFrame, horizon_us: int) -> DataFrame:
+    """The marks, and before them the count each source's slot opens with.
+
+    That count is a running total over one row per source and slot, bounded by time.
+    """
+    marks = _port_marks(spans, horizon_us)
+    group = [*SOURCE, "_slot"]
+    none = F.lit(0).cast("bigint")
+    changes = (
+        marks.select(*group, "_w", none.alias("n_rows"))
+        .unionByName(spans.select(*group, none.alias("_w"), "n_rows"))
+        .groupBy(*group)
+        .agg(F.sum("_w").alias("_net"), F.sum("n_rows").alias("n_rows"))
+    )
+    before = Window.partitionBy(*SOURCE).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    openings = changes.select(
+        *SOURCE,
+        F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"),
+        F.lit(_BEFORE_ALL).cast("bigint").alias("seq"),
+        "_slot",
+        F.coalesce(F.sum("_net").over(before), none).alias("_w"),
+        "n_rows",
+    ).filter("n_rows > 0")
+    return marks.unionByName(openings.drop("n_rows")).withColumn("_kind", F.lit(0))
+
+
 def with_unique_dports(
     df: DataFrame,
     horizon_us: int = HORIZON_US,
     max_rows: int | None = None,
     floor: int = HEAVY_FLOOR,
     name: str = "unique_dports_15s",
-    basis: DataFrame | None = None,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct destination ports of the packet's source in the trailing horizon, this
     packet included and later arrivals excluded.
 
     ``max_rows`` also limits the look-back to the sensor's last ``max_rows`` arrivals.
-    ``basis`` is as in ``ordered_scan``.
+    ``spans`` is ``port_spans`` of the whole table, if at hand; ``df`` may then be a part of
+    the table.
     """
+    if horizon_us < SLOT_US:
+        raise ValueError(f"the horizon must be at least {SLOT_US} microseconds")
     if max_rows is not None:
         return _capped_unique_dports(df, horizon_us, max_rows, floor, name)
 
-    thin = df if basis is None else basis
-    marks = _port_marks(thin, horizon_us).withColumn("_slot", slot_of(F.col("ts_us"), SLOT_US))
-    rows = df.withColumn("_slot", slot_of(F.col("ts_us"), SLOT_US))
+    spans = port_spans(df) if spans is None else spans
     group = [*SOURCE, "_slot"]
+    loads = spans.groupBy(*group).agg(F.sum("n_rows").alias("n_rows"))
 
-    # The count each (source, slot) opens with: a running total over one row per slot.
-    loads = (
-        thin.withColumn("_slot", slot_of(F.col("ts_us"), SLOT_US)).groupBy(*group).agg(F.count("*").alias("n_rows"))
-    )
-    changes = (
-        marks.groupBy(*group)
-        .agg(F.sum("_w").alias("_net"), F.lit(0).cast("bigint").alias("n_rows"))
-        .unionByName(loads.withColumn("_net", F.lit(0).cast("bigint")))
-        .groupBy(*group)
-        .agg(F.sum("_net").alias("_net"), F.sum("n_rows").alias("n_rows"))
-    )
-    before = Window.partitionBy(*SOURCE).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    openings = changes.filter("n_rows > 0 or _net != 0").select(
-        *group,
-        F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"),
-        F.lit(_BEFORE_ALL).cast("bigint").alias("seq"),
-        F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_w"),
-    )
-
-    # A heavy (source, slot) is dealt out over several windows, each with its own
-    # copy of the few marks, so that no task gets all of its packets.
+    # A heavy (source, slot) is dealt out over several windows, each with its own copy of
+    # the few marks, so that no task gets all of its packets.
     heavy = heavy_groups(loads, group, floor=floor).select(
         *[F.col(c).alias(f"h_{c}") for c in group], F.ceil(F.col("n_rows") / floor).cast("int").alias("_salts")
     )
@@ -160,18 +192,22 @@ def with_unique_dports(
     drop = [f"h_{c}" for c in group] + ["_salts"]
     salts = F.coalesce("_salts", F.lit(1))
     dealt = (
-        rows.join(F.broadcast(heavy), is_heavy, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64("seq"), salts).cast("int"))
+        df.withColumn("_slot", slot_of(F.col("ts_us"), SLOT_US))
+        .join(F.broadcast(heavy), is_heavy, "left")
+        .withColumns(
+            {
+                "_salt": F.pmod(F.xxhash64("seq"), salts).cast("int"),
+                "_w": F.lit(0).cast("bigint"),
+                "_kind": F.lit(1),
+            }
+        )
         .drop(*drop)
-        .withColumn("_w", F.lit(0).cast("bigint"))
-        .withColumn("_kind", F.lit(1))
     )
     steps = (
-        marks.unionByName(openings)
+        _port_steps(spans, horizon_us)
         .join(F.broadcast(heavy), is_heavy, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop(*drop)
-        .withColumn("_kind", F.lit(0))
     )
     w = (
         Window.partitionBy(*group, "_salt")
@@ -186,11 +222,78 @@ def with_unique_dports(
     )
 
 
+def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
+    """Gap and port count for packets in ordinary slots, from one exchange of the packets.
+
+    Both windows live inside a (sensor, slot), so the second reuses the partitioning of the
+    first. Marks, opening counts and each slot's previous packet time come in as extra rows.
+    """
+    slots = spans.groupBy(*SENSOR, "_slot").agg(F.max("_last").alias("_last"))
+    over_slots = Window.partitionBy(*SENSOR).orderBy("_slot")
+    previous = slots.select(
+        *SENSOR,
+        "_slot",
+        F.lag("_last").over(over_slots).alias("_seen"),
+        F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"),
+        F.lit(_BEFORE_ALL).cast("bigint").alias("seq"),
+        F.lit(0).alias("_kind"),
+    )
+    rows = df.select(
+        "*",
+        slot_of(F.col("ts_us"), SLOT_US).alias("_slot"),
+        F.col("ts_us").alias("_seen"),
+        F.lit(0).cast("bigint").alias("_w"),
+        F.lit(1).alias("_kind"),
+    )
+    in_slot = Window.partitionBy(*SENSOR, "_slot").orderBy("ts_us", "seq", "_kind")
+    of_source = Window.partitionBy(*SENSOR, "_slot", "src_ip").orderBy("ts_us", "seq", "_kind")
+    seen_before = F.last("_seen", ignorenulls=True).over(in_slot.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        rows.unionByName(previous, allowMissingColumns=True)
+        .unionByName(_port_steps(spans, HORIZON_US), allowMissingColumns=True)
+        .withColumn("_before", seen_before)
+        .withColumn("unique_dports_15s", F.sum("_w").over(of_source.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter("_kind = 1")
+        .select(
+            *df.columns,
+            F.coalesce((F.col("ts_us") - F.col("_before")) / F.lit(1e6), F.lit(0.0)).alias("time_diff"),
+            F.col("unique_dports_15s").cast("double").alias("unique_dports_15s"),
+        )
+    )
+
+
+def _per_event(df: DataFrame, floor: int) -> DataFrame:
+    """Gap and port count of every packet.
+
+    The span summary is written once to the shared folder: it tells which slots are heavy,
+    and every later step reads it instead of the packets. At most ``HEAVY_SHARE`` slots can
+    be heavy, so their keys are safe to collect.
+    """
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    spans = port_spans(df).checkpoint()
+    slots = spans.groupBy(*SENSOR, "_slot").agg(F.sum("n_rows").alias("n_rows"))
+    heavy = heavy_groups(slots, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
+    if not heavy:
+        return _light_features(df, spans)
+
+    keys = F.broadcast(spark.createDataFrame(heavy, "h_sensor string, h_slot bigint"))
+    is_heavy = F.col("sensor_id").eqNullSafe(F.col("h_sensor")) & (
+        slot_of(F.col("ts_us"), SLOT_US) == F.col("h_slot")
+    )
+    light = _light_features(df.join(keys, is_heavy, "left_anti"), spans)
+    crowded = with_unique_dports(df.join(keys, is_heavy, "left_semi"), floor=floor, spans=spans)
+    return light.unionByName(with_time_diff(crowded, floor=floor, basis=df).select(*light.columns))
+
+
 def _capped_unique_dports(df: DataFrame, horizon_us: int, max_rows: int, floor: int, name: str) -> DataFrame:
     """The same count in arrival-index space, where slots are even by construction."""
     if max_rows < 1:
         raise ValueError("max_rows must be at least 1")
-    rows = with_arrival_index(df, floor=floor)
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    # Four steps read the index, so it is written once.
+    rows = with_arrival_index(df, floor=floor).checkpoint()
     keys = [*SOURCE, "dport"]
     spans = (
         rows.filter(F.col("dport").isNotNull())
@@ -233,7 +336,7 @@ def _capped_unique_dports(df: DataFrame, horizon_us: int, max_rows: int, floor:
         F.lit(_AFTER_ALL).cast("bigint").alias("seq"),
         F.lit(0).alias("_weight"),
     )
-    ticks = df.select("sensor_id", "ts_us", "seq", F.lit(1).alias("_weight"))
+    ticks = rows.select("sensor_id", "ts_us", "seq", F.lit(1).alias("_weight"))
     counted = ordered_scan(
         probes.unionByName(ticks, allowMissingColumns=True), SENSOR, weight=F.col("_weight"), floor=floor
     ).filter("_weight = 0")
@@ -303,13 +406,15 @@ def engineer(
     for optional in ("protocol", "dport"):
         if optional not in df.columns:
             df = df.withColumn(optional, F.lit(0))
-    if mode == "per_event":
-        out = with_unique_dports(df, max_rows=max_rows, floor=floor)
+    if mode == "per_event" and max_rows is None:
+        out = _per_event(df, floor)
+    elif mode == "per_event":
+        out = with_time_diff(with_unique_dports(df, max_rows=max_rows, floor=floor), floor=floor, basis=df)
     elif mode == "batch_reference":
-        out = with_batch_dports(df)
+        out = with_time_diff(with_batch_dports(df), floor=floor, basis=df)
     else:
         raise ValueError(f"unknown mode: {mode}")
-    return with_time_diff(out, floor=floor, basis=df).withColumns(
+    return out.withColumns(
         {
             "packet_size_log": size_log(F.col("packet_size")),
             "is_ephemeral_sport": is_ephemeral(F.col("sport")),

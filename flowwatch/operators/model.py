@@ -104,10 +104,10 @@ def fit(
     # Three passes read these rows, so the costly feature plan runs once.
     rows = features.select(*key, *raw).checkpoint()
     vector = F.array(*[F.col(f"x{i}") for i in range(len(names))])
-    n_rows = rows.count()
+    stats = fit_scaler(rows.select(vector.alias("features")), names).orderBy("feature_idx").collect()
+    n_rows = stats[0]["n_rows"]
     if n_rows == 0:
         raise ValueError("no features provided for training")
-    stats = fit_scaler(rows.select(vector.alias("features")), names).orderBy("feature_idx").collect()
     means, scales = [r["mean"] for r in stats], [r["scale"] for r in stats]
 
     columns = scaled([F.col(f"x{i}") for i in range(len(names))], means, scales)

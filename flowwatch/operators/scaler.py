@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def fit_scaler(vectors: DataFrame, names: list[str], column: str = "features") -> DataFrame:
-    """One row per feature: ``feature_idx, name, mean, scale``, from one aggregate pass."""
-    aggs = []
+    """One row per feature: ``feature_idx, name, mean, scale, n_rows``, from one aggregate pass."""
+    aggs = [F.count("*").alias("n")]
     for i, _ in enumerate(names):
         x = F.get(F.col(column), F.lit(i))
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
@@ -18,6 +18,7 @@ def fit_scaler(vectors: DataFrame, names: list[str], column: str = "features") -
                 F.lit(n).alias("name"),
                 F.col(f"m{i}").alias("mean"),
                 F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias("scale"),
+                F.col("n").alias("n_rows"),
             )
             for i, n in enumerate(names)
         ]

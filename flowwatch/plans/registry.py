@@ -187,7 +187,7 @@ def feat_direction(spark, sf):
 @query
 def feature_vector(spark, sf):
     rows = _engineered(spark, sf)
-    shown = F.transform(ft.feature_vector(rows), lambda x: F.format_string("%.4f", x))
+    shown = F.transform(ft.feature_vector(rows), lambda x: F.format_string("%.6f", x))
     return rows.select("seq", F.array_join(shown, ",").alias("features"))
 
 
@@ -438,7 +438,7 @@ def signature_alerts(spark, sf):
 
 @query
 def expired_bans(spark, sf):
-    return ct.expired_bans(fx.blocks(_events(spark, sf)), _as_of()).select("id", "ip", "action", "reason")
+    return ct.expired_bans(fx.blocks(_events(spark, sf), fx.user_ip()), _as_of()).select("id", "ip", "action", "reason")
 
 
 @query
@@ -465,7 +465,7 @@ def trust_rejected(spark, sf):
 
 @query
 def latest_action(spark, sf):
-    return ct.latest_action(fx.blocks(_events(spark, sf))).select("ip", "id", "action", "reason")
+    return ct.latest_action(fx.blocks(_events(spark, sf), fx.user_ip())).select("ip", "id", "action", "reason")
 
 
 @query

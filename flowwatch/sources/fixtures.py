@@ -117,14 +117,20 @@ def alerts(events: DataFrame) -> DataFrame:
     )
 
 
-def blocks(events: DataFrame) -> DataFrame:
+def user_ip() -> Column:
+    """An address per user."""
+    user = F.col("user_id")
+    return F.concat_ws(".", F.lit("198.18"), F.floor(user / 256).cast("string"), (user % 256).cast("string"))
+
+
+def blocks(events: DataFrame, ip: Column | None = None) -> DataFrame:
     k = _k()
     block = F.col("event_type") == "purchase"
     expires = F.timestamp_micros(F.unix_micros(_second()) + k.cast("bigint") * 60_000_000)
     return events.filter(F.col("event_type").isin("purchase", "signup")).select(
         F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("id"),
         _second().alias("ts"),
-        src_ip().alias("ip"),
+        (src_ip() if ip is None else ip).alias("ip"),
         F.when(block, "block").otherwise("unblock").alias("action"),
         F.when(block & (k % 2 == 0), "auto-high").otherwise("manual").alias("reason"),
         F.when(block & (k % 2 == 1), expires).alias("expires_at"),
