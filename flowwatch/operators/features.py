@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowwatch.functions.ports import is_ephemeral
 from flowwatch.operators.ordered import HEAVY_FLOOR, SLOT_US, heavy_groups, ordered_scan, slot_of
 from flowwatch.schemas import FEATURES
-from flowwatch.session import shared_dir
+from flowwatch.session import materialize
 
 HORIZON_US = 15_000_000
 SENSOR = ["sensor_id"]
@@ -270,8 +270,7 @@ def _per_event(df: DataFrame, floor: int) -> DataFrame:
     be heavy, so their keys are safe to collect.
     """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    spans = port_spans(df).checkpoint()
+    spans = materialize(port_spans(df), "spans")
     slots = spans.groupBy(*SENSOR, "_slot").agg(F.sum("n_rows").alias("n_rows"))
     heavy = heavy_groups(slots, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
     if not heavy:
@@ -290,10 +289,8 @@ def _capped_unique_dports(df: DataFrame, horizon_us: int, max_rows: int, floor:
     """The same count in arrival-index space, where slots are even by construction."""
     if max_rows < 1:
         raise ValueError("max_rows must be at least 1")
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     # Four steps read the index, so it is written once.
-    rows = with_arrival_index(df, floor=floor).checkpoint()
+    rows = materialize(with_arrival_index(df, floor=floor), "arrivals")
     keys = [*SOURCE, "dport"]
     spans = (
         rows.filter(F.col("dport").isNotNull())

@@ -56,7 +56,9 @@ def sample_trees(
     """
     psi = min(subsample, n_rows)
     pool_rows = 4 * psi * n_trees
-    pool = thinned(rows, n_rows, pool_rows, seed, list(key))
+    # The pool is small and is about to grow by the number of trees, so it is spread out first.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    pool = thinned(rows, n_rows, pool_rows, seed, list(key)).repartition(cores, *key)
     dealt = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn(
         "_hash", row_hash(F.lit(seed), F.col("tree_id"), *[F.col(k) for k in key])
     )
@@ -65,6 +67,8 @@ def sample_trees(
     share = (4 * psi + 100) / min(n_rows, pool_rows)
     if share < 0.5:
         dealt = dealt.filter(F.col("_hash") <= _hash_limit(share))
+    # One partitioning serves the ranking and the growing of trees.
+    dealt = dealt.repartition(max(1, min(n_trees, cores)), "tree_id")
     w = Window.partitionBy("tree_id").orderBy("_hash", *key)
     return dealt.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= psi).drop("_hash")
 

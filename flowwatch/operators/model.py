@@ -14,9 +14,11 @@ from flowwatch.operators.features import zero_filled
 from flowwatch.operators.iforest import SUBSAMPLE, Forest, exact_quantile, grow_forest, predict, raw_score, sample_trees
 from flowwatch.operators.scaler import fit_scaler, scaled
 from flowwatch.schemas import FEATURES, NODE
-from flowwatch.session import shared_dir
+from flowwatch.session import materialize
 
 VERSION = "1.0.0"
+# Up to this many scores the built-in exact percentile, which gathers them, is the cheaper way.
+_SMALL = 1 << 20
 _META = (
     "version string, trained_at string, feature_names array<string>, feature_count int, "
     "feature_checksum string, contamination double, n_estimators int, random_state int, "
@@ -97,12 +99,10 @@ def fit(
 
     The result depends on the rows and the seed only, not on partitions or row order.
     """
-    spark = features.sparkSession
     names = names or FEATURES
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     raw = [zero_filled(F.col(n)).alias(f"x{i}") if n in features.columns else F.lit(0.0).alias(f"x{i}") for i, n in enumerate(names)]
     # Three passes read these rows, so the costly feature plan runs once.
-    rows = features.select(*key, *raw).checkpoint()
+    rows = materialize(features.select(*key, *raw), "features")
     vector = F.array(*[F.col(f"x{i}") for i in range(len(names))])
     stats = fit_scaler(rows.select(vector.alias("features")), names).orderBy("feature_idx").collect()
     n_rows = stats[0]["n_rows"]
@@ -119,10 +119,13 @@ def fit(
     # The node table is bounded by trees x 2 subsample rows.
     nodes = grow_forest(samples, params.random_state).orderBy("tree_id", "node_id").toPandas()
 
-    scores = points.select(
+    raw_scores = points.select(
         raw_score(points, Forest(nodes, psi), [F.col(f"x{i}") for i in range(len(names))]).alias("score")
-    ).checkpoint()
-    offset = exact_quantile(scores, params.contamination).first()["quantile"]
+    )
+    if n_rows <= _SMALL:
+        offset = raw_scores.agg(F.percentile("score", params.contamination).alias("quantile")).first()["quantile"]
+    else:
+        offset = exact_quantile(materialize(raw_scores, "scores"), params.contamination).first()["quantile"]
     stamp = trained_at or datetime.now(timezone.utc).isoformat()
     return Model(list(names), means, scales, nodes, psi, float(offset), params, stamp)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # On a cluster these come from spark-defaults; tests and bench use them as is.
 # ANSI stays on (the 4.x default), so lenient casts are written as try_cast.
@@ -60,3 +61,15 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="flowwatch-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    Lineage ends there, so losing executors costs no recomputation, and later readers get
+    column pruning and size statistics. The folder's owner clears it, as with checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
