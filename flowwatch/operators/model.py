@@ -117,7 +117,7 @@ def fit(
     )
     psi = min(subsample, n_rows)
     # The node table is bounded by trees x 2 subsample rows.
-    nodes = grow_forest(samples, params.random_state).orderBy("tree_id", "node_id").toPandas()
+    nodes = grow_forest(samples, params.random_state).toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
 
     raw_scores = points.select(
         raw_score(points, Forest(nodes, psi), [F.col(f"x{i}") for i in range(len(names))]).alias("score")

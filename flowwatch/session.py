@@ -24,6 +24,9 @@ LOCAL_CONF = {
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, app: str = "flowwatch", shuffle_partitions: int = 8) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in LOCAL_CONF.items():
@@ -58,9 +61,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="flowwatch-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="flowwatch-")
+    return _LOCAL_DIRS[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
