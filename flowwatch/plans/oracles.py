@@ -473,3 +473,45 @@ SELECT md5('cap0:' || seq || ':autoblock') AS id, {_iso("make_timestamp(ts_us)")
   'auto-high' AS reason, CAST(NULL AS VARCHAR) AS expires_at
 FROM first WHERE ip NOT IN (SELECT ip FROM trusted)""",
 }
+
+_CHECKSUM = f"sha256('{','.join(FEATURES)}')"
+_TREES = "(SELECT CAST(unnest(range(100)) AS INTEGER) AS tree_id)"
+
+# What holds for a trained forest whatever its random cuts.
+SQL |= {
+    "iforest_shape": f"""WITH n AS (SELECT CAST(least(256, count(*)) AS INTEGER) AS n FROM events)
+SELECT tree_id, n AS root_rows, CAST(n AS BIGINT) AS leaf_rows, 1::BIGINT AS extra_leaves, true AS depth_ok FROM n, {_TREES}""",
+    "model_metadata": f"""SELECT '1.0.0' AS version, '{", ".join(FEATURES)}' AS feature_names, {len(FEATURES)} AS feature_count,
+  {_CHECKSUM} AS feature_checksum, 0.05::DOUBLE AS contamination, 100 AS n_estimators, 42 AS random_state,
+  CAST(least(256, count(*)) AS INTEGER) AS subsample FROM events""",
+    "train_job": f"""SELECT 100 AS n_estimators, CAST(least(256, count(*)) AS INTEGER) AS subsample,
+  {_CHECKSUM} AS feature_checksum, true AS usable FROM events""",
+    "model_roundtrip": "SELECT event_id AS seq, true AS same FROM events",
+    "predict_shuffled_columns": "SELECT event_id AS seq, true AS same FROM events",
+}
+
+_LIVE_BLOCKED = """NOT EXISTS (SELECT 1 FROM blocks b2 WHERE b2.ip = b.ip AND (b2.ts, b2.id) > (b.ts, b.id))"""
+
+# Streams must give what their batch twins give.
+SQL |= {
+    "live_features": SQL["features_per_event"],
+    "live_alerts": SQL["anomaly_alerts"]
+    + f"""
+UNION ALL
+SELECT * FROM ({SQL["signature_alerts"]})""",
+    "live_devices": f"WITH {_PACKETS}, {_inventory('devices', named=False)} SELECT * FROM devices",
+    "live_blocks": SQL["autoblock_decisions"],
+    "live_limited_hits": f"""WITH RECURSIVE {_HITS.replace("WHERE unique_dports_15s >= 10", "WHERE false")}, {_DEDUP}
+SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
+    "live_lockout": f"""WITH RECURSIVE {_EV}, {_LOGINS} SELECT username, seq, verdict FROM fold WHERE rn > 0""",
+    "live_ban_expiry": f"""WITH {_EV}, {_USER_BLOCKS}
+SELECT ip, {_iso("expires_at")} AS ts, 'unblock' AS action, 'auto-expired' AS reason FROM blocks b
+WHERE action = 'block' AND expires_at < (SELECT max(ts) FROM blocks) AND {_LIVE_BLOCKED}""",
+    "live_feed": f"""WITH {_EV}, {_ALERTS}, {_BLOCKS}
+SELECT 'alert' AS event, id, {_iso("ts")} AS ts FROM alerts UNION ALL SELECT 'block', id, {_iso("ts")} FROM blocks""",
+    "live_view": f"""WITH {_LOGS} SELECT id, {_iso("ts")} AS ts, ip, type, label, severity, kind, arrival FROM (
+  SELECT *, CAST(substr(id, 2) AS BIGINT) AS arrival FROM logs ORDER BY arrival DESC LIMIT 200)""",
+    "live_scan_summary": f"""WITH {_PACKETS}
+SELECT (ts_us // 5000000 - o) * 5000000 AS window_start, src_ip, count(*) AS packets
+FROM packets, (VALUES (0), (1), (2)) v(o) GROUP BY ALL""",
+}

@@ -23,9 +23,12 @@ from flowwatch.operators import (
     signatures as sg,
 )
 from flowwatch.plans import train
+from flowwatch.plans.monitor import Settings
 from flowwatch.schemas import FEATURES, NODE
 from flowwatch.session import share_package, shared_dir
 from flowwatch.sources import fixtures as fx, packets as pk, stores
+from flowwatch.streaming import feeds, keyed
+from flowwatch.streaming.monitor import Monitor, start_monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -757,12 +760,25 @@ def predict_shuffled_columns(spark, sf):
     turned = rows.select("seq", *reversed(FEATURES))
     a = model.with_label(rows).select("seq", "label")
     b = model.with_label(turned).select("seq", F.col("label").alias("shuffled"))
-    return a.join(b, "seq").select("seq", "label", (F.col("label") == F.col("shuffled")).alias("same"))
+    return a.join(b, "seq").select("seq", (F.col("label") == F.col("shuffled")).alias("same"))
+
+
+@query
+def iforest_shape(spark, sf):
+    nodes = spark.createDataFrame(_trained(spark, sf).nodes, NODE)
+    leaf = F.col("feature_idx") < 0
+    return nodes.groupBy("tree_id").agg(
+        F.max(F.when(F.col("node_id") == 0, F.col("n"))).alias("root_rows"),
+        F.sum(F.when(leaf, F.col("n"))).alias("leaf_rows"),
+        (F.count_if(leaf) - F.count_if(~leaf)).alias("extra_leaves"),
+        (F.max("depth") <= 8).alias("depth_ok"),
+    )
 
 
 @query
 def model_metadata(spark, sf):
-    return _trained(spark, sf).metadata(spark).withColumn("feature_names", F.array_join("feature_names", ", "))
+    shown = _trained(spark, sf).metadata(spark).drop("trained_at", "offset")
+    return shown.withColumn("feature_names", F.array_join("feature_names", ", "))
 
 
 @query
@@ -777,7 +793,8 @@ def model_roundtrip(spark, sf):
 
 @query
 def train_job(spark, sf):
-    return train.train_on_packets(_packets(spark, sf), LOCAL, FOREST_PARAMS).metadata(spark)
+    model = train.train_on_packets(_packets(spark, sf), LOCAL, FOREST_PARAMS)
+    return model.metadata(spark).select("n_estimators", "subsample", "feature_checksum", (F.col("offset") < 0).alias("usable"))
 
 
 @query
@@ -790,3 +807,116 @@ def autoblock_decisions(spark, sf):
     e = _events(spark, sf)
     anomalies = al.with_anomaly(_fixed_model().with_score(_engineered(spark, sf)))
     return al.autoblock_decisions(anomalies, LOCAL, fx.trusted(e)).withColumns(_iso("ts", "expires_at"))
+
+
+# --- streams over the same tables --------------------------------------------------------
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    schema = fx.read_events(spark, sf).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+
+
+def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there into a table, and read it."""
+    spark = stream.sparkSession
+    out = _scratch(spark, name)
+    writer = stream.writeStream.option("checkpointLocation", f"{out}-check").trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").option("path", out).outputMode("append").start()
+    else:
+        running = writer.foreachBatch(
+            lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        ).outputMode(mode).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_MONITORED: dict[tuple[str, str], str] = {}
+
+
+def _monitored(spark, sf) -> str:
+    """The folder of a monitor run over the packet stream, once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MONITORED:
+        out = _scratch(spark, "monitor")
+        job = Monitor(
+            out, Settings(local_ips=LOCAL), _fixed_model(), trusted=lambda: fx.trusted(_events(spark, sf))
+        )
+        start_monitor(fx.packets(_event_stream(spark, sf)), job, f"{out}-check").awaitTermination()
+        _MONITORED[key] = out
+    return _MONITORED[key]
+
+
+@query
+def live_features(spark, sf):
+    rows = spark.read.parquet(f"{_monitored(spark, sf)}/rolling")
+    return rows.select(*_feature_columns())
+
+
+@query
+def live_alerts(spark, sf):
+    return spark.read.parquet(f"{_monitored(spark, sf)}/alerts").drop("batch").withColumns(_iso("ts"))
+
+
+@query
+def live_devices(spark, sf):
+    rows = spark.read.parquet(f"{_monitored(spark, sf)}/devices")
+    last = rows.agg(F.max("version").alias("v")).scalar()
+    return _device_view(rows.filter(F.col("version") == last).drop("version"))
+
+
+@query
+def live_blocks(spark, sf):
+    rows = spark.read.parquet(f"{_monitored(spark, sf)}/blocks")
+    last = rows.agg(F.max("version").alias("v")).scalar()
+    return rows.filter(F.col("version") == last).drop("version").withColumns(_iso("ts", "expires_at"))
+
+
+@query
+def live_limited_hits(spark, sf):
+    # Sensitive-port hits follow from single packets, so the rule runs on the stream itself.
+    packets = fx.packets(_event_stream(spark, sf)).withColumn("direction", ft.direction(F.col("src_ip"), LOCAL))
+    hits = sg.evaluate(packets, [sg.sensitive_port_rule()])
+    return _drain(keyed.limit_hits(hits, 5.0), "limited").select("rule", "src_ip", "dest_ip", "second", "seq")
+
+
+@query
+def live_lockout(spark, sf):
+    return _drain(keyed.lockout_stream(fx.logins(_event_stream(spark, sf)), 5, 3 * 24 * 60), "lockout")
+
+
+@query
+def live_ban_expiry(spark, sf):
+    ended = _drain(keyed.ban_expiry_stream(fx.blocks(_event_stream(spark, sf), fx.user_ip())), "expiry")
+    return ended.withColumns(_iso("ts"))
+
+
+@query
+def live_feed(spark, sf):
+    e = _event_stream(spark, sf)
+    feed = feeds.event_feed(fx.alerts(e).unionByName(fx.alerts(e)), fx.blocks(_event_stream(spark, sf)), "60 days")
+    return _drain(feed, "feed").select("event", "id", tx.iso_utc(F.col("ts")).alias("ts"))
+
+
+@query
+def live_view(spark, sf):
+    e = _event_stream(spark, sf)
+    logs = lg.log_events(fx.alerts(e), fx.blocks(e)).withColumn("arrival", F.substring("id", 2, 20).cast("bigint"))
+    out = _scratch(spark, "view")
+    update = feeds.latest_view(out, logs.schema)
+    logs.writeStream.foreachBatch(update).option("checkpointLocation", f"{out}-check").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    last = rows.agg(F.max("version").alias("v")).scalar()
+    return rows.filter(F.col("version") == last).drop("version").withColumns(_iso("ts"))
+
+
+@query
+def live_scan_summary(spark, sf):
+    summary = feeds.scan_summary(fx.packets(_event_stream(spark, sf)))
+    rows = _drain(summary, "scans", "update")
+    return rows.groupBy(F.unix_micros("window_start").alias("window_start"), "src_ip").agg(
+        F.max("packets").alias("packets")
+    )
