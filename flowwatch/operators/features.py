@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowwatch.functions.ports import is_ephemeral
-from flowwatch.operators.ordered import HEAVY_FLOOR, SLOT_US, heavy_groups, ordered_scan, slot_of
+from flowwatch.operators.ordered import HEAVY_FLOOR, heavy_groups, is_heavy_load, ordered_scan, slot_of
 from flowwatch.schemas import FEATURES
 from flowwatch.session import materialize
 
@@ -55,106 +55,76 @@ def with_arrival_index(df: DataFrame, **scan) -> DataFrame:
     return ordered_scan(df, SENSOR, **scan).withColumnRenamed("running", "arrival_index").drop("prev_ts")
 
 
-def _copy_edges(df: DataFrame, bucket: str, edge: int = 1) -> DataFrame:
-    """Add ``_chunk``; rows in the ``edge`` buckets at a chunk's ends also go to the neighbour
-    chunk, with ``_own`` false there."""
+def _copy_edges(df: DataFrame, bucket: str) -> DataFrame:
+    """Add ``_chunk``; rows in a chunk's first and last bucket also go to the neighbour chunk,
+    with ``_own`` false there."""
     b = F.col(bucket)
     mine = F.floor(b / _CHUNK).cast("bigint")
     at = F.pmod(b, F.lit(_CHUNK))
-    homes = F.array_compact(F.array(mine, F.when(at >= _CHUNK - edge, mine + 1), F.when(at < edge, mine - 1)))
+    homes = F.array_compact(F.array(mine, F.when(at == _CHUNK - 1, mine + 1), F.when(at == 0, mine - 1)))
     return df.withColumn("_mine", mine).withColumn("_chunk", F.explode(homes)).withColumn(
         "_own", F.col("_mine") == F.col("_chunk")
     )
 
 
-def port_spans(packets: DataFrame) -> DataFrame:
-    """One row per sensor, source, port and slot: first and last packet, and how many.
+def port_spans(packets: DataFrame, horizon_us: int = HORIZON_US) -> DataFrame:
+    """One row per sensor, source, port and horizon-wide slot: first and last packet, and how many.
 
     The first packet's (time, sequence) travels as one decimal, so that the aggregate keeps
     fixed-width buffers and combines in a hash table on the map side. Sequence numbers are
     not negative and a slot is narrower than the decimal's head.
     """
-    slot = slot_of(F.col("ts_us"), SLOT_US)
     place = F.expr(
-        f"cast(pmod(ts_us, {SLOT_US}L) as decimal(8,0)) * {_SEQ_RANGE}BD + cast(seq as decimal(19,0))"
+        f"cast(pmod(ts_us, {horizon_us}L) as decimal(18,0)) * {_SEQ_RANGE}BD + cast(seq as decimal(19,0))"
     )
     return (
-        packets.groupBy(*SOURCE, "dport", slot.alias("_slot"))
+        packets.groupBy(*SOURCE, "dport", slot_of(F.col("ts_us"), horizon_us).alias("_slot"))
         .agg(F.min(place).alias("_place"), F.max("ts_us").alias("_last"), F.count("*").alias("n_rows"))
-        .withColumns(
-            {
-                "_first_seq": F.expr(f"cast(_place % {_SEQ_RANGE}BD as bigint)"),
-                "_first": F.expr(f"_slot + cast(floor(_place / {_SEQ_RANGE}BD) as bigint)"),
-            }
+        .selectExpr(
+            *SOURCE,
+            "dport",
+            "_slot",
+            f"_slot + cast(floor(_place / {_SEQ_RANGE}BD) as bigint) as _first",
+            f"cast(_place % {_SEQ_RANGE}BD as bigint) as _first_seq",
+            "_last",
+            "n_rows",
         )
-        .drop("_place")
     )
 
 
-def _port_marks(spans: DataFrame, horizon_us: int) -> DataFrame:
-    """Where a source's set of recent ports grows (+1) or shrinks (-1).
+def _port_steps(spans: DataFrame, horizon_us: int) -> DataFrame:
+    """How a source's number of recent ports moves inside each slot, as weighted rows.
 
-    Packets of one source and port that lie at most the horizon apart keep the port in the
-    set without a break. Inside one slot that always holds, so a slot's first and last packet
-    say everything. Marks are therefore bounded by ports and time, not by packets.
+    Slots are as wide as the horizon. So a slot opens with the ports seen in the slot before
+    it, each port of that slot falls out one horizon after its last packet there, and a port
+    comes in with its first packet here, unless it has stayed in throughout. A slot needs
+    nothing but the two span rows of each port: the rows are bounded by ports and time, not
+    by packets, and no slot waits for another.
     """
-    edge = -(-horizon_us // SLOT_US)
-    w = Window.partitionBy(*SOURCE, "dport", "_chunk").orderBy("_bucket")
-    gaps = _copy_edges(
-        spans.filter(F.col("dport").isNotNull()).withColumn("_bucket", F.expr(f"_slot div {SLOT_US}")), "_bucket", edge
-    ).select(
+    both = spans.filter("dport is not null").selectExpr(
         *SOURCE,
-        "_own",
-        "_first",
-        "_first_seq",
-        "_last",
-        (F.col("_first") - F.lag("_last").over(w)).alias("_gap_before"),
-        (F.lead("_first").over(w) - F.col("_last")).alias("_gap_after"),
+        "dport",
+        f"""inline(array(
+            named_struct('_slot', _slot, '_gone', cast(null as bigint), '_first', _first, '_first_seq', _first_seq),
+            named_struct('_slot', _slot + {horizon_us}, '_gone', _last + {horizon_us + 1},
+                         '_first', cast(null as bigint), '_first_seq', cast(null as bigint))))""",
     )
-    opened = F.coalesce(F.col("_gap_before") > horizon_us, F.lit(True))
-    closed = F.coalesce(F.col("_gap_after") > horizon_us, F.lit(True))
-
-    def mark(at: Column, seq: Column, change: int) -> Column:
-        return F.struct(
-            at.cast("bigint").alias("ts_us"),
-            seq.cast("bigint").alias("seq"),
-            slot_of(at, SLOT_US).alias("_slot"),
-            F.lit(change).cast("bigint").alias("_w"),
-        )
-
-    marks = F.array_compact(
-        F.array(
-            F.when(opened, mark(F.col("_first"), F.col("_first_seq"), 1)),
-            F.when(closed, mark(F.col("_last") + horizon_us + 1, F.lit(_BEFORE_ALL), -1)),
+    first_place = f"'ts_us', {_BEFORE_ALL}L, 'seq', {_BEFORE_ALL}L"
+    return (
+        both.groupBy(*SOURCE, "dport", "_slot")
+        .agg(F.max("_gone").alias("_gone"), F.max("_first").alias("_first"), F.max("_first_seq").alias("_first_seq"))
+        .selectExpr(
+            *SOURCE,
+            "_slot",
+            f"""inline(array_compact(array(
+                if(_gone is not null, named_struct({first_place}, '_w', 1L), null),
+                if(_gone < _slot + {horizon_us} and coalesce(_first >= _gone, true),
+                   named_struct('ts_us', _gone, 'seq', {_BEFORE_ALL}L, '_w', -1L), null),
+                if(_first is not null and coalesce(_first >= _gone, true),
+                   named_struct('ts_us', _first, 'seq', _first_seq, '_w', 1L), null))))""",
         )
+        .withColumn("_kind", F.lit(0))
     )
-    return gaps.filter("_own").select(*SOURCE, F.inline(marks))
-
-
-def _port_steps(spans: DataFrame, horizon_us: int) -> DataFrame:
-    """The marks, and before them the count each source's slot opens with.
-
-    That count is a running total over one row per source and slot, bounded by time.
-    """
-    marks = _port_marks(spans, horizon_us)
-    group = [*SOURCE, "_slot"]
-    none = F.lit(0).cast("bigint")
-    changes = (
-        marks.select(*group, "_w", none.alias("n_rows"))
-        .unionByName(spans.select(*group, none.alias("_w"), "n_rows"))
-        .groupBy(*group)
-        .agg(F.sum("_w").alias("_net"), F.sum("n_rows").alias("n_rows"))
-    )
-    before = Window.partitionBy(*SOURCE).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    openings = changes.select(
-        *SOURCE,
-        F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"),
-        F.lit(_BEFORE_ALL).cast("bigint").alias("seq"),
-        "_slot",
-        F.coalesce(F.sum("_net").over(before), none).alias("_w"),
-        "n_rows",
-    ).filter("n_rows > 0")
-    return marks.unionByName(openings.drop("n_rows")).withColumn("_kind", F.lit(0))
 
 
 def with_unique_dports(
@@ -172,42 +142,36 @@ def with_unique_dports(
     ``spans`` is ``port_spans`` of the whole table, if at hand; ``df`` may then be a part of
     the table.
     """
-    if horizon_us < SLOT_US:
-        raise ValueError(f"the horizon must be at least {SLOT_US} microseconds")
     if max_rows is not None:
         return _capped_unique_dports(df, horizon_us, max_rows, floor, name)
 
-    spans = port_spans(df) if spans is None else spans
+    spans = port_spans(df, horizon_us) if spans is None else spans
     group = [*SOURCE, "_slot"]
     loads = spans.groupBy(*group).agg(F.sum("n_rows").alias("n_rows"))
 
     # A heavy (source, slot) is dealt out over several windows, each with its own copy of
-    # the few marks, so that no task gets all of its packets.
-    heavy = heavy_groups(loads, group, floor=floor).select(
-        *[F.col(c).alias(f"h_{c}") for c in group], F.ceil(F.col("n_rows") / floor).cast("int").alias("_salts")
+    # the steps, so that no task gets all of its packets.
+    heavy = F.broadcast(
+        heavy_groups(loads, group, floor=floor).selectExpr(
+            *[f"{c} as h_{c}" for c in group], f"cast(ceil(n_rows / {floor}) as int) as _salts"
+        )
     )
-    is_heavy = F.lit(True)
-    for c in group:
-        is_heavy = is_heavy & F.col(c).eqNullSafe(F.col(f"h_{c}"))
-    drop = [f"h_{c}" for c in group] + ["_salts"]
-    salts = F.coalesce("_salts", F.lit(1))
+    is_heavy = F.expr(" and ".join(f"{c} <=> h_{c}" for c in group))
     dealt = (
-        df.withColumn("_slot", slot_of(F.col("ts_us"), SLOT_US))
-        .join(F.broadcast(heavy), is_heavy, "left")
-        .withColumns(
-            {
-                "_salt": F.pmod(F.xxhash64("seq"), salts).cast("int"),
-                "_w": F.lit(0).cast("bigint"),
-                "_kind": F.lit(1),
-            }
+        df.withColumn("_slot", slot_of(F.col("ts_us"), horizon_us))
+        .join(heavy, is_heavy, "left")
+        .selectExpr(
+            *df.columns,
+            "_slot",
+            "cast(pmod(xxhash64(seq), coalesce(_salts, 1)) as int) as _salt",
+            "0L as _w",
+            "1 as _kind",
         )
-        .drop(*drop)
     )
     steps = (
         _port_steps(spans, horizon_us)
-        .join(F.broadcast(heavy), is_heavy, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop(*drop)
+        .join(heavy, is_heavy, "left")
+        .selectExpr(*group, "ts_us", "seq", "_w", "_kind", "explode(sequence(0, coalesce(_salts, 1) - 1)) as _salt")
     )
     w = (
         Window.partitionBy(*group, "_salt")
@@ -218,7 +182,7 @@ def with_unique_dports(
         dealt.unionByName(steps, allowMissingColumns=True)
         .withColumn(name, F.sum("_w").over(w).cast("double"))
         .filter("_kind = 1")
-        .drop("_slot", "_salt", "_w", "_kind")
+        .select(*df.columns, name)
     )
 
 
@@ -226,38 +190,36 @@ def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
     """Gap and port count for packets in ordinary slots, from one exchange of the packets.
 
     Both windows live inside a (sensor, slot), so the second reuses the partitioning of the
-    first. Marks, opening counts and each slot's previous packet time come in as extra rows.
+    first. Port steps and each slot's previous packet time come in as extra rows.
     """
     slots = spans.groupBy(*SENSOR, "_slot").agg(F.max("_last").alias("_last"))
-    over_slots = Window.partitionBy(*SENSOR).orderBy("_slot")
-    previous = slots.select(
+    previous = slots.selectExpr(
         *SENSOR,
         "_slot",
-        F.lag("_last").over(over_slots).alias("_seen"),
-        F.lit(_BEFORE_ALL).cast("bigint").alias("ts_us"),
-        F.lit(_BEFORE_ALL).cast("bigint").alias("seq"),
-        F.lit(0).alias("_kind"),
+        # One row per slot: bounded by the time the data spans.
+        "lag(_last) over (partition by sensor_id order by _slot) as _seen",
+        f"{_BEFORE_ALL}L as ts_us",
+        f"{_BEFORE_ALL}L as seq",
+        "0 as _kind",
     )
-    rows = df.select(
-        "*",
-        slot_of(F.col("ts_us"), SLOT_US).alias("_slot"),
-        F.col("ts_us").alias("_seen"),
-        F.lit(0).cast("bigint").alias("_w"),
-        F.lit(1).alias("_kind"),
-    )
-    in_slot = Window.partitionBy(*SENSOR, "_slot").orderBy("ts_us", "seq", "_kind")
-    of_source = Window.partitionBy(*SENSOR, "_slot", "src_ip").orderBy("ts_us", "seq", "_kind")
-    seen_before = F.last("_seen", ignorenulls=True).over(in_slot.rowsBetween(Window.unboundedPreceding, -1))
+    slot = slot_of(F.col("ts_us"), HORIZON_US).alias("_slot")
+    rows = df.select("*", slot, F.expr("ts_us as _seen"), F.expr("0L as _w"), F.expr("1 as _kind"))
     return (
         rows.unionByName(previous, allowMissingColumns=True)
         .unionByName(_port_steps(spans, HORIZON_US), allowMissingColumns=True)
-        .withColumn("_before", seen_before)
-        .withColumn("unique_dports_15s", F.sum("_w").over(of_source.rowsBetween(Window.unboundedPreceding, 0)))
+        .selectExpr(
+            *df.columns,
+            "_kind",
+            """last(_seen, true) over (partition by sensor_id, _slot order by ts_us, seq, _kind
+                rows between unbounded preceding and 1 preceding) as _before""",
+            """sum(_w) over (partition by sensor_id, _slot, src_ip order by ts_us, seq, _kind
+                rows between unbounded preceding and current row) as _ports""",
+        )
         .filter("_kind = 1")
-        .select(
+        .selectExpr(
             *df.columns,
-            F.coalesce((F.col("ts_us") - F.col("_before")) / F.lit(1e6), F.lit(0.0)).alias("time_diff"),
-            F.col("unique_dports_15s").cast("double").alias("unique_dports_15s"),
+            "coalesce((ts_us - _before) / 1e6D, 0D) as time_diff",
+            "cast(_ports as double) as unique_dports_15s",
         )
     )
 
@@ -265,20 +227,20 @@ def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
 def _per_event(df: DataFrame, floor: int) -> DataFrame:
     """Gap and port count of every packet.
 
-    The span summary is written once to the shared folder: it tells which slots are heavy,
+    The span summary is written once to the shared folder: it tells whether slots are heavy,
     and every later step reads it instead of the packets. At most ``HEAVY_SHARE`` slots can
     be heavy, so their keys are safe to collect.
     """
-    spark = df.sparkSession
     spans = materialize(port_spans(df), "spans")
     slots = spans.groupBy(*SENSOR, "_slot").agg(F.sum("n_rows").alias("n_rows"))
-    heavy = heavy_groups(slots, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
-    if not heavy:
+    top = slots.agg(F.max("n_rows").alias("most"), F.sum("n_rows").alias("total")).first()
+    if not is_heavy_load(top["most"] or 0, top["total"] or 0, floor):
         return _light_features(df, spans)
 
-    keys = F.broadcast(spark.createDataFrame(heavy, "h_sensor string, h_slot bigint"))
+    heavy = heavy_groups(slots, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
+    keys = F.broadcast(df.sparkSession.createDataFrame(heavy, "h_sensor string, h_slot bigint"))
     is_heavy = F.col("sensor_id").eqNullSafe(F.col("h_sensor")) & (
-        slot_of(F.col("ts_us"), SLOT_US) == F.col("h_slot")
+        slot_of(F.col("ts_us"), HORIZON_US) == F.col("h_slot")
     )
     light = _light_features(df.join(keys, is_heavy, "left_anti"), spans)
     crowded = with_unique_dports(df.join(keys, is_heavy, "left_semi"), floor=floor, spans=spans)

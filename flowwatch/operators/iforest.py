@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,6 +15,7 @@ SUBSAMPLE = 256
 EULER_GAMMA = 0.5772156649015329
 _HEX_DIGITS = 15
 _HASH_RANGE = float(16**_HEX_DIGITS)
+_PRIME = (1 << 31) - 1
 
 
 def average_path(n):
@@ -29,16 +31,10 @@ def row_hash(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, _HEX_DIGITS)
 
 
-def _hash_limit(share: float) -> str:
-    return f"{int(_HASH_RANGE * share):0{_HEX_DIGITS}x}"
-
-
-def thinned(rows: DataFrame, n_rows: int, pool: int, seed: int, key: list[str]) -> DataFrame:
-    """About ``pool`` rows, by a hash threshold that each task applies alone. A table that is
-    not larger passes whole."""
-    if n_rows <= pool:
-        return rows
-    return rows.filter(row_hash(F.lit(seed), *[F.col(k) for k in key]) <= _hash_limit(pool / n_rows))
+def tree_factors(seed: int, tree_id: int) -> tuple[int, int]:
+    """The tree's two random factors below the hash prime."""
+    digest = hashlib.md5(f"{seed}:{tree_id}".encode()).hexdigest()
+    return 1 + int(digest[:15], 16) % (_PRIME - 1), 1 + int(digest[15:30], 16) % (_PRIME - 1)
 
 
 def sample_trees(
@@ -51,26 +47,43 @@ def sample_trees(
 ) -> DataFrame:
     """``tree_id, rank`` and the row, for each tree's sample without replacement.
 
-    A tree takes the rows with the smallest hash of (seed, tree, row key), so the sample
-    does not depend on partitioning or row order.
+    Every row gets one md5 of the seed and its key, cut in two numbers. A tree orders rows
+    by a linear hash of the two modulo a prime, with the tree's own random factors, and
+    takes the smallest. So a sample depends on neither partitioning nor row order.
     """
     psi = min(subsample, n_rows)
     pool_rows = 4 * psi * n_trees
+    hashed = rows.withColumn("_hash", row_hash(F.lit(seed), *[F.col(k) for k in key]))
+    if n_rows > pool_rows:
+        # A threshold that each task applies alone leaves about pool_rows rows.
+        hashed = hashed.filter(F.col("_hash") <= f"{int(_HASH_RANGE * (pool_rows / n_rows)):0{_HEX_DIGITS}x}")
+    halves = {
+        f"_{n}": F.conv(F.substring("_hash", at, 7), 16, 10).cast("bigint") for n, at in (("high", 1), ("low", 8))
+    }
     # The pool is small and is about to grow by the number of trees, so it is spread out first.
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    pool = thinned(rows, n_rows, pool_rows, seed, list(key)).repartition(cores, *key)
-    dealt = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn(
-        "_hash", row_hash(F.lit(seed), F.col("tree_id"), *[F.col(k) for k in key])
+    pool = hashed.withColumns(halves).drop("_hash").repartition(cores, *key)
+    trees = ", ".join(
+        f"named_struct('tree_id', {t}, '_a', {a}L, '_b', {b}L)"
+        for t in range(n_trees)
+        for a, b in [tree_factors(seed, t)]
+    )
+    dealt = pool.selectExpr("*", f"inline(array({trees}))").withColumn(
+        "_order", F.expr(f"(_high * _a + _low * _b) % {_PRIME}L")
     )
-    # Only the smallest hashes can be kept, so most candidates need no ranking. The share is
-    # set for four times the sample and some more, too many for chance to fall short.
+    # Only the smallest can be kept, so most candidates need no ranking. The share is set for
+    # four times the sample and some more, too many for chance to fall short.
     share = (4 * psi + 100) / min(n_rows, pool_rows)
     if share < 0.5:
-        dealt = dealt.filter(F.col("_hash") <= _hash_limit(share))
+        dealt = dealt.filter(F.col("_order") <= int(share * _PRIME))
     # One partitioning serves the ranking and the growing of trees.
     dealt = dealt.repartition(max(1, min(n_trees, cores)), "tree_id")
-    w = Window.partitionBy("tree_id").orderBy("_hash", *key)
-    return dealt.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= psi).drop("_hash")
+    w = Window.partitionBy("tree_id").orderBy("_order", *key)
+    return (
+        dealt.withColumn("rank", F.row_number().over(w))
+        .filter(F.col("rank") <= psi)
+        .drop("_order", "_high", "_low", "_a", "_b")
+    )
 
 
 def grow_tree(tree_id: int, x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:

@@ -26,6 +26,10 @@ HEAVY_SHARE = 20_000
 HEAVY_FLOOR = 1 << 20
 
 
+def is_heavy_load(rows: int, total: int, floor: int = HEAVY_FLOOR, share: int = HEAVY_SHARE) -> bool:
+    return rows > floor and rows * share > total
+
+
 def heavy_groups(
     loads: DataFrame, keys: list[str], rows: str = "n_rows", floor: int = HEAVY_FLOOR, share: int = HEAVY_SHARE
 ) -> DataFrame:

@@ -450,13 +450,16 @@ SELECT window_start, window_start + 15000000 AS window_end, src_ip, count(DISTIN
   count(*) AS packets FROM slid GROUP BY window_start, src_ip""",
     "scaler_stats": f"WITH {_FEATURES} {_SCALER}",
     "scaled_features": f"WITH {_FEATURES} SELECT seq, {_SCALED} FROM feat",
-    "iforest_sample": f"""WITH {_PACKETS}, pool AS (
-  SELECT sensor_id, seq FROM packets
-  WHERE (SELECT count(*) FROM packets) <= 8192 OR substr(md5('42:' || sensor_id || ':' || seq), 1, 15) <= (
-    SELECT lpad(lower(to_hex(CAST(floor(1152921504606846976.0::DOUBLE * (8192.0::DOUBLE / count(*))) AS BIGINT))), 15, '0') FROM packets)), dealt AS (
-  SELECT t AS tree_id, seq, row_number() OVER (PARTITION BY t
-    ORDER BY substr(md5('42:' || t || ':' || sensor_id || ':' || seq), 1, 15), seq) AS rank
-  FROM pool, (SELECT CAST(unnest(range(8)) AS INTEGER) AS t))
+    "iforest_sample": f"""WITH {_PACKETS}, hashed AS (
+  SELECT seq, substr(md5('42:' || sensor_id || ':' || seq), 1, 15) AS h FROM packets), pool AS (
+  SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) AS hi, CAST('0x' || substr(h, 8, 7) AS BIGINT) AS lo FROM hashed
+  WHERE (SELECT count(*) FROM packets) <= 8192 OR h <= (
+    SELECT lpad(lower(to_hex(CAST(floor(1152921504606846976.0::DOUBLE * (8192.0::DOUBLE / count(*))) AS BIGINT))), 15, '0') FROM packets)), trees AS (
+  SELECT t AS tree_id, 1 + CAST('0x' || substr(md5('42:' || t), 1, 15) AS BIGINT) % 2147483646 AS a,
+    1 + CAST('0x' || substr(md5('42:' || t), 16, 15) AS BIGINT) % 2147483646 AS b
+  FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS t)), dealt AS (
+  SELECT tree_id, seq, row_number() OVER (PARTITION BY tree_id ORDER BY (hi * a + lo * b) % 2147483647, seq) AS rank
+  FROM pool, trees)
 SELECT tree_id, CAST(rank AS INTEGER) AS rank, seq FROM dealt WHERE rank <= 256""",
     "score_fixed_forest": f"WITH {_SCORED} SELECT seq, round(score, 9) AS score FROM scored",
     "contamination_offset": """SELECT round(quantile_cont(-1.0::DOUBLE / (1.0::DOUBLE + value), 0.05), 12) AS score_offset

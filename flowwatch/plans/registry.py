@@ -813,8 +813,8 @@ def autoblock_decisions(spark, sf):
 
 
 def _event_stream(spark, sf) -> DataFrame:
-    schema = fx.read_events(spark, sf).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return fx.with_k(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

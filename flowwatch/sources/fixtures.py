@@ -13,11 +13,16 @@ EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return with_k(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def with_k(events: DataFrame) -> DataFrame:
+    """Events with the number in ``props`` as ``k``, parsed once per row."""
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("k")
 
 
 def _u() -> Column:
