@@ -87,25 +87,43 @@ def sample_trees(
 
 
 def grow_tree(tree_id: int, x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes of one tree over a small sample: random feature, uniform cut, until single or deep."""
+    """Nodes of one tree over a small sample, grown a level at a time.
+
+    A node with more than one distinct row above the depth limit is cut at a uniform point
+    of a random feature that varies in it.
+    """
     nodes: list[tuple] = []
-    todo = [(0, np.arange(len(x)), 0)]
-    next_id = 1
-    while todo:
-        node, rows, depth = todo.pop()
-        part = x[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        spread = np.flatnonzero(high > low)
-        if depth >= max_depth or len(rows) <= 1 or len(spread) == 0:
-            nodes.append((tree_id, node, -1, 0.0, -1, -1, depth, len(rows)))
-            continue
-        f = int(rng.choice(spread))
-        cut = float(rng.uniform(low[f], high[f]))
-        below = part[:, f] <= cut
-        left, right = next_id, next_id + 1
-        next_id += 2
-        nodes.append((tree_id, node, f, cut, left, right, depth, len(rows)))
-        todo += [(left, rows[below], depth + 1), (right, rows[~below], depth + 1)]
+    ids, next_id = np.array([0]), 1
+    groups = np.zeros(len(x), dtype=np.int64)  # position in ids of each row's node
+    for depth in range(max_depth + 1):
+        order = np.argsort(groups, kind="stable")
+        part = x[order]
+        starts = np.searchsorted(groups[order], np.arange(len(ids)))
+        sizes = np.diff(np.append(starts, len(part)))
+        low, high = np.minimum.reduceat(part, starts), np.maximum.reduceat(part, starts)
+        varies = high > low
+        split = varies.any(axis=1) & (depth < max_depth)
+        feature = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(ids)), feature
+        # Below the maximum, so that both sides get rows.
+        cut = np.minimum(low[at] + rng.random(len(ids)) * (high[at] - low[at]), np.nextafter(high[at], low[at]))
+        child = next_id + 2 * (np.cumsum(split) - 1)
+        for i in range(len(ids)):
+            if split[i]:
+                ends = int(feature[i]), float(cut[i]), int(child[i]), int(child[i]) + 1
+            else:
+                ends = -1, 0.0, -1, -1
+            nodes.append((tree_id, int(ids[i]), *ends, depth, int(sizes[i])))
+        if not split.any():
+            break
+        node = groups[order]
+        going = split[node]
+        rows, node = part[going], node[going]
+        right = rows[np.arange(len(rows)), feature[node]] > cut[node]
+        x = rows
+        groups = 2 * (np.cumsum(split) - 1)[node] + right
+        ids = np.repeat(child[split], 2) + np.tile([0, 1], int(split.sum()))
+        next_id += len(ids)
     return nodes
 
 
