@@ -97,7 +97,8 @@ def fit(
 ) -> Model:
     """Train on a feature table that has the key columns. This runs jobs.
 
-    The result depends on the rows and the seed only, not on partitions or row order.
+    The result depends on the rows and the seed only, not on partitions or row order, but for
+    the last bits of the scaler's sums.
     """
     names = names or FEATURES
     raw = [zero_filled(F.col(n)).alias(f"x{i}") if n in features.columns else F.lit(0.0).alias(f"x{i}") for i, n in enumerate(names)]
