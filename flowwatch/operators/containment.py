@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowwatch.functions.ips import is_ip
 from flowwatch.functions.text import ban_expiry
 from flowwatch.operators.alerts import alert_id
-from flowwatch.operators.folds import KEEP, Machine, fold_commands
+from flowwatch.operators.folds import BLOCK_ROWS, KEEP, Machine, fold_commands
 from flowwatch.operators.ordered import keep_first
 
 
@@ -17,22 +17,19 @@ def latest_action(blocks: DataFrame) -> DataFrame:
 
 
 def expired_bans(blocks: DataFrame, as_of: Column) -> DataFrame:
-    """Unblock rows for bans that are an address's latest action and ended before ``as_of``."""
-    newest = Window.partitionBy("ip").orderBy(F.col("ts").desc())
-    # Rows that tie for the newest time all count as latest. The rank filter becomes a
-    # group limit below the exchange.
-    return (
-        blocks.withColumn("_rank", F.rank().over(newest))
-        .filter("_rank = 1")
-        .filter((F.col("action") == "block") & (F.col("expires_at") < as_of))
-        .select(
-            alert_id(F.col("id"), F.lit("auto-expired")).alias("id"),
-            as_of.alias("ts"),
-            "ip",
-            F.lit("unblock").alias("action"),
-            F.lit("auto-expired").alias("reason"),
-            F.lit(None).cast("timestamp").alias("expires_at"),
-        )
+    """Unblock rows for bans that are an address's latest action and ended before ``as_of``.
+
+    Rows that tie for an address's newest time all count as latest.
+    """
+    newest = blocks.groupBy("ip").agg(F.max("ts").alias("ts"))
+    ended = blocks.filter((F.col("action") == "block") & (F.col("expires_at") < as_of))
+    return ended.join(newest, ["ip", "ts"], "left_semi").select(
+        alert_id(F.col("id"), F.lit("auto-expired")).alias("id"),
+        as_of.alias("ts"),
+        "ip",
+        F.lit("unblock").alias("action"),
+        F.lit("auto-expired").alias("reason"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
     )
 
 
@@ -105,7 +102,7 @@ def _contain(state: int, op: int, seconds: int) -> tuple[int, str, int]:
 CONTAINMENT = Machine(step=_contain, entries=(NEUTRAL, TRUSTED, BLOCKED), timed=BLOCKED, after=NEUTRAL, grace=1)
 
 
-def containment_verdicts(commands: DataFrame) -> DataFrame:
+def containment_verdicts(commands: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every command with its verdict, applied per address in (ts, seq) order.
 
     Block is refused for a trusted address, trust for a blocked one; a ban ends by itself
@@ -125,6 +122,7 @@ def containment_verdicts(commands: DataFrame) -> DataFrame:
             F.coalesce(ban, F.lit(0)).alias("arg"),
         ),
         CONTAINMENT,
+        block_rows,
     ).select(
         F.col("seq"),
         F.timestamp_seconds("tick").alias("ts"),

@@ -98,8 +98,8 @@ def _port_steps(spans: DataFrame, horizon_us: int) -> DataFrame:
     Slots are as wide as the horizon. So a slot opens with the ports seen in the slot before
     it, each port of that slot falls out one horizon after its last packet there, and a port
     comes in with its first packet here, unless it has stayed in throughout. A slot needs
-    nothing but the two span rows of each port: the rows are bounded by ports and time, not
-    by packets, and no slot waits for another.
+    nothing but the two span rows of each port, and no slot waits for another. Slots in which
+    the source is silent get no rows, so one source and slot has at most three per port.
     """
     both = spans.filter("dport is not null").selectExpr(
         *SOURCE,
@@ -109,15 +109,20 @@ def _port_steps(spans: DataFrame, horizon_us: int) -> DataFrame:
             named_struct('_slot', _slot + {horizon_us}, '_gone', _last + {horizon_us + 1},
                          '_first', cast(null as bigint), '_first_seq', cast(null as bigint))))""",
     )
-    first_place = f"'ts_us', {_BEFORE_ALL}L, 'seq', {_BEFORE_ALL}L"
+    opening = f"'ts_us', {_BEFORE_ALL}L, 'seq', {_BEFORE_ALL}L"
     return (
-        both.groupBy(*SOURCE, "dport", "_slot")
+        # One partitioning serves the aggregate and the window; a source and slot has at
+        # most two rows per port.
+        both.repartition(*SOURCE, "_slot")
+        .groupBy(*SOURCE, "dport", "_slot")
         .agg(F.max("_gone").alias("_gone"), F.max("_first").alias("_first"), F.max("_first_seq").alias("_first_seq"))
+        .withColumn("_active", F.expr("max(_first) over (partition by sensor_id, src_ip, _slot)"))
+        .filter("_active is not null")
         .selectExpr(
             *SOURCE,
             "_slot",
             f"""inline(array_compact(array(
-                if(_gone is not null, named_struct({first_place}, '_w', 1L), null),
+                if(_gone is not null, named_struct({opening}, '_w', 1L), null),
                 if(_gone < _slot + {horizon_us} and coalesce(_first >= _gone, true),
                    named_struct('ts_us', _gone, 'seq', {_BEFORE_ALL}L, '_w', -1L), null),
                 if(_first is not null and coalesce(_first >= _gone, true),
@@ -146,11 +151,16 @@ def with_unique_dports(
         return _capped_unique_dports(df, horizon_us, max_rows, floor, name)
 
     spans = port_spans(df, horizon_us) if spans is None else spans
+    return _dealt_dports(df, spans, _port_steps(spans, horizon_us), horizon_us, floor, name)
+
+
+def _dealt_dports(
+    df: DataFrame, spans: DataFrame, steps: DataFrame, horizon_us: int, floor: int, name: str
+) -> DataFrame:
+    """Port counts by (source, slot). A heavy one is dealt out over several windows, each
+    with its own copy of the steps, so that no task gets all of its packets."""
     group = [*SOURCE, "_slot"]
     loads = spans.groupBy(*group).agg(F.sum("n_rows").alias("n_rows"))
-
-    # A heavy (source, slot) is dealt out over several windows, each with its own copy of
-    # the steps, so that no task gets all of its packets.
     heavy = F.broadcast(
         heavy_groups(loads, group, floor=floor).selectExpr(
             *[f"{c} as h_{c}" for c in group], f"cast(ceil(n_rows / {floor}) as int) as _salts"
@@ -168,10 +178,8 @@ def with_unique_dports(
             "1 as _kind",
         )
     )
-    steps = (
-        _port_steps(spans, horizon_us)
-        .join(heavy, is_heavy, "left")
-        .selectExpr(*group, "ts_us", "seq", "_w", "_kind", "explode(sequence(0, coalesce(_salts, 1) - 1)) as _salt")
+    copies = steps.join(heavy, is_heavy, "left").selectExpr(
+        *group, "ts_us", "seq", "_w", "_kind", "explode(sequence(0, coalesce(_salts, 1) - 1)) as _salt"
     )
     w = (
         Window.partitionBy(*group, "_salt")
@@ -179,18 +187,19 @@ def with_unique_dports(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        dealt.unionByName(steps, allowMissingColumns=True)
+        dealt.unionByName(copies, allowMissingColumns=True)
         .withColumn(name, F.sum("_w").over(w).cast("double"))
         .filter("_kind = 1")
         .select(*df.columns, name)
     )
 
 
-def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
+def _light_features(df: DataFrame, spans: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Gap and port count for packets in ordinary slots, from one exchange of the packets.
 
     Both windows live inside a (sensor, slot), so the second reuses the partitioning of the
-    first. Port steps and each slot's previous packet time come in as extra rows.
+    first. Port steps and each slot's previous packet time come in as extra rows. ``skip``
+    lists heavy slots to leave out.
     """
     slots = spans.groupBy(*SENSOR, "_slot").agg(F.max("_last").alias("_last"))
     previous = slots.selectExpr(
@@ -204,10 +213,13 @@ def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
     )
     slot = slot_of(F.col("ts_us"), HORIZON_US).alias("_slot")
     rows = df.select("*", slot, F.expr("ts_us as _seen"), F.expr("0L as _w"), F.expr("1 as _kind"))
+    marked = rows.unionByName(previous, allowMissingColumns=True).unionByName(
+        _port_steps(spans, HORIZON_US), allowMissingColumns=True
+    )
+    if skip is not None:
+        marked = marked.join(skip, F.expr(_IN_HEAVY_SLOT), "left_anti")
     return (
-        rows.unionByName(previous, allowMissingColumns=True)
-        .unionByName(_port_steps(spans, HORIZON_US), allowMissingColumns=True)
-        .selectExpr(
+        marked.selectExpr(
             *df.columns,
             "_kind",
             """last(_seen, true) over (partition by sensor_id, _slot order by ts_us, seq, _kind
@@ -224,6 +236,9 @@ def _light_features(df: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+_IN_HEAVY_SLOT = "sensor_id <=> h_sensor and _slot = h_slot"
+
+
 def _per_event(df: DataFrame, floor: int) -> DataFrame:
     """Gap and port count of every packet.
 
@@ -232,19 +247,31 @@ def _per_event(df: DataFrame, floor: int) -> DataFrame:
     be heavy, so their keys are safe to collect.
     """
     spans = materialize(port_spans(df), "spans")
-    slots = spans.groupBy(*SENSOR, "_slot").agg(F.sum("n_rows").alias("n_rows"))
-    top = slots.agg(F.max("n_rows").alias("most"), F.sum("n_rows").alias("total")).first()
+    # What a slot's window will hold: its packets, and up to three step rows per port.
+    loads = (
+        spans.selectExpr(
+            *SENSOR,
+            f"""inline(array(named_struct('_slot', _slot, 'n_rows', n_rows + 1L),
+                             named_struct('_slot', _slot + {HORIZON_US}, 'n_rows', 2L)))""",
+        )
+        .groupBy(*SENSOR, "_slot")
+        .agg(F.sum("n_rows").alias("n_rows"))
+    )
+    top = loads.agg(F.max("n_rows").alias("most"), F.sum("n_rows").alias("total")).first()
     if not is_heavy_load(top["most"] or 0, top["total"] or 0, floor):
         return _light_features(df, spans)
 
-    heavy = heavy_groups(slots, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
+    heavy = heavy_groups(loads, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
     keys = F.broadcast(df.sparkSession.createDataFrame(heavy, "h_sensor string, h_slot bigint"))
-    is_heavy = F.col("sensor_id").eqNullSafe(F.col("h_sensor")) & (
-        slot_of(F.col("ts_us"), HORIZON_US) == F.col("h_slot")
+    light = _light_features(df, spans, keys)
+    crowded = (
+        df.withColumn("_slot", slot_of(F.col("ts_us"), HORIZON_US))
+        .join(keys, F.expr(_IN_HEAVY_SLOT), "left_semi")
+        .drop("_slot")
     )
-    light = _light_features(df.join(keys, is_heavy, "left_anti"), spans)
-    crowded = with_unique_dports(df.join(keys, is_heavy, "left_semi"), floor=floor, spans=spans)
-    return light.unionByName(with_time_diff(crowded, floor=floor, basis=df).select(*light.columns))
+    steps = _port_steps(spans, HORIZON_US).join(keys, F.expr(_IN_HEAVY_SLOT), "left_semi")
+    counted = _dealt_dports(crowded, spans, steps, HORIZON_US, floor, "unique_dports_15s")
+    return light.unionByName(with_time_diff(counted, floor=floor, basis=df).select(*light.columns))
 
 
 def _capped_unique_dports(df: DataFrame, horizon_us: int, max_rows: int, floor: int, name: str) -> DataFrame:

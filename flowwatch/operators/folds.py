@@ -1,15 +1,16 @@
 """Ordered folds: a small state machine run over each key's rows in order.
 
-One key may hold much of the data, so a key is not folded in one go. Its rows are cut by
-*tick*, the time resolution at which timers run out. A fold has few states apart from
-its timer, and a timer can only end between ticks, so the work splits in three:
+One key, or one moment of it, may hold much of the data, so a key is not folded in one go.
+Its rows are cut by *tick*, the time resolution at which timers run out, and within a tick
+by blocks of sequence numbers. A fold has few states apart from its timer, and a timer can
+only end between ticks, so the work splits in three:
 
-1. per (key, tick), in parallel: where does each possible entry state lead?
-2. per key: chain those small maps over the ticks, one row per tick;
-3. per (key, tick), in parallel: replay the rows from the now known entry state.
+1. per (key, tick, block), in parallel: where does each possible entry state lead?
+2. per key: chain those small maps in order, one row per tick and block;
+3. per (key, tick, block), in parallel: replay the rows from the now known entry state.
 
-Steps 1 and 3 read sorted streams and hold one state at a time. Step 2 sees at most one
-row per key and tick, however many rows the key has.
+Steps 1 and 3 see at most ``BLOCK_ROWS`` rows per group, as sorted streams. Step 2 sees a
+key's ticks and blocks, not its rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 # seconds after the row.
 KEEP = -1
 
+BLOCK_ROWS = 1 << 20
+
+
+_GROUP = ["key", "tick", "block"]
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -52,6 +58,7 @@ def _groups(batch: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, in
 
 def _tick_maps(machine: Machine):
     step, entries = machine.step, machine.entries
+    columns = [*_GROUP, "exits", "timers"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, states, timers = None, None, None
@@ -65,7 +72,7 @@ def _tick_maps(machine: Machine):
             if batch.empty:
                 continue
             ops, args = batch["op"].to_numpy(), batch["arg"].to_numpy()
-            for here, lo, hi in _groups(batch, ["key", "tick"]):
+            for here, lo, hi in _groups(batch, _GROUP):
                 if here != key:
                     flush()
                     key, states, timers = here, list(entries), [KEEP] * len(entries)
@@ -74,10 +81,10 @@ def _tick_maps(machine: Machine):
                         states[e], _, timer = step(states[e], ops[i], args[i])
                         if timer != KEEP:
                             timers[e] = timer
-            yield pd.DataFrame(done, columns=["key", "tick", "exits", "timers"])
+            yield pd.DataFrame(done, columns=columns)
             done = []
         flush()
-        yield pd.DataFrame(done, columns=["key", "tick", "exits", "timers"])
+        yield pd.DataFrame(done, columns=columns)
 
     return run
 
@@ -105,7 +112,7 @@ def _chain(machine: Machine):
                     state = int(exits[i][e])
                     if timer != KEEP:
                         until = ticks[i] + timer + machine.grace if timer > 0 else None
-            yield pd.DataFrame({"key": batch["key"], "tick": ticks, "entry": entry})
+            yield batch[_GROUP].assign(entry=entry)
 
     return run
 
@@ -135,34 +142,33 @@ def _replay(machine: Machine):
     return run
 
 
-def fold_commands(rows: DataFrame, machine: Machine) -> DataFrame:
+def fold_commands(rows: DataFrame, machine: Machine, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``(key, tick, seq, op, arg)`` with ``state_before`` and ``verdict``; ticks are in
-    seconds."""
-    key_type = rows.schema["key"].dataType.simpleString()
-    ordered = rows.repartition("key", "tick").sortWithinPartitions("key", "tick", "seq")
-    maps = ordered.mapInPandas(
-        _tick_maps(machine), f"key {key_type}, tick bigint, exits array<int>, timers array<bigint>"
+    seconds, and rows of a tick are taken in ``seq`` order."""
+    group = f"key {rows.schema['key'].dataType.simpleString()}, tick bigint, block bigint"
+    blocked = rows.withColumn("block", F.expr(f"seq div {block_rows}"))
+    maps = (
+        blocked.repartition(*_GROUP)
+        .sortWithinPartitions(*_GROUP, "seq")
+        .mapInPandas(_tick_maps(machine), f"{group}, exits array<int>, timers array<bigint>")
     )
     entries = (
-        maps.repartition("key")
-        .sortWithinPartitions("key", "tick")
-        .mapInPandas(_chain(machine), f"key {key_type}, tick bigint, entry int")
+        maps.repartition("key").sortWithinPartitions(*_GROUP).mapInPandas(_chain(machine), f"{group}, entry int")
     )
-    # The entry state travels as the first row of its tick, so the rows need no join.
+    # The entry state travels as the first row of its group, so the rows need no join.
     openings = entries.select(
-        "key",
-        "tick",
+        *_GROUP,
         F.lit(None).cast("bigint").alias("seq"),
         F.lit(_ENTRY).alias("op"),
         F.col("entry").cast("bigint").alias("arg"),
     )
     return (
-        openings.unionByName(rows)
-        .repartition("key", "tick")
-        .sortWithinPartitions("key", "tick", F.col("seq").asc_nulls_first())
+        openings.unionByName(blocked)
+        .repartition(*_GROUP)
+        .sortWithinPartitions(*_GROUP, F.col("seq").asc_nulls_first())
         .mapInPandas(
-            _replay(machine),
-            f"key {key_type}, tick bigint, seq bigint, op int, arg bigint, state_before int, verdict string",
+            _replay(machine), f"{group}, seq bigint, op int, arg bigint, state_before int, verdict string"
         )
         .filter("seq is not null")
+        .drop("block")
     )

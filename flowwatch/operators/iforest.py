@@ -188,49 +188,70 @@ def raw_score(rows: DataFrame, forest: Forest, scaled: list[Column]) -> Column:
     return score(*scaled)
 
 
+def _running(partition: list[str], order: str) -> Window:
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _holding(counts: DataFrame, partition: list[str], order: str) -> DataFrame:
+    """Of counted buckets, those that hold the lower or upper rank; ``before`` is updated to the
+    rows ahead of the bucket."""
+    start = F.col("before") + F.sum("n").over(_running(partition, order)) - F.col("n")
+    return counts.withColumn("before", start).filter(
+        "lower between before and before + n - 1 or upper between before and before + n - 1"
+    )
+
+
 def exact_quantile(
     scores: DataFrame, q: float, column: str = "score", low: float = -1.0, high: float = 0.0, bins: int = 1 << 20
 ) -> DataFrame:
     """The q-quantile with linear interpolation, exact, as one row ``quantile``.
 
-    Values are counted in fixed bins first (a bounded table); only the bins that hold the two
-    ranks in question are then counted value by value. Values outside [low, high) share the
-    outermost bins, which is still exact.
+    Values between ``low`` and ``high`` are counted in ``bins`` equal bins, then the one or two
+    bins holding the ranks in question are cut the same way, and only what falls into their
+    cells is counted value by value. Two cuts leave a cell no wider than a few thousand
+    doubles of the score's range, so every table here is bounded. Values outside the range
+    share the outermost bins, which is still exact.
     """
+    width = (high - low) / bins
+
+    def cell(start: str, size: float) -> Column:
+        at = F.expr(f"floor((_x - ({start})) / {size!r}D)")
+        return F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("bigint")
+
     x = F.col(column)
-    binned = scores.filter(x.isNotNull() & ~F.isnan(x)).select(
-        x.alias("_x"),
-        F.least(
-            F.greatest(F.floor((x - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)
-        ).cast("bigint").alias("_bin"),
-    )
+    binned = scores.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("_x")).withColumn("_bin", cell(f"{low!r}D", width))
     counts = binned.groupBy("_bin").agg(F.count("*").alias("n"))
-    total = counts.agg((F.sum("n") - 1).alias("t")).scalar()
-    # Zero-based ranks on either side of the quantile's position.
-    place = counts.select(
+    position = F.lit(float(q)) * counts.agg((F.sum("n") - 1).alias("last")).scalar()
+    ranks = ["pos", "lower", "upper"]
+    # A window over all bins, of which there are at most ``bins``.
+    first = _holding(
+        counts.withColumns({"pos": position, "before": F.lit(0).cast("bigint")}).withColumns(
+            {"lower": F.floor("pos"), "upper": F.ceil("pos")}
+        ),
+        [],
         "_bin",
-        "n",
-        (F.sum("n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
-        (F.lit(float(q)) * total).alias("pos"),
-    ).withColumns({"lower": F.floor("pos"), "upper": F.ceil("pos")})
-
-    def holds(rank: str, before: str, n: str) -> Column:
-        return F.col(rank).between(F.col(before), F.col(before) + F.col(n) - 1)
-
-    wanted = place.filter(holds("lower", "before", "n") | holds("upper", "before", "n")).select(
-        "_bin", "before", "pos", "lower", "upper"
+    ).select("_bin", "before", *ranks)
+    # One or two rows are broadcast here and below.
+    inner = binned.join(F.broadcast(first), "_bin").withColumn(
+        "_cell", cell(f"{low!r}D + _bin * {width!r}D", width / bins)
     )
-    # At most two bins are wanted, so the broadcast is two rows.
+    cells = inner.groupBy("_bin", "_cell", "before", *ranks).agg(F.count("*").alias("n"))
+    second = _holding(cells, ["_bin"], "_cell").select("_bin", "_cell", F.col("before").alias("ahead"))
     values = (
-        binned.join(F.broadcast(wanted), "_bin").groupBy("_bin", "_x", "before", "pos", "lower", "upper").agg(F.count("*").alias("m"))
+        inner.drop("before")
+        .join(F.broadcast(second), ["_bin", "_cell"])
+        .groupBy("_bin", "_cell", "_x", F.col("ahead").alias("before"), *ranks)
+        .agg(F.count("*").alias("n"))
+    )
+    return (
+        _holding(values, ["_bin", "_cell"], "_x")
+        .agg(
+            F.max(F.expr("if(lower between before and before + n - 1, _x, null)")).alias("a"),
+            F.max(F.expr("if(upper between before and before + n - 1, _x, null)")).alias("b"),
+            F.max(F.expr("pos - lower")).alias("part"),
+        )
+        .select(F.expr("a + (b - a) * part").alias("quantile"))
     )
-    w = Window.partitionBy("_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("at", F.col("before") + F.sum("m").over(w) - F.col("m"))
-    return ranked.agg(
-        F.max(F.when(holds("lower", "at", "m"), F.col("_x"))).alias("a"),
-        F.max(F.when(holds("upper", "at", "m"), F.col("_x"))).alias("b"),
-        F.max(F.col("pos") - F.col("lower")).alias("part"),
-    ).select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
 
 
 def predict(score: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowwatch.operators.folds import KEEP, Machine, fold_commands
+from flowwatch.operators.folds import BLOCK_ROWS, KEEP, Machine, fold_commands
 
 LOCK_AFTER = 5
 LOCK_MINUTES = 15.0
@@ -26,7 +26,10 @@ def lockout_machine(lock_after: int = LOCK_AFTER, lock_seconds: int = int(LOCK_M
 
 
 def login_verdicts(
-    logins: DataFrame, lock_after: int = LOCK_AFTER, lock_minutes: float = LOCK_MINUTES
+    logins: DataFrame,
+    lock_after: int = LOCK_AFTER,
+    lock_minutes: float = LOCK_MINUTES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Login attempts ``(username, seq, ts, ok)`` with a verdict: ok, invalid or locked.
 
@@ -42,7 +45,7 @@ def login_verdicts(
         F.col("ok").cast("int").alias("op"),
         F.lit(0).cast("bigint").alias("arg"),
     )
-    return fold_commands(rows, machine).select(
+    return fold_commands(rows, machine, block_rows).select(
         F.col("key").alias("username"),
         "seq",
         F.timestamp_seconds("tick").alias("ts"),

@@ -454,7 +454,7 @@ SELECT window_start, window_start + 15000000 AS window_end, src_ip, count(DISTIN
   SELECT seq, substr(md5('42:' || sensor_id || ':' || seq), 1, 15) AS h FROM packets), pool AS (
   SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) AS hi, CAST('0x' || substr(h, 8, 7) AS BIGINT) AS lo FROM hashed
   WHERE (SELECT count(*) FROM packets) <= 8192 OR h <= (
-    SELECT lpad(lower(to_hex(CAST(floor(1152921504606846976.0::DOUBLE * (8192.0::DOUBLE / count(*))) AS BIGINT))), 15, '0') FROM packets)), trees AS (
+    SELECT lpad(lower(to_hex(CAST(floor(1152921504606846976.0::DOUBLE * least(1.0, 8192.0::DOUBLE / count(*))) AS BIGINT))), 15, '0') FROM packets)), trees AS (
   SELECT t AS tree_id, 1 + CAST('0x' || substr(md5('42:' || t), 1, 15) AS BIGINT) % 2147483646 AS a,
     1 + CAST('0x' || substr(md5('42:' || t), 16, 15) AS BIGINT) % 2147483646 AS b
   FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS t)), dealt AS (

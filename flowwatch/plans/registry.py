@@ -41,6 +41,7 @@ FOREST_PARAMS = md.Params(n_estimators=100)
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         share_package(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

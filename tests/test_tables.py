@@ -175,7 +175,7 @@ def test_containment_against_brute_force(spark, seed):
         rows.append((q, when, ip, rng.choice(["block", "unblock", "trust", "untrust"]), rng.choice([None, 1, 2])))
     data = [(q, t, ip, c, None if m is None else str(m), "") for q, t, ip, c, m in rows]
     schema = "seq long, ts timestamp, ip string, command string, minutes string, reason string"
-    got = ct.containment_verdicts(spark.createDataFrame(data, schema).repartition(6)).collect()
+    got = ct.containment_verdicts(spark.createDataFrame(data, schema).repartition(6), block_rows=4).collect()
     assert {r["seq"]: r["verdict"] for r in got} == contain(rows)
 
 
@@ -204,7 +204,7 @@ def test_lockout_against_brute_force(spark, after, minutes):
         for q in range(1500)
     ]
     df = spark.createDataFrame(rows, "username string, seq long, ts timestamp, ok boolean")
-    got = lk.login_verdicts(df.repartition(5), after, minutes).collect()
+    got = lk.login_verdicts(df.repartition(5), after, minutes, block_rows=3).collect()
     assert {r["seq"]: r["verdict"] for r in got} == lock(rows, after, minutes)
 
 
