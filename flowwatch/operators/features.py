@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowwatch.functions.ports import is_ephemeral
-from flowwatch.operators.ordered import HEAVY_FLOOR, heavy_groups, is_heavy_load, ordered_scan, slot_of
+from flowwatch.operators.ordered import HEAVY_FLOOR, heavy_groups, in_heavy, ordered_scan, slot_of
 from flowwatch.schemas import FEATURES
 from flowwatch.session import materialize
 
@@ -79,13 +79,18 @@ def port_spans(packets: DataFrame, horizon_us: int = HORIZON_US) -> DataFrame:
     )
     return (
         packets.groupBy(*SOURCE, "dport", slot_of(F.col("ts_us"), horizon_us).alias("_slot"))
-        .agg(F.min(place).alias("_place"), F.max("ts_us").alias("_last"), F.count("*").alias("n_rows"))
+        .agg(
+            F.min("ts_us").alias("_first"),
+            F.min(place).alias("_place"),
+            F.max("ts_us").alias("_last"),
+            F.count("*").alias("n_rows"),
+        )
         .selectExpr(
             *SOURCE,
             "dport",
             "_slot",
-            f"_slot + cast(floor(_place / {_SEQ_RANGE}BD) as bigint) as _first",
-            f"cast(_place % {_SEQ_RANGE}BD as bigint) as _first_seq",
+            "_first",
+            f"cast(_place - cast(_first - _slot as decimal(18,0)) * {_SEQ_RANGE}BD as bigint) as _first_seq",
             "_last",
             "n_rows",
         )
@@ -150,7 +155,7 @@ def with_unique_dports(
     if max_rows is not None:
         return _capped_unique_dports(df, horizon_us, max_rows, floor, name)
 
-    spans = port_spans(df, horizon_us) if spans is None else spans
+    spans = materialize(port_spans(df, horizon_us), "spans") if spans is None else spans
     return _dealt_dports(df, spans, _port_steps(spans, horizon_us), horizon_us, floor, name)
 
 
@@ -160,27 +165,20 @@ def _dealt_dports(
     """Port counts by (source, slot). A heavy one is dealt out over several windows, each
     with its own copy of the steps, so that no task gets all of its packets."""
     group = [*SOURCE, "_slot"]
-    loads = spans.groupBy(*group).agg(F.sum("n_rows").alias("n_rows"))
-    heavy = F.broadcast(
-        heavy_groups(loads, group, floor=floor).selectExpr(
-            *[f"{c} as h_{c}" for c in group], f"cast(ceil(n_rows / {floor}) as int) as _salts"
+    heavy = heavy_groups(spans.groupBy(*group).agg(F.sum("n_rows").alias("n_rows")), group, floor=floor)
+    rows = df.withColumn("_slot", slot_of(F.col("ts_us"), horizon_us))
+    packet = ["0L as _w", "1 as _kind"]
+    if heavy is None:
+        dealt = rows.selectExpr("*", "0 as _salt", *packet)
+        copies = steps.withColumn("_salt", F.lit(0))
+    else:
+        salts = f"coalesce(cast(ceil(h_rows / {floor}) as int), 1)"
+        dealt = rows.join(heavy, in_heavy(group), "left").selectExpr(
+            *rows.columns, f"cast(pmod(xxhash64(seq), {salts}) as int) as _salt", *packet
         )
-    )
-    is_heavy = F.expr(" and ".join(f"{c} <=> h_{c}" for c in group))
-    dealt = (
-        df.withColumn("_slot", slot_of(F.col("ts_us"), horizon_us))
-        .join(heavy, is_heavy, "left")
-        .selectExpr(
-            *df.columns,
-            "_slot",
-            "cast(pmod(xxhash64(seq), coalesce(_salts, 1)) as int) as _salt",
-            "0L as _w",
-            "1 as _kind",
+        copies = steps.join(heavy, in_heavy(group), "left").selectExpr(
+            *steps.columns, f"explode(sequence(0, {salts} - 1)) as _salt"
         )
-    )
-    copies = steps.join(heavy, is_heavy, "left").selectExpr(
-        *group, "ts_us", "seq", "_w", "_kind", "explode(sequence(0, coalesce(_salts, 1) - 1)) as _salt"
-    )
     w = (
         Window.partitionBy(*group, "_salt")
         .orderBy("ts_us", "seq", "_kind")
@@ -217,7 +215,7 @@ def _light_features(df: DataFrame, spans: DataFrame, skip: DataFrame | None = No
         _port_steps(spans, HORIZON_US), allowMissingColumns=True
     )
     if skip is not None:
-        marked = marked.join(skip, F.expr(_IN_HEAVY_SLOT), "left_anti")
+        marked = marked.join(skip, in_heavy([*SENSOR, "_slot"]), "left_anti")
     return (
         marked.selectExpr(
             *df.columns,
@@ -236,15 +234,11 @@ def _light_features(df: DataFrame, spans: DataFrame, skip: DataFrame | None = No
     )
 
 
-_IN_HEAVY_SLOT = "sensor_id <=> h_sensor and _slot = h_slot"
-
-
 def _per_event(df: DataFrame, floor: int) -> DataFrame:
     """Gap and port count of every packet.
 
     The span summary is written once to the shared folder: it tells whether slots are heavy,
-    and every later step reads it instead of the packets. At most ``HEAVY_SHARE`` slots can
-    be heavy, so their keys are safe to collect.
+    and every later step reads it instead of the packets.
     """
     spans = materialize(port_spans(df), "spans")
     # What a slot's window will hold: its packets, and up to three step rows per port.
@@ -257,19 +251,16 @@ def _per_event(df: DataFrame, floor: int) -> DataFrame:
         .groupBy(*SENSOR, "_slot")
         .agg(F.sum("n_rows").alias("n_rows"))
     )
-    top = loads.agg(F.max("n_rows").alias("most"), F.sum("n_rows").alias("total")).first()
-    if not is_heavy_load(top["most"] or 0, top["total"] or 0, floor):
-        return _light_features(df, spans)
-
-    heavy = heavy_groups(loads, [*SENSOR, "_slot"], floor=floor).drop("n_rows").collect()
-    keys = F.broadcast(df.sparkSession.createDataFrame(heavy, "h_sensor string, h_slot bigint"))
-    light = _light_features(df, spans, keys)
-    crowded = (
-        df.withColumn("_slot", slot_of(F.col("ts_us"), HORIZON_US))
-        .join(keys, F.expr(_IN_HEAVY_SLOT), "left_semi")
-        .drop("_slot")
-    )
-    steps = _port_steps(spans, HORIZON_US).join(keys, F.expr(_IN_HEAVY_SLOT), "left_semi")
+    heavy = heavy_groups(loads, [*SENSOR, "_slot"], floor=floor)
+    light = _light_features(df, spans, heavy)
+    if heavy is None:
+        return light
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.join(heavy, in_heavy([*SENSOR, "_slot"]), "left_semi")
+
+    crowded = inside(df.withColumn("_slot", slot_of(F.col("ts_us"), HORIZON_US))).drop("_slot")
+    steps = inside(_port_steps(spans, HORIZON_US))
     counted = _dealt_dports(crowded, spans, steps, HORIZON_US, floor, "unique_dports_15s")
     return light.unionByName(with_time_diff(counted, floor=floor, basis=df).select(*light.columns))
 
@@ -324,7 +315,7 @@ def _capped_unique_dports(df: DataFrame, horizon_us: int, max_rows: int, floor:
     )
     ticks = rows.select("sensor_id", "ts_us", "seq", F.lit(1).alias("_weight"))
     counted = ordered_scan(
-        probes.unionByName(ticks, allowMissingColumns=True), SENSOR, weight=F.col("_weight"), floor=floor
+        probes.unionByName(ticks, allowMissingColumns=True), SENSOR, weight="_weight", floor=floor
     ).filter("_weight = 0")
     closes = counted.select(
         *SOURCE,

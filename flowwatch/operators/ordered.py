@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowwatch.session import materialize
+
 SLOT_US = 15_000_000
 PIECE_ROWS = 1 << 20
 
@@ -26,16 +28,25 @@ HEAVY_SHARE = 20_000
 HEAVY_FLOOR = 1 << 20
 
 
-def is_heavy_load(rows: int, total: int, floor: int = HEAVY_FLOOR, share: int = HEAVY_SHARE) -> bool:
-    return rows > floor and rows * share > total
-
-
 def heavy_groups(
     loads: DataFrame, keys: list[str], rows: str = "n_rows", floor: int = HEAVY_FLOOR, share: int = HEAVY_SHARE
-) -> DataFrame:
-    """Keys and row counts of the heavy groups, given one row per group."""
-    total = loads.agg(F.sum(rows).alias("total")).scalar()
-    return loads.filter(F.col(rows) > floor).filter(F.col(rows) * share > total).select(*keys, rows)
+) -> DataFrame | None:
+    """Keys (as ``h_<key>``) and ``h_rows`` of the heavy groups, ready to broadcast; None if no
+    group is heavy, as is usual. ``loads`` has one row per group and should be written or
+    cheap, since this looks at it at once."""
+    top = loads.agg(F.max(rows).alias("most"), F.sum(rows).alias("total")).first()
+    least = max(floor, (top["total"] or 0) // share)
+    if (top["most"] or 0) <= least:
+        return None
+    found = loads.filter(F.col(rows) > least).select(
+        *[F.col(k).alias(f"h_{k}") for k in keys], F.col(rows).alias("h_rows")
+    )
+    # At most ``share`` rows.
+    return F.broadcast(loads.sparkSession.createDataFrame(found.collect(), found.schema))
+
+
+def in_heavy(keys: list[str]) -> Column:
+    return F.expr(" and ".join(f"{k} <=> h_{k}" for k in keys))
 
 
 def same(left: str, right: str, keys: list[str]) -> Column:
@@ -56,70 +67,52 @@ def ordered_scan(
     keys: list[str],
     ts: str = "ts_us",
     seq: str = "seq",
-    weight: Column | None = None,
+    weight: str = "1L",
     slot_us: int = SLOT_US,
     floor: int = HEAVY_FLOOR,
     piece_rows: int = PIECE_ROWS,
     basis: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prev_ts`` (time of the row before, per key) and ``running`` (sum of weights
-    up to and including the row) in (ts, seq) order. The default weight is 1.
+    up to and including the row) in (ts, seq) order.
 
-    ``basis`` is the same rows before costly columns were added; the summaries are read
-    from it, so that the columns are computed once.
+    ``basis`` is the table the rows were made from or are a part of; the summaries are read
+    from it, so that costly columns are computed once. The slot summary is written at once.
     """
-    weight = F.lit(1) if weight is None else weight
     group = [*keys, "_slot"]
 
     def slotted(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_w", weight.cast("bigint")).withColumn("_slot", slot_of(F.col(ts), slot_us))
+        return rows.withColumns({"_w": F.expr(weight).cast("bigint"), "_slot": slot_of(F.col(ts), slot_us)})
 
     rows = slotted(df)
     thin = slotted(df if basis is None else basis)
-    slots = thin.groupBy(*group).agg(
-        F.count("*").alias("n_rows"), F.sum("_w").alias("_sum"), F.max(ts).alias("_last")
+    slots = materialize(
+        thin.groupBy(*group).agg(F.count("*").alias("n_rows"), F.sum("_w").alias("_sum"), F.max(ts).alias("_last")),
+        "slots",
     )
-    heavy = heavy_groups(slots, group, floor=floor).select(*[F.col(c).alias(f"h_{c}") for c in group])
-    is_heavy = F.lit(True)
-    for c in group:
-        is_heavy = is_heavy & F.col(c).eqNullSafe(F.col(f"h_{c}"))
-
     # One row per slot: bounded by the time the data spans, not by its volume.
     over_key = Window.partitionBy(*keys).orderBy("_slot")
+    ahead = F.sum("_sum").over(over_key.rowsBetween(Window.unboundedPreceding, -1))
     starts = slots.select(
-        *group,
-        F.lag("_last").over(over_key).alias("_prev"),
-        (F.coalesce(F.sum("_sum").over(over_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_base"),
+        *group, F.lag("_last").over(over_key).alias("_prev"), F.coalesce(ahead, F.lit(0)).alias("_base")
     )
-    light_pieces = starts.join(F.broadcast(heavy), is_heavy, "left_anti").select(
-        *keys, F.col("_slot").alias("_piece_ts"), F.lit(-1).cast("bigint").alias("_piece_no"), "_prev", "_base"
-    )
-
-    # Pieces of heavy slots: at most one per microsecond of the slot and PIECE_ROWS rows.
-    piece_no = F.expr(f"{seq} div {piece_rows}")
-    inside = (
-        thin.join(F.broadcast(heavy), is_heavy, "left_semi")
-        .groupBy(*group, F.col(ts).alias("_piece_ts"), piece_no.alias("_piece_no"))
-        .agg(F.sum("_w").alias("_sum"))
-    )
-    over_slot = Window.partitionBy(*group).orderBy("_piece_ts", "_piece_no")
-    heavy_pieces = (
-        inside.withColumn("_in_prev", F.lag("_piece_ts").over(over_slot))
-        .withColumn(
-            "_in_base", F.coalesce(F.sum("_sum").over(over_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heavy = heavy_groups(slots, group, floor=floor)
+    whole_slot = {"_piece_ts": F.col("_slot"), "_piece_no": F.lit(-1).cast("bigint")}
+    pieces = starts.withColumns(whole_slot)
+    marked = rows.withColumns(whole_slot)
+    if heavy is not None:
+        piece = {"_piece_ts": F.col(ts), "_piece_no": F.expr(f"{seq} div {piece_rows}")}
+        inside = thin.join(heavy, in_heavy(group), "left_semi").withColumns(piece)
+        pieces = (
+            pieces.join(heavy, in_heavy(group), "left_anti")
+            .unionByName(_pieces_inside(inside, starts, group))
         )
-        .alias("p")
-        .join(starts.alias("s"), same("p", "s", group), "inner")
-        .select(
-            *[F.col(f"p.{k}").alias(k) for k in keys],
-            F.col("p._piece_ts").alias("_piece_ts"),
-            F.col("p._piece_no").alias("_piece_no"),
-            F.coalesce("p._in_prev", "s._prev").alias("_prev"),
-            (F.col("s._base") + F.col("p._in_base")).alias("_base"),
+        hot = F.col("h__slot").isNotNull()
+        marked = rows.join(heavy, in_heavy(group), "left").select(
+            *rows.columns, *[F.when(hot, v).otherwise(whole_slot[n]).alias(n) for n, v in piece.items()]
         )
-    )
 
-    openings = light_pieces.unionByName(heavy_pieces).select(
+    openings = pieces.select(
         *keys,
         "_piece_ts",
         "_piece_no",
@@ -128,19 +121,41 @@ def ordered_scan(
         F.col("_base").alias("_w"),
         F.lit(0).alias("_kind"),
     )
-    marked = rows.join(F.broadcast(heavy.withColumn("_hot", F.lit(True))), is_heavy, "left").select(
-        *[c for c in rows.columns if c != "_slot"],
-        F.when(F.col("_hot"), F.col(ts)).otherwise(F.col("_slot")).alias("_piece_ts"),
-        F.when(F.col("_hot"), piece_no).otherwise(F.lit(-1)).cast("bigint").alias("_piece_no"),
-        F.lit(1).alias("_kind"),
-    )
     in_piece = Window.partitionBy(*keys, "_piece_ts", "_piece_no").orderBy("_kind", ts, seq)
     return (
-        marked.unionByName(openings, allowMissingColumns=True)
-        .withColumn("prev_ts", F.lag(ts).over(in_piece))
-        .withColumn("running", F.sum("_w").over(in_piece.rowsBetween(Window.unboundedPreceding, 0)))
+        marked.withColumn("_kind", F.lit(1))
+        .unionByName(openings, allowMissingColumns=True)
+        .withColumns(
+            {
+                "prev_ts": F.lag(ts).over(in_piece),
+                "running": F.sum("_w").over(in_piece.rowsBetween(Window.unboundedPreceding, 0)),
+            }
+        )
         .filter("_kind = 1")
-        .drop("_w", "_kind", "_piece_ts", "_piece_no")
+        .select(*df.columns, "prev_ts", "running")
+    )
+
+
+def _pieces_inside(rows: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
+    """Start states of the pieces of heavy slots, at most one per microsecond of the slot and
+    ``PIECE_ROWS`` rows."""
+    over_slot = Window.partitionBy(*group).orderBy("_piece_ts", "_piece_no")
+    ahead = F.sum("_sum").over(over_slot.rowsBetween(Window.unboundedPreceding, -1))
+    inside = (
+        rows.groupBy(*group, "_piece_ts", "_piece_no")
+        .agg(F.sum("_w").alias("_sum"))
+        .withColumns({"_in_prev": F.lag("_piece_ts").over(over_slot), "_in_base": F.coalesce(ahead, F.lit(0))})
+    )
+    return (
+        inside.alias("p")
+        .join(starts.alias("s"), same("p", "s", group))
+        .select(
+            *[F.col(f"p.{c}").alias(c) for c in group],
+            F.coalesce("p._in_prev", "s._prev").alias("_prev"),
+            (F.col("s._base") + F.col("p._in_base")).alias("_base"),
+            "p._piece_ts",
+            "p._piece_no",
+        )
     )
 
 
