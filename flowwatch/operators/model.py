@@ -145,8 +145,10 @@ def load(spark: SparkSession, path: str) -> Model:
     def part(name: str) -> pd.DataFrame | None:
         try:
             return spark.read.parquet(f"{path}/{name}").toPandas()
-        except AnalysisException:
-            return None
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
     nodes, scaler, meta = part("nodes"), part("scaler"), part("meta")
     if nodes is None and scaler is None and meta is None:

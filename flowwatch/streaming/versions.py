@@ -12,11 +12,16 @@ from pyspark.sql.types import StructType
 
 
 def before(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
-    """The version the previous micro-batch left; empty for the first."""
+    """The version the previous micro-batch left; empty if it left none."""
+    empty = spark.createDataFrame([], schema)
+    if batch_id == 0:
+        return empty
     try:
         return spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return empty
+        raise
 
 
 def leave(table: DataFrame, path: str, batch_id: int) -> DataFrame:
