@@ -420,18 +420,25 @@ def value_entropy(df: DataFrame, column: str, by: list[str] | None = None) -> Da
     return counts.groupBy(*by).agg(F.coalesce(F.greatest(bits, F.lit(0.0)), F.lit(0.0)).alias("entropy"))
 
 
-def scan_windows(
-    df: DataFrame, width: str = "15 seconds", slide: str = "5 seconds", approximate: bool = False
-) -> DataFrame:
-    """Distinct ports per source in sliding windows; also valid on a watermarked stream."""
-    ports = F.approx_count_distinct("dport") if approximate else F.size(F.collect_set("dport"))
+def scan_windows(df: DataFrame, width_us: int = 15_000_000, slide_us: int = 5_000_000) -> DataFrame:
+    """Distinct ports and packets per source in sliding windows.
+
+    Packets are counted per port and slide first, so only counts are copied to the windows
+    they belong to, and ports are told apart by grouping, not by collecting sets.
+    """
+    if width_us % slide_us:
+        raise ValueError("the width must be a multiple of the slide")
+    slide = slot_of(F.col("ts_us"), slide_us)
+    counts = df.groupBy("src_ip", "dport", slide.alias("_slide")).agg(F.count("*").alias("n"))
     return (
-        df.withColumn("event_time", F.timestamp_micros("ts_us"))
-        .groupBy(F.window("event_time", width, slide), "src_ip")
-        .agg(ports.cast("bigint").alias("unique_dports"), F.count("*").alias("packets"))
+        counts.withColumn("_start", F.explode(F.expr(f"sequence(_slide - {width_us - slide_us}L, _slide, {slide_us}L)")))
+        .groupBy("_start", "src_ip", "dport")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("_start", "src_ip")
+        .agg(F.count("dport").alias("unique_dports"), F.sum("n").alias("packets"))
         .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
+            F.timestamp_micros("_start").alias("window_start"),
+            F.timestamp_micros(F.col("_start") + width_us).alias("window_end"),
             "src_ip",
             "unique_dports",
             "packets",

@@ -255,6 +255,7 @@ SELECT CASE severity WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' ELSE
     "feat_direction": f"WITH {_FEATURES} SELECT seq, direction FROM feat",
     "feature_vector": f"WITH {_FEATURES} SELECT seq, {_VECTOR} AS features FROM feat",
     "features_per_event": f"WITH {_FEATURES} SELECT seq, {_FEATURE_LIST} FROM feat",
+    "features_empty": f"WITH {_FEATURES} SELECT seq, {_FEATURE_LIST} FROM feat WHERE protocol = 1",
     "features_batch_reference": f"""WITH {_FEATURES}, counts AS (
   SELECT src_ip, count(DISTINCT dport) AS n FROM packets
   WHERE ts_us >= (SELECT max(ts_us) - 15000000 FROM packets) GROUP BY src_ip), batch AS (

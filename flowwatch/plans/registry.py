@@ -204,6 +204,12 @@ def features_per_event(spark, sf):
     return _engineered(spark, sf).select(*_feature_columns())
 
 
+@query
+def features_empty(spark, sf):
+    """No packet is ICMP, so the features of the ICMP packets are an empty table."""
+    return ft.engineer(_packets(spark, sf).filter("protocol = 1"), LOCAL).select(*_feature_columns())
+
+
 @query
 def features_batch_reference(spark, sf):
     return ft.engineer(_packets(spark, sf), LOCAL, mode="batch_reference").select(*_feature_columns())
