@@ -30,6 +30,7 @@ BLOCK_ROWS = 1 << 20
 
 
 _GROUP = ["key", "tick", "block"]
+_KNOWN_LIMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -61,29 +62,37 @@ def _tick_maps(machine: Machine):
     columns = [*_GROUP, "exits", "timers"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, states, timers = None, None, None
+        # What a command does to all entry states at once recurs all the time.
+        known: dict[tuple, tuple] = {}
+
+        def advance(states: tuple, op: int, arg: int) -> tuple:
+            if (states, op, arg) not in known:
+                if len(known) >= _KNOWN_LIMIT:
+                    known.clear()
+                results = [step(s, op, arg) for s in states]
+                timers = tuple((e, r[2]) for e, r in enumerate(results) if r[2] != KEEP)
+                known[states, op, arg] = tuple(r[0] for r in results), timers
+            return known[states, op, arg]
+
+        key, states, timers = None, entries, []
         done: list[tuple] = []
-
-        def flush():
-            if key is not None:
-                done.append((*key, list(states), list(timers)))
-
         for batch in batches:
             if batch.empty:
                 continue
-            ops, args = batch["op"].to_numpy(), batch["arg"].to_numpy()
+            ops, args = batch["op"].tolist(), batch["arg"].tolist()
             for here, lo, hi in _groups(batch, _GROUP):
                 if here != key:
-                    flush()
-                    key, states, timers = here, list(entries), [KEEP] * len(entries)
+                    if key is not None:
+                        done.append((*key, states, timers))
+                    key, states, timers = here, entries, [KEEP] * len(entries)
                 for i in range(lo, hi):
-                    for e in range(len(entries)):
-                        states[e], _, timer = step(states[e], ops[i], args[i])
-                        if timer != KEEP:
-                            timers[e] = timer
+                    states, changed = advance(states, ops[i], args[i])
+                    for e, timer in changed:
+                        timers[e] = timer
             yield pd.DataFrame(done, columns=columns)
             done = []
-        flush()
+        if key is not None:
+            done.append((*key, states, timers))
         yield pd.DataFrame(done, columns=columns)
 
     return run

@@ -158,8 +158,9 @@ class Forest:
         self.feature = np.where(leaf, 0, nodes["feature_idx"].to_numpy()).astype(np.int32)
         self.cut = np.where(leaf, np.inf, nodes["cut"].to_numpy())
         # A leaf leads to itself, so every walk takes the same number of steps.
-        self.left = np.where(leaf, here, nodes["left"].to_numpy() + offset).astype(np.int32)
-        self.right = np.where(leaf, here, nodes["right"].to_numpy() + offset).astype(np.int32)
+        left = np.where(leaf, here, nodes["left"].to_numpy() + offset)
+        right = np.where(leaf, here, nodes["right"].to_numpy() + offset)
+        self.children = np.column_stack([left, right]).ravel().astype(np.int32)
         self.path = nodes["depth"].to_numpy() + average_path(nodes["n"].to_numpy())
         self.steps = int(nodes["depth"].max()) if len(nodes) else 0
         self.norm = max(float(average_path(subsample)), 1e-12)
@@ -172,7 +173,8 @@ class Forest:
         for root in self.roots:
             at = np.full(len(x), root, dtype=np.int32)
             for _ in range(self.steps):
-                at = np.where(flat[row + self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+                above = flat[row + self.feature[at]] > self.cut[at]
+                at = self.children[2 * at + above]
             total += self.path[at]
         return -np.exp2(-total / len(self.roots) / self.norm)
 
