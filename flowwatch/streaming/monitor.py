@@ -72,7 +72,10 @@ class Monitor:
         passed = sg.rate_limited(both.select(*columns), self.settings.dedup_seconds).select(*columns)
         newest = Window.partitionBy("rule", "src_ip", "dest_ip").orderBy(F.col("ts_us").desc(), F.col("seq").desc())
         ranked = passed.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
-        versions.leave(ranked.select(*columns), path, batch_id)
+        # A hit older than the limit holds nothing back any more.
+        reach = int(self.settings.dedup_seconds * 1e6) + 1_000_000 + self.lateness_us
+        recent = rows.agg((F.max("ts_us") - reach).alias("recent")).scalar()
+        versions.leave(ranked.filter(F.col("ts_us") >= recent).select(*columns), path, batch_id)
         return passed.join(carried.select("sensor_id", "seq", "rule"), ["sensor_id", "seq", "rule"], "left_anti")
 
     def __call__(self, packets: DataFrame, batch_id: int) -> None:

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+KEPT = 10
+
 
 def before(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
     """The version the previous micro-batch left; empty if it left none."""
@@ -25,10 +27,14 @@ def before(spark: SparkSession, path: str, batch_id: int, schema: StructType) ->
 
 
 def leave(table: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Write this micro-batch's version and read it back."""
+    """Write this micro-batch's version and read it back. Versions no batch can need again go."""
+    spark = table.sparkSession
     here = f"{path}/version={batch_id}"
     table.write.mode("overwrite").parquet(here)
-    return table.sparkSession.read.schema(table.schema).parquet(here)
+    if batch_id >= KEPT:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - KEPT}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(table.schema).parquet(here)
 
 
 def add(rows: DataFrame, path: str, batch_id: int) -> DataFrame:

@@ -165,3 +165,13 @@ def test_scan_summary(spark, packets, tmp_path):
     exact = ft.scan_windows(packets).select("window_start", "src_ip", "packets")
     final = got.groupBy("window_start", "src_ip").agg(F.max("packets").alias("packets"))
     assert rows(final) == rows(exact)
+
+
+def test_old_versions_go(spark, tmp_path):
+    table = spark.range(3)
+    for i in range(versions.KEPT + 2):
+        versions.leave(table, str(tmp_path / "t"), i)
+    left = sorted(int(n.split("=")[1]) for n in os.listdir(tmp_path / "t"))
+    assert left == list(range(2, versions.KEPT + 2))
+    assert versions.before(spark, str(tmp_path / "t"), versions.KEPT + 2, table.schema).count() == 3
+    assert versions.before(spark, str(tmp_path / "none"), 5, table.schema).count() == 0
