@@ -8,7 +8,8 @@ diagonal over the actual words, which removes hash collisions and finds the exac
 A null or wordless text or item matches nothing. An item of fewer words than ``span`` is one window
 of its own length. A null item id is shown as the empty string; rows that repeat an id are one
 item. Documents are known by the content of their text, so repeated rows and null ids get the same
-answer as any other row, and other columns of either table never meet.
+answer as any other row. Other columns of the documents pass through; one that is named like the
+added ``overlap`` is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowwatch.llm import words as wd
-from flowwatch.llm.tables import n_alnum_words, text_key
+from flowwatch.llm.tables import fresh, n_alnum_words, text_key
 from flowwatch.session import materialize
 
 SPAN = 13
@@ -164,17 +165,17 @@ def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     It holds n_words, n_hit, spans, items and contaminated: some word is hit, and at least one in
     ``share`` of all words.
     """
-    found = materialize(matches(docs, items, text, item_id, item_text, span), "found").select(
-        F.col("text_key").alias("_key"), F.struct("n_hit", "spans", "items").alias("_found")
-    )
-    n_hit = F.coalesce(F.col("_found.n_hit"), F.lit(0).cast("long"))
+    _key, _words, _found = fresh(docs, "_key", "_words", "_found")
+    found = materialize(matches(docs, items, text, item_id, item_text, span), "found")
+    found = found.select(F.col("text_key").alias(_key), F.struct("n_hit", "spans", "items").alias(_found))
+    n_words, n_hit = F.col(_words), F.coalesce(F.col(f"{_found}.n_hit"), F.lit(0).cast("long"))
     overlap = F.struct(
-        F.col("_words").alias("n_words"),
+        n_words.alias("n_words"),
         n_hit.alias("n_hit"),
-        F.col("_found.spans").alias("spans"),
-        F.coalesce(F.col("_found.items"), F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (n_hit * share >= F.col("_words"))).alias("contaminated"),
+        F.col(f"{_found}.spans").alias("spans"),
+        F.coalesce(F.col(f"{_found}.items"), F.array().cast("array<string>")).alias("items"),
+        ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"),
     )
     # Counted before the join, so that a caller who drops the text does not shuffle it.
-    keyed = docs.withColumns({"_key": text_key(F.col(text)), "_words": n_alnum_words(F.col(text))})
-    return keyed.join(found, "_key", "left").withColumn("overlap", overlap).drop("_key", "_words", "_found")
+    keyed = docs.withColumns({_key: text_key(F.col(text)), _words: n_alnum_words(F.col(text))})
+    return keyed.join(found, _key, "left").withColumn("overlap", overlap).drop(_key, _words, _found)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowwatch.llm import decontaminate, jaccard_join
+from flowwatch.llm import decontaminate, jaccard_join, line_frequency, line_templates, sharding, url_filter
 from flowwatch.llm.tables import read
 from flowwatch.session import share_package
 
@@ -43,3 +43,51 @@ def op3_jaccard_join(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     joined = jaccard_join.join(docs, n=3, percent=90)
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+#: Host, path and verdict of each rule.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op2_url_filter(spark, sf):
+    """Listed are the addresses that two or more pages claim."""
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    address = url_filter.canonical(F.col("url"))
+    listed = pages.groupBy(address.alias("a")).agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).where("a is not null and n > 1")
+    judged = url_filter.judge(pages, rules, listed)
+    return judged.select("page_id", "url_filter.host", "url_filter.path", "url_filter.rule", "url_filter.verdict", "url_filter.listed")
+
+
+@query
+def op5_sharding(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    return sharding.shard(docs, 8).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+@query
+def op7_line_frequency(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    judged = line_frequency.judge(docs)
+    return judged.select(
+        "doc_id", "base.n_words", "base.word_chars", "base.n_symbols", "base.n_dup_lines", "base.n_repeat_words",
+        F.col("base.failed").alias("base_failed"), "lines.kept", "lines.n_removed_words",
+    )
+
+
+@query
+def op9_line_templates(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    cleaned = line_templates.dedup_lines(docs)
+    return cleaned.select(
+        "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.size("line_dedup.templates").cast("long").alias("n_templates"), F.md5("text").alias("text_md5")
+    )

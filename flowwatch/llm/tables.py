@@ -28,3 +28,15 @@ def n_alnum_words(text: Column) -> Column:
 def parts_for(spark: SparkSession, rows: int, each: int) -> int:
     """How many parts of about ``each`` rows: at least Spark's own number of shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that the rows do not have yet."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
