@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowwatch.llm.tables import fresh, lower_ascii, text_key
+from flowwatch.llm.tables import fresh, held, lower_ascii, text_key
 from flowwatch.session import materialize
 
 MAX_WORDS = 25
@@ -41,13 +41,15 @@ def _normal(line: Column) -> Column:
 
 def base_rules(docs: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
     """The documents with a struct of counts and the verdict ``failed``; no shuffle."""
+    docs = docs.drop(out)
     w, h, s, p = fresh(docs, "_w", "_h", "_s", "_p")
     t = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn(w, _words(t))
+    with_words = held(docs, w, _words(t))
     # Hashes of three-word windows, in order of hash and place, so that equal ones stand together.
-    hashed = with_words.withColumn(h, F.expr(f"if(size({w}) < 3, array(), transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2])))"))
-    placed = hashed.withColumn(s, F.expr(f"if(size(array_distinct({h})) = size({h}), array(), sort_array(transform({h}, (x, i) -> struct(x as x, i as i))))"))
-    twice = placed.withColumn(
+    hashed = held(with_words, h, F.expr(f"if(size({w}) < 3, array(), transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2])))"))
+    placed = held(hashed, s, F.expr(f"if(size(array_distinct({h})) = size({h}), array(), sort_array(transform({h}, (x, i) -> struct(x as x, i as i))))"))
+    twice = held(
+        placed,
         p,
         F.expr(
             f"sort_array(transform(filter({s}, (e, j) -> (j > 0 and {s}[j - 1].x = e.x) or (j < size({s}) - 1 and {s}[j + 1].x = e.x)), e -> e.i))"
@@ -64,7 +66,7 @@ def base_rules(docs: DataFrame, text: str = "text", out: str = "base") -> DataFr
         n_repeat.cast("long").alias("n_repeat_words"),
         ((n_words < 50) | (n_repeat * 100 > n_words * 50)).alias("failed"),
     )
-    return twice.withColumn(out, base).drop(w, h, s, p)
+    return held(twice, out, base).drop(w, h, s, p)
 
 
 def _host(host: str) -> Column:
@@ -76,7 +78,7 @@ def _short_lines(docs: DataFrame, host: str, text: str, max_words: int) -> DataF
     lines = docs.where(F.col(text).isNotNull()).select(
         _host(host).alias("host"), text_key(F.col(text)).alias("text_key"), F.posexplode(_lines(F.col(text))).alias("place", "line")
     )
-    counted = lines.withColumn("words", F.size(_words(F.col("line")))).where((F.col("words") > 0) & (F.col("words") <= max_words))
+    counted = held(lines, "words", F.size(_words(F.col("line")))).where((F.col("words") > 0) & (F.col("words") <= max_words))
     return counted.withColumn("line", F.xxhash64(_normal(F.col("line"))))
 
 

@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from flowwatch.llm import decontaminate, jaccard_join, line_frequency, line_templates, sharding, url_filter
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from flowwatch.llm import (
+    decontaminate,
+    jaccard_join,
+    licences,
+    line_frequency,
+    line_templates,
+    lm_score,
+    pieces,
+    quality_classifier,
+    sharding,
+    url_filter,
+)
 from flowwatch.llm.tables import read
 from flowwatch.session import share_package
 
@@ -91,3 +102,52 @@ def op9_line_templates(spark, sf):
     return cleaned.select(
         "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.size("line_dedup.templates").cast("long").alias("n_templates"), F.md5("text").alias("text_md5")
     )
+
+
+@query
+def op4_licences(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = licences.label(docs, licences.TEMPLATES)
+    return found.select(
+        "doc_id",
+        F.size("licences.matches").cast("long").alias("n_matches"),
+        F.concat_ws(",", "licences.names").alias("licences"),
+        F.col("licences.best.licence").alias("best"),
+        F.col("licences.best.dice").alias("best_dice"),
+    )
+
+
+@query
+def op6_lm_score(spark, sf):
+    """The target are the documents labelled as of good quality."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    target = read(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(docs, target).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_pieces(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    tripped = pieces.round_trip(docs)
+    return tripped.select(
+        "doc_id",
+        F.size("pieces.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces.ids").alias("ids_hash"),
+        F.md5("pieces.decoded").alias("decoded_md5"),
+        "pieces.lossless",
+    )
+
+
+def held_out(key: Column) -> Column:
+    """One in four documents, on which scores can be checked."""
+    return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+
+
+@query
+def op10_quality_classifier(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labels = read(spark, sf, "labels").select("doc_id", "quality")
+    scored = quality_classifier.classify(docs, labels, learn=~held_out(F.col("doc_id")))
+    return scored.select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )

@@ -40,3 +40,12 @@ def fresh(rows: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A filter on a plain column is moved below it with the column's expression in its place, also into
+    lambdas, where it would then be computed for each element. No filter moves below a generator.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))

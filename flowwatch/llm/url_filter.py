@@ -82,14 +82,15 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     table = spark.sparkContext.broadcast(bloom.build(entries, "hash", most_blocks))
 
     target = F.col(url)
-    keys = F.concat(_rule_keys(host_of(target), path_of(target), lengths), F.array(F.concat(F.lit("\n"), canonical(target))))
-    asked = pages.where(F.instr(target, "://") > 0).select(target.alias("url"), F.explode(keys).alias("entry"))
-    asked = asked.withColumn("hash", F.xxhash64("entry")).select("url", "entry", "hash")
+    one = F.col("url")
+    keys = F.concat(_rule_keys(host_of(one), path_of(one), lengths), F.array(F.concat(F.lit("\n"), canonical(one))))
+    asked = pages.select(target.alias("url")).where(F.instr(one, "://") > 0).select("url", F.explode(keys).alias("entry"))
+    asked = asked.withColumn("hash", F.xxhash64("entry"))
     passed = asked.mapInArrow(_passing(table), "url string, entry string, hash long").distinct()
     exact = passed.join(entries, ["hash", "entry"])
-    order = F.struct(F.length("rule.rule"), F.col("rule.host_size"), F.col("rule.rule"), F.col("rule.verdict"))
+    order = F.struct(F.length("rule.rule").alias("size"), "rule.host_size", "rule.rule", "rule.verdict")
     by_url = exact.groupBy("url").agg(F.max(F.when(F.col("rule").isNotNull(), order)).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
-    by_url = materialize(by_url.select("url", F.col("best.col3").alias("rule"), F.col("best.col4").alias("verdict"), "listed"), "url-found")
+    by_url = materialize(by_url.select("url", "best.rule", "best.verdict", "listed"), "url-found")
     named = by_url.select(F.col("url").alias(u), F.struct("rule", "verdict", "listed").alias(found))
     on_list = F.coalesce(F.col(f"{found}.listed"), F.lit(False))
     verdict = F.coalesce(F.col(f"{found}.verdict"), F.when(on_list, "block").otherwise("allow"))
