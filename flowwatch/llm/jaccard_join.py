@@ -64,17 +64,16 @@ def _sketches(n: int, percent: int):
 
     def run(batches):
         for b in wd.slices(batches, "text"):
-            ids, sizes, shown = [None] * b.num_rows, [0] * b.num_rows, [[]] * b.num_rows
+            ids, sizes, shown = [None] * b.num_rows, [0] * b.num_rows, [np.empty(0, np.int64)] * b.num_rows
             for i, s in _sorted_sets(wd.cut(b.column("text")), n):
                 p = len(s) - _least(len(s), percent) + 1
                 total = wd.mix(s.view(np.uint64)).sum(dtype=np.uint64)
                 ids[i] = int(wd.mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
                 sizes[i], shown[i] = len(s), s[: 2 * p - 1]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
-                 wd.lists(np.concatenate([np.empty(0, np.int64), *shown]).astype(np.int64), np.array([len(x) for x in shown], np.int64), pa.int64())],
+                [b.column("id"), b.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), wd.long_lists(shown)],
                 names=["id", "text_key", "set_id", "size", "shown"],
-            )
+            )
 
     return run
 
@@ -87,10 +86,8 @@ def _whole_sets(n: int):
                 rows.append(i)
                 sets.append(s)
             yield pa.RecordBatch.from_arrays(
-                [b.column("set_id").take(pa.array(rows, pa.int64())),
-                 wd.lists(np.concatenate([np.empty(0, np.int64), *sets]).astype(np.int64), np.array([len(x) for x in sets], np.int64), pa.int64())],
-                names=["set_id", "shingles"],
-            )
+                [b.column("set_id").take(pa.array(rows, pa.int64())), wd.long_lists(sets)], names=["set_id", "shingles"]
+            )
 
     return run
 
@@ -100,7 +97,7 @@ def _merge(batches):
     for b in batches:
         out: tuple[list, list] = ([], [])
         for query, need, lists in zip(b.column("set_id").to_pylist(), b.column("need").to_pylist(), b.column("lists")):
-            runs = [list(zip(x["set_id"], x["need"])) for x in (pd_list(y) for y in lists.values)]
+            runs = [list(zip(x["set_id"], x["need"])) for x in (_fields(y) for y in lists.values)]
             for (other, theirs), same in groupby(heapq.merge(*runs)):
                 if sum(1 for _ in same) >= min(need, theirs):
                     out[0].append(min(query, other))
@@ -108,7 +105,7 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
 
-def pd_list(entries: pa.Scalar) -> dict[str, list]:
+def _fields(entries: pa.Scalar) -> dict[str, list]:
     """The fields of one list of (set_id, size, need)."""
     values = entries.values
     return {f: values.field(f).to_pylist() for f in ("set_id", "need")}
@@ -177,12 +174,12 @@ class _Block:
 def _join_blocks(percent: int):
     """Links between two blocks, or inside one: a spanning forest and each set's linked copies."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         stored, asked = group[group["stored"]], group[~group["stored"]]
-        within = asked.empty
+        within = key[:2] == key[2:]
         asked = stored if within else asked
         out: dict[str, list] = {"a": [], "b": [], "copies": []}
-        if stored.empty:
+        if stored.empty or asked.empty:
             return pd.DataFrame(out).astype("int64")
         block = _Block([np.asarray(s) for s in stored["shingles"]])
         ids, copies = stored["set_id"].to_numpy(), stored["copies"].to_numpy()

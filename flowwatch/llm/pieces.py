@@ -30,7 +30,7 @@ from flowwatch.llm.tables import fresh
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(r" *[^ ]+| +")
 _CACHE_EDGES = 1 << 20
-_G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_G1, _G2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
 
 class Vocabulary:
@@ -127,7 +127,8 @@ class Lattices:
 
 def _draws(row: np.ndarray, chunk: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on row, chunk and step alone."""
-    return (wd.mix(row + chunk.astype(np.uint64) * _G1 + np.uint64(step) * _G2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    at = row + chunk.astype(np.uint64) * _G1 + np.uint64(step * _G2 % (1 << 64))
+    return (wd.mix(at) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def sample(texts: list[str], rows: np.ndarray, lattices: Lattices) -> list[np.ndarray]:

@@ -157,3 +157,10 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     """An Arrow list column from flat values and the length of each list."""
     at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values, kind))
+
+
+def long_lists(found: list[np.ndarray]) -> pa.Array:
+    """An Arrow column of lists of 64-bit integers."""
+    if any(x.dtype != np.int64 for x in found):
+        raise TypeError("64-bit integers only: others would lose digits")
+    return lists(np.concatenate([np.empty(0, np.int64), *found]), np.array([len(x) for x in found], np.int64), pa.int64())
