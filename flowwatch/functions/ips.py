@@ -8,15 +8,15 @@ from pyspark.sql import Column, functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DOTTED = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-_V4 = rf"^{_DOTTED}$"
+_V4 = rf"\A{_DOTTED}\z"
 _H = r"[0-9a-fA-F]{1,4}"
 _SCOPE = r"(?:%[^%/]+)?"
 # Eight groups, or fewer around one "::"; the last two may be written as a dotted address.
 _V6 = (
-    rf"^(?:(?:{_H}:){{7}}{_H}"
+    rf"\A(?:(?:{_H}:){{7}}{_H}"
     rf"|(?!(?::*{_H}\b){{8}})(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?"
     rf"|(?:{_H}:){{6}}{_DOTTED}"
-    rf"|(?!(?::*{_H}:){{6}})(?:{_H}(?::{_H})*)?::(?:{_H}:)*{_DOTTED}){_SCOPE}$"
+    rf"|(?!(?::*{_H}:){{6}})(?:{_H}(?::{_H})*)?::(?:{_H}:)*{_DOTTED}){_SCOPE}\z"
 )
 _MAPPED = "0" * 20 + "ffff"
 
@@ -166,12 +166,12 @@ def ip_class(ip: Column) -> Column:
     )
 
 
-def cidr_hosts(cidr: Column, limit: int = 256) -> Column:
-    """Host addresses of an IPv4 network or single address, lowest first, at most ``limit``.
+def cidr_hosts(cidr: Column, limit: int | None = None) -> Column:
+    """Host addresses of an IPv4 network or single address, lowest first, at most ``limit`` if given.
 
     Network and broadcast addresses are left out, except in /31 (both are hosts)
     and /32 (the address itself). Host bits in the text are ignored. Bad text
-    gives NULL, which ``explode`` drops. The limit is part of the scan feature.
+    gives NULL, which ``explode`` drops.
     """
     address = F.substring_index(cidr, "/", 1)
     length = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(32)
@@ -181,6 +181,7 @@ def cidr_hosts(cidr: Column, limit: int = 256) -> Column:
     last = first + span - 1
     inner = length <= 30
     low = F.when(inner, first + 1).otherwise(first)
-    high = F.least(F.when(inner, last - 1).otherwise(last), low + (limit - 1))
+    high = F.when(inner, last - 1).otherwise(last)
+    high = high if limit is None else F.least(high, low + (limit - 1))
     hosts = F.transform(F.sequence(low, high), long_to_ipv4)
     return F.when(number.isNotNull() & length.between(0, 32), hosts)

@@ -26,10 +26,11 @@ def ports_to_csv(ports: Column) -> Column:
     return F.coalesce(F.array_join(ports, ","), F.lit(""))
 
 
-def csv_to_ports(text: Column, limit: int = MAX_PORTS) -> Column:
-    """The first ``limit`` ports of a comma list; entries that are not integers are dropped."""
+def csv_to_ports(text: Column, limit: int | None = None) -> Column:
+    """The ports of a comma list, the first ``limit`` if given; entries that are not integers are dropped."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p).try_cast("int"))
-    return F.slice(F.filter(parts, lambda p: p.isNotNull()), 1, limit)
+    kept = F.filter(parts, lambda p: p.isNotNull())
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def is_ephemeral(sport: Column) -> Column:

@@ -106,10 +106,18 @@ def containment_verdicts(commands: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     """Every command with its verdict, applied per address in (ts, seq) order.
 
     Block is refused for a trusted address, trust for a blocked one; a ban ends by itself
-    at its expiry. Blank addresses are refused, and malformed ones cannot be trusted.
+    at its expiry. Blank addresses are refused, malformed ones cannot be trusted, and a command
+    that is unknown or missing, or has no time, changes nothing. A missing ``seq`` comes first
+    in its second.
     """
     cleaned = commands.withColumn("ip", F.trim(F.coalesce("ip", F.lit(""))))
-    refused = F.when(F.col("ip") == "", "ip_required").when((F.col("command") == "trust") & ~is_ip(F.col("ip")), "bad_ip")
+    known = F.coalesce(F.col("command").isin(_OPS), F.lit(False))
+    refused = (
+        F.when(F.col("ip") == "", "ip_required")
+        .when(~known, "bad_command")
+        .when(F.col("ts").isNull(), "bad_time")
+        .when((F.col("command") == "trust") & ~is_ip(F.col("ip")), "bad_ip")
+    )
     judged = cleaned.withColumn("_refused", refused)
     names = F.array(*[F.lit(o) for o in _OPS])
     ban = F.unix_seconds(ban_expiry(F.col("ts"), F.coalesce("minutes", F.lit("")))) - F.unix_seconds("ts")

@@ -65,9 +65,15 @@ def merge_devices(current: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def rename_devices(current: DataFrame, names: DataFrame) -> DataFrame:
-    """New names (ip, name) for devices that exist; others are ignored. Empty names change nothing."""
-    n = names.filter(F.coalesce("name", F.lit("")) != "").groupBy("ip").agg(F.max("name").alias("_name"))
+def rename_devices(current: DataFrame, names: DataFrame, order: str | None = None) -> DataFrame:
+    """New names (ip, name) for devices that exist; others are ignored. Empty names change nothing.
+
+    Of several names for a device the last by the column ``order`` counts; without such a column
+    the names have no order, and the greatest counts.
+    """
+    last = F.struct(F.col(order), F.col("name")) if order else F.struct("name")
+    given = names.filter(F.coalesce("name", F.lit("")) != "").groupBy("ip").agg(F.max(last).alias("_last"))
+    n = given.select("ip", F.col("_last.name").alias("_name"))
     return (
         current.join(n, "ip", "left")
         .withColumn("name", F.coalesce("_name", "name"))
@@ -91,11 +97,13 @@ def merge_scan(current: DataFrame, services: DataFrame, as_of: Column) -> DataFr
     )
 
 
-def newest_devices(devices: DataFrame, limit: int = 200) -> DataFrame:
-    return devices.orderBy(F.col("last_seen").desc(), F.col("ip")).limit(limit)
+def newest_devices(devices: DataFrame, limit: int | None = None) -> DataFrame:
+    ordered = devices.orderBy(F.col("last_seen").desc(), F.col("ip"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def scan_targets(devices: DataFrame, limit: int = 1000) -> DataFrame:
-    """Private and loopback addresses among the ``limit`` devices seen last."""
+def scan_targets(devices: DataFrame, limit: int | None = None) -> DataFrame:
+    """Private and loopback addresses of the devices, or of the ``limit`` seen last."""
     ip = F.col("ip")
-    return newest_devices(devices, limit).filter(is_private(ip) | is_loopback(ip)).select("ip").distinct()
+    chosen = devices if limit is None else newest_devices(devices, limit)
+    return chosen.filter(is_private(ip) | is_loopback(ip)).select("ip").distinct()

@@ -126,36 +126,33 @@ def _chain(machine: Machine):
     return run
 
 
-# Marks the row that carries a tick's entry state into the replay.
-_ENTRY = -1
-
-
 def _replay(machine: Machine):
     step = machine.step
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = machine.after
         for batch in batches:
-            ops, args = batch["op"].to_numpy(), batch["arg"].to_numpy()
+            ops, args, opens = batch["op"].to_numpy(), batch["arg"].to_numpy(), batch["opens"].to_numpy()
             verdicts = np.empty(len(batch), dtype=object)
             before = np.empty(len(batch), dtype=np.int32)
             for i in range(len(batch)):
-                if ops[i] == _ENTRY:
+                if opens[i]:
                     state = args[i]
                     continue
                 before[i] = state
                 state, verdicts[i], _ = step(state, ops[i], args[i])
             batch["state_before"], batch["verdict"] = before, verdicts
-            yield batch[ops != _ENTRY]
+            yield batch[~opens]
 
     return run
 
 
 def fold_commands(rows: DataFrame, machine: Machine, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows ``(key, tick, seq, op, arg)`` with ``state_before`` and ``verdict``; ticks are in
-    seconds, and rows of a tick are taken in ``seq`` order."""
+    seconds, and rows of a tick are taken in ``seq`` order, those without one first."""
     group = f"key {rows.schema['key'].dataType.simpleString()}, tick bigint, block bigint"
-    blocked = rows.withColumn("block", F.expr(f"seq div {block_rows}"))
+    # A missing number comes first in its tick; the row itself keeps its null.
+    blocked = rows.withColumn("block", F.coalesce(F.expr(f"seq div {block_rows}"), F.lit(-(1 << 62))))
     maps = (
         blocked.repartition(*_GROUP)
         .sortWithinPartitions(*_GROUP, "seq")
@@ -168,16 +165,16 @@ def fold_commands(rows: DataFrame, machine: Machine, block_rows: int = BLOCK_ROW
     openings = entries.select(
         *_GROUP,
         F.lit(None).cast("bigint").alias("seq"),
-        F.lit(_ENTRY).alias("op"),
+        F.lit(0).alias("op"),
         F.col("entry").cast("bigint").alias("arg"),
+        F.lit(True).alias("opens"),
     )
     return (
-        openings.unionByName(blocked)
+        openings.unionByName(blocked.withColumn("opens", F.lit(False)))
         .repartition(*_GROUP)
-        .sortWithinPartitions(*_GROUP, F.col("seq").asc_nulls_first())
+        .sortWithinPartitions(*_GROUP, F.col("opens").desc(), F.col("seq").asc_nulls_first())
         .mapInPandas(
-            _replay(machine), f"{group}, seq bigint, op int, arg bigint, state_before int, verdict string"
+            _replay(machine), f"{group}, seq bigint, op int, arg bigint, opens boolean, state_before int, verdict string"
         )
-        .filter("seq is not null")
-        .drop("block")
+        .drop("block", "opens")
     )

@@ -111,13 +111,15 @@ def export_rows(logs: DataFrame) -> DataFrame:
     return logs.select(*[iso_utc(F.col(c)).alias(c) if c == "ts" else F.col(c) for c in LOG_COLUMNS])
 
 
-def stats_snapshot(alerts: DataFrame, blocks: DataFrame, cap: int = 200) -> DataFrame:
-    """Alert and block counts in one row, as shown (never above ``cap``) and in full."""
+def stats_snapshot(alerts: DataFrame, blocks: DataFrame, cap: int | None = None) -> DataFrame:
+    """Alert and block counts in one row; with ``cap`` also as shown, never above it."""
     n = (
         alerts.select(F.lit(1).alias("a"), F.lit(0).alias("b"))
         .unionByName(blocks.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
         .agg(F.coalesce(F.sum("a"), F.lit(0)).alias("alerts"), F.coalesce(F.sum("b"), F.lit(0)).alias("blocks"))
     )
+    if cap is None:
+        return n
     return n.select(
         F.least("alerts", F.lit(cap)).cast("bigint").alias(f"alerts_{cap}"),
         F.least("blocks", F.lit(cap)).cast("bigint").alias(f"blocks_{cap}"),
@@ -155,7 +157,7 @@ def alert_rates(alerts: DataFrame, unit: str = "hour") -> DataFrame:
     )
 
 
-def latest_feed(rows: DataFrame, limit: int = 200, order: str = "arrival") -> DataFrame:
+def latest_feed(rows: DataFrame, limit: int | None = None, order: str = "arrival") -> DataFrame:
     """The live view: each (id, type) once, as last received, newest arrivals first."""
-    last = keep_first(rows, ["id", "type"], [F.col(order).desc()])
-    return last.orderBy(F.col(order).desc()).limit(limit)
+    last = keep_first(rows, ["id", "type"], [F.col(order).desc()]).orderBy(F.col(order).desc())
+    return last if limit is None else last.limit(limit)

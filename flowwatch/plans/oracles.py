@@ -341,9 +341,9 @@ SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
 SELECT md5('cap0:' || seq || ':' || rule) AS id, {_iso("make_timestamp(ts_us)")} AS ts, src_ip,
   rule || ' ' || dest_ip || ':' || dport AS label, upper(rule_severity) AS severity, 'SIGNATURE' AS kind FROM hits""",
     "expired_bans": f"""WITH {_EV}, {_USER_BLOCKS}
-SELECT md5(id || ':auto-expired') AS id, ip, 'unblock' AS action, 'auto-expired' AS reason FROM blocks b
-WHERE action = 'block' AND expires_at < {AS_OF}
-  AND NOT EXISTS (SELECT 1 FROM blocks b2 WHERE b2.ip = b.ip AND b2.ts > b.ts)""",
+SELECT md5(id || ':auto-expired') AS id, ip, 'unblock' AS action, 'auto-expired' AS reason
+FROM (SELECT *, max(ts) OVER (PARTITION BY ip) AS newest FROM blocks)
+WHERE action = 'block' AND expires_at < {AS_OF} AND ts = newest""",
     "blocks_with_trust": f"""WITH {_EV}, {_BLOCKS}, {_TRUSTED}
 SELECT id, ip, action, ip IN (SELECT ip FROM trusted) AS trusted FROM blocks""",
     "block_candidates": f"""WITH {_EV}, {_BLOCKS}, {_TRUSTED}
@@ -494,8 +494,6 @@ SELECT tree_id, n AS root_rows, CAST(n AS BIGINT) AS leaf_rows, 1::BIGINT AS ext
     "predict_shuffled_columns": "SELECT event_id AS seq, true AS same FROM events",
 }
 
-_LIVE_BLOCKED = """NOT EXISTS (SELECT 1 FROM blocks b2 WHERE b2.ip = b.ip AND (b2.ts, b2.id) > (b.ts, b.id))"""
-
 # Streams must give what their batch twins give.
 SQL |= {
     "live_features": SQL["features_per_event"],
@@ -509,8 +507,9 @@ SELECT * FROM ({SQL["signature_alerts"]})""",
 SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
     "live_lockout": f"""WITH RECURSIVE {_EV}, {_LOGINS} SELECT username, seq, verdict FROM fold WHERE rn > 0""",
     "live_ban_expiry": f"""WITH {_EV}, {_USER_BLOCKS}
-SELECT ip, {_iso("expires_at")} AS ts, 'unblock' AS action, 'auto-expired' AS reason FROM blocks b
-WHERE action = 'block' AND expires_at < (SELECT max(ts) FROM blocks) AND {_LIVE_BLOCKED}""",
+SELECT ip, {_iso("expires_at")} AS ts, 'unblock' AS action, 'auto-expired' AS reason
+FROM (SELECT *, lead(ts) OVER (PARTITION BY ip ORDER BY ts, id) AS replaced, max(ts) OVER () AS now FROM blocks)
+WHERE action = 'block' AND expires_at < coalesce(replaced, now)""",
     "live_feed": f"""WITH {_EV}, {_ALERTS}, {_BLOCKS}
 SELECT 'alert' AS event, id, {_iso("ts")} AS ts FROM alerts UNION ALL SELECT 'block', id, {_iso("ts")} FROM blocks""",
     "live_view": f"""WITH {_LOGS} SELECT id, {_iso("ts")} AS ts, ip, type, label, severity, kind, arrival FROM (

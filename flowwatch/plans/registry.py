@@ -351,14 +351,14 @@ def ip_class(spark, sf):
 def cidr_hosts(spark, sf):
     cidr = F.concat(fx.dest_ip(), F.lit("/"), (F.lit(22) + fx._k() % 11).cast("string"))
     nets = _events(spark, sf).select(cidr.alias("cidr")).distinct()
-    return nets.select("cidr", F.explode(ips.cidr_hosts(F.col("cidr"))).alias("host"))
+    return nets.select("cidr", F.explode(ips.cidr_hosts(F.col("cidr"), 256)).alias("host"))
 
 
 @query
 def ports_csv(spark, sf):
     sets = _packets(spark, sf).groupBy("src_ip").agg(F.array_sort(F.collect_set("dport")).alias("p"))
     csv = ports.ports_to_csv(F.col("p"))
-    back = ports.csv_to_ports(csv)
+    back = ports.csv_to_ports(csv, ports.MAX_PORTS)
     return sets.select("src_ip", csv.alias("csv"), F.size(back).alias("n_first"), ports.ports_to_csv(back).alias("first"))
 
 
@@ -541,7 +541,7 @@ def port_entropy(spark, sf):
 @query
 def stats_snapshot(spark, sf):
     e = _events(spark, sf)
-    return lg.stats_snapshot(fx.alerts(e), fx.blocks(e))
+    return lg.stats_snapshot(fx.alerts(e), fx.blocks(e), 200)
 
 
 def _devices(spark, sf, packets: DataFrame | None = None) -> DataFrame:
@@ -649,7 +649,7 @@ def latest_feed(spark, sf):
     again = first.filter("severity = 'HIGH'").withColumns(
         {"severity": F.lit("MEDIUM"), "arrival": F.col("arrival") + 100}
     )
-    return lg.latest_feed(first.unionByName(again)).withColumns(_iso("ts"))
+    return lg.latest_feed(first.unionByName(again), 200).withColumns(_iso("ts"))
 
 
 # --- windows -----------------------------------------------------------------------------
@@ -677,7 +677,7 @@ def arrival_index(spark, sf):
 
 @query
 def retrain_points(spark, sf):
-    return train.retrain_points(_packets(spark, sf)).select("seq", "arrival_index", "window_rows")
+    return train.retrain_points(_packets(spark, sf), 100, 500).select("seq", "arrival_index", "window_rows")
 
 
 @query
@@ -819,9 +819,20 @@ def autoblock_decisions(spark, sf):
 # --- streams over the same tables --------------------------------------------------------
 
 
+MICRO_BATCHES = 4
+
+
 def _event_stream(spark, sf) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return fx.with_k(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
+    """The events as a stream of a few micro-batches in time order, so that state is carried between them."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    out = _scratch(spark, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(MICRO_BATCHES if first is not None else 0):
+        since, until = (first + (last - first) * k / MICRO_BATCHES for k in (i, i + 1))
+        part = events.filter((F.col("ts") >= F.lit(since)) & ((F.col("ts") < F.lit(until)) | F.lit(i + 1 == MICRO_BATCHES)))
+        # One file each: the source takes files, not folders, in order.
+        part.coalesce(1).write.mode("append").parquet(out)
+    return fx.with_k(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out))
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -911,7 +922,7 @@ def live_view(spark, sf):
     e = _event_stream(spark, sf)
     logs = lg.log_events(fx.alerts(e), fx.blocks(e)).withColumn("arrival", F.substring("id", 2, 20).cast("bigint"))
     out = _scratch(spark, "view")
-    update = feeds.latest_view(out, logs.schema)
+    update = feeds.latest_view(out, logs.schema, 200)
     logs.writeStream.foreachBatch(update).option("checkpointLocation", f"{out}-check").trigger(
         availableNow=True
     ).start().awaitTermination()

@@ -17,21 +17,24 @@ def train_on_packets(
     return fit(engineer(packets, local_ips, mode=mode), params, **fit_args)
 
 
-def newest_window(rolling: DataFrame, rows: int = 500) -> DataFrame:
-    """The last ``rows`` engineered packets, the set an online retrain uses."""
-    return rolling.orderBy(F.col("ts_us").desc(), F.col("seq").desc()).limit(rows)
+def newest_window(rolling: DataFrame, span_us: int | None = None) -> DataFrame:
+    """Each sensor's engineered packets of the last ``span_us`` of its own clock; by default all."""
+    if span_us is None:
+        return rolling
+    newest = rolling.groupBy("sensor_id").agg(F.max("ts_us").alias("_newest"))
+    return rolling.join(newest, "sensor_id").filter(F.col("ts_us") > F.col("_newest") - span_us).drop("_newest")
 
 
-def retrain(rolling: DataFrame, params: Params = Params(), rows: int = 500, **fit_args) -> Model | None:
+def retrain(rolling: DataFrame, params: Params = Params(), span_us: int | None = None, **fit_args) -> Model | None:
     """A model of the newest window, or None while the window is too small."""
-    window = newest_window(rolling, rows)
+    window = newest_window(rolling, span_us)
     if window.count() < MIN_RETRAIN_ROWS:
         return None
     return fit(window, params, **fit_args)
 
 
-def retrain_points(packets: DataFrame, every: int = 100, window_rows: int = 500) -> DataFrame:
-    """Packets after which an online retrain falls due."""
+def retrain_points(packets: DataFrame, every: int, window_rows: int) -> DataFrame:
+    """Packets of each sensor after which an online retrain over its last rows falls due."""
     filled = F.least(F.col("arrival_index"), F.lit(window_rows))
     return with_arrival_index(packets).filter(
         (F.col("arrival_index") % every == 0) & (filled >= MIN_RETRAIN_ROWS)

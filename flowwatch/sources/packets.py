@@ -12,8 +12,13 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.format(fmt).schema(PACKET).load(path)
 
 
-def read_packet_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 1) -> DataFrame:
-    return spark.readStream.format(fmt).schema(PACKET).option("maxFilesPerTrigger", max_files).load(path)
+def read_packet_stream(
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None
+) -> DataFrame:
+    reader = spark.readStream.format(fmt).schema(PACKET)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path)
 
 
 def _settle(raw: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def _settle(raw: DataFrame) -> DataFrame:
         F.coalesce("src", F.lit("")).alias("src_ip"),
         F.coalesce("dst", F.lit("")).alias("dest_ip"),
         F.coalesce("proto", F.lit("0")).try_cast("int").alias("protocol"),
-        text_as_int(F.col("length")).cast("int").alias("packet_size"),
+        text_as_int(F.col("length")).try_cast("int").alias("packet_size"),
         port("sport").alias("sport"),
         port("dport").alias("dport"),
     )
@@ -42,6 +47,7 @@ def _readable():
     return (
         F.col("ts_us").isNotNull()
         & F.col("protocol").isNotNull()
+        & F.col("packet_size").isNotNull()
         & F.col("sport").isNotNull()
         & F.col("dport").isNotNull()
     )

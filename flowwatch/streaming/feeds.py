@@ -24,7 +24,7 @@ def event_feed(alerts: DataFrame, blocks: DataFrame, delay: str = "10 minutes")
     return both.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event", "id"])
 
 
-def latest_view(path: str, schema: StructType, limit: int = 200):
+def latest_view(path: str, schema: StructType, limit: int):
     """A ``foreachBatch`` function that keeps the newest ``limit`` rows by (id, type).
 
     Rows need an ``arrival`` column. Each micro-batch leaves a version of the view.

@@ -1,8 +1,10 @@
 """Streams with a little state per key: signature limits, login lockout, ban expiry.
 
-A key's rows reach its function as an iterator of Arrow batches and meet a state of a few
-numbers, so no group is ever held. Rows of one micro-batch are taken in (time, seq) order;
-across micro-batches the order is that of arrival.
+A key's rows reach its function as Arrow batches, cut anywhere, and meet a state of a few numbers.
+Rows of one micro-batch are taken in (time, seq) order: where the order matters, the few numbers of
+each of the key's rows in the micro-batch are brought together first, so a key's share of one
+micro-batch must fit a task (``maxFilesPerTrigger`` bounds it). Across micro-batches the order is
+that of arrival.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -67,18 +68,17 @@ def lockout_stream(
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, until = state.get if state.exists else (machine.after, 0)
-        for b in batches:
-            b = b.sort_values(["tick", "seq"])
-            verdicts = []
-            for tick, ok in zip(b["tick"], b["ok"]):
-                if at == machine.timed and until <= tick:
-                    at = machine.after
-                at, verdict, timer = machine.step(at, int(ok), 0)
-                if timer != KEEP:
-                    until = int(tick) + timer
-                verdicts.append(verdict)
-            yield pd.DataFrame({"username": b["username"], "seq": b["seq"], "verdict": verdicts})
+        b = pd.concat([x[["tick", "seq", "ok"]] for x in batches]).sort_values(["tick", "seq"])
+        verdicts = []
+        for tick, ok in zip(b["tick"], b["ok"]):
+            if at == machine.timed and until <= tick:
+                at = machine.after
+            at, verdict, timer = machine.step(at, int(ok), 0)
+            if timer != KEEP:
+                until = int(tick) + timer
+            verdicts.append(verdict)
         state.update((int(at), int(until)))
+        yield pd.DataFrame({"username": key[0], "seq": b["seq"].to_numpy(), "verdict": verdicts})
 
     return rows.groupBy("username").applyInPandasWithState(
         step,
@@ -90,41 +90,47 @@ def lockout_stream(
 
 
 def ban_expiry_stream(blocks: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """An unblock row per temporary ban, once event time has passed its end.
+    """An unblock row for each temporary ban that reached its end, at that end.
 
-    ``blocks`` has (ip, ts, id, action, expires_at). The ban in force is the latest row's; a
-    later block or unblock of the address replaces it.
+    ``blocks`` has (ip, ts, id, action, expires_at). The ban in force is that of the latest row by
+    (ts, id), whatever micro-batch brought it. A later block or unblock of the address
+    replaces it, if it comes before the end; otherwise the ban has ended by then. A ban whose end no later
+    row shows ends by a timer, once event time has passed it. A row that comes after a newer one
+    of its address changes nothing.
     """
     rows = blocks.withWatermark("ts", delay).select(
         "ip", "ts", "id", (F.col("action") == "block").alias("block"), "expires_at"
     )
 
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
+        newest, last_id, ends = state.get if state.exists else (-1, "", 0)
+        ended = []
         if state.hasTimedOut:
-            newest, ends = state.get
-            out.append((key[0], pd.Timestamp(ends, unit="us"), "unblock", "auto-expired"))
-            state.remove()
+            ended.append(ends)
+            ends = 0
         else:
-            newest, ends = state.get if state.exists else (-1, 0)
-            for b in batches:
-                stamps = b["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-                i = int(np.lexsort((b["id"].to_numpy().astype(str), stamps))[-1])
-                if stamps[i] >= newest:
-                    newest, end = int(stamps[i]), b["expires_at"].iloc[i]
-                    ban = bool(b["block"].iloc[i]) and not pd.isna(end)
-                    ends = int(end.value // 1000) if ban else 0
-            state.update((newest, ends))
-            if ends > 0:
-                # A ban ends after its last second; a timer cannot lie behind the watermark.
-                due = max(ends // 1000 + 1, state.getCurrentWatermarkMs() + 1)
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["ip", "ts", "action", "reason"])
+            b = pd.concat(list(batches))
+            at = b["ts"].astype("datetime64[us]").astype("int64")
+            until = b["expires_at"].astype("datetime64[us]")
+            until = until.astype("int64").where(b["block"] & until.notna(), 0)
+            for ts, row_id, end in sorted(zip(at.tolist(), b["id"].astype(str), until.tolist())):
+                if (ts, row_id) < (newest, last_id):
+                    continue
+                if 0 < ends < ts:
+                    ended.append(ends)
+                newest, last_id, ends = ts, row_id, end
+        state.update((int(newest), last_id, int(ends)))
+        if ends > 0:
+            # A ban ends after its last second; a timer cannot lie behind the watermark.
+            state.setTimeoutTimestamp(max(ends // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(
+            {"ip": key[0], "ts": pd.to_datetime(ended, unit="us"), "action": "unblock", "reason": "auto-expired"}
+        )
 
     return rows.groupBy("ip").applyInPandasWithState(
         step,
         "ip string, ts timestamp, action string, reason string",
-        "newest bigint, ends bigint",
+        "newest bigint, last_id string, ends bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

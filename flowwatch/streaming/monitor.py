@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from flowwatch.operators import alerts as al, devices as dv, signatures as sg
 from flowwatch.operators.features import HORIZON_US, engineer
-from flowwatch.operators.model import Model, save
+from flowwatch.operators.model import Model, load, save
 from flowwatch.plans.monitor import Settings
 from flowwatch.plans.train import retrain
 from flowwatch.schemas import ALERT, BLOCK, DEVICE, PACKET
@@ -32,6 +32,9 @@ class Monitor:
 
     ``rolling`` and ``alerts`` by micro-batch, ``devices`` and ``blocks`` as versions.
     ``lateness_us`` is how much longer than the horizon earlier packets are kept for late ones.
+    ``model`` scores until the first retrain; retrained bundles are under ``models``, and each
+    micro-batch takes the newest that an earlier one left, so a restart or a repeated batch scores
+    as the first run did. Retraining reads the last ``window_us`` of the rolling table, by default all.
     """
 
     out: str
@@ -40,7 +43,7 @@ class Monitor:
     trusted: Callable[[], DataFrame] | None = None
     lateness_us: int = 0
     retrain_every: int = 0
-    window_rows: int = 500
+    window_us: int | None = None
 
     def features(self, packets: DataFrame, batch_id: int) -> DataFrame:
         """Engineered rows of this micro-batch's packets."""
@@ -74,8 +77,10 @@ class Monitor:
         ranked = passed.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
         # A hit older than the limit holds nothing back any more.
         reach = int(self.settings.dedup_seconds * 1e6) + 1_000_000 + self.lateness_us
-        recent = rows.agg((F.max("ts_us") - reach).alias("recent")).scalar()
-        versions.leave(ranked.filter(F.col("ts_us") >= recent).select(*columns), path, batch_id)
+        clock = rows.groupBy("sensor_id").agg((F.max("ts_us") - reach).alias("_recent"))
+        # A sensor that is silent now keeps its hits: its own clock has not moved on.
+        kept = ranked.join(clock, "sensor_id", "left").filter(F.col("_recent").isNull() | (F.col("ts_us") >= F.col("_recent")))
+        versions.leave(kept.select(*columns), path, batch_id)
         return passed.join(carried.select("sensor_id", "seq", "rule"), ["sensor_id", "seq", "rule"], "left_anti")
 
     def __call__(self, packets: DataFrame, batch_id: int) -> None:
@@ -85,9 +90,10 @@ class Monitor:
 
         alerts = al.signature_alerts(self.hits(rows, batch_id))
         anomalies = None
-        if self.model is not None:
+        model = self.model_before(spark, batch_id)
+        if model is not None:
             anomalies = versions.add(
-                al.with_anomaly(self.model.with_score(rows), self.settings.thresholds),
+                al.with_anomaly(model.with_score(rows), self.settings.thresholds),
                 f"{self.out}/anomalies",
                 batch_id,
             )
@@ -100,7 +106,12 @@ class Monitor:
         if anomalies is not None:
             self.block(anomalies, batch_id)
         if self.retrain_every > 0:
-            self.retrain(rows, batch_id)
+            self.retrain(rows, batch_id, model)
+
+    def model_before(self, spark: SparkSession, batch_id: int) -> Model | None:
+        """The model that the micro-batches before this one have left."""
+        last = versions.latest(spark, f"{self.out}/models", "batch", batch_id, "meta/_SUCCESS")
+        return self.model if last is None else load(spark, f"{self.out}/models/batch={last}")
 
     def block(self, anomalies: DataFrame, batch_id: int) -> None:
         """Block each offending source once over the life of the stream."""
@@ -110,7 +121,7 @@ class Monitor:
         new = al.autoblock_decisions(anomalies, self.settings.local_ips, trusted, blocked)
         versions.leave(blocked.unionByName(new.select(*BLOCK.fieldNames())), f"{self.out}/blocks", batch_id)
 
-    def retrain(self, rows: DataFrame, batch_id: int) -> None:
+    def retrain(self, rows: DataFrame, batch_id: int, model: Model | None) -> None:
         """A new model when the number of packets seen passes a multiple of the interval."""
         spark = rows.sparkSession
         counts = versions.before(spark, f"{self.out}/counts", batch_id, _COUNT)
@@ -118,12 +129,11 @@ class Monitor:
         total = counts.unionByName(rows.groupBy("sensor_id").agg(F.count("*").alias("packets")))
         total = versions.leave(total.groupBy("sensor_id").agg(F.sum("packets").alias("packets")), f"{self.out}/counts", batch_id)
         seen = (counts.agg(F.sum("packets").alias("n")).first()["n"] or 0, total.agg(F.sum("packets").alias("n")).first()["n"] or 0)
-        if self.model is not None and seen[0] // self.retrain_every != seen[1] // self.retrain_every:
+        if model is not None and seen[0] // self.retrain_every != seen[1] // self.retrain_every:
             rolling = spark.read.parquet(f"{self.out}/rolling").filter(F.col("batch") <= batch_id)
-            fresh = retrain(rolling, self.model.params, self.window_rows)
+            fresh = retrain(rolling, model.params, self.window_us)
             if fresh is not None:
                 save(fresh, spark, f"{self.out}/models/batch={batch_id}")
-                self.model = fresh
 
 
 def start_monitor(packets: DataFrame, monitor: Monitor, checkpoint: str, **trigger) -> StreamingQuery:

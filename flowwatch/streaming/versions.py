@@ -14,15 +14,17 @@ KEPT = 10
 
 
 def before(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
-    """The version the previous micro-batch left; empty if it left none."""
-    empty = spark.createDataFrame([], schema)
+    """The version the previous micro-batch left; empty before the first one.
+
+    A missing version is an error: going on without it would forget what was known.
+    """
     if batch_id == 0:
-        return empty
+        return spark.createDataFrame([], schema)
     try:
         return spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return empty
+            raise FileNotFoundError(f"{path} has no version {batch_id - 1}") from e
         raise
 
 
@@ -42,3 +44,15 @@ def add(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
     here = f"{path}/batch={batch_id}"
     rows.write.mode("overwrite").parquet(here)
     return rows.sparkSession.read.schema(rows.schema).parquet(here)
+
+
+def latest(spark: SparkSession, path: str, name: str, batch_id: int, mark: str) -> int | None:
+    """The newest micro-batch before ``batch_id`` that left a complete ``name=N`` folder, which holds ``mark``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    numbers = [int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}=")]
+    done = [n for n in numbers if n < batch_id and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}/{mark}"))]
+    return max(done, default=None)

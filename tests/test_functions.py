@@ -84,7 +84,7 @@ def test_ip_class_agrees_with_the_standard_library(spark):
 
 def test_cidr_hosts_agree_with_the_standard_library(spark):
     nets = ["10.0.0.5/30", "10.0.0.0/31", "10.0.0.9/32", "10.0.0.9", "10.1.2.3/16", "0.0.0.0/0", "192.168.1.77/25"]
-    for text, got in zip(nets, column(spark, nets, "string", ips.cidr_hosts)):
+    for text, got in zip(nets, column(spark, nets, "string", lambda c: ips.cidr_hosts(c, 256))):
         hosts = []
         net = ipaddress.ip_network(text, strict=False)
         for host in net.hosts() if net.prefixlen < 32 else [net.network_address]:
@@ -92,13 +92,13 @@ def test_cidr_hosts_agree_with_the_standard_library(spark):
             if len(hosts) == 256:
                 break
         assert got == hosts
-    assert column(spark, ["bad/8", "1.2.3.4/33", None], "string", ips.cidr_hosts) == [None, None, None]
+    assert column(spark, ["bad/8", "1.2.3.4/33", None], "string", lambda c: ips.cidr_hosts(c, 256)) == [None, None, None]
 
 
 def test_ports(spark):
     assert column(spark, ["22,x, 80,", None, ""], "string", ports.csv_to_ports) == [[22, 80], [], []]
     many = ",".join(map(str, range(1, 101)))
-    assert column(spark, [many], "string", ports.csv_to_ports) == [list(range(1, 65))]
+    assert column(spark, [many], "string", lambda c: ports.csv_to_ports(c, 64)) == [list(range(1, 65))]
     got = column(spark, [[80], [21], [], None], "array<int>", ports.port_risk)
     assert got == ["Medium", "High", "Low", "Low"]
 
@@ -118,3 +118,28 @@ def test_ban_expiry(spark):
 
 def test_checksum_of_no_names(spark):
     assert column(spark, [[], ["a", "b"]], "array<string>", lambda c: F.length(tx.feature_checksum(c))) == [0, 64]
+
+
+def test_a_final_line_feed_is_no_part_of_an_address(spark):
+    df = spark.createDataFrame([("1.2.3.4\n",), ("::1\n",), ("1.2.3.4",), ("::1",)], "ip string")
+    assert [r[0] for r in df.select(ips.is_ip(F.col("ip"))).collect()] == [False, False, True, True]
+
+
+def test_caps_are_the_callers(spark):
+    df = spark.createDataFrame([("10.0.0.0/22", ",".join(map(str, range(100))))], "cidr string, csv string")
+    sizes = df.select(
+        F.size(ips.cidr_hosts(F.col("cidr"))), F.size(ips.cidr_hosts(F.col("cidr"), 256)),
+        F.size(ports.csv_to_ports(F.col("csv"))), F.size(ports.csv_to_ports(F.col("csv"), 64)),
+    ).first()
+    assert tuple(sizes) == (1022, 256, 100, 64)
+
+
+def test_a_length_out_of_range_is_rejected(spark):
+    from flowwatch.sources import packets as pk
+
+    raw = spark.createDataFrame(
+        [(1, "c", True, "1.5", "a", "b", "6", "3000000000", "1", "2", None, None), (2, "c", True, "1.5", "a", "b", "6", "60", "1", "2", None, None)],
+        "seq long, sensor_id string, has_ip boolean, time string, src string, dst string, proto string, length string, tcp_sport string, tcp_dport string, udp_sport string, udp_dport string",
+    )
+    assert [r.seq for r in pk.normalize_packets(raw).collect()] == [2]
+    assert [r.seq for r in pk.rejected_packets(raw).collect()] == [1]

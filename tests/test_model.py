@@ -136,5 +136,7 @@ def test_samples_are_distinct_and_thinned_alike(spark):
 def test_retrain_needs_fifty_rows(packets):
     rolling = engineer(packets, fx.LOCAL_IPS)
     assert train.retrain(rolling.filter("seq < 49"), md.Params(n_estimators=10)) is None
-    model = train.retrain(rolling, md.Params(n_estimators=10), rows=60)
+    times = sorted(r["ts_us"] for r in rolling.select("ts_us").collect())
+    model = train.retrain(rolling, md.Params(n_estimators=10), span_us=times[-1] - times[-61])
     assert model.subsample == 60
+    assert train.retrain(rolling, md.Params(n_estimators=10)).subsample == 256

@@ -179,6 +179,28 @@ def test_containment_against_brute_force(spark, seed):
     assert {r["seq"]: r["verdict"] for r in got} == contain(rows)
 
 
+def test_unknown_commands_change_nothing(spark):
+    schema = "seq long, ts timestamp, ip string, command string, minutes string, reason string"
+    at0 = lambda s: T0 + timedelta(seconds=s)
+    data = [
+        (1, at0(0), "203.0.113.1", "trust", None, ""),
+        (2, at0(1), "203.0.113.1", "ban", None, ""),
+        (3, at0(2), "203.0.113.1", "block", None, ""),
+        (4, at0(5), "203.0.113.2", "block", None, ""),
+        (5, at0(5), "203.0.113.2", None, None, ""),
+        (6, at0(5), "203.0.113.2", "trust", None, ""),
+        (None, at0(8), "203.0.113.3", "block", None, "first"),
+        (7, at0(8), "203.0.113.3", "trust", None, ""),
+        (8, None, "203.0.113.3", "unblock", None, ""),
+    ]
+    got = ct.containment_verdicts(spark.createDataFrame(data, schema)).collect()
+    assert {(r["seq"], r["command"]): r["verdict"] for r in got} == {
+        (1, "trust"): "ok", (2, "ban"): "bad_command", (3, "block"): "trusted_ip",
+        (4, "block"): "ok", (5, None): "bad_command", (6, "trust"): "ip_blocked",
+        (None, "block"): "ok", (7, "trust"): "ip_blocked", (8, "unblock"): "bad_time",
+    }
+
+
 def lock(attempts, after, minutes):
     state, out = {}, {}
     for user, seq, ts, ok in sorted(attempts, key=lambda a: (a[2], a[1])):
@@ -223,6 +245,8 @@ def test_device_merges(spark):
 
     names = spark.createDataFrame([("a", "x"), ("z", "y"), ("b", "")], "ip string, name string")
     assert {r["ip"]: r["name"] for r in dv.rename_devices(known, names).collect()} == {"a": "x", "b": "b"}
+    twice = spark.createDataFrame([("a", "zeta", 1), ("a", "alpha", 2), ("a", "", 3)], "ip string, name string, seq int")
+    assert {r["ip"]: r["name"] for r in dv.rename_devices(known, twice, "seq").collect()}["a"] == "alpha"
 
     scan = spark.createDataFrame([("a", [23], "High"), ("n", [80], "Medium")], "ip string, open_ports array<int>, risk string")
     got = {r["ip"]: (r["last_seen"], r["open_ports"], r["risk"]) for r in dv.merge_scan(known, scan, F.lit(at(9))).collect()}
@@ -264,5 +288,5 @@ def test_rolling_store_appends(spark, packets, tmp_path):
 def test_empty_tables(spark):
     alerts, blocks = spark.createDataFrame([], ALERT), spark.createDataFrame([], BLOCK)
     assert lg.log_events(alerts, blocks).count() == 0
-    assert lg.stats_snapshot(alerts, blocks).first().asDict() == {"alerts_200": 0, "blocks_200": 0, "alerts": 0, "blocks": 0}
+    assert lg.stats_snapshot(alerts, blocks, 200).first().asDict() == {"alerts_200": 0, "blocks_200": 0, "alerts": 0, "blocks": 0}
     assert ct.latest_action(blocks).count() == 0
