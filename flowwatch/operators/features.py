@@ -41,6 +41,13 @@ def direction(src: Column, local_ips: list[str]) -> Column:
     return F.coalesce(src.isin(list(local_ips)), F.lit(False)).cast("double")
 
 
+def with_direction_by_sensor(df: DataFrame, local: DataFrame) -> DataFrame:
+    """``direction`` where each sensor has its own local addresses: rows (sensor_id, ip) of ``local``."""
+    known = local.select(F.col("sensor_id").alias("_sensor"), F.col("ip").alias("_ip")).distinct()
+    own = (df["sensor_id"] == known["_sensor"]) & (df["src_ip"] == known["_ip"])
+    return df.join(known, own, "left").withColumn("direction", F.col("_ip").isNotNull().cast("double")).drop("_sensor", "_ip")
+
+
 def with_time_diff(df: DataFrame, **scan) -> DataFrame:
     """Seconds since the previous packet of the sensor; 0 for its first."""
     return (

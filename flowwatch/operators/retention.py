@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from flowwatch.session import materialize
+
 
 def is_old(ts: Column, days: int | None, as_of: Column, granularity: str = "day") -> Column:
     """Older than ``days`` before ``as_of``; never, for 0 or None.
@@ -36,6 +38,21 @@ def deleted_counts(
     return a.unionByName(b).agg(F.count_if("a").alias("alerts"), F.count_if("b").alias("blocks"))
 
 
+def drop_dates(spark: SparkSession, path: str, days: int, as_of: Column, column: str = "event_date") -> DataFrame:
+    """Drops the dates older than ``days`` from a table kept in folders by date.
+
+    Returns (date, n_rows) for each. Only these dates are read, to count them; the others are neither read nor written. A run
+    that was cut short can be run again.
+    """
+    table = spark.read.parquet(path)
+    old = table.filter(F.col(column) < F.to_date(as_of - F.make_dt_interval(days=F.lit(int(days)))))
+    gone = materialize(old.groupBy(column).agg(F.count("*").alias("n_rows")), "dropped-dates")
+    for row in gone.select(column).collect():  # as many as there are dates
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={row[0]}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
 def conform(table: DataFrame, schema: StructType) -> DataFrame:
     """The table in a newer schema: missing text columns are '', other missing columns NULL."""
     out = []

@@ -253,6 +253,13 @@ SELECT CASE severity WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' ELSE
     "feat_size_log": f"WITH {_PACKETS} SELECT seq, round(ln(1.0 + packet_size), 9) AS packet_size_log FROM packets",
     "feat_ephemeral": f"WITH {_FEATURES} SELECT seq, is_ephemeral_sport FROM feat",
     "feat_direction": f"WITH {_FEATURES} SELECT seq, direction FROM feat",
+    "feat_direction_by_sensor": f"""WITH {_PACKETS}, own AS (
+  SELECT DISTINCT seq % 2 AS s, src_ip FROM packets WHERE protocol = 17 AND src_ip LIKE '10.0.0.%')
+SELECT seq, 'cap' || (seq % 2) AS sensor_id, CASE WHEN own.s IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS direction
+FROM packets p LEFT JOIN own ON own.s = p.seq % 2 AND own.src_ip = p.src_ip""",
+    "retention_job": f"""WITH {_EV}, {_ALERTS}
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS event_date, count(*) AS n_rows,
+       CAST(ts AS DATE) < CAST({AS_OF} AS DATE) - 7 AS dropped FROM alerts GROUP BY ALL""",
     "feature_vector": f"WITH {_FEATURES} SELECT seq, {_VECTOR} AS features FROM feat",
     "features_per_event": f"WITH {_FEATURES} SELECT seq, {_FEATURE_LIST} FROM feat",
     "features_empty": f"WITH {_FEATURES} SELECT seq, {_FEATURE_LIST} FROM feat WHERE protocol = 1",

@@ -188,6 +188,14 @@ def feat_direction(spark, sf):
     return _packets(spark, sf).select("seq", ft.direction(F.col("src_ip"), LOCAL).alias("direction"))
 
 
+@query
+def feat_direction_by_sensor(spark, sf):
+    """Two sensors; the inner addresses that a sensor sees send UDP are its own."""
+    p = _packets(spark, sf).withColumn("sensor_id", F.concat(F.lit("cap"), (F.col("seq") % 2).cast("string")))
+    local = p.filter("protocol = 17 AND src_ip LIKE '10.0.0.%'").select("sensor_id", F.col("src_ip").alias("ip"))
+    return ft.with_direction_by_sensor(p, local).select("seq", "sensor_id", "direction")
+
+
 @query
 def feature_vector(spark, sf):
     rows = _engineered(spark, sf)
@@ -641,6 +649,15 @@ def retention_counts(spark, sf):
     return rt.deleted_counts(fx.alerts(e), fx.blocks(e), 7, 14, _as_of())
 
 
+@query
+def retention_job(spark, sf):
+    path = _scratch(spark, "dated")
+    fx.alerts(_events(spark, sf)).withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(path)
+    gone = rt.drop_dates(spark, path, 7, _as_of())
+    left = spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("n_rows"), F.lit(False).alias("dropped"))
+    return gone.withColumn("dropped", F.lit(True)).unionByName(left).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+
+
 @query
 def latest_feed(spark, sf):
     e = _events(spark, sf)
