@@ -3,7 +3,7 @@
 A text is cut into chunks of leading blanks and other characters; no piece of the vocabulary goes past
 the end of a chunk (checked when the file is read), so the lattice of all segmentations of a text is
 the chain of the lattices of its chunks. Forward filtering sums the weights of all ways to each
-place of a chunk, and is kept per distinct chunk. Backward sampling goes from the end of the chunk to
+place of a chunk, for all distinct chunks of a batch at once. Backward sampling goes from the end of the chunk to
 its start and draws each piece with its share of that sum, for all chunks of a batch at once. The
 draws are hashes of (seed, row key, chunk, step): the same row is always segmented the same, wherever
 and with whatever other rows it is processed.
@@ -17,7 +17,6 @@ depend on the text. Other columns pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +27,21 @@ from flowwatch.llm import words as wd
 from flowwatch.llm.tables import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = re.compile(r" *[^ ]+| +")
-_CACHE_EDGES = 1 << 20
+_SLICE = 1 << 21
+_LONGEST = 256
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
 
 class Vocabulary:
-    """Pieces with a blank for each blank mark, and the bytes that each id stands for."""
+    """Pieces as bytes, with a blank for each blank mark: their hashes by length, and their weights."""
 
     def __init__(self, model: str, sharpness: float = 1.0):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.pieces: dict[str, int] = {}
-        self.byte = [0] * 256
+        self.byte = np.zeros(256, np.int64)
         self.bytes: list[bytes] = []
+        self.pieces: dict[str, int] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -56,73 +55,92 @@ class Vocabulary:
                     raise ValueError(f"piece {i} goes past the end of a chunk")
                 self.pieces[plain] = i
                 self.bytes.append(plain.encode())
-        self.longest = max(map(len, self.pieces))
-        self.weight = [(1.0 / (1 + i)) ** sharpness for i in range(len(self.bytes))]
+        self.log_weight = -sharpness * np.log1p(np.arange(len(self.bytes)))
+        if max(map(len, self.bytes)) >= _LONGEST:
+            raise ValueError(f"a piece has {_LONGEST} bytes or more")
+        by_length: dict[int, list[int]] = {}
+        for i in self.pieces.values():
+            by_length.setdefault(len(self.bytes[i]), []).append(i)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, ids in sorted(by_length.items()):
+            data = np.frombuffer(b"".join(self.bytes[i] for i in ids), np.uint8)
+            at = np.arange(len(ids)) * n
+            hashes = wd.Spans(data, wd.EXACT).hash(at, at + n)
+            order = np.argsort(hashes)
+            self.by_length[n] = hashes[order], np.array(ids, np.int64)[order]
+
+
+_B = np.arange(256)
+_CHAR_BYTES = np.where(_B < 0xC0, 1, np.where(_B < 0xE0, 2, np.where(_B < 0xF0, 3, 4)))
 
 
 class Lattices:
-    """Lattices of distinct chunks in flat arrays.
+    """The lattices of distinct chunks in flat arrays.
 
-    Each place of a chunk is a node; its incoming edges stand together, with the running share of
-    the ways that come in by them, so that a uniform number picks one.
+    Each byte place of a chunk is a node; its incoming edges (piece, source) stand together, with
+    the running share of the ways that come in by them, so that a uniform number picks one.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        self.end: dict[str, int] = {}
-        self.first: list[int] = []  # of a node's edges; -1 at the start of a chunk
-        self.share: list[float] = []
-        self.piece: list[int] = []
-        self.source: list[int] = []
-
-    def add(self, chunk: str) -> int:
-        """The last node of the chunk."""
-        known, weight, longest = self.vocabulary.pieces, self.vocabulary.weight, self.vocabulary.longest
-        base = len(self.first)
-        self.first.append(-1)
-        ways = [1.0]
-        place = [0]  # node of each character's start, from the base
-        for j in range(1, len(chunk) + 1):
-            edges = []
-            total = 0.0
-            for i in range(max(0, j - longest), j):
-                piece = known.get(chunk[i:j])
-                if piece is not None:
-                    total += ways[place[i]] * weight[piece]
-                    edges.append((total, piece, place[i]))
-            if known.get(chunk[j - 1]) is None:
-                # Bytes, one node each; the last one is the end of the character.
-                spelt = [self.vocabulary.byte[x] for x in chunk[j - 1].encode()]
-                at = place[j - 1]
-                for x in spelt[:-1]:
-                    self.first.append(len(self.share))
-                    self.share.append(1.0)
-                    self.piece.append(x)
-                    self.source.append(base + at)
-                    ways.append(ways[at] * weight[x])
-                    at = len(ways) - 1
-                total += ways[at] * weight[spelt[-1]]
-                edges.append((total, spelt[-1], at))
-            self.first.append(len(self.share))
-            for so_far, piece, at in edges:
-                self.share.append(so_far / total)
-                self.piece.append(piece)
-                self.source.append(base + at)
-            self.share[-1] = 1.0
-            ways.append(total)
-            place.append(len(ways) - 1)
-            if total < 1e-200:
-                # Only the ratio of the last few sums matters from here on.
-                for i in range(max(0, len(ways) - 4 * longest), len(ways)):
-                    ways[i] *= 1e200
-        self.end[chunk] = len(self.first) - 1
-        return self.end[chunk]
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return np.array(self.first, np.int64), np.array(self.share), np.array(self.piece, np.int32), np.array(self.source, np.int64)
+    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, sizes: np.ndarray):
+        """``data``: the bytes of all chunks; ``sizes``: how many each has."""
+        chunk = np.repeat(np.arange(len(sizes)), sizes)
+        begin = np.cumsum(sizes) - sizes
+        left = np.repeat(begin + sizes, sizes) - np.arange(len(data))
+        whole = (data & 0xC0) != 0x80
+        covered = np.zeros(len(data), bool)
+        spans = wd.Spans(data, wd.EXACT)
+        at, size, piece = [], [], []
+
+        def add(start: np.ndarray, length: int, ids: np.ndarray) -> None:
+            at.append(start), size.append(np.full(len(start), length)), piece.append(ids)
+
+        for n, (hashes, ids) in vocabulary.by_length.items():
+            start = np.flatnonzero(whole & (left >= n))
+            if not len(start):
+                break
+            found = spans.hash(start, start + n)
+            spot = np.searchsorted(hashes, found)
+            spot[spot == len(hashes)] = 0
+            same = hashes[spot] == found
+            add(start[same], n, ids[spot[same]])
+            covered[start[same][_CHAR_BYTES[data[start[same]]] == n]] = True
+        bare = np.flatnonzero(whole & ~covered)
+        for k in range(4):
+            one = bare[_CHAR_BYTES[data[bare]] > k] + k
+            add(one, 1, vocabulary.byte[data[one]])
+
+        start, length, piece_id = (np.concatenate(x) for x in (at, size, piece))
+        source, end = start + chunk[start], start + length + chunk[start]
+        order = np.argsort(end * _LONGEST + (_LONGEST - length))  # by end, then by source
+        self.source, end, self.piece = source[order], end[order], piece_id[order]
+        log_weight = vocabulary.log_weight[self.piece]
+        place = (start + length - begin[chunk[start]])[order]
+        ways = np.full(len(data) + len(sizes), -np.inf)
+        ways[begin + np.arange(len(sizes))] = 0.0
+        # Forward filtering: the nodes at one place of all chunks at a time.
+        turn = np.argsort(place, kind="stable")
+        steps = np.searchsorted(place[turn], np.arange(1, (place.max() if len(place) else 0) + 2))
+        for a, b in zip(steps, steps[1:]):
+            edges = turn[a:b]
+            node = end[edges]
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else edges
+            if not len(first):
+                continue
+            way = ways[self.source[edges]] + log_weight[edges]
+            top = np.maximum.reduceat(way, first)
+            rest = np.exp(way - np.repeat(top, np.diff(np.append(first, len(way)))))
+            ways[node[first]] = top + np.log(np.add.reduceat(rest, first))
+        share = np.exp(ways[self.source] + log_weight - ways[end])
+        first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else end
+        degree = np.diff(np.append(first, len(end)))
+        for k in range(1, int(degree.max()) if len(degree) else 0):
+            more = first[degree > k] + k
+            share[more] += share[more - 1]
+        share[first + degree - 1] = 1.0
+        self.share = share
+        self.first = np.full(len(ways), -1, np.int64)
+        self.first[end[first]] = first
+        self.last = begin + sizes + np.arange(len(sizes))
 
 
 def _draws(row: np.ndarray, chunk: np.ndarray, step: int) -> np.ndarray:
@@ -131,70 +149,74 @@ def _draws(row: np.ndarray, chunk: np.ndarray, step: int) -> np.ndarray:
     return (wd.mix(at) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def sample(texts: list[str], rows: np.ndarray, lattices: Lattices) -> list[np.ndarray]:
-    """A segmentation of each text; ``rows`` holds the 64-bit row seeds."""
-    chunks = [_CHUNK.findall(" " + t) for t in texts]
-    sizes = np.array([len(c) for c in chunks], np.int64)
-    if len(lattices.share) > _CACHE_EDGES:
-        lattices.clear()
-    known, add = lattices.end, lattices.add
-    node = np.array([known.get(x) or add(x) for c in chunks for x in c], np.int64)
-    first, share, piece, source = lattices.arrays()
-    row = np.repeat(rows, sizes)
-    number = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    live = np.arange(len(node))
-    steps, count = [], np.zeros(len(node), np.int64)
+def _pick(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of ranges, one after the other."""
+    return np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def sample(texts: pa.Array, rows: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """A segmentation of each text, as flat ids and how many each text has; ``rows``: 64-bit row seeds."""
+    raw, at = wd.text_bytes(texts)
+    data = np.insert(raw, at[:-1], 32)
+    at = at + np.arange(len(at))
+    blank = data == 32
+    starts = blank.copy()
+    starts[1:] &= ~blank[:-1]
+    starts[at[:-1]] = True
+    start = np.flatnonzero(starts)
+    sizes = np.diff(np.append(start, len(data)))
+    hashes = wd.Spans(data, wd.EXACT).hash(start, start + sizes)
+    _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+    lattices = Lattices(vocabulary, data[_pick(start[chosen], sizes[chosen])], sizes[chosen])
+
+    owner = np.searchsorted(at, start, "right") - 1
+    per_row = np.bincount(owner, minlength=len(texts))
+    number = np.arange(len(start)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    row, node, live = rows[owner], lattices.last[which], np.arange(len(start))
+    steps, count = [], np.zeros(len(start), np.int64)
     while len(live):
-        edge = first[node]
+        edge = lattices.first[node]
         u = _draws(row[live], number[live], len(steps))
-        late = np.flatnonzero(u >= share[edge])
+        late = np.flatnonzero(u >= lattices.share[edge])
         while len(late):
             edge[late] += 1
-            late = late[u[late] >= share[edge[late]]]
-        steps.append((live, piece[edge]))
+            late = late[u[late] >= lattices.share[edge[late]]]
+        steps.append((live, lattices.piece[edge]))
         count[live] += 1
-        node = source[edge]
-        more = first[node] >= 0
+        node = lattices.source[edge]
+        more = lattices.first[node] >= 0
         live, node = live[more], node[more]
     # The last drawn piece is the first of its chunk.
     begin = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int32)
-    for i, (at, ids) in enumerate(steps):
-        out[begin[at] + count[at] - 1 - i] = ids
-    per_row = np.add.reduceat(count, np.cumsum(sizes) - sizes) if len(sizes) else sizes
-    return np.split(out, np.cumsum(per_row)[:-1]) if len(per_row) else []
+    for i, (which_chunk, ids) in enumerate(steps):
+        out[begin[which_chunk] + count[which_chunk] - 1 - i] = ids
+    return out, np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
 
 
-_loaded: dict[tuple[str, float], Lattices] = {}
+_loaded: dict[tuple[str, float], Vocabulary] = {}
 
 
-def _lattices(model: str, sharpness: float) -> Lattices:
+def _vocabulary(model: str, sharpness: float = 1.0) -> Vocabulary:
     """Kept by the worker: reading the file takes longer than a batch."""
     if (model, sharpness) not in _loaded:
-        _loaded[model, sharpness] = Lattices(Vocabulary(model, sharpness))
+        _loaded[model, sharpness] = Vocabulary(model, sharpness)
     return _loaded[model, sharpness]
 
 
-def _int_lists(found: list[np.ndarray], which: list[int], n: int) -> pa.Array:
-    sizes = np.zeros(n, np.int64)
-    sizes[which] = [len(x) for x in found]
-    missing = np.ones(n, bool)
-    missing[which] = False
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = pa.array(np.concatenate([np.empty(0, np.int32), *found]).astype(np.int32))
-    return pa.ListArray.from_arrays(pa.array(at), values, mask=pa.array(missing))
-
-
 def _encoder(model: str, sharpness: float):
     def run(batches):
-        lattices = _lattices(model, sharpness)
-        for b in wd.slices(batches, "text", 1 << 19):
-            texts = b.column("text").to_pylist()
-            some = [i for i, t in enumerate(texts) if t is not None]
+        vocabulary = _vocabulary(model, sharpness)
+        for b in wd.slices(batches, "text", _SLICE):
+            missing = b.column("text").is_null().to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(~missing)
             seeds = b.column("seed").to_numpy().view(np.uint64)[some]
-            ids = sample([texts[i] for i in some], wd.mix(seeds), lattices)
-            columns = [_int_lists(ids, some, b.num_rows) if name == "ids" else b.column(name) for name in b.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+            flat, found = sample(b.column("text").take(pa.array(some)), wd.mix(seeds), vocabulary)
+            counts = np.zeros(b.num_rows, np.int64)
+            counts[some] = found
+            at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(at, pa.array(flat), mask=pa.array(missing))
+            yield pa.RecordBatch.from_arrays([ids if n == "ids" else b.column(n) for n in b.schema.names], names=b.schema.names)
 
     return run
 
@@ -216,7 +238,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
 
 def _decoder(model: str):
     def run(batches):
-        spelt = _lattices(model, 1.0).vocabulary.bytes
+        spelt = _vocabulary(model).bytes
         for column in batches:
             out = []
             for one in column:

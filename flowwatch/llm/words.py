@@ -39,6 +39,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CODES = mix((_LOWER.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+#: The same with every byte for itself.
+EXACT = mix((_BYTES.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
 _powers: list[np.ndarray] = []
 
 
@@ -101,15 +103,19 @@ def cut(texts: pa.Array, kind: np.ndarray = SOLID, also: int | None = None) -> W
     start = np.flatnonzero(solid & ~before)
     end = np.flatnonzero(solid & ~after) + 1
     row = np.searchsorted(at, start, "right") - 1
-    return Words(data, row, start, end, span_hash(data, start, end), len(at) - 1)
+    return Words(data, row, start, end, Spans(data).hash(start, end), len(at) - 1)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, A-Z as a-z, from one running sum over the bytes."""
-    up, down = _powers_of(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _GOLDEN)
+class Spans:
+    """64-bit hashes of byte ranges from one running sum over the bytes."""
+
+    def __init__(self, data: np.ndarray, codes: np.ndarray = _CODES):
+        up, self.down = _powers_of(len(data))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * up[: len(data)], out=self.total[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64) * _GOLDEN)
 
 
 def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
