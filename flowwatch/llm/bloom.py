@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowwatch.llm.words import mix
 
-BITS_PER_KEY = 16
-MOST_BLOCKS = 1 << 16  # 2 MB
+BITS_PER_KEY = 64
+MOST_BLOCKS = 1 << 17  # 4 MB
 _WORDS = 8  # of 32 bits
 _SALTS = mix(np.arange(1, _WORDS + 1))
 

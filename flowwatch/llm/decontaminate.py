@@ -2,7 +2,8 @@
 
 Every text is reduced to the minimal k-gram hash of each run of w k-grams. Two texts that share
 k + w - 1 consecutive words share such a run, so they share its fingerprint: no span of that length
-is missed. Fingerprints of documents and items are joined, and each hit is extended along its
+is missed. Fingerprints of documents that pass a Bloom filter of the items' fingerprints, which has a bounded
+size, are joined with these, and each hit is extended along its
 diagonal over the actual words, which removes hash collisions and finds the exact span.
 
 A null or wordless text or item matches nothing. An item of fewer words than ``span`` is one window
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowwatch.llm import words as wd
+from flowwatch.llm import bloom, words as wd
 from flowwatch.llm.tables import fresh, n_alnum_words, text_key
 from flowwatch.session import materialize
 
@@ -65,17 +66,26 @@ def _item_prints(span: int):
     return run
 
 
-def _text_prints(spans: list[int]):
+def _suspects(spans: list[int], known):
+    """Texts with fingerprints that pass the filter of the items' fingerprints, and these."""
+
     def run(batches):
         for b in wd.slices(batches, "text"):
             w = wd.cut(b.column("text"), wd.ALNUM)
             place = w.position()
+            passed = []
             for n in spans:
                 prints, at = winnow(w.hash, w.row, n)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("text_key").take(pa.array(w.row[at])), pa.array(prints.view(np.int64)), pa.array(place[at], pa.int32())],
-                    names=["text_key", "print", "at"],
-                )
+                some = bloom.maybe(known.value, prints.view(np.int64))
+                passed.append((w.row[at[some]], prints[some].view(np.int64), place[at[some]]))
+            row, prints, at = (np.concatenate(x) for x in zip(*passed)) if passed else (np.empty(0, np.int64),) * 3
+            order = np.argsort(row, kind="stable")
+            rows, counts = np.unique(row, return_counts=True)
+            chosen = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("text_key").take(chosen), b.column("text").take(chosen), wd.lists(prints[order], counts, pa.int64()), wd.lists(at[order], counts, pa.int64())],
+                names=["text_key", "text", "prints", "ats"],
+            )
 
     return run
 
@@ -144,10 +154,15 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         "item-prints",
     )
     spans = sorted(r.span for r in known.select("span").distinct().collect())  # at most `span` numbers
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(known.select("print").distinct(), "print"))
     texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).where("text is not null")
-    prints = texts.mapInArrow(_text_prints(spans), "text_key string, print long, at int")
+    # Few texts pass, and they are kept here with what passed: the others move nowhere.
+    suspects = texts.mapInArrow(_suspects(spans, table), "text_key string, text string, prints array<long>, ats array<long>")
+    suspects = materialize(suspects.dropDuplicates(["text_key"]), "suspects")
+    prints = suspects.select("text_key", F.explode(F.arrays_zip("prints", "ats")).alias("p"))
     met = materialize(
-        prints.join(known, "print")
+        prints.select("text_key", F.col("p.prints").alias("print"), F.col("p.ats").alias("at"))
+        .join(known, "print")
         .select("text_key", "item_key", "span", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
         .groupBy("text_key", "item_key", "span")
@@ -155,8 +170,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         "met",
     )
     found = met.join(listed, "item_key").groupBy("text_key").agg(F.collect_list(F.struct("item", "item_text", "span", "shifts")).alias("found"))
-    wanted = texts.join(met.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    return wanted.join(found, "text_key").mapInArrow(_extend, "text_key string, n_hit long, spans array<struct<first:long,end:long>>, items array<string>")
+    return suspects.select("text_key", "text").join(found, "text_key").mapInArrow(_extend, "text_key string, n_hit long, spans array<struct<first:long,end:long>>, items array<string>")
 
 
 def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, share: int = 20) -> DataFrame:
