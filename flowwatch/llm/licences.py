@@ -71,7 +71,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text",
     texts = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), lower_ascii(F.col(text)).alias("t"))
     lines = texts.select("text_key", F.posexplode(F.split("t", "\n", -1)).alias("unit", "body"))
     units = lines.unionAll(texts.where(F.instr("t", "\n") > 0).select("text_key", F.lit(-1).alias("unit"), F.col("t").alias("body")))
+    # A unit of d distinct words has d - 1 distinct bigrams at least, so words alone rule most units out.
+    most = max(sizes, default=0) * (200 - percent) // percent
     units = held(units, "w", _words(F.col("body"))).where(F.size("w") * (200 - percent) >= min(sizes, default=0) * percent)
+    units = units.where(F.size(F.array_distinct("w")) <= most + 1)
     fits = F.lit(False)
     for b in sizes:
         fits = fits | _may_match(F.col("a"), F.lit(b), percent)
