@@ -29,7 +29,7 @@ from flowwatch.llm.tables import parts_for
 from flowwatch.session import materialize
 
 VOCABULARY_BITS = 20
-HOT = 1024
+HOT = 512
 GROUP_TOKENS = 1 << 20
 MU = 16.0
 ADD = 0.1
@@ -102,6 +102,13 @@ def _gathered(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _hot(rank: np.ndarray, d: _Docs) -> tuple[np.ndarray, np.ndarray]:
+    """Which bigrams are of two hot words, and their numbers."""
+    a, b = rank[d.v], rank[d.w]
+    both = (a >= 0) & (b >= 0)
+    return both, a[both].astype(np.int64) * HOT + b[both]
+
+
 class _Model:
     """Unigram counts and those of hot bigrams, for both models at once."""
 
@@ -113,12 +120,6 @@ class _Model:
         self.rank[hot] = np.arange(len(hot))
         self.pairs: np.ndarray | None = None
 
-    def hot(self, d: _Docs) -> tuple[np.ndarray, np.ndarray]:
-        """Which bigrams are of two hot words, and their numbers."""
-        a, b = self.rank[d.v], self.rank[d.w]
-        both = (a >= 0) & (b >= 0)
-        return both, a[both].astype(np.int64) * HOT + b[both]
-
     def first(self, w: np.ndarray) -> np.ndarray:
         """Smoothed share of each word."""
         return (self.words[:, w] + ADD) / (self.totals + ADD * self.words.shape[1])
@@ -127,9 +128,9 @@ class _Model:
         return -np.log((counts + MU * self.first(w)) / (self.words[:, v] + MU))
 
 
-def _hot_keys(model):
+def _hot_keys(rank):
     def keys(d: _Docs):
-        both, number = model.value.hot(d)
+        both, number = _hot(rank.value, d)
         return number, d.doc[d.at[both]]
 
     return keys
@@ -148,7 +149,7 @@ def _near(model):
     def run(batches):
         m = model.value
         for d in _runs(batches):
-            both, number = m.hot(d)
+            both, number = _hot(m.rank, d)
             start = -np.log(m.first(d.ids[d.first]))
             hot = m.losses(d.v[both], d.w[both], m.pairs[:, number])
             doc = np.concatenate([np.arange(len(d.refs)), d.doc[d.at[both]]])
@@ -157,12 +158,12 @@ def _near(model):
     return run
 
 
-def _deal(model, groups: int):
+def _deal(rank, groups: int):
     """All other bigrams, packed by group."""
 
     def run(batches):
         for d in _runs(batches):
-            both, _ = model.value.hot(d)
+            both, _ = _hot(rank.value, d)
             key = (d.v[~both] << VOCABULARY_BITS) | d.w[~both]
             doc = d.doc[d.at[~both]].astype(np.int32)
             group = (wd.mix(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
@@ -212,11 +213,11 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     out = "at long, target long, every long"
     size = 1 << VOCABULARY_BITS
     model = _Model(_gathered(tokens.mapInArrow(_count(size, lambda d: (d.ids, d.doc)), out), size))
-    ranked = sc.broadcast(model)
-    model.pairs = _gathered(tokens.mapInArrow(_count(HOT * HOT, _hot_keys(ranked)), out), HOT * HOT)
+    rank = sc.broadcast(model.rank)
+    model.pairs = _gathered(tokens.mapInArrow(_count(HOT * HOT, _hot_keys(rank)), out), HOT * HOT)
     full = sc.broadcast(model)
     groups = parts_for(docs.sparkSession, int(model.totals[1, 0]), GROUP_TOKENS)
-    dealt = tokens.mapInArrow(_deal(full, groups), "part int, refs binary, marks binary, docs binary, bigrams binary")
+    dealt = tokens.mapInArrow(_deal(rank, groups), "part int, refs binary, marks binary, docs binary, bigrams binary")
     far = dealt.groupBy("part").applyInPandas(_group(full), _SUMS)
     sums = tokens.mapInArrow(_near(full), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
     copies = tokens.groupBy("ref").agg(F.count(F.lit(1)).alias("copies"))
