@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowwatch.llm import words as wd
 from flowwatch.llm.tables import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_SLICE = 1 << 21
+_SLICE = 1 << 22
+_DECODED = 1 << 20
+_SEEN_BITS = 18
 _LONGEST = 256
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
@@ -61,13 +64,19 @@ class Vocabulary:
         by_length: dict[int, list[int]] = {}
         for i in self.pieces.values():
             by_length.setdefault(len(self.bytes[i]), []).append(i)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # Hashes and ids by length, and a table by the first bits of a hash that rules most texts out.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, ids in sorted(by_length.items()):
             data = np.frombuffer(b"".join(self.bytes[i] for i in ids), np.uint8)
             at = np.arange(len(ids)) * n
             hashes = wd.Spans(data, wd.EXACT).hash(at, at + n)
             order = np.argsort(hashes)
-            self.by_length[n] = hashes[order], np.array(ids, np.int64)[order]
+            seen = np.zeros(1 << _SEEN_BITS, bool)
+            seen[hashes >> np.uint64(64 - _SEEN_BITS)] = True
+            self.by_length[n] = hashes[order], np.array(ids, np.int64)[order], seen
+        self.spelt = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spelt_size = np.array([len(x) for x in self.bytes], np.int64)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
 
 
 _B = np.arange(256)
@@ -94,39 +103,44 @@ class Lattices:
         def add(start: np.ndarray, length: int, ids: np.ndarray) -> None:
             at.append(start), size.append(np.full(len(start), length)), piece.append(ids)
 
-        for n, (hashes, ids) in vocabulary.by_length.items():
-            start = np.flatnonzero(whole & (left >= n))
+        start = np.flatnonzero(whole)
+        for n, (hashes, ids, seen) in vocabulary.by_length.items():
+            start = start[left[start] >= n]
             if not len(start):
                 break
             found = spans.hash(start, start + n)
+            some = seen[found >> np.uint64(64 - _SEEN_BITS)]
+            found, at_n = found[some], start[some]
             spot = np.searchsorted(hashes, found)
             spot[spot == len(hashes)] = 0
             same = hashes[spot] == found
-            add(start[same], n, ids[spot[same]])
-            covered[start[same][_CHAR_BYTES[data[start[same]]] == n]] = True
+            at_n = at_n[same]
+            add(at_n, n, ids[spot[same]])
+            covered[at_n[_CHAR_BYTES[data[at_n]] == n]] = True
         bare = np.flatnonzero(whole & ~covered)
         for k in range(4):
             one = bare[_CHAR_BYTES[data[bare]] > k] + k
             add(one, 1, vocabulary.byte[data[one]])
 
         start, length, piece_id = (np.concatenate(x) for x in (at, size, piece))
-        source, end = start + chunk[start], start + length + chunk[start]
-        order = np.argsort(end * _LONGEST + (_LONGEST - length))  # by end, then by source
-        self.source, end, self.piece = source[order], end[order], piece_id[order]
+        mine = chunk[start]
+        end = start + length + mine
+        # By place in the chunk, then by node, then by source: nodes at one place stand together.
+        order = np.argsort(((start + length - begin[mine]) << 40) + (end * _LONGEST + (_LONGEST - length)))
+        length, end, self.piece = length[order], end[order], piece_id[order]
+        self.source = end - length
         log_weight = vocabulary.log_weight[self.piece]
-        place = (start + length - begin[chunk[start]])[order]
+        place = end - (begin + np.arange(len(sizes)))[mine[order]]
         ways = np.full(len(data) + len(sizes), -np.inf)
         ways[begin + np.arange(len(sizes))] = 0.0
         # Forward filtering: the nodes at one place of all chunks at a time.
-        turn = np.argsort(place, kind="stable")
-        steps = np.searchsorted(place[turn], np.arange(1, (place.max() if len(place) else 0) + 2))
+        steps = np.searchsorted(place, np.arange(1, (place[-1] if len(place) else 0) + 2))
         for a, b in zip(steps, steps[1:]):
-            edges = turn[a:b]
-            node = end[edges]
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else edges
-            if not len(first):
+            if a == b:
                 continue
-            way = ways[self.source[edges]] + log_weight[edges]
+            node = end[a:b]
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            way = ways[self.source[a:b]] + log_weight[a:b]
             top = np.maximum.reduceat(way, first)
             rest = np.exp(way - np.repeat(top, np.diff(np.append(first, len(way)))))
             ways[node[first]] = top + np.log(np.add.reduceat(rest, first))
@@ -238,16 +252,32 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
 
 def _decoder(model: str):
     def run(batches):
-        spelt = _vocabulary(model).bytes
+        vocabulary = _vocabulary(model)
         for column in batches:
-            out = []
-            for one in column:
-                out.append(None if not one.is_valid else b"".join(map(spelt.__getitem__, one.values.to_pylist()))[1:].decode())
-            yield pa.array(out, pa.string())
+            yield pa.concat_arrays([pa.array([], pa.large_string()), *_decoded(column, vocabulary)]).cast(pa.string())
 
     return run
 
 
+def _decoded(column: pa.ListArray, vocabulary: Vocabulary) -> Iterator[pa.Array]:
+    """The texts, about ``_DECODED`` ids at a time."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+    group = at[:-1] // _DECODED
+    cuts = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(column)] if len(column) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        ids = flat[at[a] : at[b]]
+        size = vocabulary.spelt_size[ids]
+        data = vocabulary.spelt[_pick(vocabulary.spelt_at[ids], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[at[a : b + 1] - at[a]]
+        # Without the first byte of each text, the blank put before it.
+        lead = ends[:-1][np.diff(ends) > 0]
+        kept = ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+        texts = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.delete(data, lead)))
+        yield pc.if_else(pa.array(missing[a:b]), pa.scalar(None, pa.large_string()), texts)
+
+
 def decode(ids: Column, model: str = MODEL) -> Column:
     """The text that the ids spell."""
     run = _decoder(model)
