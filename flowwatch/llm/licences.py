@@ -97,7 +97,8 @@ def label(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text",
         F.sort_array(F.collect_set("licence")).alias("names"),
         F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("first"),
     )
-    by_text = by_text.select(F.col("text_key").alias(k), F.struct("matches", "names", F.struct(F.col("first.licence").alias("licence"), (-F.col("first.d")).alias("dice")).alias("best")).alias(found))
+    # Written, so that the join with many copies of one text can be split.
+    by_text = materialize(by_text, "licences-by-text").select(F.col("text_key").alias(k), F.struct("matches", "names", F.struct(F.col("first.licence").alias("licence"), (-F.col("first.d")).alias("dice")).alias("best")).alias(found))
     none = F.array()
     result = F.struct(
         F.coalesce(F.col(f"{found}.matches"), none.cast("array<struct<unit:int,licence:string,dice:double>>")).alias("matches"),
