@@ -28,8 +28,8 @@ from flowwatch.llm import words as wd
 from flowwatch.llm.tables import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_SLICE = 1 << 22
-_DECODED = 1 << 20
+_SLICE = 1 << 20
+_DECODED = 1 << 18
 _SEEN_BITS = 18
 _LONGEST = 256
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
