@@ -28,6 +28,7 @@ from flowwatch.session import materialize
 
 MIN_DOCS = 5
 DEPTH = 3
+SALTS = 16
 VARIABLE = "<*>"
 _FIELD = re.compile(rb"\S*[0-9]\S*")
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
@@ -116,7 +117,10 @@ def templates(docs: DataFrame, key: str, text: str, min_docs: int, depth: int) -
     parsed = parsed.join(counted, ["leaf", "line"]).select(
         "leaf", "line", F.when(F.col("lost") * 2 > F.size("parts"), F.col("masked")).otherwise(F.concat_ws(" ", "parts.t")).alias("template")
     )
-    return lines.join(parsed, ["leaf", "line"]).select("id", "text_key", "number", "template")
+    # Distinct lines are few beside their occurrences, so they go to every salt of a frequent line.
+    salted = parsed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["leaf", "line", "salt"]).select("id", "text_key", "number", "template")
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, keep_first: bool = True) -> DataFrame:
