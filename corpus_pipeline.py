@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Five-word shingles, Jaccard similarity 0.8 or more. Documents without words are linked with nothing and
     all stay. Null ids come last.
     """
-    joined = jaccard_join.join(docs, n=5, percent=80)
+    joined = jaccard_join.join(docs, n=5, percent=80, spare=50)
     grouped = joined.where("n_shingles > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_key")).alias("first")
     # A component of null ids only has no id to be named by: its texts are told apart by their key.

@@ -7,7 +7,7 @@ short ones, keeps sets that occur in T - L of them, and looks the long lists up
 
 Spread over a cluster:
 
-1. Sets order their shingles by hash and show the first ``p + spare - 1``, where p = size - T + 1.
+1. Sets order their shingles by hash and show the first p = size - T + 1 and ``spare`` percent more.
    Shingles shown by over ``long_list`` sets have long lists: they come last in every set's order.
 2. A set with p or more short lists among those it shows is *plain*. It has L = T - l long lists set
    aside, l = short lists - p + 1. Any two similar plain sets meet in min(l) of their short lists.
@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowwatch.llm import words as wd
+from flowwatch.llm import bloom, words as wd
 from flowwatch.llm.graph import components
 from flowwatch.llm.tables import text_key
 from flowwatch.session import materialize
@@ -59,7 +59,7 @@ def _sorted_sets(w: wd.Words, n: int):
         yield int(row[a]), s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def _sketches(n: int, percent: int):
+def _sketches(n: int, percent: int, spare: int):
     """Per row: set id, set size and the shingles it shows."""
 
     def run(batches):
@@ -69,7 +69,7 @@ def _sketches(n: int, percent: int):
                 p = len(s) - _least(len(s), percent) + 1
                 total = wd.mix(s.view(np.uint64)).sum(dtype=np.uint64)
                 ids[i] = int(wd.mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
-                sizes[i], shown[i] = len(s), s[: 2 * p - 1]
+                sizes[i], shown[i] = len(s), s[: p + p * spare // 100]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), wd.long_lists(shown)],
                 names=["id", "text_key", "set_id", "size", "shown"],
@@ -78,15 +78,22 @@ def _sketches(n: int, percent: int):
     return run
 
 
-def _whole_sets(n: int):
+def _whole_sets(n: int, wanted):
+    """All shingles of the texts that pass the filter of the wanted ones."""
+
     def run(batches):
-        for b in wd.slices(batches, "text"):
+        for batch in batches:
+            batch = batch.filter(pa.array(bloom.maybe(wanted.value, batch.column("hash").to_numpy())))
+            yield from whole(batch)
+
+    def whole(batch):
+        for b in wd.slices(iter([batch]), "text"):
             rows, sets = [], []
             for i, s in _sorted_sets(wd.cut(b.column("text")), n):
                 rows.append(i)
                 sets.append(s)
             yield pa.RecordBatch.from_arrays(
-                [b.column("set_id").take(pa.array(rows, pa.int64())), wd.long_lists(sets)], names=["set_id", "shingles"]
+                [b.column("text_key").take(pa.array(rows, pa.int64())), wd.long_lists(sets)], names=["text_key", "shingles"]
             )
 
     return run
@@ -212,10 +219,16 @@ def _join_blocks(percent: int):
 
 
 def _texts_of(docs: DataFrame, text: str, wanted: DataFrame, n: int) -> DataFrame:
-    """All shingles of the wanted sets, from one text of each."""
-    texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    one = texts.join(wanted.select("set_id", "text_key"), "text_key").dropDuplicates(["set_id"])
-    return one.select("set_id", "text").mapInArrow(_whole_sets(n), "set_id long, shingles array<long>")
+    """All shingles of the wanted sets, from one text of each.
+
+    A Bloom filter of bounded size leaves other texts where they are; the join is exact.
+    """
+    named = wanted.select("set_id", "text_key")
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(named.select(F.xxhash64("text_key").alias("hash")), "hash"))
+    texts = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text_key"))
+    sets = texts.mapInArrow(_whole_sets(n, table), "text_key string, shingles array<long>").dropDuplicates(["text_key"])
+    return sets.join(named, "text_key").select("set_id", "shingles")
 
 
 def _prefix(size: Column, percent: int) -> Column:
@@ -254,15 +267,16 @@ def _dense_links(dense: DataFrame, percent: int, block: int) -> DataFrame:
     return work.groupBy("band", "at", "by_band", "by").applyInPandas(_join_blocks(percent), "a long, b long, copies long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, long_list: int = LONG_LIST, block: int = BLOCK_SHINGLES) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, long_list: int = LONG_LIST, block: int = BLOCK_SHINGLES, spare: int = 100) -> DataFrame:
     """One row per document: id, text_key, n_shingles, n_links and component_id.
 
     n_links counts the other documents that it links with, copies included; component_id is the
-    smallest id reachable by links.
+    smallest id reachable by links. ``spare``: shingles that a set shows beyond the p it must, in
+    percent of p; more of them raise l, fewer make more sets dense.
     """
     texts = docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     id_type = dict(texts.dtypes)["id"]
-    rows = materialize(texts.mapInArrow(_sketches(n, percent), f"id {id_type}, text_key string, set_id long, size int, shown array<long>"), "sketches")
+    rows = materialize(texts.mapInArrow(_sketches(n, percent, spare), f"id {id_type}, text_key string, set_id long, size int, shown array<long>"), "sketches")
     sets = rows.where("set_id is not null").groupBy("set_id").agg(
         F.first("size").alias("size"), F.first("shown").alias("shown"), F.min("text_key").alias("text_key"),
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"),
@@ -280,12 +294,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     dense = materialize(sorted_out.where("need < 1").select("set_id", "size", "text_key", "copies", "p"), "dense")
     dense = materialize(_texts_of(docs, text, dense, n).join(dense, "set_id"), "dense-sets")
 
-    postings = plain.select(F.explode("short").alias("shingle"), F.struct("set_id", "size", "need").alias("one"))
-    lists = postings.groupBy("shingle").agg(F.sort_array(F.collect_list("one")).alias("list"))
+    # Dealt as flat rows before they are collected, under one filter: both readers of the lists share the exchange.
+    postings = plain.select(F.explode("short").alias("shingle"), "set_id", "size", "need").where("shingle is not null").repartition("shingle")
+    lists = postings.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("set_id", "size", "need"))).alias("list"))
     own = lists.where(F.size("list") > 1).select(F.explode("list").alias("q"), "list")
     own = own.select("q.*", F.filter("list", lambda x: x["set_id"] < F.col("q.set_id")).alias("list"))
     every = dense.select("set_id", "size", "p", F.explode("shingles").alias("shingle")).join(long, "shingle", "left_anti")
-    first = every.groupBy("set_id", "size", "p").agg(F.sort_array(F.collect_list("shingle")).alias("s")).withColumn("s", F.slice("s", 1, F.col("p") * 2 - 1))
+    first = every.groupBy("set_id", "size", "p").agg(F.sort_array(F.collect_list("shingle")).alias("s")).withColumn("s", F.slice("s", 1, F.col("p") + F.floor(F.col("p") * spare / 100).cast("int")))
     first = first.select("set_id", "size", F.greatest(F.lit(1), F.size("s") - F.col("p") + 1).alias("need"), F.explode("s").alias("shingle"))
     asked = own.unionAll(first.join(lists, "shingle").select("set_id", "size", "need", "list"))
     size = F.col("size")

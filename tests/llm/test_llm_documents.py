@@ -59,10 +59,10 @@ def test_winnowing_misses_no_span(span):
         assert one & two or not windows[0] & windows[1]
 
 
-@pytest.mark.parametrize(("n", "percent", "long_list", "block"), [(3, 90, 64, 1 << 16), (3, 90, 2, 700), (5, 80, 3, 300), (2, 60, 1, 500)])
-def test_join(data, empty, n, percent, long_list, block):
+@pytest.mark.parametrize(("n", "percent", "long_list", "block", "spare"), [(3, 90, 64, 1 << 16, 100), (3, 90, 2, 700, 50), (5, 80, 3, 300, 0), (2, 60, 1, 500, 200)])
+def test_join(data, empty, n, percent, long_list, block, spare):
     rows, docs = data
-    got = jaccard_join.join(docs, n=n, percent=percent, long_list=long_list, block=block).collect()
+    got = jaccard_join.join(docs, n=n, percent=percent, long_list=long_list, block=block, spare=spare).collect()
     want = brute.linked([(r[0], r[1]) for r in rows], n, percent)
     key = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
     same([(r.id, r.text_key, r.n_shingles, r.component_id, r.n_links) for r in got], [(r[0], key(r[1]), *w) for r, w in zip(rows, want)])
