@@ -230,35 +230,46 @@ def _encoder(model: str, sharpness: float):
             counts[some] = found
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(at, pa.array(flat), mask=pa.array(missing))
-            yield pa.RecordBatch.from_arrays([ids if n == "ids" else b.column(n) for n in b.schema.names], names=b.schema.names)
+            made = {"ids": ids}
+            if "decoded" in b.schema.names:
+                made["decoded"] = _texts(ids, vocabulary)
+            yield pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
 
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "piece_ids", seed: int = 0, model: str = MODEL, sharpness: float = 1.0) -> DataFrame:
-    """The rows with the ids of one sampled segmentation each; a column named ``out`` is replaced."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "piece_ids", seed: int = 0, model: str = MODEL, sharpness: float = 1.0, decoded: str | None = None) -> DataFrame:
+    """The rows with the ids of one sampled segmentation each; a column named ``out`` is replaced.
+
+    With ``decoded`` also with a column of that name, the text that the ids spell, made by the same task.
+    """
     t, s, i = "text", "seed", "ids"
-    rest = [c for c in docs.columns if c.lower() != out.lower()]
+    rest = [c for c in docs.columns if c.lower() not in (out.lower(), (decoded or out).lower())]
     kept = [f"c{n}" for n in range(len(rest))]
     given = docs.select(
         *(F.col(f"`{c}`").alias(k) for c, k in zip(rest, kept)),
         F.col(text).alias(t),
         F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias(s),
         F.lit(None).cast("array<int>").alias(i),
+        *([F.lit(None).cast("string").alias("decoded")] if decoded else []),
     )
     made = given.mapInArrow(_encoder(model, sharpness), given.schema)
-    return made.select(*(F.col(k).alias(c) for c, k in zip(rest, kept)), F.col(i).alias(out))
+    return made.select(*(F.col(k).alias(c) for c, k in zip(rest, kept)), F.col(i).alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def _decoder(model: str):
     def run(batches):
         vocabulary = _vocabulary(model)
         for column in batches:
-            yield pa.concat_arrays([pa.array([], pa.large_string()), *_decoded(column, vocabulary)]).cast(pa.string())
+            yield _texts(column, vocabulary)
 
     return run
 
 
+def _texts(column: pa.ListArray, vocabulary: Vocabulary) -> pa.Array:
+    return pa.concat_arrays([pa.array([], pa.large_string()), *_decoded(column, vocabulary)]).cast(pa.string())
+
+
 def _decoded(column: pa.ListArray, vocabulary: Vocabulary) -> Iterator[pa.Array]:
     """The texts, about ``_DECODED`` ids at a time."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -291,9 +302,7 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL) -> DataFrame:
     """The documents with a struct ``pieces``: ids, decoded and lossless (decoded is the text again)."""
-    (ids,) = fresh(docs, "_ids")
-    made = encode(docs, key, text, ids, seed, model)
-    (text_again,) = fresh(made, "_decoded")
-    both = made.withColumn(text_again, decode(F.col(ids), model))
+    ids, text_again = fresh(docs, "_ids", "_decoded")
+    both = encode(docs, key, text, ids, seed, model, decoded=text_again)
     lossless = F.col(text_again).eqNullSafe(F.col(text))
     return both.withColumn("pieces", F.struct(F.col(ids).alias("ids"), F.col(text_again).alias("decoded"), lossless.alias("lossless"))).drop(ids, text_again)

@@ -104,6 +104,8 @@ def test_round_trip_of_a_table(spark):
     a = got.select("doc_id", "text", "pieces").collect()
     assert len(a) == len(rows) and all(r.pieces.lossless and r.pieces.decoded == r.text for r in a)
     assert all((r.pieces["ids"] is None) == (r.text is None) for r in a)
+    ids = pieces.encode(docs.select("doc_id", "text")).withColumn("again", pieces.decode(F.col("piece_ids")))
+    assert ids.where("not (again <=> text)").count() == 0
     b = pieces.round_trip(docs.repartition(3, "lang")).select("doc_id", "text", "pieces").collect()
     assert sorted(map(repr, a)) == sorted(map(repr, b))
     other = pieces.round_trip(docs, seed=1).select("doc_id", "text", "pieces").collect()
