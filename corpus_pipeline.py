@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in the first document only. No document goes."""
-    return line_templates.dedup_lines(docs).select(*docs.columns)
+    """Lines of recurring templates stay in the first document only. No document goes.
+
+    Passages that variants share (half of their shingles or more are the same) stay; the next stage links those at 80 percent.
+    """
+    return line_templates.dedup_lines(docs, copy_percent=50).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,41 @@ def test_line_templates(data, empty):
     assert line_templates.dedup_lines(empty).count() == 0
 
 
+def test_passages_of_few_documents(spark):
+    """Passages of two to four otherwise different documents stay in the first; near copies and tables of numbers stay whole."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(60) for _ in range(3)]
+    own = lambda: prose(70)
+    rows, want = [], {}
+
+    def add(text, left):
+        want[len(rows)] = left
+        rows.append((len(rows), text))
+
+    for n, passage in zip((2, 3, 4), passages):
+        for i in range(n):
+            a, b = own(), own()
+            add(f"{a}\n{passage if i % 2 else passage.upper()}\n{b}", f"{a}\n{passage.upper()}\n{b}" if i == 0 else f"{a}\n{b}")
+    short, table = prose(49), [" ".join(str(rng.randrange(1000)) for _ in range(60)) for _ in range(2)]
+    for i in range(2):
+        same = f"{own()}\n{short}\n{table[i]}"
+        add(same, same)
+    copy = [own() for _ in range(8)]
+    for last in ("one", "two"):
+        same = "\n".join([*copy, last])
+        add(same, same)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_templates.dedup_lines(docs).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum(r.line_dedup.n_dropped for r in got) == 6 and {t for r in got for t in r.line_dedup.templates} == set(passages)
+    nowhere = line_templates.dedup_lines(docs, keep_first=False).collect()
+    assert sum(r.line_dedup.n_dropped for r in nowhere) == 9
+
+
 def test_licences(spark, data, empty):
     rows, docs = data
     odd = [(900, f"{licences.TEMPLATES[1][1]}\nfoo\nALL rights   Reserved!", "en", None, 1), (901, licences.TEMPLATES[9][1].replace("software", "program"), "en", None, 1), (902, "License", "en", None, 1)]
