@@ -4,14 +4,15 @@ A target model is counted over the target documents and a background model over
 matched: one vocabulary, the same bigram order and the same smoothing. The score of a document is the
 mean over its words of (target loss - background loss), in nats; low is close to the target.
 
-The vocabulary is hashed: a word is one of ``1 << VOCABULARY_BITS`` ids and none is unknown. With p(w)
-the smoothed unigram share, p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU). Unigram counts have one entry
-per id, so they may be broadcast. Bigram counts grow with the corpus and are never gathered:
+Words are named by their 64-bit hash and none is unknown. With p(w) the unigram share, smoothed over as many
+words as there are (``1 << VOCABULARY_BITS`` at least), p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU). Counts of
+words and bigrams grow with the corpus and are never gathered; only those of the ``HOT`` most frequent words are
+broadcast, and those of bigrams of two of them, HOT^2 entries at most, which are counted in each task and summed.
 
-* Bigrams of two of the ``HOT`` most frequent words are counted in each task and summed; the table
-  has HOT^2 entries at most and is broadcast. No very frequent bigram is dealt.
-* All others are dealt by their hash into groups of about ``GROUP_TOKENS`` occurrences. A group
-  holds every occurrence of its bigrams, so it counts them, scores them, and returns sums by document.
+All other words are dealt, each occurrence with the word before it, to groups of about ``GROUP_TOKENS``
+occurrences: a word that is not hot by its hash, a hot one by the hash of its bigram. So a group holds every
+occurrence of a word that is not hot, hence c(w) and all c(v w). It adds -log of the numerator where the word
+stands, and, as the denominator of the next bigram knows its first word only, log(c(w) + MU) if a word follows.
 
 Texts are named by a 64-bit hash and copies add to both sums alike, so they get the same score. A
 null, empty or wordless text has no words and a null score. Repeated and null ids are allowed.
@@ -19,6 +20,8 @@ null, empty or wordless text has no words and a null score. Repeated and null id
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,8 @@ from flowwatch.llm import words as wd
 from flowwatch.llm.tables import parts_for
 from flowwatch.session import materialize
 
+_log = logging.getLogger(__name__)
+
 VOCABULARY_BITS = 20
 HOT = 512
 GROUP_TOKENS = 1 << 20
@@ -38,11 +43,10 @@ _SUMS = "ref long, n long, target double, background double"
 
 
 def _tokens(batches):
-    """The words of each text as ids, packed."""
+    """The words of each text as hashes, packed."""
     for b in wd.slices(batches, "text"):
         w = wd.cut(b.column("text"))
-        ids = (w.hash >> np.uint64(64 - VOCABULARY_BITS)).astype(np.uint32)
-        at = w.first()
+        ids, at = w.hash, w.first()
         some = np.flatnonzero(np.diff(at))
         packed = [ids[at[i] : at[i + 1]].tobytes() for i in some]
         row = pa.array(some)
@@ -54,12 +58,14 @@ class _Docs:
 
     def __init__(self, refs: list[int], marks: list[bool], packed: list[bytes]):
         self.refs, self.marks = np.array(refs, np.int64), np.array(marks, bool)
-        self.ids = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
-        sizes = np.array([len(x) // 4 for x in packed], np.int64)
+        self.ids = np.frombuffer(b"".join(packed), np.uint64)
+        sizes = np.array([len(x) // 8 for x in packed], np.int64)
         self.doc = np.repeat(np.arange(len(packed)), sizes)
-        self.first = np.cumsum(sizes) - sizes
-        self.at = np.flatnonzero(self.doc[1:] == self.doc[:-1])  # first words of bigrams
-        self.v, self.w = self.ids[self.at], self.ids[self.at + 1]
+        # Whether a word stands before, and after.
+        self.prev, self.next = np.ones(len(self.ids), bool), np.ones(len(self.ids), bool)
+        self.prev[np.cumsum(sizes) - sizes] = False
+        self.next[np.cumsum(sizes) - 1] = False
+        self.before = np.where(self.prev, np.roll(self.ids, 1), np.uint64(0))
 
 
 def _runs(batches):
@@ -67,7 +73,7 @@ def _runs(batches):
     for b in batches:
         for ref, mark, ids in zip(b.column("ref").to_pylist(), b.column("is_target").to_pylist(), b.column("ids")):
             refs.append(ref), marks.append(mark), packed.append(ids.as_py())
-            size += len(packed[-1]) // 4
+            size += len(packed[-1]) // 8
             if size >= _FLUSH:
                 yield _Docs(refs, marks, packed)
                 refs, marks, packed, size = [], [], [], 0
@@ -75,125 +81,140 @@ def _runs(batches):
         yield _Docs(refs, marks, packed)
 
 
-def _counts_out(target: np.ndarray, every: np.ndarray) -> pa.RecordBatch:
-    some = np.flatnonzero(every)
-    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(target[some]), pa.array(every[some])], names=["at", "target", "every"])
-
-
-def _count(size: int, keys):
-    """Each task's counts of the numbers that ``keys`` finds in its documents."""
-
-    def run(batches):
-        target, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for d in _runs(batches):
-            found, doc = keys(d)
-            every += np.bincount(found, minlength=size)
-            target += np.bincount(found[d.marks[doc]], minlength=size)
-        yield _counts_out(target, every)
-
-    return run
-
+def _words(batches):
+    """Each run's counts of its words."""
+    for d in _runs(batches):
+        words, which = np.unique(d.ids, return_inverse=True)
+        target, every = np.bincount(which[d.marks[d.doc]], minlength=len(words)), np.bincount(which)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(target), pa.array(every)], names=["word", "target", "every"])
 
-def _gathered(rows: DataFrame, size: int) -> np.ndarray:
-    """Two rows of summed counts; ``size`` numbers each, whatever the corpus."""
-    got = rows.groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
-    out = np.zeros((2, size), np.float64)
-    out[:, got["at"].to_numpy(np.int64)] = got[["target", "every"]].to_numpy(np.float64).T
-    return out
 
+class _Model:
+    """Totals, and the counts of hot words and of their bigrams, for both models at once."""
 
-def _hot(rank: np.ndarray, d: _Docs) -> tuple[np.ndarray, np.ndarray]:
-    """Which bigrams are of two hot words, and their numbers."""
-    a, b = rank[d.v], rank[d.w]
-    both = (a >= 0) & (b >= 0)
-    return both, a[both].astype(np.int64) * HOT + b[both]
+    def __init__(self, totals: np.ndarray, vocabulary: int, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.totals, self.vocabulary = totals, vocabulary
+        self.words, self.counts = words[order], counts[:, order]
+        self.pairs = np.zeros((2, len(words) ** 2))
 
+    def rank(self, w: np.ndarray) -> np.ndarray:
+        """The number of each word among the hot ones, or -1."""
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        return np.where(self.words[at] == w, at, -1) if len(self.words) else np.full(len(w), -1)
 
-class _Model:
-    """Unigram counts and those of hot bigrams, for both models at once."""
+    def hot(self, d: _Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks of the words; which words need no dealing; which end bigrams of two hot words."""
+        rank = self.rank(d.ids)
+        both = d.prev & (rank >= 0) & (np.roll(rank, 1) >= 0)
+        return rank, both | (~d.prev & (rank >= 0)), both
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.totals = words.sum(axis=1, keepdims=True)
-        hot = np.argsort(-words[1], kind="stable")[:HOT]
-        self.rank = np.full(words.shape[1], -1, np.int32)
-        self.rank[hot] = np.arange(len(hot))
-        self.pairs: np.ndarray | None = None
+    def numbers(self, rank: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return np.roll(rank, 1)[both] * len(self.words) + rank[both]
 
-    def first(self, w: np.ndarray) -> np.ndarray:
-        """Smoothed share of each word."""
-        return (self.words[:, w] + ADD) / (self.totals + ADD * self.words.shape[1])
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """Smoothed share of words that have these counts."""
+        return (counts + ADD) / (self.totals + ADD * self.vocabulary)
 
-    def losses(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return -np.log((counts + MU * self.first(w)) / (self.words[:, v] + MU))
 
+def _pairs(model):
+    """Each task's counts of bigrams of two hot words."""
 
-def _hot_keys(rank):
-    def keys(d: _Docs):
-        both, number = _hot(rank.value, d)
-        return number, d.doc[d.at[both]]
+    def run(batches):
+        size = len(model.value.words) ** 2
+        target, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for d in _runs(batches):
+            rank, _, both = model.value.hot(d)
+            found = model.value.numbers(rank, both)
+            every += np.bincount(found, minlength=size)
+            target += np.bincount(found[d.marks[d.doc[both]]], minlength=size)
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(target[some]), pa.array(every[some])], names=["at", "target", "every"])
 
-    return keys
+    return run
 
 
-def _sums(refs: np.ndarray, doc: np.ndarray, losses: np.ndarray) -> dict[str, np.ndarray]:
-    n = np.bincount(doc, minlength=len(refs))
-    some = np.flatnonzero(n)
+def _sums(refs: np.ndarray, doc: np.ndarray, losses: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums by document; ``counts``: which losses stand for a word."""
+    some = np.flatnonzero(np.bincount(doc, minlength=len(refs)))
+    n = np.bincount(doc[counts], minlength=len(refs))
     both = [np.bincount(doc, weights=x, minlength=len(refs))[some] for x in losses]
     return {"ref": refs[some], "n": n[some], "target": both[0], "background": both[1]}
 
 
 def _near(model):
-    """Sums over first words and hot bigrams, which need nothing but the broadcast counts."""
+    """Sums over what needs nothing but the broadcast counts."""
 
     def run(batches):
         m = model.value
         for d in _runs(batches):
-            both, number = _hot(m.rank, d)
-            start = -np.log(m.first(d.ids[d.first]))
-            hot = m.losses(d.v[both], d.w[both], m.pairs[:, number])
-            doc = np.concatenate([np.arange(len(d.refs)), d.doc[d.at[both]]])
-            yield pa.RecordBatch.from_pydict(_sums(d.refs, doc, np.concatenate([start, hot], axis=1)))
+            rank, known, both = m.hot(d)
+            seen = np.zeros((2, len(d.ids)))
+            seen[:, both] = m.pairs[:, m.numbers(rank, both)]
+            share = m.share(m.counts[:, rank[known]])
+            losses = -np.log(np.where(d.prev[known], seen[:, known] + MU * share, share))
+            leads = np.flatnonzero(d.next & (rank >= 0))
+            losses = np.concatenate([losses, np.log(m.counts[:, rank[leads]] + MU)], axis=1)
+            doc = np.concatenate([d.doc[known], d.doc[leads]])
+            yield pa.RecordBatch.from_pydict(_sums(d.refs, doc, losses, np.arange(len(doc)) < known.sum()))
 
     return run
 
 
-def _deal(rank, groups: int):
-    """All other bigrams, packed by group."""
+def _deal(model, groups: int):
+    """All other words with the words before them, packed by group."""
 
     def run(batches):
         for d in _runs(batches):
-            both, _ = _hot(rank.value, d)
-            key = (d.v[~both] << VOCABULARY_BITS) | d.w[~both]
-            doc = d.doc[d.at[~both]].astype(np.int32)
-            group = (wd.mix(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(group, kind="stable")
+            rank, known, _ = model.value.hot(d)
+            at = np.flatnonzero(~known)
+            w, v = d.ids[at], d.before[at]
+            spread = wd.mix(np.where(rank[at] >= 0, wd.mix(v) + w, w))
+            group = (spread % np.uint64(groups)).astype(np.int32)
+            flags = (d.prev[at] + 2 * (d.next[at] & (rank[at] < 0))).astype(np.uint8)
+            order = np.lexsort((w, group))
             begins = np.searchsorted(group[order], np.arange(groups + 1))
-            out = {"part": [], "refs": [], "marks": [], "docs": [], "bigrams": []}
+            out = {name: [] for name in _DEALT.names}
             for g in np.flatnonzero(np.diff(begins)):
                 mine = order[begins[g] : begins[g + 1]]
-                here, doc_at = np.unique(doc[mine], return_inverse=True)
+                here, doc_at = np.unique(d.doc[at[mine]], return_inverse=True)
+                words, times = np.unique(w[mine], return_counts=True)
                 out["part"].append(int(g))
                 out["refs"].append(d.refs[here].tobytes()), out["marks"].append(d.marks[here].tobytes())
-                out["docs"].append(doc_at.astype(np.int32).tobytes()), out["bigrams"].append(key[mine].tobytes())
+                out["words"].append(words.tobytes()), out["times"].append(times.astype(np.int32).tobytes())
+                out["docs"].append(doc_at.astype(np.int32).tobytes()), out["before"].append(v[mine].tobytes()), out["flags"].append(flags[mine].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=_DEALT)
 
     return run
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("refs", pa.binary()), ("marks", pa.binary()), ("docs", pa.binary()), ("bigrams", pa.binary())])
+_PACKED = ["refs", "marks", "words", "times", "docs", "before", "flags"]
+_DEALT = pa.schema([("part", pa.int32()), *((name, pa.binary()) for name in _PACKED)])
 
 
 def _group(model):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        refs = [np.frombuffer(x, np.int64) for x in rows["refs"]]
-        shift = np.cumsum([0, *(len(x) for x in refs)])
-        doc = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(rows["docs"], shift)]).astype(np.int64)
-        marks = np.concatenate([np.frombuffer(x, bool) for x in rows["marks"]])
-        bigrams, which = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in rows["bigrams"]]), return_inverse=True)
-        counts = np.stack([np.bincount(which, weights=marks[doc], minlength=len(bigrams)), np.bincount(which, minlength=len(bigrams))])
-        losses = model.value.losses(bigrams >> VOCABULARY_BITS, bigrams & ((1 << VOCABULARY_BITS) - 1), counts)
-        return pd.DataFrame(_sums(np.concatenate(refs), doc, losses[:, which]))
+        m = model.value
+        flat = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
+        refs, flags = flat("refs", np.int64), flat("flags", np.uint8)
+        shift = np.cumsum([0, *(len(x) // 8 for x in rows["refs"])])[:-1]
+        doc = flat("docs", np.int32) + np.repeat(shift, [len(x) // 4 for x in rows["docs"]])
+        marks = flat("marks", bool)[doc]
+        count = lambda which, size: np.stack([np.bincount(which, weights=marked, minlength=size) for marked in (marks, np.ones(len(marks)))])
+        words, w = np.unique(flat("words", np.uint64), return_inverse=True)
+        w = np.repeat(w, flat("times", np.int32))
+        uses = count(w, len(words))
+        rank = m.rank(words)
+        uses[:, rank >= 0] = m.counts[:, rank[rank >= 0]]
+        _, v = np.unique(flat("before", np.uint64), return_inverse=True)
+        pairs, pair = np.unique(v * len(words) + w, return_inverse=True)
+        # First words of texts fall in with pairs here, so these counts leave them out.
+        prev = (flags & 1) > 0
+        both = np.stack([np.bincount(pair[prev], weights=marked[prev], minlength=len(pairs)) for marked in (marks, np.ones(len(marks)))])
+        share = m.share(uses)[:, w]
+        losses = -np.log(np.where(prev, both[:, pair] + MU * share, share))
+        losses += np.where(flags >= 2, np.log(uses + MU)[:, w], 0)
+        return pd.DataFrame(_sums(refs, doc, losses, np.ones(len(doc), bool)))
 
     return run
 
@@ -210,14 +231,19 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     packed = rows.mapInArrow(_tokens, f"id {id_type}, ref long, ids binary").join(chosen, "id", "left")
     tokens = materialize(packed.select("ref", F.coalesce("is_target", F.lit(False)).alias("is_target"), "ids"), "tokens")
 
-    out = "at long, target long, every long"
-    size = 1 << VOCABULARY_BITS
-    model = _Model(_gathered(tokens.mapInArrow(_count(size, lambda d: (d.ids, d.doc)), out), size))
-    rank = sc.broadcast(model.rank)
-    model.pairs = _gathered(tokens.mapInArrow(_count(HOT * HOT, _hot_keys(rank)), out), HOT * HOT)
+    words = tokens.mapInArrow(_words, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    words = materialize(words, "words")
+    total = words.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("every"), F.lit(0)).alias("every")).first()
+    _log.info("%d distinct words", total["words"])
+    hot = words.orderBy(F.desc("every"), "word").limit(HOT).toPandas()
+    counts = hot[["target", "every"]].to_numpy(np.float64).T
+    model = _Model(np.array([[total["target"]], [total["every"]]], np.float64), max(1 << VOCABULARY_BITS, total["words"]), hot["word"].to_numpy(np.int64).view(np.uint64), counts)
+    ranks = sc.broadcast(model)
+    pairs = tokens.mapInArrow(_pairs(ranks), "at long, target long, every long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
+    model.pairs[:, pairs["at"].to_numpy(np.int64)] = pairs[["target", "every"]].to_numpy(np.float64).T
     full = sc.broadcast(model)
-    groups = parts_for(docs.sparkSession, int(model.totals[1, 0]), GROUP_TOKENS)
-    dealt = tokens.mapInArrow(_deal(rank, groups), "part int, refs binary, marks binary, docs binary, bigrams binary")
+    groups = parts_for(docs.sparkSession, total["every"], GROUP_TOKENS)
+    dealt = tokens.mapInArrow(_deal(ranks, groups), "part int, " + ", ".join(f"{name} binary" for name in _PACKED))
     far = dealt.groupBy("part").applyInPandas(_group(full), _SUMS)
     sums = tokens.mapInArrow(_near(full), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
     copies = tokens.groupBy("ref").agg(F.count(F.lit(1)).alias("copies"))

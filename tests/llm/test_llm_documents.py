@@ -163,6 +163,31 @@ def test_lm_score(spark, data, empty, monkeypatch):
     assert lm_score.score(docs, table.limit(0)).where("score is not null").count() == sum(w[0] > 0 for w in want)
 
 
+def test_lm_score_tells_all_words_apart(spark, data, monkeypatch):
+    """Also words that share the first 20 bits of their hash."""
+    import pyarrow as pa
+
+    from flowwatch.llm import words as wd
+
+    names = [f"q{i}" for i in range(6000)]
+    short, alike = {}, []
+    for name, h in zip(names, wd.cut(pa.array(names)).hash >> 44):
+        alike += [(short[h], name)] if h in short else []
+        short[h] = name
+    assert alike
+    one, two = alike[0]
+    rows = [(r[0], r[1]) for r in data[0] if r[0] is not None] + [(900, f"{one} " * 30 + "w1"), (901, f"{two} " * 30 + "w1"), (902, f"{one} {two}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    targets = {0, 1, 900}
+    table = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    want = sorted((r[0], n, a, b) for r, (n, a, b) in zip(rows, brute.losses(rows, targets, 1 << 20, lm_score.MU, lm_score.ADD)) if n)
+    for hot in (512, 3):
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        got = sorted((r.id, r.n_words, r.target_loss, r.background_loss) for r in lm_score.score(docs, table).collect() if r.n_words)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(x - y) < 2e-6 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
+
+
 @pytest.mark.parametrize(("shards", "each"), [(8, 100_000), (3, 4), (200, 7)])
 def test_sharding(data, empty, shards, each):
     rows, docs = data
