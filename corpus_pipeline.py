@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Page furniture goes; documents that fail the base rules or are depleted go."""
-    return line_frequency.clean(docs)
+    return line_frequency.clean(docs, long_lines=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Lines are normalised (A-Z as a-z, digits as 0, runs of white space as one space) and hashed. For each
 host the distinct documents that have a line are counted. A line of up to ``max_words`` words that
 more than ``max_docs`` documents of the host share is page furniture and is removed; longer lines are
-passages, whose copies the near-duplicate operators handle. A document that loses more than
+passages, whose copies the near-duplicate operators handle. With ``long_lines`` lines of every length are
+counted. So that copies are not rejected with their representative, the documents of which frequent lines
+make up more than half then count as one document for longer lines. A document that loses more than
 half of its words is depleted and is rejected, as are the documents that fail the base rules: fewer than
 50 words, or more than half of the words in three-word windows that occur twice or more.
 
@@ -73,30 +75,63 @@ def _host(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
-def _short_lines(docs: DataFrame, host: str, text: str, max_words: int) -> DataFrame:
-    """host, text_key, place, hash and words of each normalised line of 1 to ``max_words`` words."""
-    lines = docs.where(F.col(text).isNotNull()).select(
-        _host(host).alias("host"), text_key(F.col(text)).alias("text_key"), F.posexplode(_lines(F.col(text))).alias("place", "line")
-    )
-    counted = held(lines, "words", F.size(_words(F.col("line")))).where((F.col("words") > 0) & (F.col("words") <= max_words))
-    return counted.withColumn("line", F.xxhash64(_normal(F.col("line"))))
+def _counted_lines(docs: DataFrame, host: str, text: str, max_words: int | None, with_total: bool = False) -> DataFrame:
+    """host, text_key, words of the text or null, place, hash and words of each normalised line of 1 to ``max_words`` words, or of 1 or more."""
+    (total,) = fresh(docs, "_total")
+    docs = docs.where(F.col(text).isNotNull())
+    size = F.lit(None).cast("int")
+    if with_total:
+        docs, size = held(docs, total, F.size(_words(F.col(text)))), F.col(total)
+    lines = docs.select(_host(host).alias("host"), text_key(F.col(text)).alias("text_key"), size.alias("total"), F.posexplode(_lines(F.col(text))).alias("place", "line"))
+    fits = F.col("words") > 0 if max_words is None else (F.col("words") > 0) & (F.col("words") <= max_words)
+    return held(lines, "words", F.size(_words(F.col("line")))).where(fits).withColumn("line", F.xxhash64(_normal(F.col("line"))))
+
+
+def _frequent(docs: DataFrame, host: str, text: str, max_words: int | None, max_docs: int) -> DataFrame:
+    """(host, line, words): lines that more texts have."""
+    seen = _counted_lines(docs, host, text, max_words).select("host", "line", "text_key", "words").distinct()
+    return seen.groupBy("host", "line", "words").count().where(F.col("count") > max_docs).drop("count")
+
+
+def _places(docs: DataFrame, host: str, text: str, max_docs: int) -> DataFrame:
+    """All places of frequent lines of any length."""
+    often = materialize(_frequent(docs, host, text, None, max_docs).drop("words"), "often")
+    return materialize(_counted_lines(docs, host, text, None, with_total=True).join(often, ["host", "line"]).distinct(), "places")
+
+
+def _not_of_copies(places: DataFrame, max_words: int, max_docs: int) -> DataFrame:
+    """(host, line): of frequent lines those above the limit when copies count as one document for long lines."""
+    lost = places.groupBy("host", "text_key", "total").agg(F.sum("words").alias("lost")).where("lost * 2 > total")
+    shown = places.where(F.col("words") > max_words).select("host", "line", "text_key").distinct().join(lost.select("host", "text_key", F.lit(1).alias("copy")), ["host", "text_key"], "left")
+    n = F.count_if(F.col("copy").isNull()) + F.coalesce(F.max("copy"), F.lit(0))
+    counted = shown.groupBy("host", "line").agg(n.alias("n")).where(F.col("n") > max_docs)
+    return places.where(F.col("words") <= max_words).select("host", "line").distinct().unionAll(counted.select("host", "line"))
 
 
-def furniture(docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS) -> DataFrame:
+def furniture(
+    docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS, long_lines: bool = False
+) -> DataFrame:
     """(host, line): hashes of the lines above the limit."""
-    seen = _short_lines(docs, host, text, max_words).select("host", "line", "text_key").distinct()
-    return seen.groupBy("host", "line").count().where(F.col("count") > max_docs).select("host", "line")
+    if long_lines:
+        return _not_of_copies(_places(docs, host, text, max_docs), max_words, max_docs)
+    return _frequent(docs, host, text, max_words, max_docs).drop("words")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS) -> DataFrame:
+def judge(
+    docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS, long_lines: bool = False
+) -> DataFrame:
     """The documents with structs ``base`` and ``lines``.
 
     ``lines`` holds removed (hashes of the lines to remove, or null), n_removed_words and kept, the
     verdict on the document. Columns of these two names are replaced.
     """
     h, k, gone = fresh(docs, "_host", "_key", "_gone")
-    often = materialize(furniture(docs, host, text, max_words, max_docs), "furniture")
-    hit = _short_lines(docs, host, text, max_words).join(often, ["host", "line"]).distinct()  # repeated rows fall together
+    if long_lines:
+        places = _places(docs, host, text, max_docs)
+        often = _not_of_copies(places, max_words, max_docs)
+    else:
+        places, often = _counted_lines(docs, host, text, max_words), furniture(docs, host, text, max_words, max_docs)
+    hit = places.join(materialize(often, "furniture"), ["host", "line"]).distinct()  # repeated rows fall together
     lost = hit.groupBy("host", "text_key").agg(F.sum("words").alias("words"), F.collect_set("line").alias("removed"))
     lost = lost.select(F.col("host").alias(h), F.col("text_key").alias(k), F.struct("words", "removed").alias(gone))
     # The base rules come before the join: a caller who drops the text does not shuffle it.
@@ -110,9 +145,11 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_words:
     return rows.withColumn("lines", verdict).drop(h, k, gone)
 
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS) -> DataFrame:
+def clean(
+    docs: DataFrame, host: str = "source", text: str = "text", max_words: int = MAX_WORDS, max_docs: int = MAX_DOCS, long_lines: bool = False
+) -> DataFrame:
     """The kept documents, without the lines above the limit; same columns."""
-    judged = judge(docs, host, text, max_words, max_docs).where("lines.kept")
-    stays = F.filter(_lines(F.col(text)), lambda x: (F.size(_words(x)) > max_words) | ~F.array_contains("lines.removed", F.xxhash64(_normal(x))))
+    judged = judge(docs, host, text, max_words, max_docs, long_lines).where("lines.kept")
+    stays = F.filter(_lines(F.col(text)), lambda x: (F.lit(not long_lines) & (F.size(_words(x)) > max_words)) | ~F.array_contains("lines.removed", F.xxhash64(_normal(x))))
     cleaned = F.when(F.col("lines.removed").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
     return judged.withColumn(text, cleaned).select(*docs.columns)

@@ -82,6 +82,28 @@ def test_line_frequency(data, empty):
     assert line_frequency.clean(empty).count() == 0
 
 
+def test_long_lines_that_many_documents_share(spark):
+    """A long notice goes, pages of little else are depleted, a group of near copies stays whole."""
+    import random
+
+    rng = random.Random(6)
+    prose = lambda n: samples.prose(rng, n, 100_000).replace("w", "").translate(str.maketrans("0123456789", "abcdefghij"))
+    notice, copies = prose(40), [prose(30) for _ in range(4)]
+    rows = [(i, f"{prose(60)}\n{notice}\n{prose(5)}", "h") for i in range(12)]
+    want = {i: "\n".join(t.split("\n")[::2]) for i, t, _ in rows}
+    rows.append((12, f"{notice}\n{prose(20)}", "h"))
+    rows.append((13, f"{notice}\n{prose(20)}", "other"))
+    rows += [(i, "\n".join([*copies, prose(8)]), "h") for i in range(20, 35)]
+    want |= {r[0]: r[1] for r in rows if r[0] >= 13}
+    docs = samples.clashing(spark.createDataFrame(rows * 2, "doc_id long, text string, source string").repartition(3))
+    assert {r.doc_id: r.text for r in line_frequency.clean(docs, long_lines=True).collect()} == want
+    import corpus_pipeline
+
+    assert {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == want
+    plan = line_frequency.clean(docs, long_lines=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_quality_rules_run_no_python(data):
     plan = line_frequency.clean(data[1])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
