@@ -170,6 +170,24 @@ def test_licences(spark, data, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_licences(spark):
+    """Notices and licence texts broken into lines inside a long file."""
+    import random
+    import textwrap
+
+    rng = random.Random(7)
+    known = dict(licences.TEMPLATES)
+    filler = lambda: "\n".join(samples.prose(rng, 12) for _ in range(40))
+    wrap = lambda name, width: "\n".join("# " + x for x in textwrap.wrap(known[name], width))
+    wanted = {0: "apache-2.0-header", 1: "mit-text", 2: "isc", 3: "mpl-2.0-notice", 4: "apache-2.0-notice"}
+    rows = [(i, f"{filler()}\n{wrap(name, 40 + i)}\n{filler()}") for i, name in wanted.items()] + [(9, filler())]
+    got = {r.doc_id: r.licences for r in licences.label(spark.createDataFrame(rows * 2, "doc_id long, text string"), licences.TEMPLATES).collect()}
+    for i, name in wanted.items():
+        hits = [m for m in got[i].matches if m.licence == name]
+        assert [(m.unit, m.dice) for m in hits] == [(40, 1.0)], name
+    assert got[9].matches == []
+
+
 def test_lm_score(spark, data, empty, monkeypatch):
     rows, docs = data
     targets = {0, 1, 2, 14, 15, 31}
