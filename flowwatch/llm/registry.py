@@ -13,9 +13,12 @@ from flowwatch.llm import (
     line_frequency,
     line_templates,
     lm_score,
+    merkle,
     pieces,
     quality_classifier,
     sharding,
+    simhash,
+    token_align,
     url_filter,
 )
 from flowwatch.llm.tables import read
@@ -151,3 +154,29 @@ def op10_quality_classifier(spark, sf):
     return scored.select(
         F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    """Trees by language; in one document of seven the count of characters is changed after the manifest was made."""
+    docs = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = {c: F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in fields}
+    tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0, merkle.leaf(*changed.values()))
+    manifest = merkle.build(docs, "lang", "doc_id", merkle.leaf(*map(F.col, fields)), tampered)
+    audited = merkle.audit(manifest)
+    return audited.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+@query
+def op12_simhash(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, n=3, within=2).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_token_align(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return token_align.score(docs).withColumnRenamed("id", "doc_id")
