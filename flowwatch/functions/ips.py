@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DOTTED = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
@@ -19,6 +19,7 @@ _V6 = (
     rf"|(?!(?::*{_H}:){{6}})(?:{_H}(?::{_H})*)?::(?:{_H}:)*{_DOTTED}){_SCOPE}\z"
 )
 _MAPPED = "0" * 20 + "ffff"
+_MOST_IN_ARRAY = 1 << 20
 
 # The IANA special-purpose IPv4 blocks that are not globally reachable.
 _PRIVATE_V4 = [
@@ -171,7 +172,8 @@ def cidr_hosts(cidr: Column, limit: int | None = None) -> Column:
 
     Network and broadcast addresses are left out, except in /31 (both are hosts)
     and /32 (the address itself). Host bits in the text are ignored. Bad text
-    gives NULL, which ``explode`` drops.
+    gives NULL, which ``explode`` drops. The array is for small networks: without a limit, one of over
+    a million hosts is an error; ``expand_targets`` gives those, and IPv6, row by row.
     """
     address = F.substring_index(cidr, "/", 1)
     length = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(32)
@@ -182,6 +184,74 @@ def cidr_hosts(cidr: Column, limit: int | None = None) -> Column:
     inner = length <= 30
     low = F.when(inner, first + 1).otherwise(first)
     high = F.when(inner, last - 1).otherwise(last)
-    high = high if limit is None else F.least(high, low + (limit - 1))
+    if limit is None:
+        high = F.when(high - low < _MOST_IN_ARRAY, high).otherwise(F.raise_error(F.concat(F.lit("too many hosts for an array: "), cidr)).cast("bigint"))
+    else:
+        high = F.least(high, low + (limit - 1))
     hosts = F.transform(F.sequence(low, high), long_to_ipv4)
     return F.when(number.isNotNull() & length.between(0, 32), hosts)
+
+
+def _signed(digits: Column) -> Column:
+    """A 64-bit number from 16 hex digits."""
+    return F.conv(digits, 16, -10).try_cast("bigint")
+
+
+def _digits(number: Column) -> Column:
+    return F.lpad(F.lower(F.hex(number)), 16, "0")
+
+
+def hex_to_text(digits: Column) -> Column:
+    """The usual text of an address from its 32 hex digits."""
+
+    def shorten(text: Column) -> Column:
+        # The longest run of zero groups, the first of several, becomes two colons.
+        out = text
+        for n in range(2, 9):
+            run = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}((?::[0-9a-f]+)*)$"
+            found = F.concat(F.regexp_extract(text, run, 1), F.lit(":"), F.regexp_extract(text, run, 2))
+            whole = F.when(found.startswith(":"), F.concat(F.lit(":"), found)).otherwise(found)
+            out = F.when(text.rlike(run), F.when(whole.endswith(":"), F.concat(whole, F.lit(":"))).otherwise(whole)).otherwise(out)
+        return F.regexp_replace(out, ":::+", "::")
+
+    v4 = F.concat_ws(".", *(F.conv(F.substring(digits, i, 2), 16, 10) for i in (25, 27, 29, 31)))
+    groups = [F.regexp_replace(F.substring(digits, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
+    v6 = _let(F.concat_ws(":", *groups), shorten)
+    return F.when(digits.startswith(_MAPPED), F.concat(F.lit("::ffff:"), v4)).otherwise(v6)
+
+
+def expand_targets(rows: DataFrame, column: str, limit: int | None = None, name: str = "host") -> DataFrame:
+    """The rows with each host address of the network or single address in ``column``, lowest first.
+
+    IPv4 without network and broadcast address, IPv6 without the first address of a network; of /31, /127, /32, /128 and
+    single addresses all. Host bits are ignored. Rows with bad text go. ``limit``: at most so many hosts of each.
+
+    Hosts come out of nested generators of at most 65,536 values, so no network is held as an array. Without a
+    limit its parts are dealt to all tasks first.
+    """
+    text = F.trim(F.col(column))
+    address, bare = F.substring_index(text, "/", 1), ~text.contains("/")
+    asked = F.regexp_extract(text, r"^[^/]*/(\d{1,3})$", 1).try_cast("int")
+    scope = F.when(bare, F.regexp_extract(address, "%.*$", 0)).otherwise("")
+    v4 = is_ipv4(address)
+    width = F.when(v4, 32).when(is_ipv6(address) & (bare | ~address.contains("%")), 128)
+    kept = rows.withColumns({"_v4": v4, "_scope": scope, "_width": width, "_bits": width - F.when(bare, width).otherwise(asked), "_hex": address_hex(address)})
+    kept = kept.filter("_bits between 0 and _width")
+    high, low = _signed(F.substring("_hex", 1, 16)), _signed(F.substring("_hex", 17, 16))
+    # Host bits off: those of the low half, and those of the high half where there are more than 64.
+    low = F.expr("case when _bits < 64 then shiftleft(-1L, _bits) else 0L end").bitwiseAND(low)
+    high = F.expr("case when _bits <= 64 then -1L when _bits < 128 then shiftleft(-1L, _bits - 64) else 0L end").bitwiseAND(high)
+    size = F.expr("case when _bits < 62 then shiftleft(1L, _bits) else shiftleft(1L, 62) end")
+    first = F.expr("if(_bits < 2, 0L, 1L)")
+    last = size - F.expr("if(_v4 and _bits > 1, 2L, 1L)")
+    last = last if limit is None else F.least(last, first + (limit - 1))
+    now = kept.withColumns({"_high": high, "_low": low, "_a": first, "_b": last})
+    for shift in (48, 32, 16):
+        now = now.withColumn("_k", F.explode(F.expr(f"sequence(shiftright(_a, {shift}), shiftright(_b, {shift}))")))
+        now = now.withColumns({"_a": F.greatest("_a", F.expr(f"shiftleft(_k, {shift})")), "_b": F.least("_b", F.expr(f"shiftleft(_k + 1, {shift}) - 1"))})
+    if limit is None:
+        now = now.repartition(*rows.columns, "_k")
+    now = now.withColumn("_k", F.explode(F.sequence("_a", "_b")))
+    found = F.concat(_digits(F.col("_high")), _digits(F.col("_low") + F.col("_k")))
+    host = F.when(F.col("_v4"), long_to_ipv4((F.col("_low") + F.col("_k")).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.concat(hex_to_text(found), F.col("_scope")))
+    return now.select(*rows.columns, host.alias(name))

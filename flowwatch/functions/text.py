@@ -12,7 +12,7 @@ ANOMALY_LINE = (
     "unique_dports_15s=%d direction=%s score=%.3f severity=%s"
 )
 SIGNATURE_LINE = 'SIGNATURE: %s severity=%s | %s -> %s dport=%d desc="%s"'
-LABEL_WITH_SCORE = r"(?i)^(.*)\s+score=([-+]?\d*\.?\d+(?:e[-+]?\d+)?)"
+SCORE_MARK = " score="
 
 
 def anomaly_line(
@@ -56,15 +56,22 @@ def signature_label(name: Column, dest: Column, dport: Column) -> Column:
     return F.format_string("%s %s:%d", name, dest, dport.cast("int"))
 
 
-def label_text(label: Column) -> Column:
-    """The part before " score=", or the whole label."""
-    label = F.coalesce(label, F.lit(""))
-    return F.when(label.rlike(LABEL_WITH_SCORE), F.trim(F.regexp_extract(label, LABEL_WITH_SCORE, 1))).otherwise(label)
+def _behind_mark(label: Column) -> Column:
+    """What follows the last " score=" in letters of either case, or NULL."""
+    folded = F.translate(label, "SCORE", "score")
+    rest = F.length(F.substring_index(folded, SCORE_MARK, -1))
+    return F.when(folded.contains(SCORE_MARK), F.right(label, rest))
 
 
 def label_score(label: Column) -> Column:
-    """The number after " score=", or NULL."""
-    return text_to_double(F.regexp_extract(F.coalesce(label, F.lit("")), LABEL_WITH_SCORE, 2))
+    """The number that follows the last " score=", or NULL."""
+    return text_to_double(F.regexp_substr(_behind_mark(label), F.lit("^[-+.0-9eE]+")))
+
+
+def label_text(label: Column) -> Column:
+    """The part before the score, or the whole label where there is none."""
+    head = F.substring(label, F.lit(1), F.length(label) - F.length(_behind_mark(label)) - len(SCORE_MARK))
+    return F.when(label_score(label).isNotNull(), F.trim(head)).otherwise(F.coalesce(label, F.lit("")))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -97,6 +97,18 @@ def merge_scan(current: DataFrame, services: DataFrame, as_of: Column) -> DataFr
     )
 
 
+def ensure_devices(current: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Requests (ip, name) applied to the devices, as a user would make them.
+
+    A name goes to a device that exists. A request without one makes sure that the device exists and
+    counts as seen at ``as_of``. Blank addresses are ignored.
+    """
+    asked = requests.select(F.trim("ip").alias("ip"), F.trim(F.coalesce("name", F.lit(""))).alias("name")).filter("ip <> ''")
+    touched = asked.filter("name = ''").select("ip").distinct()
+    touched = touched.select("ip", as_of.alias("first_seen"), as_of.alias("last_seen"), F.lit("").alias("name"))
+    return rename_devices(merge_devices(current, touched), asked)
+
+
 def newest_devices(devices: DataFrame, limit: int | None = None) -> DataFrame:
     ordered = devices.orderBy(F.col("last_seen").desc(), F.col("ip"))
     return ordered if limit is None else ordered.limit(limit)

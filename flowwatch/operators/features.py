@@ -10,6 +10,7 @@ from flowwatch.schemas import FEATURES
 from flowwatch.session import materialize
 
 HORIZON_US = 15_000_000
+SKETCH_BITS = 12
 SENSOR = ["sensor_id"]
 SOURCE = ["sensor_id", "src_ip"]
 _REQUIRED = ["ts_us", "src_ip", "packet_size", "sport", "seq", "sensor_id"]
@@ -361,6 +362,24 @@ def dports_per_source(df: DataFrame, approximate: bool = False) -> DataFrame:
     return df.groupBy("src_ip").agg(count.alias("unique_dports"))
 
 
+def port_sketches(df: DataFrame, slot_us: int = HORIZON_US) -> DataFrame:
+    """A HyperLogLog sketch of the ports of each (source, time slot), a table to keep.
+
+    Sketches of any slots of a source merge, so a range of time is answered without its packets.
+    """
+    return df.groupBy("src_ip", F.expr(f"ts_us div {slot_us}").alias("slot")).agg(F.hll_sketch_agg("dport", F.lit(SKETCH_BITS)).alias("ports"))
+
+
+def ports_from_sketches(sketches: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Estimated distinct ports per source over the slots ``first`` to ``last``, by default all."""
+    chosen = sketches
+    if first is not None:
+        chosen = chosen.filter(F.col("slot") >= first)
+    if last is not None:
+        chosen = chosen.filter(F.col("slot") <= last)
+    return chosen.groupBy("src_ip").agg(F.hll_sketch_estimate(F.hll_union_agg("ports")).alias("estimate"))
+
+
 def with_batch_dports(df: DataFrame, horizon_us: int = HORIZON_US, name: str = "unique_dports_15s") -> DataFrame:
     """One cutoff for the whole table: ports per source in its last 15 seconds, on every row."""
     cutoff = df.agg((F.max("ts_us") - horizon_us).alias("cutoff")).scalar()

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from flowwatch.schemas import NODE
 
 SUBSAMPLE = 256
 EULER_GAMMA = 0.5772156649015329
 _HEX_DIGITS = 15
-_HASH_RANGE = float(16**_HEX_DIGITS)
 _PRIME = (1 << 31) - 1
+_SAMPLE_ROWS = 4096
+_MERGE_GROUPS = 64
 
 
 def average_path(n):
@@ -49,41 +53,63 @@ def sample_trees(
 
     Every row gets one md5 of the seed and its key, cut in two numbers. A tree orders rows
     by a linear hash of the two modulo a prime, with the tree's own random factors, and
-    takes the smallest. So a sample depends on neither partitioning nor row order.
+    takes the smallest. So a sample depends on neither partitioning nor row order, and the rule is the same for
+    tables of any size.
+
+    Each task holds the smallest rows of each tree as it reads, ``subsample`` of them and ties; what tasks hold is merged in two
+    steps, first by tree and a few groups of tasks, then by tree.
     """
     psi = min(subsample, n_rows)
-    pool_rows = 4 * psi * n_trees
-    hashed = rows.withColumn("_hash", row_hash(F.lit(seed), *[F.col(k) for k in key]))
-    if n_rows > pool_rows:
-        # A threshold that each task applies alone leaves about pool_rows rows.
-        hashed = hashed.filter(F.col("_hash") <= f"{int(_HASH_RANGE * (pool_rows / n_rows)):0{_HEX_DIGITS}x}")
     halves = {
-        f"_{n}": F.conv(F.substring("_hash", at, 7), 16, 10).cast("bigint") for n, at in (("high", 1), ("low", 8))
+        f"_{n}": F.conv(F.substring(row_hash(F.lit(seed), *[F.col(k) for k in key]), at, 7), 16, 10).cast("bigint")
+        for n, at in (("high", 1), ("low", 8))
     }
-    # The pool is small and is about to grow by the number of trees, so it is spread out first.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    pool = hashed.withColumns(halves).drop("_hash").repartition(cores, *key)
-    trees = ", ".join(
-        f"named_struct('tree_id', {t}, '_a', {a}L, '_b', {b}L)"
-        for t in range(n_trees)
-        for a, b in [tree_factors(seed, t)]
-    )
-    dealt = pool.selectExpr("*", f"inline(array({trees}))").withColumn(
-        "_order", F.expr(f"(_high * _a + _low * _b) % {_PRIME}L")
-    )
-    # Only the smallest can be kept, so most candidates need no ranking. The share is set for
-    # four times the sample and some more, too many for chance to fall short.
-    share = (4 * psi + 100) / min(n_rows, pool_rows)
-    if share < 0.5:
-        dealt = dealt.filter(F.col("_order") <= int(share * _PRIME))
-    # One partitioning serves the ranking and the growing of trees.
-    dealt = dealt.repartition(max(1, min(n_trees, cores)), "tree_id")
-    w = Window.partitionBy("tree_id").orderBy("_order", *key)
-    return (
-        dealt.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= psi)
-        .drop("_order", "_high", "_low", "_a", "_b")
-    )
+    hashed = rows.withColumns(halves)
+    factors = np.array([tree_factors(seed, t) for t in range(n_trees)], dtype=np.int64).reshape(-1, 2)
+    kept = StructType([*hashed.schema.fields, StructField("tree_id", IntegerType()), StructField("_order", LongType())])
+    held = hashed.mapInArrow(_smallest(factors, psi), kept).withColumn("_group", F.spark_partition_id() % _MERGE_GROUPS)
+    some = _lowest(held, ["tree_id", "_group"], key, psi)
+    return _lowest(some, ["tree_id"], key, psi).drop("_order", "_high", "_low", "_group")
+
+
+def _lowest(rows: DataFrame, keys: list[str], key: tuple[str, ...], psi: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("_order", *key)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= psi)
+
+
+def _smallest(factors: np.ndarray, psi: int):
+    """Of the rows of a task, for each tree the ``psi`` smallest in its order and those that tie with the last of them."""
+    a, b = factors.T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Above its cut no row can be among a tree's smallest any more.
+        cut = np.full(len(a), _PRIME, dtype=np.int64)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SAMPLE_ROWS):
+                part = batch.slice(at, _SAMPLE_ROWS)
+                high, low = (part.column(n).to_numpy()[:, None] for n in ("_high", "_low"))
+                order = (high * a + low * b) % _PRIME
+                row, tree = np.nonzero(order <= cut)
+                found = part.take(pa.array(row))
+                held.append(found.append_column("tree_id", pa.array(tree, pa.int32())).append_column("_order", pa.array(order[row, tree])))
+                if sum(h.num_rows for h in held) > 2 * psi * len(a) + _SAMPLE_ROWS:
+                    held = [_pruned(held, cut, psi)]
+        if held:
+            yield _pruned(held, cut, psi)
+
+    return run
+
+
+def _pruned(held: list[pa.RecordBatch], cut: np.ndarray, psi: int) -> pa.RecordBatch:
+    """The rows that can still count; lowers the cut of each tree that has enough."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    tree, order = (rows.column(n).to_numpy() for n in ("tree_id", "_order"))
+    by = np.lexsort((order, tree))
+    first = np.searchsorted(tree[by], np.arange(len(cut) + 1))
+    full = np.flatnonzero(np.diff(first) >= psi)
+    cut[full] = order[by[first[full] + psi - 1]]
+    return rows.filter(pa.array(order <= cut[tree])).combine_chunks().to_batches(max_chunksize=None)[0] if len(order) else held[0]
 
 
 def grow_tree(tree_id: int, x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
@@ -180,14 +206,18 @@ class Forest:
 
 
 def raw_score(rows: DataFrame, forest: Forest, scaled: list[Column]) -> Column:
-    """Score of the scaled features. The forest is sent to each executor once."""
+    """Score of the scaled features. The forest is sent to each executor once.
+
+    Marked as not deterministic, though it is: a filter on the score is then not moved below it with a copy of the walk,
+    so each row walks the forest once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(*features: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(np.column_stack([f.to_numpy() for f in features])))
 
-    return score(*scaled)
+    return score.asNondeterministic()(*scaled)
 
 
 def _running(partition: list[str], order: str) -> Window:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowwatch.operators.folds import BLOCK_ROWS, KEEP, Machine, fold_commands
+from flowwatch.operators.folds import BLOCK_ROWS, KEEP, Machine, fold_commands, fold_onward
 
 LOCK_AFTER = 5
 LOCK_MINUTES = 15.0
@@ -38,14 +38,33 @@ def login_verdicts(
     whole seconds.
     """
     machine = lockout_machine(lock_after, int(lock_minutes * 60))
-    rows = logins.select(
+    return _verdicts(fold_commands(_attempts(logins), machine, block_rows), lock_after)
+
+
+def lockout_onward(
+    logins: DataFrame, carried: DataFrame, lock_after: int = LOCK_AFTER, lock_minutes: float = LOCK_MINUTES
+) -> tuple[DataFrame, DataFrame]:
+    """The verdicts from the states (key, state, until) that earlier attempts have left, and those that are left now.
+
+    A state is the number of failures in a row, or ``lock_after`` with the end of the lock. This runs jobs.
+    """
+    machine = lockout_machine(lock_after, int(lock_minutes * 60))
+    folded, left = fold_onward(_attempts(logins), carried, machine, "lockout")
+    return _verdicts(folded, lock_after), left
+
+
+def _attempts(logins: DataFrame) -> DataFrame:
+    return logins.select(
         F.col("username").alias("key"),
         F.unix_seconds("ts").alias("tick"),
         "seq",
         F.col("ok").cast("int").alias("op"),
         F.lit(0).cast("bigint").alias("arg"),
     )
-    return fold_commands(rows, machine, block_rows).select(
+
+
+def _verdicts(folded: DataFrame, lock_after: int) -> DataFrame:
+    return folded.select(
         F.col("key").alias("username"),
         "seq",
         F.timestamp_seconds("tick").alias("ts"),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from flowwatch.session import materialize
 
+# Spark reads no folder whose name begins so.
+_DROPPED = "_dropped-"
+
 
 def is_old(ts: Column, days: int | None, as_of: Column, granularity: str = "day") -> Column:
     """Older than ``days`` before ``as_of``; never, for 0 or None.
@@ -38,18 +43,29 @@ def deleted_counts(
     return a.unionByName(b).agg(F.count_if("a").alias("alerts"), F.count_if("b").alias("blocks"))
 
 
-def drop_dates(spark: SparkSession, path: str, days: int, as_of: Column, column: str = "event_date") -> DataFrame:
-    """Drops the dates older than ``days`` from a table kept in folders by date.
+def drop_dates(spark: SparkSession, path: str, days: int | None, as_of: Column, column: str = "event_date") -> DataFrame:
+    """Drops the dates older than ``days`` from a table kept in folders by date; none, for 0 or None.
 
-    Returns (date, n_rows) for each. Only these dates are read, to count them; the others are neither read nor written. A run
-    that was cut short can be run again.
+    Returns (date, n_rows) for each. Only these dates are read, to count them; the others are neither read nor written.
+    A date leaves the table in one step: its folder is renamed to a name that readers skip, so
+    they list it whole or not at all, and then deleted. A run that was cut short can be run again; what it left behind goes then.
     """
+    if days is not None and days < 0:
+        raise ValueError("a table cannot be kept for a negative number of days")
     table = spark.read.parquet(path)
+    if not days:
+        return table.limit(0).groupBy(column).agg(F.count("*").alias("n_rows"))
     old = table.filter(F.col(column) < F.to_date(as_of - F.make_dt_interval(days=F.lit(int(days)))))
     gone = materialize(old.groupBy(column).agg(F.count("*").alias("n_rows")), "dropped-dates")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for row in gone.select(column).collect():  # as many as there are dates
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={row[0]}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = at(f"{path}/{column}={row[0]}")
+        if fs.exists(folder) and not fs.rename(folder, at(f"{path}/{_DROPPED}{uuid.uuid4().hex}")):
+            raise OSError(f"{folder} could not be taken out of the table")
+    for left in fs.listStatus(at(path)):
+        if left.getPath().getName().startswith(_DROPPED):
+            fs.delete(left.getPath(), True)
     return gone
 
 

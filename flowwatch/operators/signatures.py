@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowwatch.functions.ports import SENSITIVE_PORTS
 from flowwatch.operators.features import zero_filled
+from flowwatch.operators.ordered import keep_first
 
 # Rule names, severities and descriptions.
 PORT_SCAN = (
@@ -25,6 +27,43 @@ SENSITIVE_PORT = (
 )
 
 
+# Functions that end a job whatever the mode, and have no form that gives NULL instead.
+_RAISING = ("raise_error", "assert_true")
+
+
+def _matching(fn: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> np.ndarray:
+    """Where the function holds. Parts on which it raises are tried again by halves."""
+    out = np.zeros(len(batch), dtype=bool)
+    parts = [(0, len(batch))] if len(batch) else []
+    while parts:
+        low, high = parts.pop()
+        try:
+            found = pd.Series(fn(batch.iloc[low:high].reset_index(drop=True)))
+            if len(found) != high - low:
+                raise ValueError("a rule returns one value for each row")
+            out[low:high] = found.where(found.notna(), False).astype(bool).to_numpy()
+        except Exception:
+            if high - low > 1:
+                mid = (low + high) // 2
+                parts += [(low, mid), (mid, high)]
+    return out
+
+
+@contextmanager
+def _lenient(spark: SparkSession) -> Iterator[None]:
+    """While a plan is built here, arithmetic, casts and element access give NULL where they would fail.
+
+    Expressions take the mode of the moment they are resolved, so the plan keeps it later on.
+    """
+    name = "spark.sql.ansi.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A predicate with a name. ``context`` adds window columns the predicate needs."""
@@ -37,20 +76,17 @@ class Rule:
 
     @classmethod
     def from_function(
-        cls, name: str, severity: str, description: str, fn: Callable[[dict], bool], columns: list[str]
+        cls, name: str, severity: str, description: str, fn: Callable[[pd.DataFrame], pd.Series], columns: list[str]
     ) -> "Rule":
-        """A rule from a Python function of one row's columns. A row on which the function
-        raises does not match."""
+        """A rule from a Python function of whole columns: it gets a frame of them and returns a boolean for each row.
+
+        A row on which the function raises does not match. Only a batch on which it raises is cut
+        in halves, down to the rows that make it raise.
+        """
 
         @F.pandas_udf("boolean")
         def matches(batch: pd.DataFrame) -> pd.Series:
-            def one(row: dict) -> bool:
-                try:
-                    return bool(fn(row))
-                except Exception:
-                    return False
-
-            return pd.Series([one(row) for row in batch.to_dict("records")], dtype="bool")
+            return pd.Series(_matching(fn, batch), dtype="bool")
 
         return cls(name, severity, description, matches(F.struct(*columns)))
 
@@ -72,8 +108,20 @@ def evaluate(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """One output row per packet and matching rule, in rule order.
 
     Columns ``rule_no, rule, rule_severity, description`` are added. A predicate that is
-    NULL does not match.
+    NULL does not match, nor does one that cannot be computed on a row, such as a division by zero or a bad cast: it
+    is resolved in the mode that gives NULL for these. A rule that calls a function made to end the job is refused
+    before anything runs.
     """
+    for rule in rules:
+        for column in (rule.predicate, *rule.context.values()):
+            raising = [f for f in _RAISING if f"{f}(" in str(column)]
+            if raising:
+                raise ValueError(f"rule {rule.name} would end the job on some rows: {raising[0]}")
+    with _lenient(rows.sparkSession):
+        return _evaluated(rows, rules)
+
+
+def _evaluated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     for column in ("unique_dports_15s", "direction", "dport"):
         if column not in rows.columns:
             rows = rows.withColumn(column, F.lit(0.0))
@@ -130,12 +178,9 @@ def rate_limited(hits: DataFrame, seconds: float = 5.0) -> DataFrame:
     the data spans and is read as a sorted stream, never held as a group.
     """
     keys = ["rule", "src_ip", "dest_ip"]
-    per_second = (
-        hits.withColumn("second", F.expr("ts_us div 1000000"))
-        .groupBy(*keys, "second")
-        .agg(F.min(F.struct("ts_us", "seq", "sensor_id", "dport", "rule_severity", "description")).alias("hit"))
-        .select(*keys, "second", "hit.*")
-    )
+    rest = ["ts_us", "seq", "sensor_id", "dport", "rule_severity", "description"]
+    seconds_of = hits.withColumn("second", F.expr("ts_us div 1000000")).select(*keys, "second", *rest)
+    per_second = keep_first(seconds_of, [*keys, "second"], [F.col(c) for c in rest])
     return (
         per_second.repartition(*keys)
         .sortWithinPartitions(*keys, "second")

@@ -309,11 +309,21 @@ SELECT seq, CASE WHEN a > 255 OR b > 255 THEN 'invalid' WHEN a = 127 THEN 'loopb
   SELECT DISTINCT dest_ip, 22 + k % 11 AS len FROM ev), num AS (
   SELECT dest_ip || '/' || len AS cidr, len, 1::BIGINT << (32 - len) AS span,
     CAST(split_part(dest_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(dest_ip, '.', 2) AS BIGINT) * 65536
-    + CAST(split_part(dest_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(dest_ip, '.', 4) AS BIGINT) AS n FROM nets), lim AS (
+    + CAST(split_part(dest_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(dest_ip, '.', 4) AS BIGINT) AS n FROM nets
+  UNION ALL SELECT DISTINCT '0.0.0.0/0', 0, 1::BIGINT << 32, 0::BIGINT FROM ev WHERE k = 0), lim AS (
   SELECT cidr, n - n % span + CASE WHEN len <= 30 THEN 1 ELSE 0 END AS lo,
     n - n % span + span - 1 - CASE WHEN len <= 30 THEN 1 ELSE 0 END AS hi FROM num), hosts AS (
   SELECT cidr, unnest(generate_series(lo, least(hi, lo + 255))) AS h FROM lim)
-SELECT cidr, (h >> 24) || '.' || ((h >> 16) & 255) || '.' || ((h >> 8) & 255) || '.' || (h & 255) AS host FROM hosts""",
+SELECT cidr, (h >> 24) || '.' || ((h >> 16) & 255) || '.' || ((h >> 8) & 255) || '.' || (h & 255) AS host FROM hosts
+UNION ALL
+SELECT '2001:db8::' || lower(to_hex(k)) || '/' || len, '2001:db8::' || CASE WHEN h = 0 THEN '' ELSE lower(to_hex(h)) END FROM (
+  SELECT k, len, unnest(generate_series(lo, least(hi, lo + 255))) AS h FROM (
+    SELECT k, len, k - k % span + CASE WHEN len < 127 THEN 1 ELSE 0 END AS lo, k - k % span + span - 1 AS hi FROM (
+      SELECT DISTINCT k::BIGINT AS k, 118 + k % 11 AS len, 1::BIGINT << (10 - k % 11) AS span FROM ev)))
+UNION ALL
+SELECT DISTINCT '2001:db8:1::' || lower(to_hex(k)), '2001:db8:1::' || lower(to_hex(k)) FROM ev WHERE k % 5 = 3
+UNION ALL
+SELECT '::/0', '::' || lower(to_hex(h)) FROM (SELECT unnest(generate_series(1, 256)) AS h) WHERE EXISTS (SELECT 1 FROM ev WHERE k = 1)""",
     "ports_csv": f"""WITH {_PACKETS}, sets AS (
   SELECT src_ip, list_sort(list(DISTINCT dport)) AS p FROM packets GROUP BY src_ip)
 SELECT src_ip, array_to_string(p, ',') AS csv, CAST(len(p[1:64]) AS INTEGER) AS n_first,
@@ -339,9 +349,24 @@ SELECT seq, '{PORT_SCAN[0]}' AS rule, unique_dports_15s FROM feat WHERE unique_d
     "rule_sensitive_port": f"""WITH {_FEATURES}
 SELECT seq, '{SENSITIVE_PORT[0]}' AS rule, dport FROM feat
 WHERE direction = 0 AND dport IN (22, 23, 2323, 3389, 5900)""",
-    "signature_hits": f"WITH {_HITS} SELECT seq, src_ip, dest_ip, dport, rule, rule_severity, description FROM hits",
+    "signature_hits": f"""WITH {_HITS} SELECT seq, src_ip, dest_ip, dport, rule, rule_severity, description FROM hits
+UNION ALL
+SELECT seq, src_ip, dest_ip, dport, 'size-by-port', 'low', 'Large for its port.' FROM packets
+WHERE packet_size::DOUBLE / nullif(dport % 7, 0) > 50
+UNION ALL
+SELECT seq, src_ip, dest_ip, dport, 'high-even-port', 'low', 'Even port from 1040 on.' FROM packets WHERE dport % 2 = 0 AND dport >= 1040""",
+    "dports_per_src_approx": f"""WITH {_PACKETS}
+SELECT src_ip, count(DISTINCT dport) AS unique_dports, true AS within_bound FROM packets GROUP BY src_ip""",
+    "device_ensure": f"""WITH {_PACKETS}, {_inventory("known", "protocol = 6", False)}, asked AS (
+  SELECT CASE WHEN event_id % 4 = 3 THEN '192.0.2.' || (event_id % 50) ELSE dest_ip END AS ip, event_id % 4 = 1 AS named FROM ev), touched AS (
+  SELECT DISTINCT ip FROM asked WHERE NOT named), names AS (SELECT DISTINCT ip, 'host ' || ip AS name FROM asked WHERE named), merged AS (
+  SELECT coalesce(k.ip, t.ip) AS ip, least(first_seen, CASE WHEN t.ip IS NOT NULL THEN epoch_us({AS_OF}) END) AS first_seen,
+    greatest(last_seen, CASE WHEN t.ip IS NOT NULL THEN epoch_us({AS_OF}) END) AS last_seen, coalesce(name, '') AS name
+  FROM known k FULL JOIN touched t ON k.ip = t.ip)
+SELECT m.ip, first_seen, last_seen, coalesce(n.name, m.name) AS name FROM merged m LEFT JOIN names n ON m.ip = n.ip""",
     "function_rule": f"""WITH {_FEATURES}
-SELECT seq, 'large-inbound' AS rule, packet_size FROM feat WHERE packet_size > 300 AND direction = 0""",
+SELECT seq, 'large-inbound' AS rule, packet_size FROM feat
+WHERE packet_size > 300 AND direction = 0 AND sport % 499 <> 0""",
     "signature_dedup": f"""WITH RECURSIVE {_HITS}, {_DEDUP}
 SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
     "signature_alerts": f"""WITH {_HITS}
@@ -460,9 +485,7 @@ SELECT window_start, window_start + 15000000 AS window_end, src_ip, count(DISTIN
     "scaled_features": f"WITH {_FEATURES} SELECT seq, {_SCALED} FROM feat",
     "iforest_sample": f"""WITH {_PACKETS}, hashed AS (
   SELECT seq, substr(md5('42:' || sensor_id || ':' || seq), 1, 15) AS h FROM packets), pool AS (
-  SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) AS hi, CAST('0x' || substr(h, 8, 7) AS BIGINT) AS lo FROM hashed
-  WHERE (SELECT count(*) FROM packets) <= 8192 OR h <= (
-    SELECT lpad(lower(to_hex(CAST(floor(1152921504606846976.0::DOUBLE * least(1.0, 8192.0::DOUBLE / count(*))) AS BIGINT))), 15, '0') FROM packets)), trees AS (
+  SELECT seq, CAST('0x' || substr(h, 1, 7) AS BIGINT) AS hi, CAST('0x' || substr(h, 8, 7) AS BIGINT) AS lo FROM hashed), trees AS (
   SELECT t AS tree_id, 1 + CAST('0x' || substr(md5('42:' || t), 1, 15) AS BIGINT) % 2147483646 AS a,
     1 + CAST('0x' || substr(md5('42:' || t), 16, 15) AS BIGINT) % 2147483646 AS b
   FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS t)), dealt AS (
@@ -510,8 +533,12 @@ UNION ALL
 SELECT * FROM ({SQL["signature_alerts"]})""",
     "live_devices": f"WITH {_PACKETS}, {_inventory('devices', named=False)} SELECT * FROM devices",
     "live_blocks": SQL["autoblock_decisions"],
-    "live_limited_hits": f"""WITH RECURSIVE {_HITS.replace("WHERE unique_dports_15s >= 10", "WHERE false")}, {_DEDUP}
-SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
+    "live_limited_hits": SQL["signature_dedup"],
+    "live_retrain": f"""WITH ends AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events), cut AS (
+  SELECT (epoch_us(ts) - first) * 4 // (last - first + 1) AS micro_batch, count(*) AS n FROM events, ends GROUP BY 1), seen AS (
+  SELECT micro_batch, n, CAST(sum(n) OVER (ORDER BY micro_batch) AS BIGINT) AS total FROM cut)
+SELECT micro_batch, 20 AS n_estimators, CAST(least(256, total) AS INTEGER) AS subsample, {_CHECKSUM} AS feature_checksum
+FROM seen WHERE total // 700 > (total - n) // 700 AND total >= 50""",
     "live_lockout": f"""WITH RECURSIVE {_EV}, {_LOGINS} SELECT username, seq, verdict FROM fold WHERE rn > 0""",
     "live_ban_expiry": f"""WITH {_EV}, {_USER_BLOCKS}
 SELECT ip, {_iso("expires_at")} AS ts, 'unblock' AS action, 'auto-expired' AS reason
@@ -521,7 +548,9 @@ WHERE action = 'block' AND expires_at < coalesce(replaced, now)""",
 SELECT 'alert' AS event, id, {_iso("ts")} AS ts FROM alerts UNION ALL SELECT 'block', id, {_iso("ts")} FROM blocks""",
     "live_view": f"""WITH {_LOGS} SELECT id, {_iso("ts")} AS ts, ip, type, label, severity, kind, arrival FROM (
   SELECT *, CAST(substr(id, 2) AS BIGINT) AS arrival FROM logs ORDER BY arrival DESC LIMIT 200)""",
-    "live_scan_summary": f"""WITH {_PACKETS}
-SELECT (ts_us // 5000000 - o) * 5000000 AS window_start, src_ip, count(*) AS packets
-FROM packets, (VALUES (0), (1), (2)) v(o) GROUP BY ALL""",
+    # Windows that the watermark, 30 seconds behind the newest packet, has passed.
+    "live_scan_summary": f"""WITH {_PACKETS}, slid AS (
+  SELECT (ts_us // 5000000 - o) * 5000000 AS window_start, src_ip, dport FROM packets, (VALUES (0), (1), (2)) v(o))
+SELECT window_start, src_ip, count(DISTINCT dport) AS unique_dports, count(*) AS packets FROM slid
+WHERE window_start + 15000000 <= (SELECT max(ts_us) // 1000 * 1000 - 30000000 FROM packets) GROUP BY window_start, src_ip""",
 }

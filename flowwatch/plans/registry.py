@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from flowwatch.functions import coerce, ips, ports, severity as sv, text as tx
 from flowwatch.operators import (
@@ -24,10 +26,11 @@ from flowwatch.operators import (
 )
 from flowwatch.plans import train
 from flowwatch.plans.monitor import Settings
-from flowwatch.schemas import FEATURES, NODE
+from flowwatch.schemas import BLOCK, FEATURES, HIT, NODE, PACKET
 from flowwatch.session import share_package, shared_dir
 from flowwatch.sources import fixtures as fx, packets as pk, stores
-from flowwatch.streaming import feeds, keyed
+from flowwatch.streaming import feeds, inventory, keyed
+from flowwatch.streaming.inventory import start_blocks, start_devices
 from flowwatch.streaming.monitor import Monitor, start_monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +39,7 @@ QUERIES: dict[str, Query] = {}
 AS_OF = "2024-01-31 12:34:56"
 LOCAL = fx.LOCAL_IPS
 FOREST_PARAMS = md.Params(n_estimators=100)
+RETRAIN_EVERY = 700
 
 
 def query(fn: Query) -> Query:
@@ -96,8 +100,10 @@ def rejected_packets(spark, sf):
 @query
 def rolling_rows(spark, sf):
     path = _scratch(spark, "rolling")
-    stores.append_rolling(_engineered(spark, sf), path)
-    return stores.read_rolling(spark, path).select(
+    rows = _engineered(spark, sf)
+    stores.append_rolling(rows, path)
+    schema = StructType([*rows.schema.fields, StructField("event_date", DateType())])
+    return stores.read_rolling(spark, path, schema).select(
         "seq",
         "ts_us",
         F.round("time_diff", 6).alias("time_diff"),
@@ -357,9 +363,16 @@ def ip_class(spark, sf):
 
 @query
 def cidr_hosts(spark, sf):
-    cidr = F.concat(fx.dest_ip(), F.lit("/"), (F.lit(22) + fx._k() % 11).cast("string"))
-    nets = _events(spark, sf).select(cidr.alias("cidr")).distinct()
-    return nets.select("cidr", F.explode(ips.cidr_hosts(F.col("cidr"), 256)).alias("host"))
+    k = fx._k()
+    text = F.lower(F.hex(k))
+    cidrs = F.array(
+        F.concat(fx.dest_ip(), F.lit("/"), (F.lit(22) + k % 11).cast("string")),
+        F.concat(F.lit("2001:db8::"), text, F.lit("/"), (F.lit(118) + k % 11).cast("string")),
+        F.when(k % 5 == 3, F.concat(F.lit("2001:db8:1::"), text)),
+        F.when(k == 0, "0.0.0.0/0").when(k == 1, "::/0").when(k == 2, "bad/8").when(k == 3, "10.0.0.0/33"),
+    )
+    nets = _events(spark, sf).select(F.explode(F.array_compact(cidrs)).alias("cidr")).distinct()
+    return ips.expand_targets(nets, "cidr", 256)
 
 
 @query
@@ -427,15 +440,24 @@ def rule_sensitive_port(spark, sf):
 
 @query
 def signature_hits(spark, sf):
-    hits = sg.evaluate(_engineered(spark, sf), sg.default_rules())
+    # Two rules that cannot be computed on some rows: a division by zero, and a text that is no number.
+    port = F.col("dport")
+    odd = [
+        sg.Rule("size-by-port", "low", "Large for its port.", F.col("packet_size") / (port % 7) > 50),
+        sg.Rule("high-even-port", "low", "Even port from 1040 on.", F.when(port % 2 == 0, port.cast("string")).otherwise("odd").cast("int") >= 1040),
+    ]
+    hits = sg.evaluate(_engineered(spark, sf), [*sg.default_rules(), *odd])
     return hits.select("seq", "src_ip", "dest_ip", "dport", "rule", "rule_severity", "description")
 
 
 @query
 def function_rule(spark, sf):
-    rule = sg.Rule.from_function(
-        "large-inbound", "low", "Large inbound packet.", lambda r: r["packet_size"] > 300 and 1 / r["is_in"] > 0, ["packet_size", "is_in"]
-    )
+    def large_inbound(rows: pd.DataFrame) -> pd.Series:
+        if (rows["sport"] % 499 == 0).any():
+            raise ValueError("a port that the rule cannot judge")
+        return (rows["packet_size"] > 300) & (rows["is_in"] == 1)
+
+    rule = sg.Rule.from_function("large-inbound", "low", "Large inbound packet.", large_inbound, ["packet_size", "is_in", "sport"])
     rows = _packets(spark, sf).withColumn("is_in", 1 - ft.direction(F.col("src_ip"), LOCAL).cast("int"))
     return sg.evaluate(rows, [rule]).select("seq", "rule", "packet_size")
 
@@ -536,7 +558,14 @@ def dports_per_src(spark, sf):
 
 @query
 def dports_per_src_approx(spark, sf):
-    return ft.dports_per_source(_packets(spark, sf), approximate=True)
+    """From a stored table of sketches: the exact count, and whether the estimate is within five percent of it."""
+    packets = _packets(spark, sf)
+    path = _scratch(spark, "sketches")
+    ft.port_sketches(packets).write.parquet(path)
+    near = ft.ports_from_sketches(spark.read.parquet(path))
+    both = ft.dports_per_source(packets).join(near, "src_ip")
+    close = F.abs(F.col("estimate") - F.col("unique_dports")) <= 0.05 * F.col("unique_dports")
+    return both.select("src_ip", "unique_dports", close.alias("within_bound"))
 
 
 @query
@@ -609,6 +638,15 @@ def device_rename(spark, sf):
     return _device_view(dv.rename_devices(known, names))
 
 
+@query
+def device_ensure(spark, sf):
+    """Rename requests of known and unknown addresses, some of them without a name."""
+    known, _ = _halves(spark, sf)
+    ip = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("192.0.2."), (F.col("event_id") % 50).cast("string"))).otherwise(fx.dest_ip())
+    asked = _events(spark, sf).select(ip.alias("ip"), F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("host "), ip)).otherwise(" ").alias("name"))
+    return _device_view(dv.ensure_devices(known, asked, _as_of()))
+
+
 @query
 def device_scan_merge(spark, sf):
     p = _packets(spark, sf)
@@ -653,6 +691,8 @@ def retention_counts(spark, sf):
 def retention_job(spark, sf):
     path = _scratch(spark, "dated")
     fx.alerts(_events(spark, sf)).withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(path)
+    for nothing in (0, None):
+        rt.drop_dates(spark, path, nothing, _as_of())
     gone = rt.drop_dates(spark, path, 7, _as_of())
     left = spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("n_rows"), F.lit(False).alias("dropped"))
     return gone.withColumn("dropped", F.lit(True)).unionByName(left).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
@@ -837,19 +877,28 @@ def autoblock_decisions(spark, sf):
 
 
 MICRO_BATCHES = 4
+_FILE_ROWS = 1000
 
 
-def _event_stream(spark, sf) -> DataFrame:
-    """The events as a stream of a few micro-batches in time order, so that state is carried between them."""
+def _slices(spark, sf) -> tuple[list[DataFrame], int]:
+    """The events in as many parts as there are micro-batches, in time order, and the files to write of each."""
     events = spark.read.parquet(f"{sf}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last, n = events.agg(F.min(us), F.max(us), F.count("*")).first()
+    if first is None:
+        return [], 1
+    at = F.expr(f"(unix_micros(cast(ts as timestamp)) - {first}L) * {MICRO_BATCHES} div {last - first + 1}L")
+    return [events.filter(at == i) for i in range(MICRO_BATCHES)], max(1, min(64, n // (MICRO_BATCHES * _FILE_ROWS)))
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    """The events as a stream of a few micro-batches of several files in time order, so that state is carried between them."""
     out = _scratch(spark, "events")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    for i in range(MICRO_BATCHES if first is not None else 0):
-        since, until = (first + (last - first) * k / MICRO_BATCHES for k in (i, i + 1))
-        part = events.filter((F.col("ts") >= F.lit(since)) & ((F.col("ts") < F.lit(until)) | F.lit(i + 1 == MICRO_BATCHES)))
-        # One file each: the source takes files, not folders, in order.
-        part.coalesce(1).write.mode("append").parquet(out)
-    return fx.with_k(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out))
+    parts, files = _slices(spark, sf)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(out)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return fx.with_k(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(out))
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -870,15 +919,34 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 _MONITORED: dict[tuple[str, str], str] = {}
 
 
+def _run(spark, sf, out: str, job: Monitor, after: Callable[[], None] = lambda: None) -> None:
+    """The monitor over the packet stream, stopped and started again between micro-batches; then ``after`` each."""
+    parts, files = _slices(spark, sf)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(f"{out}-in")
+        source = fx.with_k(spark.readStream.schema(part.schema).parquet(f"{out}-in"))
+        start_monitor(fx.packets(source), job, f"{out}-check").awaitTermination()
+        after()
+
+
 def _monitored(spark, sf) -> str:
-    """The folder of a monitor run over the packet stream, once per session."""
+    """The folder of a monitor run, and of what follows from its tables, once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MONITORED:
         out = _scratch(spark, "monitor")
         job = Monitor(
             out, Settings(local_ips=LOCAL), _fixed_model(), trusted=lambda: fx.trusted(_events(spark, sf))
         )
-        start_monitor(fx.packets(_event_stream(spark, sf)), job, f"{out}-check").awaitTermination()
+        packets = f"{out}/rolling/event_date=*/batch=*"
+
+        def follow() -> None:
+            start_devices(spark.readStream.schema(PACKET).parquet(packets), out, f"{out}-devices").awaitTermination()
+            start_blocks(spark, out, f"{out}-blocks").awaitTermination()
+            hits = spark.readStream.schema(HIT).parquet(f"{out}/hits/batch=*")
+            limited = keyed.limit_hits(hits, 5.0, "1 day").writeStream.format("parquet").option("path", f"{out}/limited")
+            limited.option("checkpointLocation", f"{out}-limited").trigger(availableNow=True).start().awaitTermination()
+
+        _run(spark, sf, out, job, follow)
         _MONITORED[key] = out
     return _MONITORED[key]
 
@@ -896,29 +964,37 @@ def live_alerts(spark, sf):
 
 @query
 def live_devices(spark, sf):
-    rows = spark.read.parquet(f"{_monitored(spark, sf)}/devices")
-    last = rows.agg(F.max("version").alias("v")).scalar()
-    return _device_view(rows.filter(F.col("version") == last).drop("version"))
+    return _device_view(inventory.devices(spark, _monitored(spark, sf)))
 
 
 @query
 def live_blocks(spark, sf):
-    rows = spark.read.parquet(f"{_monitored(spark, sf)}/blocks")
-    last = rows.agg(F.max("version").alias("v")).scalar()
-    return rows.filter(F.col("version") == last).drop("version").withColumns(_iso("ts", "expires_at"))
+    return spark.read.schema(BLOCK).parquet(f"{_monitored(spark, sf)}/blocks").withColumns(_iso("ts", "expires_at"))
 
 
 @query
 def live_limited_hits(spark, sf):
-    # Sensitive-port hits follow from single packets, so the rule runs on the stream itself.
-    packets = fx.packets(_event_stream(spark, sf)).withColumn("direction", ft.direction(F.col("src_ip"), LOCAL))
-    hits = sg.evaluate(packets, [sg.sensitive_port_rule()])
-    return _drain(keyed.limit_hits(hits, 5.0), "limited").select("rule", "src_ip", "dest_ip", "second", "seq")
+    rows = spark.read.parquet(f"{_monitored(spark, sf)}/limited")
+    return rows.select("rule", "src_ip", "dest_ip", "second", "seq")
+
+
+@query
+def live_retrain(spark, sf):
+    """The model versions that a monitor leaves, one for each micro-batch in which a retrain falls due."""
+    out = _scratch(spark, "retrain")
+    start = replace(_fixed_model(), params=md.Params(n_estimators=20))
+    _run(spark, sf, out, Monitor(out, Settings(local_ips=LOCAL), start, retrain_every=RETRAIN_EVERY))
+    left = spark.read.parquet(f"{out}/models/batch=*/meta")
+    at = F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("long")
+    return left.select(at.alias("micro_batch"), "n_estimators", "subsample", "feature_checksum")
 
 
 @query
 def live_lockout(spark, sf):
-    return _drain(keyed.lockout_stream(fx.logins(_event_stream(spark, sf)), 5, 3 * 24 * 60), "lockout")
+    out = _scratch(spark, "lockout")
+    job = keyed.Lockout(out, 5, 3 * 24 * 60)
+    keyed.start_lockout(fx.logins(_event_stream(spark, sf)), job, f"{out}-check").awaitTermination()
+    return spark.read.parquet(f"{out}/verdicts").select("username", "seq", "verdict")
 
 
 @query
@@ -951,7 +1027,5 @@ def live_view(spark, sf):
 @query
 def live_scan_summary(spark, sf):
     summary = feeds.scan_summary(fx.packets(_event_stream(spark, sf)))
-    rows = _drain(summary, "scans", "update")
-    return rows.groupBy(F.unix_micros("window_start").alias("window_start"), "src_ip").agg(
-        F.max("packets").alias("packets")
-    )
+    rows = _drain(summary, "scans")
+    return rows.select(F.unix_micros("window_start").alias("window_start"), "src_ip", "unique_dports", "packets")

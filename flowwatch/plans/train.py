@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowwatch.operators.features import engineer, with_arrival_index
 from flowwatch.operators.model import Model, Params, fit
@@ -33,9 +33,14 @@ def retrain(rolling: DataFrame, params: Params = Params(), span_us: int | None =
     return fit(window, params, **fit_args)
 
 
+def due(before: Column, now: Column, every: int) -> Column:
+    """Whether a sensor's count of packets passes a multiple of ``every`` on the way from ``before`` to ``now``."""
+    return F.floor(now / every) > F.floor(before / every)
+
+
 def retrain_points(packets: DataFrame, every: int, window_rows: int) -> DataFrame:
     """Packets of each sensor after which an online retrain over its last rows falls due."""
     filled = F.least(F.col("arrival_index"), F.lit(window_rows))
     return with_arrival_index(packets).filter(
-        (F.col("arrival_index") % every == 0) & (filled >= MIN_RETRAIN_ROWS)
+        due(F.col("arrival_index") - 1, F.col("arrival_index"), every) & (filled >= MIN_RETRAIN_ROWS)
     ).select("sensor_id", "seq", "arrival_index", filled.alias("window_rows"))

@@ -58,6 +58,17 @@ BLOCK = T.StructType(
     ]
 )
 
+# What a rate limit needs of a signature hit.
+HIT = T.StructType(
+    [
+        T.StructField("rule", T.StringType()),
+        T.StructField("src_ip", T.StringType()),
+        T.StructField("dest_ip", T.StringType()),
+        T.StructField("ts_us", T.LongType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
 DEVICE = T.StructType(
     [
         T.StructField("ip", T.StringType()),

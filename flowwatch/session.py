@@ -24,6 +24,11 @@ LOCAL_CONF = {
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams that are started from now on keep their state in RocksDB, which state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 

@@ -1,23 +1,28 @@
 """Streams with a little state per key: signature limits, login lockout, ban expiry.
 
-A key's rows reach its function as Arrow batches, cut anywhere, and meet a state of a few numbers.
-Rows of one micro-batch are taken in (time, seq) order: where the order matters, the few numbers of
-each of the key's rows in the micro-batch are brought together first, so a key's share of one
-micro-batch must fit a task (``maxFilesPerTrigger`` bounds it). Across micro-batches the order is
-that of arrival.
+Limits and bans keep a few numbers per key in the state store, and event-time timers take them out
+when they cannot matter any more: when the limit has passed, or the ban has ended and no row that is not late could
+be older. Before rows are dealt by key each task drops those that others of the same second, or the same time, make
+irrelevant; what is left of a key in a micro-batch is read batch by batch.
+
+The order of logins matters row by row, so the lockout runs the batch fold on each micro-batch, cut and
+composed as there, from the states that earlier ones have left. Users that have no failures and no lock are not kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from flowwatch.operators.folds import KEEP
-from flowwatch.operators.lockout import LOCK_AFTER, LOCK_MINUTES, lockout_machine
+from flowwatch.operators.lockout import LOCK_AFTER, LOCK_MINUTES, lockout_onward
+from flowwatch.session import use_rocksdb
+from flowwatch.streaming import versions
 
 _HIT = "rule string, src_ip string, dest_ip string, second bigint, ts_us bigint, seq bigint"
 
@@ -28,65 +33,152 @@ def _first_per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield ordered.drop_duplicates(["rule", "src_ip", "dest_ip", "second"])
 
 
-def limit_hits(hits: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """At most one hit per (rule, source, destination) within ``seconds`` of the last one
-    let through. Each task first drops all but the earliest hit of a second, so a hot key
-    reaches its state as few rows."""
-    thin = hits.withColumn("second", F.expr("ts_us div 1000000")).select(
-        "rule", "src_ip", "dest_ip", "second", "ts_us", "seq"
-    )
+class _Timed(StatefulProcessor):
+    """A processor with one timer per key."""
+
+    handle: StatefulProcessorHandle
+
+    def set_timer(self, at_ms: int) -> None:
+        for old in list(self.handle.listTimers()):
+            if old != at_ms:
+                self.handle.deleteTimer(old)
+        self.handle.registerTimer(at_ms)
+
+    def close(self) -> None:
+        pass
+
+
+class _Limit(_Timed):
+    """Keeps the second of the last hit let through until the limit has passed."""
+
+    columns = ["rule", "src_ip", "dest_ip", "second", "ts_us", "seq"]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "second bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
         best: dict[int, tuple[int, int]] = {}
-        for b in batches:
-            for second, ts, seq in zip(b["second"], b["ts_us"], b["seq"]):
+        for b in rows:
+            for second, ts, seq in zip(b["second"].tolist(), b["ts_us"].tolist(), b["seq"].tolist()):
                 if second not in best or (ts, seq) < best[second]:
-                    best[int(second)] = (int(ts), int(seq))
+                    best[second] = (ts, seq)
         out = []
         for second in sorted(best):
-            if last is None or second >= last + seconds:
+            if last is None or second >= last + self.seconds:
                 last = second
                 out.append((*key, second, *best[second]))
-        if last is not None:
-            state.update((int(last),))
-        yield pd.DataFrame(out, columns=["rule", "src_ip", "dest_ip", "second", "ts_us", "seq"])
+        if out:
+            self.last.update((last,))
+            self.set_timer(int((last + self.seconds) * 1000) + 1)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=self.columns)
 
+
+def limit_hits(hits: DataFrame, seconds: float = 5.0, delay: str = "0 seconds") -> DataFrame:
+    """At most one hit per (rule, source, destination) within ``seconds`` of the last one
+    let through. Each task first drops all but the earliest hit of a second, so a hot key
+    reaches its state as few rows. Hits that come ``delay`` behind the newest one are late and dropped."""
+    use_rocksdb(hits.sparkSession)
+    thin = hits.withColumn("second", F.expr("ts_us div 1000000")).select(
+        "rule", "src_ip", "dest_ip", "second", "ts_us", "seq"
+    )
+    timed = thin.mapInPandas(_first_per_second, _HIT).withColumn("event_time", F.timestamp_micros("ts_us"))
     return (
-        thin.mapInPandas(_first_per_second, _HIT)
+        timed.withWatermark("event_time", delay)
         .groupBy("rule", "src_ip", "dest_ip")
-        .applyInPandasWithState(step, _HIT, "last bigint", "append", GroupStateTimeout.NoTimeout)
+        .transformWithStateInPandas(_Limit(float(seconds)), _HIT, "append", "EventTime")
     )
 
 
-def lockout_stream(
-    logins: DataFrame, lock_after: int = LOCK_AFTER, lock_minutes: float = LOCK_MINUTES
-) -> DataFrame:
-    """Login attempts (username, seq, ts, ok) with a verdict, as in ``login_verdicts``."""
-    machine = lockout_machine(lock_after, int(lock_minutes * 60))
-    rows = logins.select("username", F.unix_seconds("ts").alias("tick"), "seq", F.col("ok").cast("int").alias("ok"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, until = state.get if state.exists else (machine.after, 0)
-        b = pd.concat([x[["tick", "seq", "ok"]] for x in batches]).sort_values(["tick", "seq"])
-        verdicts = []
-        for tick, ok in zip(b["tick"], b["ok"]):
-            if at == machine.timed and until <= tick:
-                at = machine.after
-            at, verdict, timer = machine.step(at, int(ok), 0)
-            if timer != KEEP:
-                until = int(tick) + timer
-            verdicts.append(verdict)
-        state.update((int(at), int(until)))
-        yield pd.DataFrame({"username": key[0], "seq": b["seq"].to_numpy(), "verdict": verdicts})
-
-    return rows.groupBy("username").applyInPandasWithState(
-        step,
-        "username string, seq bigint, verdict string",
-        "at int, until bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+_STATE = StructType([StructField("key", StringType()), StructField("state", IntegerType()), StructField("until", LongType())])
+_CLOCK = StructType([StructField("tick", LongType())])
+
+
+@dataclass
+class Lockout:
+    """A ``foreachBatch`` function over login attempts (username, seq, ts, ok).
+
+    Verdicts, as of ``login_verdicts``, are under ``out``/verdicts by micro-batch, the failures and locks that hold after it
+    under ``out``/state as versions. Rows of a micro-batch are taken in (ts, seq) order, micro-batches in that of
+    arrival. A lock is kept until ``lateness`` seconds after its end.
+    """
+
+    out: str
+    lock_after: int = LOCK_AFTER
+    lock_minutes: float = LOCK_MINUTES
+    lateness: int = 0
+
+    def __call__(self, logins: DataFrame, batch_id: int) -> None:
+        spark = logins.sparkSession
+        carried = versions.before(spark, f"{self.out}/state", batch_id, _STATE)
+        clock = versions.before(spark, f"{self.out}/clock", batch_id, _CLOCK)
+        verdicts, left = lockout_onward(logins, carried, self.lock_after, self.lock_minutes)
+        versions.add(verdicts.select("username", "seq", "verdict"), f"{self.out}/verdicts", batch_id)
+        now = clock.unionByName(logins.select(F.unix_seconds("ts").alias("tick"))).agg(F.max("tick").alias("tick"))
+        now = versions.leave(now, f"{self.out}/clock", batch_id)
+        tick = now.first()["tick"]
+        over = F.lit(False) if tick is None else (F.col("state") == self.lock_after) & (F.col("until") + self.lateness <= tick)
+        versions.leave(left.filter((F.col("state") != 0) & ~over), f"{self.out}/state", batch_id)
+
+
+def start_lockout(logins: DataFrame, lockout: Lockout, checkpoint: str, **trigger) -> StreamingQuery:
+    trigger = trigger or {"availableNow": True}
+    return logins.writeStream.foreachBatch(lockout).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+_BAN = "ip string, ts timestamp, id string, ends bigint"
+
+
+def _last_of_a_time(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.sort_values("id").drop_duplicates(["ip", "ts"], keep="last")
+
+
+class _Bans(_Timed):
+    """Keeps the newest row of an address and the end of its ban until both lie behind the watermark."""
+
+    columns = ["ip", "ts", "action", "reason"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ban = handle.getValueState("ban", "newest bigint, last_id string, ends bigint")
+
+    def rows(self, key: tuple, ended: list[int]) -> pd.DataFrame:
+        at = pd.to_datetime(pd.Series(ended, dtype="int64"), unit="us")
+        return pd.DataFrame({"ip": key[0], "ts": at, "action": "unblock", "reason": "auto-expired"}, columns=self.columns)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        newest, last_id, ends = self.ban.get() if self.ban.exists() else (-(1 << 62), "", 0)
+        came: dict[int, tuple[str, int]] = {}
+        for b in rows:
+            for ts, row_id, end in zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["id"].tolist(), b["ends"].tolist()):
+                if ts not in came or row_id > came[ts][0]:
+                    came[ts] = (row_id, end)
+        ended = []
+        for ts in sorted(came):
+            row_id, end = came[ts]
+            if (ts, row_id) < (newest, last_id):
+                continue
+            if 0 < ends < ts:
+                ended.append(ends)
+            newest, last_id, ends = ts, row_id, end
+        self.ban.update((newest, last_id, ends))
+        # A ban ends after its last second.
+        self.set_timer(max(ends, newest) // 1000 + 1)
+        yield self.rows(key, ended)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        ends = self.ban.get()[2] if self.ban.exists() else 0
+        self.ban.clear()
+        yield self.rows(key, [ends] if ends > 0 else [])
 
 
 def ban_expiry_stream(blocks: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -98,39 +190,10 @@ def ban_expiry_stream(blocks: DataFrame, delay: str = "0 seconds") -> DataFrame:
     row shows ends by a timer, once event time has passed it. A row that comes after a newer one
     of its address changes nothing.
     """
-    rows = blocks.withWatermark("ts", delay).select(
-        "ip", "ts", "id", (F.col("action") == "block").alias("block"), "expires_at"
-    )
-
-    def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, last_id, ends = state.get if state.exists else (-1, "", 0)
-        ended = []
-        if state.hasTimedOut:
-            ended.append(ends)
-            ends = 0
-        else:
-            b = pd.concat(list(batches))
-            at = b["ts"].astype("datetime64[us]").astype("int64")
-            until = b["expires_at"].astype("datetime64[us]")
-            until = until.astype("int64").where(b["block"] & until.notna(), 0)
-            for ts, row_id, end in sorted(zip(at.tolist(), b["id"].astype(str), until.tolist())):
-                if (ts, row_id) < (newest, last_id):
-                    continue
-                if 0 < ends < ts:
-                    ended.append(ends)
-                newest, last_id, ends = ts, row_id, end
-        state.update((int(newest), last_id, int(ends)))
-        if ends > 0:
-            # A ban ends after its last second; a timer cannot lie behind the watermark.
-            state.setTimeoutTimestamp(max(ends // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"ip": key[0], "ts": pd.to_datetime(ended, unit="us"), "action": "unblock", "reason": "auto-expired"}
-        )
-
-    return rows.groupBy("ip").applyInPandasWithState(
-        step,
-        "ip string, ts timestamp, action string, reason string",
-        "newest bigint, last_id string, ends bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    use_rocksdb(blocks.sparkSession)
+    ends = F.when((F.col("action") == "block") & F.col("expires_at").isNotNull(), F.unix_micros("expires_at")).otherwise(F.lit(0))
+    rows = blocks.select("ip", "ts", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(ends, F.lit(0)).cast("bigint").alias("ends"))
+    thin = rows.mapInPandas(_last_of_a_time, _BAN).withWatermark("ts", delay)
+    return thin.groupBy("ip").transformWithStateInPandas(
+        _Bans(), "ip string, ts timestamp, action string, reason string", "append", "EventTime"
     )

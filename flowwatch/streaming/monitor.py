@@ -1,4 +1,4 @@
-"""The live monitor: packets in, engineered rows, alerts, devices and block decisions out.
+"""The live monitor: packets in, engineered rows, hits, alerts and candidates for blocks out.
 
 Each micro-batch runs the batch operators over its packets and a short tail of earlier ones,
 so a source that dominates the traffic is split here as it is in batch, and stream and
@@ -12,25 +12,31 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
-from flowwatch.operators import alerts as al, devices as dv, signatures as sg
+from flowwatch.operators import alerts as al, signatures as sg
 from flowwatch.operators.features import HORIZON_US, engineer
 from flowwatch.operators.model import Model, load, save
 from flowwatch.plans.monitor import Settings
-from flowwatch.plans.train import retrain
-from flowwatch.schemas import ALERT, BLOCK, DEVICE, PACKET
+from flowwatch.plans.train import due, retrain
+from flowwatch.schemas import ALERT, BLOCK, PACKET
 from flowwatch.streaming import versions
 
-_KNOWN = StructType([f for f in DEVICE.fields if f.name in ("ip", "first_seen", "last_seen", "name")])
-_COUNT = StructType([StructField("sensor_id", StringType()), StructField("packets", LongType())])
+_COUNT = StructType([StructField("sensor_id", StringType()), StructField("packets", LongType()), StructField("newest", LongType())])
+
+
+def rolling_schema(rows: StructType) -> StructType:
+    """The rolling table's columns from those of engineered rows."""
+    return StructType([*rows.fields, StructField("event_date", DateType()), StructField("batch", LongType())])
 
 
 @dataclass
 class Monitor:
     """A ``foreachBatch`` function. Results are tables under ``out``:
 
-    ``rolling`` and ``alerts`` by micro-batch, ``devices`` and ``blocks`` as versions.
+    ``rolling`` by date and micro-batch, ``hits``, ``anomalies``, ``alerts`` and ``candidates`` by micro-batch.
+    Rolling rows hold the packets, so there is no other copy of them. Candidates are the sources that a micro-batch would
+    block, given who is trusted then; ``inventory`` blocks each once.
     ``lateness_us`` is how much longer than the horizon earlier packets are kept for late ones.
     ``model`` scores until the first retrain; retrained bundles are under ``models``, and each
     micro-batch takes the newest that an earlier one left, so a restart or a repeated batch scores
@@ -51,10 +57,11 @@ class Monitor:
         tail = versions.before(spark, f"{self.out}/tail", batch_id, PACKET)
         both = tail.withColumn("_new", F.lit(False)).unionByName(packets.withColumn("_new", F.lit(True)))
         rows = engineer(both, self.settings.local_ips).filter("_new").drop("_new")
-        done = versions.add(rows, f"{self.out}/rolling", batch_id)
+        done = versions.add_dated(rows, f"{self.out}/rolling", batch_id, F.to_date(F.timestamp_micros("ts_us")))
 
-        newest = both.groupBy("sensor_id").agg(F.max("ts_us").alias("_newest"))
-        kept = both.join(newest, "sensor_id").filter(
+        whole = tail.unionByName(done.select(*PACKET.fieldNames()))
+        newest = whole.groupBy("sensor_id").agg(F.max("ts_us").alias("_newest"))
+        kept = whole.join(newest, "sensor_id").filter(
             F.col("ts_us") >= F.col("_newest") - (HORIZON_US + self.lateness_us)
         )
         versions.leave(kept.select(*PACKET.fieldNames()), f"{self.out}/tail", batch_id)
@@ -62,7 +69,7 @@ class Monitor:
 
     def hits(self, rows: DataFrame, batch_id: int) -> DataFrame:
         rules = sg.default_rules() if self.settings.rules is None else self.settings.rules
-        hits = sg.evaluate(rows, rules)
+        hits = versions.add(sg.evaluate(rows, rules), f"{self.out}/hits", batch_id)
         if self.settings.dedup_seconds is None:
             return hits
         # The last hit let through of each key takes part again, as the row that holds back
@@ -85,8 +92,7 @@ class Monitor:
 
     def __call__(self, packets: DataFrame, batch_id: int) -> None:
         spark = packets.sparkSession
-        packets = versions.add(packets.select(*PACKET.fieldNames()), f"{self.out}/packets", batch_id)
-        rows = self.features(packets, batch_id)
+        rows = self.features(packets.select(*PACKET.fieldNames()), batch_id)
 
         alerts = al.signature_alerts(self.hits(rows, batch_id))
         anomalies = None
@@ -100,11 +106,10 @@ class Monitor:
             alerts = alerts.unionByName(al.anomaly_alerts(anomalies, self.settings.thresholds))
         versions.add(alerts.select(*ALERT.fieldNames()), f"{self.out}/alerts", batch_id)
 
-        known = versions.before(spark, f"{self.out}/devices", batch_id, _KNOWN)
-        versions.leave(dv.merge_devices(known, dv.device_inventory(packets)), f"{self.out}/devices", batch_id)
-
         if anomalies is not None:
-            self.block(anomalies, batch_id)
+            trusted = self.trusted() if self.trusted else spark.createDataFrame([], "ip string")
+            wanted = al.autoblock_decisions(anomalies, self.settings.local_ips, trusted)
+            versions.add(wanted.select(*BLOCK.fieldNames()), f"{self.out}/candidates", batch_id)
         if self.retrain_every > 0:
             self.retrain(rows, batch_id, model)
 
@@ -113,24 +118,21 @@ class Monitor:
         last = versions.latest(spark, f"{self.out}/models", "batch", batch_id, "meta/_SUCCESS")
         return self.model if last is None else load(spark, f"{self.out}/models/batch={last}")
 
-    def block(self, anomalies: DataFrame, batch_id: int) -> None:
-        """Block each offending source once over the life of the stream."""
-        spark = anomalies.sparkSession
-        blocked = versions.before(spark, f"{self.out}/blocks", batch_id, BLOCK)
-        trusted = self.trusted() if self.trusted else spark.createDataFrame([], "ip string")
-        new = al.autoblock_decisions(anomalies, self.settings.local_ips, trusted, blocked)
-        versions.leave(blocked.unionByName(new.select(*BLOCK.fieldNames())), f"{self.out}/blocks", batch_id)
-
     def retrain(self, rows: DataFrame, batch_id: int, model: Model | None) -> None:
-        """A new model when the number of packets seen passes a multiple of the interval."""
+        """A new model when a sensor's packets pass a multiple of the interval, as in ``retrain_points``."""
         spark = rows.sparkSession
         counts = versions.before(spark, f"{self.out}/counts", batch_id, _COUNT)
         # One row per sensor.
-        total = counts.unionByName(rows.groupBy("sensor_id").agg(F.count("*").alias("packets")))
-        total = versions.leave(total.groupBy("sensor_id").agg(F.sum("packets").alias("packets")), f"{self.out}/counts", batch_id)
-        seen = (counts.agg(F.sum("packets").alias("n")).first()["n"] or 0, total.agg(F.sum("packets").alias("n")).first()["n"] or 0)
-        if model is not None and seen[0] // self.retrain_every != seen[1] // self.retrain_every:
-            rolling = spark.read.parquet(f"{self.out}/rolling").filter(F.col("batch") <= batch_id)
+        now = rows.groupBy("sensor_id").agg(F.count("*").alias("packets"), F.max("ts_us").alias("newest"))
+        both = counts.withColumn("before", F.col("packets")).unionByName(now.withColumn("before", F.lit(0).cast("long")))
+        total = both.groupBy("sensor_id").agg(F.sum("packets").alias("packets"), F.max("newest").alias("newest"), F.sum("before").alias("before"))
+        total = versions.leave(total, f"{self.out}/counts", batch_id)
+        if model is not None and not total.filter(due(F.col("before"), F.col("packets"), self.retrain_every)).isEmpty():
+            rolling = spark.read.schema(rolling_schema(rows.schema)).parquet(f"{self.out}/rolling").filter(F.col("batch") <= batch_id)
+            if self.window_us is not None:
+                # Only the dates that a sensor's window can reach are listed and read.
+                oldest = total.agg((F.min("newest") - self.window_us).alias("at")).first()["at"]
+                rolling = rolling.filter(F.col("event_date") >= F.to_date(F.timestamp_micros(F.lit(oldest))))
             fresh = retrain(rolling, model.params, self.window_us)
             if fresh is not None:
                 save(fresh, spark, f"{self.out}/models/batch={batch_id}")

@@ -7,7 +7,7 @@ what it read before and overwrites what it wrote before.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 KEPT = 10
@@ -46,13 +46,25 @@ def add(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(here)
 
 
-def latest(spark: SparkSession, path: str, name: str, batch_id: int, mark: str) -> int | None:
-    """The newest micro-batch before ``batch_id`` that left a complete ``name=N`` folder, which holds ``mark``."""
+def add_dated(rows: DataFrame, path: str, batch_id: int, date: Column) -> DataFrame:
+    """Append rows by date and micro-batch, replacing an earlier attempt at the same micro-batch, and read them back."""
+    dated = rows.withColumns({"event_date": date, "batch": F.lit(batch_id)}).hint("rebalance", "event_date")
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
+    spark = rows.sparkSession
+    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*/batch={batch_id}")
+    ):
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{path}/event_date=*/batch={batch_id}")
+
+
+def latest(spark: SparkSession, path: str, name: str, batch_id: int | None, mark: str) -> int | None:
+    """The newest complete ``name=N`` folder, one that holds ``mark``, of a micro-batch before ``batch_id`` if that is given."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return None
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
     numbers = [int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}=")]
-    done = [n for n in numbers if n < batch_id and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}/{mark}"))]
+    done = [n for n in numbers if (batch_id is None or n < batch_id) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}/{mark}"))]
     return max(done, default=None)

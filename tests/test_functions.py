@@ -3,6 +3,7 @@ from __future__ import annotations
 import ipaddress
 import math
 import random
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,39 @@ def test_cidr_hosts_agree_with_the_standard_library(spark):
     assert column(spark, ["bad/8", "1.2.3.4/33", None], "string", lambda c: ips.cidr_hosts(c, 256)) == [None, None, None]
 
 
+def test_expanded_targets_agree_with_the_standard_library(spark):
+    nets = [
+        "10.0.0.5/30", "10.0.0.0/31", "10.0.0.9/32", "10.0.0.9", " 10.1.2.3/20 ", "192.168.1.77/25",
+        "2001:db8::/120", "2001:DB8::5/126", "2001:db8::6/127", "2001:db8::7/128", "::1", "fe80::1:0:0:2", "1:0:0:2::3", "::ffff:1.2.3.4", "0:0:1::",
+        "fe80::1%eth0", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:fff0/121",
+    ]
+    large = ["0.0.0.0/0", "::/0", "2001:db8::/64", "2001:db8:ffff::1/33", "8000::/1", "1:2:3:4:8000::/65", "1:2:3:4::/66"]
+    bad = ["bad/8", "1.2.3.4/33", "::/129", "fe80::1%eth0/64", "1.2.3.4/", "1.2.3.4/-1", "", None]
+
+    def wanted(text, limit):
+        text = text.strip()
+        if "/" not in text:
+            return [str(ipaddress.ip_address(text))]
+        net = ipaddress.ip_network(text, strict=False)
+        hosts = net.hosts() if net.prefixlen < net.max_prefixlen else iter([net.network_address])
+        return [str(h) for h in islice(hosts, limit)]
+
+    for limit, texts in ((None, nets), (5, nets + large), (70_000, ["10.0.0.0/8", *large])):
+        df = spark.createDataFrame([(t,) for t in texts + bad], "cidr string")
+        found = {}
+        for cidr, host in ips.expand_targets(df, "cidr", limit).collect():
+            found.setdefault(cidr, []).append(host)
+        assert found.keys() == set(texts)
+        for t in texts:
+            ordered = found[t] if limit else sorted(found[t], key=lambda h: ipaddress.ip_address(h))
+            assert ordered == wanted(t, limit), t
+
+
+def test_a_network_too_large_for_an_array_is_named(spark):
+    with pytest.raises(Exception, match="too many hosts"):
+        column(spark, ["0.0.0.0/0"], "string", ips.cidr_hosts)
+
+
 def test_ports(spark):
     assert column(spark, ["22,x, 80,", None, ""], "string", ports.csv_to_ports) == [[22, 80], [], []]
     many = ",".join(map(str, range(1, 101)))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,35 @@ def test_samples_are_distinct_and_thinned_alike(spark):
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.select(sample.columns).collect()))
 
 
+@pytest.mark.parametrize("n", [10, 64, 65, 3071, 3072, 3073, 9000])
+def test_samples_follow_one_rule_at_every_size(spark, n):
+    """Each tree takes the rows of the smallest hashes, on tables of any size, in any partitions."""
+    df = spark.range(n).select(F.lit("s").alias("sensor_id"), F.col("id").alias("seq")).repartition(6)
+    got = {}
+    for r in fo.sample_trees(df, n, 12, subsample=64).collect():
+        got.setdefault(r["tree_id"], []).append((r["rank"], r["seq"]))
+    want = {}
+    for t in range(12):
+        a, b = fo.tree_factors(42, t)
+        digest = {q: hashlib.md5(f"42:s:{q}".encode()).hexdigest() for q in range(n)}
+        order = sorted(range(n), key=lambda q: ((int(digest[q][:7], 16) * a + int(digest[q][7:14], 16) * b) % ((1 << 31) - 1), q))
+        want[t] = list(enumerate(order[:64], 1))
+    assert {t: sorted(v) for t, v in got.items()} == want
+
+
+def test_a_task_holds_few_rows_of_each_tree(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(fo, "_SAMPLE_ROWS", 50)
+    rng = np.random.default_rng(1)
+    factors = np.array([fo.tree_factors(1, t) for t in range(3)], dtype=np.int64)
+    rows = [pa.RecordBatch.from_pydict({"_high": rng.integers(0, 1 << 28, 1000), "_low": rng.integers(0, 1 << 28, 1000)}) for _ in range(5)]
+    held = list(fo._smallest(factors, 20)(iter(rows)))
+    assert len(held) == 1 and held[0].num_rows == 60
+    assert list(fo._smallest(factors, 20)(iter([]))) == []
+
+
 def test_retrain_needs_fifty_rows(packets):
     rolling = engineer(packets, fx.LOCAL_IPS)
     assert train.retrain(rolling.filter("seq < 49"), md.Params(n_estimators=10)) is None

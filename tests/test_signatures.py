@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowwatch.operators import signatures as sg
@@ -46,6 +48,41 @@ def test_failing_function_rule_gives_no_hit(spark):
     assert hits(spark, (1.0, 1.0, 22), [bad, good]) == [("good", "low")]
 
 
+def test_a_rule_that_cannot_be_computed_gives_no_hit(spark):
+    df = spark.createDataFrame([(1, 0, "7", [1]), (2, 2, "x", []), (3, 4, None, [9, 9])], "seq int, d int, t string, a array<int>")
+    rules = [
+        sg.Rule("ratio", "low", "", F.lit(8) / F.col("d") >= 2),
+        sg.Rule("modulo", "low", "", F.lit(8) % F.col("d") == 0),
+        sg.Rule("cast", "low", "", F.col("t").cast("int") == 7),
+        sg.Rule("element", "low", "", F.col("a")[1] == 9),
+        sg.Rule("context", "low", "", F.col("q") > 1, {"q": F.lit(8) / F.col("d")}),
+    ]
+    got = sorted((r["rule"], r["seq"]) for r in sg.evaluate(df, rules).collect())
+    assert got == [("cast", 1), ("context", 2), ("context", 3), ("element", 3), ("modulo", 2), ("modulo", 3), ("ratio", 2), ("ratio", 3)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(ValueError, match="raise_error"):
+        sg.evaluate(df, [sg.Rule("r", "low", "", F.raise_error(F.lit("no")).cast("boolean"))])
+
+
+def test_only_a_failing_batch_is_cut():
+    calls = []
+
+    def rule(rows):
+        calls.append(len(rows))
+        if (rows["v"] == 3).any():
+            raise ValueError
+        return rows["v"] > 1
+
+    assert sg._matching(rule, pd.DataFrame({"v": [0, 1, 2, 5] * 16})).sum() == 32
+    assert calls == [64]
+    calls.clear()
+    found = sg._matching(rule, pd.DataFrame({"v": [2] * 20 + [3] + [2] * 43}))
+    assert not found[20] and found.sum() == 63
+    assert len(calls) == 13 and max(calls) == 64  # two for each halving
+    assert sg._matching(lambda rows: pd.Series([None, True], dtype="object"), pd.DataFrame({"v": [1, 2]})).tolist() == [False, True]
+    assert sg._matching(lambda rows: [True], pd.DataFrame({"v": [1, 2]})).tolist() == [True, True]
+
+
 def test_context_columns(spark):
     rule = sg.Rule("ctx", "low", "", F.col("twice") > 20, {"twice": F.col("dport") * 2})
     assert hits(spark, (1.0, 1.0, 22), [rule]) == [("ctx", "low")]

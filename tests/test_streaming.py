@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowwatch.operators import containment as ct, devices as dv, features as ft, lockout as lk, logs as lg, signatures as sg
+from flowwatch.operators import containment as ct, devices as dv, features as ft, lockout as lk, logs as lg, model as md, signatures as sg
 from flowwatch.plans import registry
 from flowwatch.plans.monitor import Settings
-from flowwatch.schemas import PACKET
+from flowwatch.schemas import BLOCK, PACKET
 from flowwatch.sources import fixtures as fx
 from flowwatch.sources.packets import read_packet_stream
-from flowwatch.streaming import feeds, keyed, versions
+from flowwatch.streaming import feeds, inventory, keyed, versions
+from flowwatch.streaming.inventory import start_blocks, start_devices
 from flowwatch.streaming.monitor import Monitor, start_monitor
 
 
@@ -61,6 +63,8 @@ def monitored(spark, packets, tmp_path_factory):
     q = start_monitor(read_packet_stream(spark, path, max_files=1), monitor, str(base / "check"))
     q.awaitTermination(600)
     assert q.exception() is None
+    for _ in range(2):  # the second run finds nothing new
+        start_blocks(spark, str(base / "out"), str(base / "blocks"), availableNow=True).awaitTermination(300)
     return spark, str(base / "out")
 
 
@@ -83,16 +87,58 @@ def test_live_alerts_equal_batch(monitored, packets):
     assert rows(got.filter("kind = 'SIGNATURE'")) == rows(want.filter("kind = 'SIGNATURE'"))
 
 
-def test_live_devices_equal_batch(monitored, packets):
-    spark, out = monitored
-    got = spark.read.parquet(f"{out}/devices/version=3")
-    assert rows(got) == rows(dv.device_inventory(packets))
+def test_live_devices_equal_batch(spark, packets, tmp_path):
+    path, out = in_files(packets, "ts_us", tmp_path / "in"), str(tmp_path / "out")
+    source = read_packet_stream(spark, path, max_files=1)
+    start_devices(source, out, str(tmp_path / "c")).awaitTermination(300)
+    assert rows(inventory.devices(spark, out)) == rows(dv.device_inventory(packets))
+    # A micro-batch of one packet writes its two devices, one without news writes none.
+    one = packets.orderBy(F.col("ts_us").desc()).limit(1)
+    one.withColumns({"ts_us": F.col("ts_us") + 5, "src_ip": F.lit("8.8.8.8"), "dest_ip": F.lit("10.0.0.2")}).toPandas().to_parquet(f"{path}/later.parquet")
+    for _ in range(2):
+        start_devices(source, out, str(tmp_path / "c")).awaitTermination(300)
+    changed = spark.read.parquet(f"{out}/devices").filter("batch > 3")
+    assert sorted(r["ip"] for r in changed.collect()) == ["10.0.0.2", "8.8.8.8"]
+    known = {r["ip"]: r for r in inventory.devices(spark, out).collect()}
+    before = {r["ip"]: r for r in dv.device_inventory(packets).collect()}
+    assert known["10.0.0.2"]["first_seen"] == before["10.0.0.2"]["first_seen"] < known["8.8.8.8"]["first_seen"] == known["10.0.0.2"]["last_seen"]
+
+
+def test_blocks_are_appended_once_for_each_source(spark, tmp_path):
+    out = str(tmp_path / "out")
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    block = lambda i, s, ip: (i, at(s), ip, "block", "auto-high", None)
+    came = [[block("a2", 5, "a"), block("a1", 3, "a"), block("b", 4, "b")], [block("c", 6, "c"), block("a3", 1, "a")], []]
+    for i, rows_ in enumerate(came):
+        versions.add(spark.createDataFrame(rows_, BLOCK).repartition(3), f"{out}/candidates", i)
+        start_blocks(spark, out, str(tmp_path / "c")).awaitTermination(300)
+    blocks = spark.read.schema(BLOCK).parquet(f"{out}/blocks")
+    assert sorted(r["id"] for r in blocks.collect()) == ["a1", "b", "c"]
 
 
 def test_live_blocks_are_unique(monitored):
     spark, out = monitored
-    blocks = spark.read.parquet(f"{out}/blocks/version=3")
+    blocks = spark.read.schema(BLOCK).parquet(f"{out}/blocks")
+    candidates = spark.read.schema(BLOCK).parquet(f"{out}/candidates/batch=*")
     assert blocks.count() == blocks.select("ip").distinct().count()
+    assert {r["ip"] for r in candidates.collect()} == {r["ip"] for r in blocks.collect()}
+
+
+def test_packets_are_kept_once(monitored, packets):
+    spark, out = monitored
+    assert "packets" not in os.listdir(out)
+    rolling = spark.read.parquet(f"{out}/rolling")
+    assert rolling.count() == packets.count() and {"event_date", "batch"} < set(rolling.columns)
+
+
+def test_retraining_reads_the_dates_of_its_window(spark, packets, tmp_path):
+    spread = packets.withColumn("ts_us", F.col("ts_us") + (F.col("seq") % 2) * 5 * 86_400_000_000)
+    path = in_files(spread, "ts_us", tmp_path / "in", parts=2)
+    monitor = Monitor(str(tmp_path / "out"), Settings(local_ips=fx.LOCAL_IPS), registry._fixed_model(), retrain_every=100, window_us=86_400_000_000)
+    start_monitor(read_packet_stream(spark, path, max_files=1), monitor, str(tmp_path / "c")).awaitTermination(600)
+    assert len([d for d in os.listdir(tmp_path / "out" / "rolling") if d.startswith("event_date")]) == 2
+    late = spread.filter("seq % 2 = 1").count()
+    assert md.load(spark, f"{tmp_path}/out/models/batch=1").subsample == min(256, late)
 
 
 def test_retrain_leaves_models(monitored):
@@ -135,10 +181,61 @@ def test_limit_hits(spark, packets, tmp_path):
     )
 
 
+def test_a_limit_leaves_the_state(spark, tmp_path):
+    schema = "rule string, src_ip string, dest_ip string, ts_us long, seq long"
+    hits = spark.createDataFrame([("r", f"s{i % 30}", "d", i * 1_000_000, i) for i in range(60)] + [("r", "z", "d", 900_000_000, 99)], schema)
+    path = in_files(hits, "ts_us", tmp_path / "in", parts=3)
+    assert state_sizes(keyed.limit_hits(stream(spark, path, hits.schema), 5.0), "held", tmp_path / "c")[-1] <= 1
+
+
+def state_sizes(df, name, checkpoint):
+    """Rows of state after each micro-batch."""
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
+
+
+def test_an_ended_ban_leaves_the_state(spark, tmp_path):
+    schema = "ip string, ts string, id string, action string, expires_at string"
+    data = [(f"a{i}", f"2024-01-01 00:00:{i:02}", str(i), "block", "2024-01-01 00:05:00") for i in range(40)]
+    data += [("z", "2024-01-02 00:00:00", "z", "unblock", None)]
+    times = {c: F.col(c).cast("timestamp") for c in ("ts", "expires_at")}
+    blocks = spark.createDataFrame(data, schema).withColumns(times)
+    path = in_files(blocks, "ts", tmp_path / "in", parts=2)
+    assert state_sizes(keyed.ban_expiry_stream(stream(spark, path, blocks.schema)), "ended", tmp_path / "c")[-1] <= 1
+    assert spark.table("ended").count() == 40
+
+
+def locked(spark, path, schema, folder, after, minutes):
+    job = keyed.Lockout(str(folder / "out"), after, minutes)
+    q = keyed.start_lockout(stream(spark, path, schema), job, str(folder / "c"))
+    q.awaitTermination(600)
+    assert q.exception() is None
+    return spark.read.parquet(f"{folder}/out/verdicts").select("username", "seq", "verdict")
+
+
+def test_an_ended_lock_leaves_the_state(spark, tmp_path):
+    data = [(f"u{i % 10}", i, i, False) for i in range(50)] + [("ok", 60, 60, True), ("one", 61, 61, False), ("late", 62, 9000, True)]
+    logins = spark.createDataFrame(data, "username string, seq long, s long, ok boolean")
+    logins = logins.select("username", "seq", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "ok")
+    path = in_files(logins, "seq", tmp_path / "in", parts=53)
+    held = []
+    job = keyed.Lockout(str(tmp_path / "out"), 5, 15)
+
+    def watched(batch, batch_id):
+        job(batch, batch_id)
+        held.append({r["key"] for r in spark.read.parquet(f"{tmp_path}/out/state/version={batch_id}").collect()})
+
+    two = spark.readStream.schema(logins.schema).option("maxFilesPerTrigger", 26).parquet(path)
+    two.writeStream.foreachBatch(watched).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(600)
+    assert len(held) == 3 and held[0] == held[1] - {"one"} == {f"u{i}" for i in range(10)} | ({"one"} & held[0])
+    assert held[2] == {"one"}
+
+
 def test_lockout_stream(spark, events, tmp_path):
     logins = fx.logins(events)
     path = in_files(logins, "ts", tmp_path / "in")
-    got = run_to_memory(keyed.lockout_stream(stream(spark, path, logins.schema), 5, 4320), "locks", tmp_path / "c")
+    got = locked(spark, path, logins.schema, tmp_path, 5, 4320)
     want = lk.login_verdicts(logins, 5, 4320).select("username", "seq", "verdict")
     assert rows(got) == rows(want)
     assert want.filter("verdict = 'locked'").count() > 0
@@ -151,7 +248,7 @@ def test_lockout_stream_orders_a_user_across_arrow_batches(spark, tmp_path):
     path = in_files(logins, "seq", tmp_path / "in", parts=1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     try:
-        got = run_to_memory(keyed.lockout_stream(stream(spark, path, logins.schema), 3, 0.1), "order", tmp_path / "c")
+        got = locked(spark, path, logins.schema, tmp_path, 3, 0.1)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert rows(got) == rows(lk.login_verdicts(logins, 3, 0.1).select("username", "seq", "verdict"))
@@ -224,10 +321,12 @@ def test_latest_view(spark, events, tmp_path):
 
 def test_scan_summary(spark, packets, tmp_path):
     path = in_files(packets, "ts_us", tmp_path / "in")
-    got = run_to_memory(feeds.scan_summary(stream(spark, path, PACKET)), "scans", tmp_path / "c", "update")
-    exact = ft.scan_windows(packets).select("window_start", "src_ip", "packets")
-    final = got.groupBy("window_start", "src_ip").agg(F.max("packets").alias("packets"))
-    assert rows(final) == rows(exact)
+    got = run_to_memory(feeds.scan_summary(stream(spark, path, PACKET)), "scans", tmp_path / "c")
+    # Windows that the watermark has passed, each once.
+    newest = packets.agg(F.max("ts_us")).first()[0] // 1000 * 1000 - 30_000_000
+    exact = ft.scan_windows(packets).filter(F.unix_micros("window_end") <= newest).select("window_start", "src_ip", "unique_dports", "packets")
+    assert rows(got) == rows(exact)
+    assert got.count() > 100
 
 
 def test_old_versions_go(spark, tmp_path):

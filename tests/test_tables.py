@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from flowwatch.operators import alerts as al, containment as ct, devices as dv, lockout as lk, logs as lg, retention as rt
+from flowwatch.operators import alerts as al, containment as ct, devices as dv, folds, lockout as lk, logs as lg, retention as rt
 from flowwatch.schemas import ALERT, BLOCK, DEVICE, RAW_PACKET, TRUSTED
 from flowwatch.sources import packets as pk, stores
 
@@ -271,6 +273,92 @@ def test_retention_keeps_the_cutoff_day(spark):
     assert rt.deleted_counts(df, df, 7, None, as_of).first().asDict() == {"alerts": 1, "blocks": 0}
 
 
+def test_dropping_dates(spark, tmp_path):
+    as_of = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    path = str(tmp_path / "dated")
+    rows = [("old", datetime(2024, 1, 1)), ("older", datetime(2023, 12, 31)), ("edge", datetime(2024, 1, 3)), ("new", datetime(2024, 1, 9))]
+    stores.replace_dates(spark.createDataFrame(rows, "id string, ts timestamp"), path)
+    ids = lambda: sorted(r["id"] for r in spark.read.parquet(path).collect())
+    for nothing in (0, None):
+        assert rt.drop_dates(spark, path, nothing, as_of).count() == 0
+        assert ids() == ["edge", "new", "old", "older"]
+    with pytest.raises(ValueError):
+        rt.drop_dates(spark, path, -1, as_of)
+    # A run that was cut short left a folder that it had taken out.
+    os.rename(f"{path}/event_date=2023-12-31", f"{path}/_dropped-left")
+    assert ids() == ["edge", "new", "old"]
+    assert [(str(r[0]), r[1]) for r in rt.drop_dates(spark, path, 7, as_of).collect()] == [("2024-01-01", 1)]
+    assert ids() == ["edge", "new"]
+    assert not [n for n in os.listdir(path) if n.startswith("_dropped")]
+
+
+def test_dates_are_replaced_and_versions_are_whole(spark, tmp_path):
+    day = lambda d, v: (v, datetime(2024, 1, d))
+    table = lambda *rows: spark.createDataFrame(list(rows), "id string, ts timestamp")
+    path = str(tmp_path / "dates")
+    stores.replace_dates(table(day(1, "a"), day(2, "b")), path)
+    stores.replace_dates(table(day(2, "c"), day(3, "d")), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a", "c", "d"]
+
+    path, schema = str(tmp_path / "versions"), table(day(1, "a")).schema
+    assert stores.read_dated(spark, path, schema).count() == 0
+    assert stores.write_dated(table(day(1, "a"), day(2, "b")), path) == 0
+    # The next version is made from the one that it replaces.
+    assert stores.write_dated(stores.read_dated(spark, path, schema).filter("id = 'b'").select("id", "ts"), path) == 1
+    assert [r["id"] for r in stores.read_dated(spark, path, schema).collect()] == ["b"]
+    os.remove(f"{path}/version=1/_SUCCESS")  # a version that is not complete
+    assert sorted(r["id"] for r in stores.read_dated(spark, path, schema).collect()) == ["a", "b"]
+
+
+def test_a_date_is_few_files(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("seq"), (F.col("id") % 5 * 86_400_000_000).alias("ts_us")).repartition(40)
+    stores.append_rolling(rows, str(tmp_path / "r"))
+    files = {d: [f for f in os.listdir(tmp_path / "r" / d) if f.endswith(".parquet")] for d in os.listdir(tmp_path / "r") if d.startswith("event")}
+    assert len(files) == 5 and all(len(f) <= 2 for f in files.values())
+    back = stores.read_rolling(spark, str(tmp_path / "r"), StructType([*rows.schema.fields, StructField("later", StringType())]))
+    assert back.count() == 20_000 and back.filter("later is null").count() == 20_000
+
+
+def test_requests_make_sure_that_a_device_exists(spark):
+    known = spark.createDataFrame([("a", at(1), at(2), "old"), ("b", at(1), at(2), "")], "ip string, first_seen timestamp, last_seen timestamp, name string")
+    asked = spark.createDataFrame([("a", ""), ("b", " x "), ("c", None), ("d", "no"), (" ", "y")], "ip string, name string")
+    got = {r["ip"]: tuple(r)[1:] for r in dv.ensure_devices(known, asked, F.lit(at(9))).collect()}
+    assert got == {"a": (at(1), at(9), "old"), "b": (at(1), at(2), "x"), "c": (at(9), at(9), "")}
+
+
+def test_a_key_is_chained_in_several_tasks(spark):
+    """One key, small blocks and runs: the result is that of one task, and the runs of the key are dealt out."""
+    rng = random.Random(9)
+    rows = [("k", rng.randint(0, 4000), q, int(rng.random() < 0.2), 0) for q in range(3000)]
+    df = spark.createDataFrame(rows, "key string, tick long, seq long, op int, arg long")
+    machine = lk.lockout_machine(3, 40)
+    verdicts = lambda block, run: {r["seq"]: (r["state_before"], r["verdict"]) for r in folds.fold_commands(df, machine, block, run).collect()}
+    state, until, want = 0, 0, {}
+    for _, tick, seq, op, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        state = 0 if state == 3 and until <= tick else state
+        before = state
+        state, verdict, timer = machine.step(state, op, 0)
+        until = tick + timer if timer > 0 else until
+        want[seq] = (before, verdict)
+    for run in (1, 7, 100, 1 << 12):
+        assert verdicts(500, run) == want
+    _, maps = folds._tick_blocks(df, machine, 500, 100)
+    parts = maps.repartition(4, "key", "run").select(F.spark_partition_id().alias("p"), "run").distinct().groupBy("p").count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == len({r[1] // 100 for r in rows})
+
+
+@pytest.mark.parametrize("cut", [1, 900, 2500])
+def test_a_fold_goes_on_from_what_is_left(spark, cut):
+    rng = random.Random(cut)
+    rows = [(rng.choice("ab"), rng.randint(0, 3000), q, int(rng.random() < 0.2), 0) for q in range(900)]
+    df = spark.createDataFrame(rows, "key string, tick long, seq long, op int, arg long")
+    machine, nothing = lk.lockout_machine(3, 200), spark.createDataFrame([], "key string, state int, until long")
+    first, left = folds.fold_onward(df.filter(F.col("tick") < cut), nothing, machine, "a", 100, 64)
+    second, _ = folds.fold_onward(df.filter(F.col("tick") >= cut), left, machine, "b", 100, 64)
+    pick = lambda d: sorted((r["seq"], r["state_before"], r["verdict"]) for r in d.collect())
+    assert pick(first.unionByName(second)) == pick(folds.fold_commands(df, machine))
+
+
 def test_older_tables_conform(spark):
     old = spark.createDataFrame([("1", at(0), "ip", "block")], "id string, ts timestamp, ip string, action string")
     row = rt.conform(old, BLOCK).first()
