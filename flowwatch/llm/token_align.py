@@ -9,7 +9,7 @@ both end at one byte, a group of tokens ends, and the two tokens are linked.
 Both tokenizers treat a text as a chain of chunks, cut before a blank that follows a character other than white
 space: A's pre-tokenizer ends there, and no piece of B goes past it (both checked when the files are
 read; otherwise a text is one chunk). So each distinct chunk is encoded and aligned once, and texts are put together from
-chunks. A worker keeps the chunks that it knows, up to a bound.
+chunks. Chunks that are new go to the libraries many at a time, as one text. A worker keeps what it knows, up to a bound.
 
 Every text is encoded once, into one narrow row: its sizes and its distinct linked pairs with their
 number. Pairs are summed over the corpus by Spark. Of two linked tokens one spells an end of the other, so
@@ -21,13 +21,13 @@ be null or repeated: each row is its own. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowwatch.llm import words as wd
@@ -36,7 +36,12 @@ from flowwatch.session import materialize
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SLICE = 4 << 20
-_KNOWN = 1 << 19
+_KNOWN = 1 << 21
+_TOGETHER = 1 << 14
+_MARK = "▁".encode()
+#: The flat arrays of known chunks, and which counts say how much of them each chunk has.
+_FLAT = {"ids_a": "n_a", "ids_b": "n_b", "group_a": "n_groups", "group_b": "n_groups", "pairs": "n_groups", "text": "n_text"}
+_KINDS = dict.fromkeys([*_FLAT, *_FLAT.values()], np.int32) | {"pairs": np.int64, "text": np.uint8, "good": bool}
 
 
 def _alphabet() -> dict[str, int]:
@@ -64,6 +69,17 @@ def refined(chunk_first: np.ndarray, coarse: np.ndarray, size: np.ndarray) -> np
     return np.where(known, coarse[good], 0) + total - np.where(known, total[good], (total - size)[chunk_first])
 
 
+def _closed(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is neither white space nor the blank mark.
+
+    A few other characters that share their last bytes with these count as such too.
+    """
+    last, second, third = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+    two = (ends > 1) & (second == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    three = (ends > 2) & (third >= 0xE1) & (third <= 0xE3) & np.isin(second, (0x80, 0x81, 0x96, 0x9A))
+    return (last > 32) & ~((last >= 0x80) & (two | three))
+
+
 class _Spelling:
     """The bytes of each id, flat."""
 
@@ -118,75 +134,98 @@ class Aligner:
         return len(self.spelt_a.data) + len(self.spelt_b.data)
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.text: list[str] = []
-        none = np.empty(0, np.int64)
-        self.ids_a, self.ids_b, self.group_a, self.group_b, self.pairs = none, none, none, none, none
-        self.n_a, self.n_b, self.n_groups, self.good = none, none, none, np.empty(0, bool)
+        #: Hashes of known chunks in order, and their numbers.
+        self.names, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
+        for name, kind in _KINDS.items():
+            setattr(self, name, np.empty(0, kind))
 
     def chunks(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where chunks begin in the texts [at[i], at[i + 1]) of the data; each text has a blank first."""
         starts = np.zeros(len(data) + 1, bool)
         if self.cuts and len(data) > 2:
-            last = data[:-2]
-            third, second = (np.concatenate([np.zeros(k, np.uint8), data[: -2 - k]])[: len(last)] for k in (2, 1))
-            # Other white space, and the blank mark, end in these bytes; some other characters do too, which are not cut either.
-            wide = ((second == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((third >= 0xE1) & (third <= 0xE3) & np.isin(second, (0x80, 0x81, 0x96, 0x9A)))
-            starts[1:-2] = (data[1:-1] == 32) & (last > 32) & ~((last >= 0x80) & wide)
+            starts[1:-2] = (data[1:-1] == 32) & _closed(data, np.arange(1, len(data) - 1))
             starts[at[1:][at[1:] > 0] - 1] = False  # a blank at the very end stays with the chunk before it
         starts[at[:-1]] = True
         return np.flatnonzero(starts[:-1])
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encodes and aligns distinct chunks that are not known yet."""
+    def learn(self, names: np.ndarray, chunks: list[bytes]) -> None:
+        """Encodes and aligns distinct chunks that are not known yet, many in one text where another may follow. ``names``: their hashes."""
+        size = np.array([len(c) for c in chunks], np.int64)
+        follows = _closed(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum(size)) if self.cuts else np.zeros(len(chunks), bool)
+        follows &= np.array([_MARK not in c for c in chunks], bool)
+        order = np.argsort(~follows, kind="stable")
+        together = np.cumsum(size[order]) // _TOGETHER
+        alone = (together.max(initial=0) + 1) + np.arange(len(chunks))
+        left = self._align(names[order], [chunks[i] for i in order], np.where(follows[order], together, alone))
+        if len(left):
+            left = order[left]
+            self._align(names[left], [chunks[i] for i in left], np.arange(len(left)))
+
+    def _align(self, names: np.ndarray, chunks: list[bytes], group: np.ndarray) -> np.ndarray:
+        """Learns chunks, those of a group as one text. Returns the places of those in groups that are not spelt, unless they are alone."""
         data = np.frombuffer(b"".join(chunks), np.uint8)
         length = np.array([len(c) for c in chunks], np.int64)
         begin = np.cumsum(length) - length
-        texts = [c.decode() for c in chunks]
-        encoded = self.a.encode_batch(texts, add_special_tokens=False)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        many = np.diff(np.append(first, len(chunks)))
+        from_, size = begin[first], np.add.reduceat(length, first)
+        whole = data.tobytes()
+        texts = [whole[x : x + n].decode() for x, n in zip(from_.tolist(), size.tolist())]
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        first_char = np.searchsorted(chars, begin)
         ids_a, ends_a, many_a = [], [], []
-        for e in encoded:
+        for e in self.a.encode_batch(texts, add_special_tokens=False):
             ids_a += e.ids
             ends_a += [y for _, y in e.offsets]
             many_a.append(len(e.ids))
         ids_b, ends_b, many_b = [], [], []
         for p in self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1):
             # Spans count from behind the blank that B puts first.
-            ids_b += [x.id for x in p.pieces]
-            ends_b += [x.end + 1 for x in p.pieces]
-            many_b.append(len(p.pieces))
+            pieces = list(p.pieces)
+            ids_b += [x.id for x in pieces]
+            ends_b += [x.end + 1 for x in pieces]
+            many_b.append(len(pieces))
         ids_a, ids_b, n_a, n_b = (np.array(x, np.int64) for x in (ids_a, ids_b, many_a, many_b))
-        in_a, in_b = (np.repeat(np.arange(len(chunks)), n) for n in (n_a, n_b))
-        coarse_a = chars[first_char[in_a] + np.array(ends_a, np.int64)] - begin[in_a]
-        good = ~(self.spelt_a.wrong(ids_a, in_a, data, begin, length) | self.spelt_b.wrong(ids_b, in_b, data, begin, length))
-        end_a = refined((np.cumsum(n_a) - n_a)[in_a], coarse_a, self.spelt_a.size[ids_a]) + begin[in_a]
-        end_b = refined((np.cumsum(n_b) - n_b)[in_b], np.array(ends_b, np.int64), self.spelt_b.size[ids_b]) + begin[in_b]
-        keep_a, keep_b = good[in_a], good[in_b]
-        ids_a, end_a, ids_b, end_b = ids_a[keep_a], end_a[keep_a], ids_b[keep_b], end_b[keep_b]
-        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        in_a, in_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
+        good = ~(self.spelt_a.wrong(ids_a, in_a, data, from_, size) | self.spelt_b.wrong(ids_b, in_b, data, from_, size))
+        coarse_a = chars[np.searchsorted(chars, from_)[in_a] + np.array(ends_a, np.int64)] - from_[in_a]
+        end_a = refined((np.cumsum(n_a) - n_a)[in_a], coarse_a, self.spelt_a.size[ids_a]) + from_[in_a]
+        end_b = refined((np.cumsum(n_b) - n_b)[in_b], np.array(ends_b, np.int64), self.spelt_b.size[ids_b]) + from_[in_b]
+        ids_a, end_a, ids_b, end_b = ids_a[good[in_a]], end_a[good[in_a]], ids_b[good[in_b]], end_b[good[in_b]]
         ends = np.intersect1d(end_a, end_b, assume_unique=True)
         last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         group_a, group_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        n_groups = np.bincount(np.searchsorted(begin, ends - 1, "right") - 1, minlength=len(chunks))
-        said_a, said_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        said, x, y = [], 0, 0
-        for u, v in zip(group_a.tolist(), group_b.tolist()):
-            said.append(f"{','.join(said_a[x : x + u])}|{','.join(said_b[y : y + v])}")
-            x, y = x + u, y + v
-        at = 0
-        for c, n in zip(chunks, n_groups.tolist()):
-            self.known[c] = len(self.known)
-            self.text.append(";".join(said[at : at + n]))
-            at += n
-        new = {"ids_a": ids_a, "ids_b": ids_b, "group_a": group_a, "group_b": group_b, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "good": good}
+        said_a, said_b = map(str, ids_a.tolist()), map(str, ids_b.tolist())
+        said = [
+            f"{next(said_a)}|{next(said_b)}" if u == v == 1 else f"{','.join(islice(said_a, u))}|{','.join(islice(said_b, v))}"
+            for u, v in zip(group_a.tolist(), group_b.tolist())
+        ]
+        of = lambda at: np.bincount(np.searchsorted(begin, at - 1, "right") - 1, minlength=len(chunks))
+        new = {"ids_a": ids_a, "ids_b": ids_b, "group_a": group_a, "group_b": group_b, "n_a": of(end_a), "n_b": of(end_b), "n_groups": of(ends)}
         new["pairs"] = ids_a[last_a] * len(self.spelt_b.size) + ids_b[last_b]
+        good, lone = np.repeat(good, many), np.repeat(many == 1, many)
+        known = np.flatnonzero(good | lone)
+        at = np.cumsum(new["n_groups"]) - new["n_groups"]
+        texts = [";".join(said[x : x + n]).encode() for x, n in zip(at[known].tolist(), new["n_groups"][known].tolist())]
+        new |= {name: new[name][known] for name in ("n_a", "n_b", "n_groups")} | {"good": good[known]}
+        new |= {"text": np.frombuffer(b"".join(texts), np.uint8), "n_text": np.array([len(t) for t in texts], np.int64)}
+        # Chunks that are tried again have nothing in the flat arrays.
         for name, values in new.items():
-            setattr(self, name, np.concatenate([getattr(self, name), values]))
+            setattr(self, name, np.concatenate([getattr(self, name), values.astype(_KINDS[name])]))
+        all_names = np.concatenate([self.names, names[known]])
+        order = np.argsort(all_names, kind="stable")
+        numbers = np.concatenate([self.numbers, len(self.names) + np.arange(len(known), dtype=np.int32)])
+        self.names, self.numbers = all_names[order], numbers[order]
+        return np.flatnonzero(~(good | lone))
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of chunks, or -1."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.numbers[at], -1)
 
     def place(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, known chunk) of all chunks of the texts in order, and which rows have tokens."""
+        """(row, known chunk) of all chunks of the texts in order, and which rows have tokens. Holds until the next call."""
         raw, at = wd.text_bytes(texts)
         size = np.diff(at)
         full = size > 0
@@ -197,26 +236,35 @@ class Aligner:
         length = np.diff(np.append(begin, len(data)))
         row = np.searchsorted(at, begin, "right") - 1
         hashes = wd.Spans(data, wd.EXACT).hash(begin, begin + length)
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        whole = data.tobytes()
-        distinct = [whole[a:b] for a, b in zip(begin[one].tolist(), (begin + length)[one].tolist())]
-        if len(self.known) > _KNOWN:
+        names, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.names) > _KNOWN:
             self.clear()
-        new = [c for c in distinct if c not in self.known]
-        if new:
-            self.learn(new)
-        chunk = np.array([self.known[c] for c in distinct], np.int64)[which]
+        new = np.flatnonzero(self.find(names) < 0)
+        if len(new):
+            whole, first = data.tobytes(), one[new]
+            self.learn(names[new], [whole[a:b] for a, b in zip(begin[first].tolist(), (begin + length)[first].tolist())])
+        chunk = self.find(names)[which]
+        self.text_at = np.cumsum(self.n_text, dtype=np.int64) - self.n_text
         has = full.copy()
         has[row[~self.good[chunk]]] = False
         some = has[row]
         return row[some], chunk[some], has
 
-    def gather(self, name: str, counts: str, chunk: np.ndarray) -> np.ndarray:
-        """One of the flat arrays for a run of chunks; ``counts``: how many entries of it each chunk has."""
-        size = getattr(self, counts)
+    def gather(self, name: str, chunk: np.ndarray) -> np.ndarray:
+        """One of the flat arrays for a run of chunks."""
+        size = getattr(self, _FLAT[name]).astype(np.int64)
         return getattr(self, name)[_ranges((np.cumsum(size) - size)[chunk], size[chunk])]
 
 
+    def said(self, chunk: np.ndarray) -> bytes:
+        """The groups of a run of chunks as text."""
+        size = self.n_text[chunk].astype(np.int64)
+        out = np.full(int(size.sum()) + len(chunk), ord(";"), np.uint8)
+        begin = np.cumsum(size + 1) - (size + 1)
+        out[_ranges(begin, size)] = self.text[_ranges(self.text_at[chunk], size)]
+        return out[:-1].tobytes()
+
+
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
@@ -240,8 +288,9 @@ def _aligned(byte_model: str, piece_model: str):
         for b in wd.slices(batches, "text", _SLICE):
             row, chunk, _ = known.place(b.column("text"))
             columns = [b.column("id")]
-            for name, counts in (("ids_a", "n_a"), ("ids_b", "n_b"), ("group_a", "n_groups"), ("group_b", "n_groups")):
-                columns.append(wd.lists(known.gather(name, counts, chunk).astype(np.int32), _sums(getattr(known, counts)[chunk], row, b.num_rows), pa.int32()))
+            for name in ("ids_a", "ids_b", "group_a", "group_b"):
+                counts = _FLAT[name]
+                columns.append(wd.lists(known.gather(name, chunk).astype(np.int32), _sums(getattr(known, counts)[chunk], row, b.num_rows), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "group_a", "group_b"])
 
     return run
@@ -254,9 +303,8 @@ def _summaries(byte_model: str, piece_model: str):
             row, chunk, has = known.place(b.column("text"))
             n_a, n_b, n_groups = (_sums(getattr(known, c)[chunk], row, b.num_rows) for c in ("n_a", "n_b", "n_groups"))
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
-            said = [known.text[c] for c in chunk.tolist()]
-            digest = [hashlib.sha256(";".join(said[x:y]).encode()).hexdigest() if h else "" for x, y, h in zip(at, at[1:], has)]
-            pair = known.gather("pairs", "n_groups", chunk)
+            digest = [sha256(known.said(chunk[x:y])).hexdigest() if h else "" for x, y, h in zip(at, at[1:], has)]
+            pair = known.gather("pairs", chunk)
             of = np.repeat(row, known.n_groups[chunk])
             order = np.lexsort((pair, of))
             pair, of = pair[order], of[order]
