@@ -5,9 +5,9 @@ matched: one vocabulary, the same bigram order and the same smoothing. The score
 mean over its words of (target loss - background loss), in nats; low is close to the target.
 
 Words are named by their 64-bit hash and none is unknown. With p(w) the unigram share, smoothed over as many
-words as there are (``1 << VOCABULARY_BITS`` at least), p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU). Counts of
+words as there are, p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU). Counts of
 words and bigrams grow with the corpus and are never gathered; only those of the ``HOT`` most frequent words are
-broadcast, and those of bigrams of two of them, HOT^2 entries at most, which are counted in each task and summed.
+broadcast, and those of bigrams of two of the first ``PAIRED`` of them, PAIRED^2 entries at most, which are counted in each task and summed.
 
 All other words are dealt, each occurrence with the word before it, to groups of about ``GROUP_TOKENS``
 occurrences: a word that is not hot by its hash, a hot one by the hash of its bigram. So a group holds every
@@ -33,34 +33,25 @@ from flowwatch.session import materialize
 
 _log = logging.getLogger(__name__)
 
-VOCABULARY_BITS = 20
-HOT = 512
+HOT = 1 << 16
+PAIRED = 512
 GROUP_TOKENS = 1 << 20
 MU = 16.0
 ADD = 0.1
-_FLUSH = 1 << 20
+_FLUSH = 6 << 20
+_MOST_DOCS = 1 << 16
 _SUMS = "ref long, n long, target double, background double"
 
 
-def _tokens(batches):
-    """The words of each text as hashes, packed."""
-    for b in wd.slices(batches, "text"):
-        w = wd.cut(b.column("text"))
-        ids, at = w.hash, w.first()
-        some = np.flatnonzero(np.diff(at))
-        packed = [ids[at[i] : at[i + 1]].tobytes() for i in some]
-        row = pa.array(some)
-        yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("ref").take(row), pa.array(packed, pa.binary())], names=["id", "ref", "ids"])
-
-
 class _Docs:
-    """Documents of about ``_FLUSH`` words: refs, target marks, and the flat ids with their document."""
-
-    def __init__(self, refs: list[int], marks: list[bool], packed: list[bytes]):
-        self.refs, self.marks = np.array(refs, np.int64), np.array(marks, bool)
-        self.ids = np.frombuffer(b"".join(packed), np.uint64)
-        sizes = np.array([len(x) // 8 for x in packed], np.int64)
-        self.doc = np.repeat(np.arange(len(packed)), sizes)
+    """Some documents: refs, target marks, and the flat ids of their words with their document."""
+
+    def __init__(self, refs: np.ndarray, marks: np.ndarray, w: wd.Words):
+        sizes = w.counts()
+        some = np.flatnonzero(sizes)
+        self.refs, self.marks, sizes = refs[some], marks[some], sizes[some]
+        self.ids = w.hash
+        self.doc = np.repeat(np.arange(len(some)), sizes)
         # Whether a word stands before, and after.
         self.prev, self.next = np.ones(len(self.ids), bool), np.ones(len(self.ids), bool)
         self.prev[np.cumsum(sizes) - sizes] = False
@@ -69,16 +60,13 @@ class _Docs:
 
 
 def _runs(batches):
-    refs, marks, packed, size = [], [], [], 0
-    for b in batches:
-        for ref, mark, ids in zip(b.column("ref").to_pylist(), b.column("is_target").to_pylist(), b.column("ids")):
-            refs.append(ref), marks.append(mark), packed.append(ids.as_py())
-            size += len(packed[-1]) // 8
-            if size >= _FLUSH:
-                yield _Docs(refs, marks, packed)
-                refs, marks, packed, size = [], [], [], 0
-    if refs:
-        yield _Docs(refs, marks, packed)
+    """The documents that have words, about ``_FLUSH`` bytes of text at a time. Every pass cuts the words again: hashes would take more room than the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _MOST_DOCS):
+            for b in wd.slices(iter([batch.slice(at, _MOST_DOCS)]), "text", _FLUSH):
+                docs = _Docs(b.column("ref").to_numpy(), b.column("is_target").to_numpy(zero_copy_only=False), wd.cut(b.column("text")))
+                if len(docs.ids):
+                    yield docs
 
 
 def _words(batches):
@@ -93,24 +81,25 @@ class _Model:
     """Totals, and the counts of hot words and of their bigrams, for both models at once."""
 
     def __init__(self, totals: np.ndarray, vocabulary: int, words: np.ndarray, counts: np.ndarray):
+        """``words``: the hot ones, the most frequent first."""
         order = np.argsort(words)
         self.totals, self.vocabulary = totals, vocabulary
         self.words, self.counts = words[order], counts[:, order]
-        self.pairs = np.zeros((2, len(words) ** 2))
+        self.paired = min(PAIRED, len(words))
+        self.top = np.where(order < self.paired, order, -1)
+        self.pairs = np.zeros((2, self.paired**2))
 
     def rank(self, w: np.ndarray) -> np.ndarray:
         """The number of each word among the hot ones, or -1."""
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         return np.where(self.words[at] == w, at, -1) if len(self.words) else np.full(len(w), -1)
 
-    def hot(self, d: _Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks of the words; which words need no dealing; which end bigrams of two hot words."""
+    def hot(self, d: _Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks of the words; which words need no dealing; which end bigrams whose counts are broadcast; the places of these counts."""
         rank = self.rank(d.ids)
-        both = d.prev & (rank >= 0) & (np.roll(rank, 1) >= 0)
-        return rank, both | (~d.prev & (rank >= 0)), both
-
-    def numbers(self, rank: np.ndarray, both: np.ndarray) -> np.ndarray:
-        return np.roll(rank, 1)[both] * len(self.words) + rank[both]
+        top = np.where(rank >= 0, self.top[rank], -1) if len(self.top) else rank
+        both = d.prev & (top >= 0) & (np.roll(top, 1) >= 0)
+        return rank, both | (~d.prev & (rank >= 0)), both, np.roll(top, 1)[both] * self.paired + top[both]
 
     def share(self, counts: np.ndarray) -> np.ndarray:
         """Smoothed share of words that have these counts."""
@@ -121,11 +110,10 @@ def _pairs(model):
     """Each task's counts of bigrams of two hot words."""
 
     def run(batches):
-        size = len(model.value.words) ** 2
+        size = model.value.paired**2
         target, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for d in _runs(batches):
-            rank, _, both = model.value.hot(d)
-            found = model.value.numbers(rank, both)
+            _, _, both, found = model.value.hot(d)
             every += np.bincount(found, minlength=size)
             target += np.bincount(found[d.marks[d.doc[both]]], minlength=size)
         some = np.flatnonzero(every)
@@ -148,9 +136,9 @@ def _near(model):
     def run(batches):
         m = model.value
         for d in _runs(batches):
-            rank, known, both = m.hot(d)
+            rank, known, both, at = m.hot(d)
             seen = np.zeros((2, len(d.ids)))
-            seen[:, both] = m.pairs[:, m.numbers(rank, both)]
+            seen[:, both] = m.pairs[:, at]
             share = m.share(m.counts[:, rank[known]])
             losses = -np.log(np.where(d.prev[known], seen[:, known] + MU * share, share))
             leads = np.flatnonzero(d.next & (rank >= 0))
@@ -166,7 +154,7 @@ def _deal(model, groups: int):
 
     def run(batches):
         for d in _runs(batches):
-            rank, known, _ = model.value.hot(d)
+            rank, known, _, _ = model.value.hot(d)
             at = np.flatnonzero(~known)
             w, v = d.ids[at], d.before[at]
             spread = wd.mix(np.where(rank[at] >= 0, wd.mix(v) + w, w))
@@ -182,7 +170,7 @@ def _deal(model, groups: int):
                 out["part"].append(int(g))
                 out["refs"].append(d.refs[here].tobytes()), out["marks"].append(d.marks[here].tobytes())
                 out["words"].append(words.tobytes()), out["times"].append(times.astype(np.int32).tobytes())
-                out["docs"].append(doc_at.astype(np.int32).tobytes()), out["before"].append(v[mine].tobytes()), out["flags"].append(flags[mine].tobytes())
+                out["docs"].append(doc_at.astype(np.uint16).tobytes()), out["before"].append(v[mine].tobytes()), out["flags"].append(flags[mine].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=_DEALT)
 
     return run
@@ -198,7 +186,7 @@ def _group(model):
         flat = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
         refs, flags = flat("refs", np.int64), flat("flags", np.uint8)
         shift = np.cumsum([0, *(len(x) // 8 for x in rows["refs"])])[:-1]
-        doc = flat("docs", np.int32) + np.repeat(shift, [len(x) // 4 for x in rows["docs"]])
+        doc = flat("docs", np.uint16) + np.repeat(shift, [len(x) // 2 for x in rows["docs"]])
         marks = flat("marks", bool)[doc]
         count = lambda which, size: np.stack([np.bincount(which, weights=marked, minlength=size) for marked in (marks, np.ones(len(marks)))])
         words, w = np.unique(flat("words", np.uint64), return_inverse=True)
@@ -226,27 +214,26 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("ref"), F.col(text).alias("text"))
-    id_type = dict(rows.dtypes)["id"]
     chosen = target.select(F.col(key).alias("id")).dropna().distinct().withColumn("is_target", F.lit(True))
-    packed = rows.mapInArrow(_tokens, f"id {id_type}, ref long, ids binary").join(chosen, "id", "left")
-    tokens = materialize(packed.select("ref", F.coalesce("is_target", F.lit(False)).alias("is_target"), "ids"), "tokens")
+    marked = rows.where(F.col("text") != "").join(chosen, "id", "left")
+    texts = materialize(marked.select("ref", F.coalesce("is_target", F.lit(False)).alias("is_target"), "text"), "marked-texts")
 
-    words = tokens.mapInArrow(_words, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    words = texts.mapInArrow(_words, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
     words = materialize(words, "words")
     total = words.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("every"), F.lit(0)).alias("every")).first()
     _log.info("%d distinct words", total["words"])
     hot = words.orderBy(F.desc("every"), "word").limit(HOT).toPandas()
     counts = hot[["target", "every"]].to_numpy(np.float64).T
-    model = _Model(np.array([[total["target"]], [total["every"]]], np.float64), max(1 << VOCABULARY_BITS, total["words"]), hot["word"].to_numpy(np.int64).view(np.uint64), counts)
+    model = _Model(np.array([[total["target"]], [total["every"]]], np.float64), total["words"], hot["word"].to_numpy(np.int64).view(np.uint64), counts)
     ranks = sc.broadcast(model)
-    pairs = tokens.mapInArrow(_pairs(ranks), "at long, target long, every long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
+    pairs = texts.mapInArrow(_pairs(ranks), "at long, target long, every long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
     model.pairs[:, pairs["at"].to_numpy(np.int64)] = pairs[["target", "every"]].to_numpy(np.float64).T
     full = sc.broadcast(model)
     groups = parts_for(docs.sparkSession, total["every"], GROUP_TOKENS)
-    dealt = tokens.mapInArrow(_deal(ranks, groups), "part int, " + ", ".join(f"{name} binary" for name in _PACKED))
+    dealt = texts.mapInArrow(_deal(ranks, groups), "part int, " + ", ".join(f"{name} binary" for name in _PACKED))
     far = dealt.groupBy("part").applyInPandas(_group(full), _SUMS)
-    sums = tokens.mapInArrow(_near(full), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-    copies = tokens.groupBy("ref").agg(F.count(F.lit(1)).alias("copies"))
+    sums = texts.mapInArrow(_near(full), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    copies = texts.groupBy("ref").agg(F.count(F.lit(1)).alias("copies"))
     sums = materialize(sums.join(copies, "ref"), "loss-sums")
     mean = lambda c: F.round(F.col(c) / F.col("n"), 6)
     return rows.select("id", "ref").join(sums, "ref", "left").select(

@@ -151,6 +151,7 @@ def losses(rows, targets, vocabulary, mu, add):
             uni[k].update(w)
             bi[k].update(zip(w, w[1:]))
     total = [sum(u.values()) for u in uni]
+    vocabulary = vocabulary or len(uni[1])
     out = []
     for _, text in rows:
         w = solid((text or "").translate(AZ))

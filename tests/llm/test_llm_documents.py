@@ -192,13 +192,12 @@ def test_lm_score(spark, data, empty, monkeypatch):
     rows, docs = data
     targets = {0, 1, 2, 14, 15, 31}
     table = spark.createDataFrame([(i,) for i in targets] + [(0,), (None,)], "doc_id long")
-    want = brute.losses([(r[0], r[1]) for r in rows], targets, 1 << lm_score.VOCABULARY_BITS, lm_score.MU, lm_score.ADD)
+    want = brute.losses([(r[0], r[1]) for r in rows], targets, None, lm_score.MU, lm_score.ADD)
     got = {(r.id, r.n_words): r for r in lm_score.score(docs, table).collect()}
     for r, (n, one, two) in zip(rows, want):
         g = got[r[0], n]
         assert (g.score is None) == (n == 0)
-        # Equal up to words that share an id of the hashed vocabulary.
-        assert n == 0 or abs(g.target_loss - one) < 0.02 and abs(g.background_loss - two) < 0.02
+        assert n == 0 or abs(g.target_loss - one) < 2e-6 and abs(g.background_loss - two) < 2e-6
     assert lm_score.score(empty, table).count() == 0
     assert lm_score.score(docs, table.limit(0)).where("score is not null").count() == sum(w[0] > 0 for w in want)
 
@@ -220,9 +219,10 @@ def test_lm_score_tells_all_words_apart(spark, data, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     targets = {0, 1, 900}
     table = spark.createDataFrame([(i,) for i in targets], "doc_id long")
-    want = sorted((r[0], n, a, b) for r, (n, a, b) in zip(rows, brute.losses(rows, targets, 1 << 20, lm_score.MU, lm_score.ADD)) if n)
-    for hot in (512, 3):
+    want = sorted((r[0], n, a, b) for r, (n, a, b) in zip(rows, brute.losses(rows, targets, None, lm_score.MU, lm_score.ADD)) if n)
+    for hot, paired in ((1 << 16, 512), (1 << 16, 5), (40, 40), (3, 512), (3, 1)):
         monkeypatch.setattr(lm_score, "HOT", hot)
+        monkeypatch.setattr(lm_score, "PAIRED", paired)
         got = sorted((r.id, r.n_words, r.target_loss, r.background_loss) for r in lm_score.score(docs, table).collect() if r.n_words)
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert all(abs(x - y) < 2e-6 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
