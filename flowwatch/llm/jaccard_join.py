@@ -99,6 +99,20 @@ def _whole_sets(n: int, wanted):
     return run
 
 
+def _shared(often):
+    """Leaves out shingles that certainly no other set shows or asks for; their lists would have one entry."""
+
+    def run(batches):
+        for b in batches:
+            short = b.column("short")
+            keep = bloom.maybe(often.value, short.flatten().to_numpy())
+            owner = np.repeat(np.arange(b.num_rows), short.value_lengths().to_numpy(zero_copy_only=False))
+            kept = wd.lists(short.flatten().to_numpy()[keep], np.bincount(owner[keep], minlength=b.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("size"), b.column("need"), kept], names=["set_id", "size", "need", "short"])
+
+    return run
+
+
 def _merge(batches):
     """Heap-merges each query's short lists; pairs that occur in T - L of them go on."""
     for b in batches:
@@ -284,7 +298,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     sets = materialize(sets, "sets")
 
     shown = sets.select("set_id", F.explode("shown").alias("shingle"))
-    long = materialize(shown.groupBy("shingle").count().where(F.col("count") > long_list).select("shingle"), "long")
+    often = materialize(shown.groupBy("shingle").count().where("count > 1"), "often")
+    long = often.where(F.col("count") > long_list).select("shingle")
     burden = shown.join(long, "shingle").groupBy("set_id").agg(F.collect_list("shingle").alias("long"))
     p = _prefix(F.col("size"), percent)
     short = F.when(F.col("long").isNull(), F.col("shown")).otherwise(F.array_except("shown", "long"))
@@ -294,14 +309,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     dense = materialize(sorted_out.where("need < 1").select("set_id", "size", "text_key", "copies", "p"), "dense")
     dense = materialize(_texts_of(docs, text, dense, n).join(dense, "set_id"), "dense-sets")
 
+    every = dense.select("set_id", "size", "p", F.explode("shingles").alias("shingle")).join(long, "shingle", "left_anti")
+    first = every.groupBy("set_id", "size", "p").agg(F.sort_array(F.collect_list("shingle")).alias("s")).withColumn("s", F.slice("s", 1, F.col("p") + F.floor(F.col("p") * spare / 100).cast("int")))
+    first = first.select("set_id", "size", F.greatest(F.lit(1), F.size("s") - F.col("p") + 1).alias("need"), F.explode("s").alias("shingle"))
+    first = materialize(first, "dense-queries")
+    # A shingle that one set shows and no dense set asks for stays where it is.
+    table = bloom.broadcast(often.select("shingle").unionAll(first.select("shingle")), "shingle")
+    shared = plain.select("set_id", "size", "need", "short").mapInArrow(_shared(table), "set_id long, size int, need int, short array<long>")
+
     # Dealt as flat rows before they are collected, under one filter: both readers of the lists share the exchange.
-    postings = plain.select(F.explode("short").alias("shingle"), "set_id", "size", "need").where("shingle is not null").repartition("shingle")
+    postings = shared.select(F.explode("short").alias("shingle"), "set_id", "size", "need").where("shingle is not null").repartition("shingle")
     lists = postings.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("set_id", "size", "need"))).alias("list"))
     own = lists.where(F.size("list") > 1).select(F.explode("list").alias("q"), "list")
     own = own.select("q.*", F.filter("list", lambda x: x["set_id"] < F.col("q.set_id")).alias("list"))
-    every = dense.select("set_id", "size", "p", F.explode("shingles").alias("shingle")).join(long, "shingle", "left_anti")
-    first = every.groupBy("set_id", "size", "p").agg(F.sort_array(F.collect_list("shingle")).alias("s")).withColumn("s", F.slice("s", 1, F.col("p") + F.floor(F.col("p") * spare / 100).cast("int")))
-    first = first.select("set_id", "size", F.greatest(F.lit(1), F.size("s") - F.col("p") + 1).alias("need"), F.explode("s").alias("shingle"))
     asked = own.unionAll(first.join(lists, "shingle").select("set_id", "size", "need", "list"))
     size = F.col("size")
     fits = lambda x: (x["size"] * 100 >= size * percent) & (size * 100 >= x["size"] * percent)
