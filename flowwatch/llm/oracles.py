@@ -51,16 +51,67 @@ WITH cut AS (
 grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM cut WHERE len(w) >= 3),
 twice AS (SELECT doc_id, pos FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, md5(t) AS k, unnest(l) AS line FROM cut),
+lines AS (SELECT doc_id, host, md5(t) AS k, len(w) AS total, unnest(l) AS line, unnest(range(len(l))) AS place FROM cut),
 short AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
                  regexp_replace(translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '0+', '0', 'g') AS norm FROM lines),
-often AS (SELECT host, norm FROM short WHERE nw BETWEEN 1 AND 25 GROUP BY host, norm HAVING count(DISTINCT k) > 10),
-gone AS (SELECT doc_id, sum(nw) AS n FROM short JOIN often USING (host, norm) WHERE nw BETWEEN 1 AND 25 GROUP BY doc_id),
+often AS (SELECT host, norm FROM short WHERE nw > 0 GROUP BY host, norm HAVING count(DISTINCT k) > 10),
+places AS (SELECT DISTINCT host, k, total, place, norm, nw FROM short JOIN often USING (host, norm) WHERE nw > 0),
+copies AS (SELECT host, k AS copy FROM places GROUP BY host, k, total HAVING 2 * sum(nw) > total),
+shown AS (SELECT s.host, s.norm, c.copy FROM (SELECT DISTINCT host, norm, k FROM places WHERE nw > 25) s LEFT JOIN copies c ON c.host = s.host AND c.copy = s.k),
+above AS (
+  SELECT DISTINCT host, norm FROM places WHERE nw <= 25
+  UNION ALL
+  SELECT host, norm FROM shown GROUP BY host, norm HAVING count(*) - count(copy) + least(count(copy), 1) > 10),
+gone AS (SELECT host, k, sum(nw) AS n FROM places JOIN above USING (host, norm) GROUP BY host, k),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM short WHERE nw > 0 GROUP BY doc_id),
 counts AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
          CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
-  FROM cut LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+  FROM cut LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone ON gone.host = cut.host AND gone.k = md5(cut.t))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_removed_words <= n_words AS kept FROM counts"""
+
+
+def _part(column: str) -> str:
+    """A field of a leaf: its UTF-8 size, a colon and the value, or - for null."""
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_part(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"""
+
+#: Trees by language level by level, the tree of their roots, and each leaf's way up, with its siblings' digests and its own fold.
+SQL["op11_merkle_manifest"] = f"""WITH RECURSIVE leaves AS (
+  SELECT *, coalesce('x' || lang, '') AS g, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS again
+  FROM documents), placed AS (
+  SELECT doc_id, g, leaf, coalesce(again, leaf) AS again, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM leaves), tree AS (
+  SELECT g, 0 AS level, i, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT g, any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY g, i // 2), subroots AS (
+  SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1), above AS (
+  SELECT 0 AS level, i, h, n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM above WHERE n > 1 GROUP BY i // 2), up AS (
+  SELECT doc_id, g, leaf, i AS row, i, 0 AS level, again AS now, '' AS proof FROM placed
+  UNION ALL
+  SELECT u.doc_id, u.g, u.leaf, u.row, u.i // 2, u.level + 1,
+    sha256(CASE WHEN u.i % 2 = 1 THEN o.h ELSE '' END || u.now || CASE WHEN u.i % 2 = 0 THEN coalesce(o.h, '') ELSE '' END), u.proof || coalesce(o.h, '')
+  FROM up u JOIN (SELECT DISTINCT g, level, n FROM tree) s ON s.g = u.g AND s.level = u.level AND s.n > 1
+  LEFT JOIN tree o ON o.g = u.g AND o.level = u.level AND o.i = xor(u.i, 1)), arrived AS (
+  SELECT u.doc_id, u.g, u.leaf, u.row, r.h AS subroot, r.i, 0 AS level, u.now, u.proof
+  FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY g, row ORDER BY level DESC) = 1) u JOIN subroots r ON r.g = u.g
+  UNION ALL
+  SELECT u.doc_id, u.g, u.leaf, u.row, u.subroot, u.i // 2, u.level + 1,
+    sha256(CASE WHEN u.i % 2 = 1 THEN o.h ELSE '' END || u.now || CASE WHEN u.i % 2 = 0 THEN coalesce(o.h, '') ELSE '' END), u.proof || coalesce(o.h, '')
+  FROM arrived u JOIN (SELECT DISTINCT level, n FROM above) s ON s.level = u.level AND s.n > 1
+  LEFT JOIN above o ON o.level = u.level AND o.i = xor(u.i, 1))
+SELECT doc_id, leaf, subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+  now = (SELECT h FROM above WHERE n = 1) AS verified
+FROM (SELECT * FROM arrived QUALIFY row_number() OVER (PARTITION BY g, row ORDER BY level DESC) = 1)"""

@@ -91,7 +91,7 @@ def op5_sharding(spark, sf):
 @query
 def op7_line_frequency(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "source", "text")
-    judged = line_frequency.judge(docs)
+    judged = line_frequency.judge(docs, long_lines=True)
     return judged.select(
         "doc_id", "base.n_words", "base.word_chars", "base.n_symbols", "base.n_dup_lines", "base.n_repeat_words",
         F.col("base.failed").alias("base_failed"), "lines.kept", "lines.n_removed_words",
