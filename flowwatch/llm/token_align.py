@@ -35,8 +35,9 @@ from flowwatch.session import materialize
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_SLICE = 4 << 20
-_KNOWN = 1 << 21
+_SLICE = 2 << 20
+_KNOWN = 1 << 20
+_LEARN = 1 << 15
 _TOGETHER = 1 << 14
 _MARK = "▁".encode()
 #: The flat arrays of known chunks, and which counts say how much of them each chunk has.
@@ -242,7 +243,10 @@ class Aligner:
         new = np.flatnonzero(self.find(names) < 0)
         if len(new):
             whole, first = data.tobytes(), one[new]
-            self.learn(names[new], [whole[a:b] for a, b in zip(begin[first].tolist(), (begin + length)[first].tolist())])
+            for start in range(0, len(new), _LEARN):
+                some = slice(start, start + _LEARN)
+                ends = (begin + length)[first[some]].tolist()
+                self.learn(names[new[some]], [whole[a:b] for a, b in zip(begin[first[some]].tolist(), ends)])
         chunk = self.find(names)[which]
         self.text_at = np.cumsum(self.n_text, dtype=np.int64) - self.n_text
         has = full.copy()
