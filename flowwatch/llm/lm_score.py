@@ -8,8 +8,9 @@ Words are named by their 64-bit hash and none is unknown. With p(w) the unigram
 words as there are, p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU). Counts of
 words and bigrams grow with the corpus and are never gathered; only those of the ``HOT`` most frequent words are
 broadcast, and those of bigrams of two of the first ``PAIRED`` of them, PAIRED^2 entries at most, which are counted in each task and summed.
+Target ids are broadcast up to ``MARKED`` of them; more are joined.
 
-All other words are dealt, each occurrence with the word before it, to groups of about ``GROUP_TOKENS``
+All other words are dealt, each occurrence with the word before it (two hot words by their ranks, two bytes each), to groups of about ``GROUP_TOKENS``
 occurrences: a word that is not hot by its hash, a hot one by the hash of its bigram. So a group holds every
 occurrence of a word that is not hot, hence c(w) and all c(v w). It adds -log of the numerator where the word
 stands, and, as the denominator of the next bigram knows its first word only, log(c(w) + MU) if a word follows.
@@ -25,7 +26,9 @@ import logging
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from flowwatch.llm import words as wd
 from flowwatch.llm.tables import parts_for
@@ -35,11 +38,13 @@ _log = logging.getLogger(__name__)
 
 HOT = 1 << 16
 PAIRED = 512
+MARKED = 1 << 22
 GROUP_TOKENS = 1 << 20
 MU = 16.0
 ADD = 0.1
 _FLUSH = 6 << 20
-_MOST_DOCS = 1 << 16
+_MARK_BIT = 15
+_MOST_DOCS = 1 << _MARK_BIT
 _SUMS = "ref long, n long, target double, background double"
 
 
@@ -59,22 +64,38 @@ class _Docs:
         self.before = np.where(self.prev, np.roll(self.ids, 1), np.uint64(0))
 
 
-def _runs(batches):
-    """The documents that have words, about ``_FLUSH`` bytes of text at a time. Every pass cuts the words again: hashes would take more room than the texts."""
+def _runs(batches, chosen):
+    """The documents that have words, about ``_FLUSH`` bytes of text at a time. Every pass cuts the words again: hashes would take more room than the texts.
+
+    ``chosen``: the sorted ids of the target documents, or none where rows are marked.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, _MOST_DOCS):
             for b in wd.slices(iter([batch.slice(at, _MOST_DOCS)]), "text", _FLUSH):
-                docs = _Docs(b.column("ref").to_numpy(), b.column("is_target").to_numpy(zero_copy_only=False), wd.cut(b.column("text")))
+                docs = _Docs(b.column("ref").to_numpy(), _marks(b, chosen), wd.cut(b.column("text")))
                 if len(docs.ids):
                     yield docs
 
 
-def _words(batches):
+def _marks(b: pa.RecordBatch, chosen) -> np.ndarray:
+    if chosen is None:
+        return b.column("is_target").to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(b.column("id").cast(pa.int64()), 0).to_numpy()
+    at = np.minimum(np.searchsorted(chosen.value, ids), max(len(chosen.value) - 1, 0))
+    same = chosen.value[at] == ids if len(chosen.value) else np.zeros(len(ids), bool)
+    return same & b.column("id").is_valid().to_numpy(zero_copy_only=False)
+
+
+def _words(chosen):
     """Each run's counts of its words."""
-    for d in _runs(batches):
-        words, which = np.unique(d.ids, return_inverse=True)
-        target, every = np.bincount(which[d.marks[d.doc]], minlength=len(words)), np.bincount(which)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(target), pa.array(every)], names=["word", "target", "every"])
+
+    def run(batches):
+        for d in _runs(batches, chosen):
+            words, which = np.unique(d.ids, return_inverse=True)
+            target, every = np.bincount(which[d.marks[d.doc]], minlength=len(words)), np.bincount(which)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(target), pa.array(every)], names=["word", "target", "every"])
+
+    return run
 
 
 class _Model:
@@ -106,13 +127,13 @@ class _Model:
         return (counts + ADD) / (self.totals + ADD * self.vocabulary)
 
 
-def _pairs(model):
+def _pairs(model, chosen):
     """Each task's counts of bigrams of two hot words."""
 
     def run(batches):
         size = model.value.paired**2
         target, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for d in _runs(batches):
+        for d in _runs(batches, chosen):
             _, _, both, found = model.value.hot(d)
             every += np.bincount(found, minlength=size)
             target += np.bincount(found[d.marks[d.doc[both]]], minlength=size)
@@ -130,12 +151,12 @@ def _sums(refs: np.ndarray, doc: np.ndarray, losses: np.ndarray, counts: np.ndar
     return {"ref": refs[some], "n": n[some], "target": both[0], "background": both[1]}
 
 
-def _near(model):
+def _near(model, chosen):
     """Sums over what needs nothing but the broadcast counts."""
 
     def run(batches):
         m = model.value
-        for d in _runs(batches):
+        for d in _runs(batches, chosen):
             rank, known, both, at = m.hot(d)
             seen = np.zeros((2, len(d.ids)))
             seen[:, both] = m.pairs[:, at]
@@ -149,60 +170,85 @@ def _near(model):
     return run
 
 
-def _deal(model, groups: int):
+def _deal(model, chosen, groups: int):
     """All other words with the words before them, packed by group."""
 
     def run(batches):
-        for d in _runs(batches):
+        for d in _runs(batches, chosen):
             rank, known, _, _ = model.value.hot(d)
             at = np.flatnonzero(~known)
-            w, v = d.ids[at], d.before[at]
-            spread = wd.mix(np.where(rank[at] >= 0, wd.mix(v) + w, w))
+            w, v, mine_rank = d.ids[at], d.before[at], rank[at]
+            # Bigrams of two hot words need their ranks only.
+            other = np.where(d.prev, np.roll(rank, 1), -1)[at]
+            ranked = (mine_rank >= 0) & (other >= 0)
+            spread = wd.mix(np.where(mine_rank >= 0, wd.mix(v) + w, w))
             group = (spread % np.uint64(groups)).astype(np.int32)
-            flags = (d.prev[at] + 2 * (d.next[at] & (rank[at] < 0))).astype(np.uint8)
-            order = np.lexsort((w, group))
+            flags = (d.prev[at] + 2 * (d.next[at] & (mine_rank < 0))).astype(np.uint8)
+            order = np.lexsort((other, w, ~ranked, group))
             begins = np.searchsorted(group[order], np.arange(groups + 1))
             out = {name: [] for name in _DEALT.names}
             for g in np.flatnonzero(np.diff(begins)):
                 mine = order[begins[g] : begins[g + 1]]
                 here, doc_at = np.unique(d.doc[at[mine]], return_inverse=True)
-                words, times = np.unique(w[mine], return_counts=True)
+                docs = (doc_at + (d.marks[here][doc_at] << _MARK_BIT)).astype(np.uint16)
+                n = int(ranked[mine].sum())
+                hot, rest = mine[:n], mine[n:]
+                words, times = np.unique(w[rest], return_counts=True)
                 out["part"].append(int(g))
-                out["refs"].append(d.refs[here].tobytes()), out["marks"].append(d.marks[here].tobytes())
+                out["refs"].append(d.refs[here].tobytes())
+                out["hot_docs"].append(docs[:n].tobytes()), out["hot_words"].append(mine_rank[hot].astype(np.uint16).tobytes())
+                out["hot_before"].append(other[hot].astype(np.uint16).tobytes())
                 out["words"].append(words.tobytes()), out["times"].append(times.astype(np.int32).tobytes())
-                out["docs"].append(doc_at.astype(np.uint16).tobytes()), out["before"].append(v[mine].tobytes()), out["flags"].append(flags[mine].tobytes())
+                out["docs"].append(docs[n:].tobytes()), out["before"].append(v[rest].tobytes()), out["flags"].append(flags[rest].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=_DEALT)
 
     return run
 
 
-_PACKED = ["refs", "marks", "words", "times", "docs", "before", "flags"]
+_PACKED = ["refs", "hot_docs", "hot_words", "hot_before", "words", "times", "docs", "before", "flags"]
 _DEALT = pa.schema([("part", pa.int32()), *((name, pa.binary()) for name in _PACKED)])
 
 
+def _counts(which: np.ndarray, marks: np.ndarray, size: int) -> np.ndarray:
+    """How often each number occurs, in target documents and in all."""
+    return np.stack([np.bincount(which[marks], minlength=size), np.bincount(which, minlength=size)]).astype(np.float64)
+
+
 def _group(model):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         m = model.value
         flat = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
-        refs, flags = flat("refs", np.int64), flat("flags", np.uint8)
+        refs = flat("refs", np.int64)
         shift = np.cumsum([0, *(len(x) // 8 for x in rows["refs"])])[:-1]
-        doc = flat("docs", np.uint16) + np.repeat(shift, [len(x) // 2 for x in rows["docs"]])
-        marks = flat("marks", bool)[doc]
-        count = lambda which, size: np.stack([np.bincount(which, weights=marked, minlength=size) for marked in (marks, np.ones(len(marks)))])
+
+        def placed(name: str) -> tuple[np.ndarray, np.ndarray]:
+            """The documents, and whether they are target documents."""
+            docs = flat(name, np.uint16)
+            return (docs & ((1 << _MARK_BIT) - 1)) + np.repeat(shift, [len(x) // 2 for x in rows[name]]), docs >> _MARK_BIT > 0
+
+        # Bigrams of two hot words.
+        hot_doc, marks = placed("hot_docs")
+        w = flat("hot_words", np.uint16).astype(np.int64)
+        pairs, pair = np.unique(flat("hot_before", np.uint16).astype(np.int64) << 16 | w, return_inverse=True)
+        hot_losses = -np.log(_counts(pair, marks, len(pairs))[:, pair] + MU * m.share(m.counts[:, w]))
+        # All others.
+        doc, marks = placed("docs")
+        flags = flat("flags", np.uint8)
         words, w = np.unique(flat("words", np.uint64), return_inverse=True)
         w = np.repeat(w, flat("times", np.int32))
-        uses = count(w, len(words))
+        uses = _counts(w, marks, len(words))
         rank = m.rank(words)
         uses[:, rank >= 0] = m.counts[:, rank[rank >= 0]]
         _, v = np.unique(flat("before", np.uint64), return_inverse=True)
         pairs, pair = np.unique(v * len(words) + w, return_inverse=True)
         # First words of texts fall in with pairs here, so these counts leave them out.
         prev = (flags & 1) > 0
-        both = np.stack([np.bincount(pair[prev], weights=marked[prev], minlength=len(pairs)) for marked in (marks, np.ones(len(marks)))])
+        both = _counts(pair[prev], marks[prev], len(pairs))
         share = m.share(uses)[:, w]
         losses = -np.log(np.where(prev, both[:, pair] + MU * share, share))
         losses += np.where(flags >= 2, np.log(uses + MU)[:, w], 0)
-        return pd.DataFrame(_sums(refs, doc, losses, np.ones(len(doc), bool)))
+        every = np.concatenate([hot_doc, doc])
+        return pd.DataFrame(_sums(refs, every, np.concatenate([hot_losses, losses], axis=1), np.ones(len(every), bool)))
 
     return run
 
@@ -214,11 +260,17 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("ref"), F.col(text).alias("text"))
-    chosen = target.select(F.col(key).alias("id")).dropna().distinct().withColumn("is_target", F.lit(True))
-    marked = rows.where(F.col("text") != "").join(chosen, "id", "left")
-    texts = materialize(marked.select("ref", F.coalesce("is_target", F.lit(False)).alias("is_target"), "text"), "marked-texts")
-
-    words = texts.mapInArrow(_words, "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    chosen = materialize(target.select(F.col(key).alias("id")).dropna().distinct(), "target-ids")
+    texts, ids = rows.where(F.col("text") != ""), None
+    if isinstance(rows.schema["id"].dataType, IntegralType) and chosen.count() <= MARKED:
+        # Few enough to go to the documents.
+        ids = sc.broadcast(np.sort(chosen.toPandas()["id"].to_numpy(np.int64)))
+    else:
+        # The documents are marked by a join instead, and written.
+        marked = texts.join(chosen.withColumn("is_target", F.lit(True)), "id", "left").select("ref", F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
+        texts = materialize(marked, "marked-texts")
+
+    words = texts.mapInArrow(_words(ids), "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
     words = materialize(words, "words")
     total = words.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("every"), F.lit(0)).alias("every")).first()
     _log.info("%d distinct words", total["words"])
@@ -226,13 +278,13 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     counts = hot[["target", "every"]].to_numpy(np.float64).T
     model = _Model(np.array([[total["target"]], [total["every"]]], np.float64), total["words"], hot["word"].to_numpy(np.int64).view(np.uint64), counts)
     ranks = sc.broadcast(model)
-    pairs = texts.mapInArrow(_pairs(ranks), "at long, target long, every long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
+    pairs = texts.mapInArrow(_pairs(ranks, ids), "at long, target long, every long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
     model.pairs[:, pairs["at"].to_numpy(np.int64)] = pairs[["target", "every"]].to_numpy(np.float64).T
     full = sc.broadcast(model)
     groups = parts_for(docs.sparkSession, total["every"], GROUP_TOKENS)
-    dealt = texts.mapInArrow(_deal(ranks, groups), "part int, " + ", ".join(f"{name} binary" for name in _PACKED))
+    dealt = texts.mapInArrow(_deal(ranks, ids, groups), "part int, " + ", ".join(f"{name} binary" for name in _PACKED))
     far = dealt.groupBy("part").applyInPandas(_group(full), _SUMS)
-    sums = texts.mapInArrow(_near(full), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    sums = texts.mapInArrow(_near(full, ids), _SUMS).unionAll(far).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
     copies = texts.groupBy("ref").agg(F.count(F.lit(1)).alias("copies"))
     sums = materialize(sums.join(copies, "ref"), "loss-sums")
     mean = lambda c: F.round(F.col(c) / F.col("n"), 6)

@@ -47,6 +47,20 @@ def test_decontamination(spark, data, empty):
     assert decontaminate.judge(docs, table.limit(0)).where("overlap.contaminated").count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 7, 64])
+def test_a_phrase_that_many_items_share(spark, monkeypatch, together):
+    import random
+
+    monkeypatch.setattr(decontaminate, "ITEMS_TOGETHER", together)
+    rng = random.Random(together)
+    phrase = samples.prose(rng, 20)
+    items = [(i, f"{samples.prose(rng, 15)} {phrase} {samples.prose(rng, 15)}") for i in range(60)]
+    texts = [(j, f"{samples.prose(rng, 40)} {phrase if j % 3 else ''} {samples.prose(rng, 30)} {items[j][1] if j % 2 else ''}") for j in range(20)]
+    got = decontaminate.judge(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.contamination([t for _, t in texts], items)
+    same([(r.doc_id, (r.o.n_words, r.o.n_hit, r.o["items"], r.o.contaminated)) for r in got.select("doc_id", F.col("overlap").alias("o")).collect()], [(t[0], w) for t, w in zip(texts, want)])
+
+
 @pytest.mark.parametrize("span", [1, 2, 5, 13])
 def test_winnowing_misses_no_span(span):
     import numpy as np
@@ -220,9 +234,10 @@ def test_lm_score_tells_all_words_apart(spark, data, monkeypatch):
     targets = {0, 1, 900}
     table = spark.createDataFrame([(i,) for i in targets], "doc_id long")
     want = sorted((r[0], n, a, b) for r, (n, a, b) in zip(rows, brute.losses(rows, targets, None, lm_score.MU, lm_score.ADD)) if n)
-    for hot, paired in ((1 << 16, 512), (1 << 16, 5), (40, 40), (3, 512), (3, 1)):
+    for hot, paired, marked in ((1 << 16, 512, 100), (1 << 16, 5, 2), (40, 40, 100), (3, 512, 100), (3, 1, 0), (200, 0, 100)):
         monkeypatch.setattr(lm_score, "HOT", hot)
         monkeypatch.setattr(lm_score, "PAIRED", paired)
+        monkeypatch.setattr(lm_score, "MARKED", marked)
         got = sorted((r.id, r.n_words, r.target_loss, r.background_loss) for r in lm_score.score(docs, table).collect() if r.n_words)
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert all(abs(x - y) < 2e-6 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
