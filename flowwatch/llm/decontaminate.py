@@ -26,6 +26,7 @@ from flowwatch.llm.tables import fresh, n_alnum_words, text_key
 from flowwatch.session import materialize
 
 SPAN = 13
+ITEMS_TOGETHER = 64
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -106,7 +107,7 @@ def _extended(text: np.ndarray, item: np.ndarray, shift: int, span: int) -> list
 
 def _extend(batches):
     for b in batches:
-        out = {"text_key": [], "n_hit": [], "spans": [], "items": []}
+        out = {"text_key": [], "spans": [], "items": []}
         for key, text, found in zip(*(b.column(c).to_pylist() for c in ("text_key", "text", "found"))):
             known: dict[bytes, int] = {}
             mine = _numbers(text, known)
@@ -120,9 +121,25 @@ def _extend(batches):
             if items:
                 edges = np.flatnonzero(hit[1:] != hit[:-1])
                 out["text_key"].append(key)
-                out["n_hit"].append(int(hit.sum()))
                 out["spans"].append([{"first": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])])
                 out["items"].append(sorted(items))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([_FOUND.field(n) for n in out]))
+
+
+def _merged(batches):
+    """Joins the spans that several parts of a text's items have found; sorts the items."""
+    for b in batches:
+        out = {"text_key": b.column("text_key").to_pylist(), "n_hit": [], "spans": [], "items": []}
+        for spans, items in zip(b.column("spans").to_pylist(), b.column("items").to_pylist()):
+            kept: list[dict] = []
+            for s in sorted(spans, key=lambda s: (s["first"], s["end"])):
+                if kept and s["first"] <= kept[-1]["end"]:
+                    kept[-1]["end"] = max(kept[-1]["end"], s["end"])
+                else:
+                    kept.append(s)
+            out["spans"].append(kept)
+            out["n_hit"].append(sum(s["end"] - s["first"] for s in kept))
+            out["items"].append(sorted(set(items)))
         yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
 
 
@@ -169,8 +186,13 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         .agg(F.collect_list("shift").alias("shifts")),
         "met",
     )
-    found = met.join(listed, "item_key").groupBy("text_key").agg(F.collect_list(F.struct("item", "item_text", "span", "shifts")).alias("found"))
-    return suspects.select("text_key", "text").join(found, "text_key").mapInArrow(_extend, "text_key string, n_hit long, spans array<struct<first:long,end:long>>, items array<string>")
+    # A text meets its items in parts of about ITEMS_TOGETHER, so that a phrase that many items share fills no row.
+    parts = met.groupBy("text_key").agg(F.ceil(F.count(F.lit(1)) / ITEMS_TOGETHER).alias("parts"))
+    dealt = met.join(parts, "text_key").withColumn("part", F.pmod(F.xxhash64("item_key"), F.col("parts")))
+    found = dealt.join(listed, "item_key").groupBy("text_key", "part").agg(F.collect_list(F.struct("item", "item_text", "span", "shifts")).alias("found"))
+    hits = suspects.select("text_key", "text").join(found, "text_key").mapInArrow(_extend, "text_key string, spans array<struct<first:long,end:long>>, items array<string>")
+    whole = hits.groupBy("text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return whole.mapInArrow(_merged, "text_key string, n_hit long, spans array<struct<first:long,end:long>>, items array<string>")
 
 
 def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, share: int = 20) -> DataFrame:
