@@ -3,7 +3,7 @@
 Two lists are looked up. ``listed`` holds URLs; they and the judged URLs are made canonical, and a URL
 whose canonical form is listed is blocked. ``rules`` hold a host and a path each, with a verdict; a rule
 fits its host and all subdomains where the path starts with the rule's, so a URL is looked up under
-each parent of its host and each listed length of path. All keys of both lists go into one Bloom
+each parent of its host that has as many labels as some rule's host, and each listed length of path. That is linear in the URL. All keys of both lists go into one Bloom
 filter of bounded size, which most keys do not pass. What passes is joined with the lists on the
 exact text, which removes false positives.
 
@@ -39,18 +39,18 @@ def canonical(url: Column) -> Column:
     and final slash; parameters in order, without those that only track; no fragment."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)\z", ""), r"\.\z", "")
     host = F.regexp_replace(host, r"\A(www|m)\.", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?\z", "/"), r"(\.html?|/+)\z", "")
+    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?\z", "/"), r"(\.html?|(?<!/)/+)\z", "")
     query = F.split(F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1), "&")
     kept = F.array_sort(F.filter(query, lambda x: (x != "") & ~F.split(x, "=")[0].isin(TRACKING)))
     whole = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
     return F.when(F.instr(url, "://") > 0, whole)
 
 
-def _rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Texts host + newline + path start, for each parent of the host and each listed length."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length(path))
+def _rule_keys(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """Texts host + newline + path start, for each parent of the host of a listed number of labels and each listed length."""
+    labels = F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    hosts = F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in depths)).cast("array<string>"))
+    starts = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(path))
     pairs = F.transform(hosts, lambda h: F.transform(starts, lambda n: F.concat(h, F.lit("\n"), F.substring(path, F.lit(1), n))))
     return F.flatten(pairs)
 
@@ -73,6 +73,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     u, found = fresh(pages, "_url", "_found")
     policy = rules.select(lower_ascii(F.col("host")).alias("h"), F.col("path").alias("p"), "verdict").dropna()
     policy = policy.groupBy("h", "p").agg(F.min("verdict").alias("verdict"))
+    dots = F.length("h") - F.length(F.translate("h", ".", ""))
+    depths = sorted(r.n for r in policy.select((dots + 1).alias("n")).distinct().collect())  # as many as hosts have depths
     lengths = sorted(r.n for r in policy.select(F.length("p").alias("n")).distinct().collect())  # as many as paths have lengths
     entries = policy.select(F.concat("h", F.lit("\n"), "p").alias("entry"), F.struct(F.concat("h", "p").alias("rule"), F.length("h").alias("host_size"), "verdict").alias("rule"))
     entries = entries.unionByName(
@@ -83,7 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
 
     target = F.col(url)
     one = F.col("url")
-    keys = F.concat(_rule_keys(host_of(one), path_of(one), lengths), F.array(F.concat(F.lit("\n"), canonical(one))))
+    keys = F.concat(_rule_keys(host_of(one), path_of(one), depths, lengths), F.array(F.concat(F.lit("\n"), canonical(one))))
     asked = pages.select(target.alias("url")).where(F.instr(one, "://") > 0).select("url", F.explode(keys).alias("entry"))
     asked = asked.withColumn("hash", F.xxhash64("entry"))
     passed = asked.mapInArrow(_passing(table), "url string, entry string, hash long").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -160,6 +161,19 @@ def test_urls(spark, most):
     assert [r.verdict for r in bare] == ["allow"]
 
 
+def test_a_host_of_many_labels(spark):
+    """The work for a URL grows with its length: a host of 100,000 labels, a path of as many slashes."""
+    long = ".".join(["a"] * 100_000)
+    urls = [f"http://{long}.example.com/en/x", f"http://{long}.net/fr/", f"http://x.net/{'/' * 100_000}a", "http://example.com/en//"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([*registry.URL_RULES, (f"{long}.net", "/f", "allow")], "host string, path string, verdict string")
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.judge(pages, rules, pages.limit(0)).select("page_id", "url_filter.*").collect()}
+    assert time.time() - began < 60
+    assert [got[i].verdict for i in range(4)] == ["block", "allow", "allow", "block"]
+    assert got[0].rule == "example.com/en/" and got[1].rule.endswith(".net/f") and got[2].rule is None
+
+
 def test_classifier_on_documents_it_has_not_seen(spark):
     scored = registry.QUERIES["op10_quality_classifier"](spark, DATA)
     labels = read(spark, DATA, "labels").select("doc_id", "quality")
