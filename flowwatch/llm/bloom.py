@@ -7,7 +7,6 @@ size it lets more keys pass; callers join what passes with the exact keys.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from flowwatch.llm.words import mix
@@ -59,11 +58,6 @@ def build(keys: DataFrame, column: str, most: int = MOST_BLOCKS) -> np.ndarray:
     return table
 
 
-def broadcast(keys: DataFrame, column: str) -> Broadcast:
-    """The filter of a column of 64-bit hashes, sent to all executors."""
-    return keys.sparkSession.sparkContext.broadcast(build(keys, column))
-
-
 def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False where a key is certainly not among those the filter was built from."""
     at, bits = _places(keys.view(np.uint64), len(table))
