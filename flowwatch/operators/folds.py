@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from flowwatch.session import materialize
+from flowwatch.session import Scratch
 
 # Timer results of a step: KEEP leaves the timer, 0 stops it, more sets it to so many
 # seconds after the row.
@@ -290,15 +290,15 @@ def fold_commands(rows: DataFrame, machine: Machine, block_rows: int = BLOCK_ROW
 
 
 def fold_onward(
-    rows: DataFrame, carried: DataFrame, machine: Machine, name: str, block_rows: int = BLOCK_ROWS, run_ticks: int = RUN_TICKS
+    rows: DataFrame, carried: DataFrame, machine: Machine, scratch: Scratch, block_rows: int = BLOCK_ROWS, run_ticks: int = RUN_TICKS
 ) -> tuple[DataFrame, DataFrame]:
     """The same from the states that earlier rows have left, and what is left now: ``(key, state, until)`` with the end of the timer, or ``NEVER``.
 
-    This runs jobs: the rows of a micro-batch are read for the states and again for the verdicts.
+    This runs jobs: the rows of a micro-batch are read for the states and again for the verdicts. Both results read the scratch tables.
     """
     blocked, maps = _tick_blocks(rows, machine, block_rows, run_ticks)
-    maps = materialize(maps, f"{name}-maps")
-    chained = materialize(_chained(maps, machine, carried), f"{name}-chain")
+    maps = scratch.keep(maps, "maps")
+    chained = scratch.keep(_chained(maps, machine, carried), "chain")
     return _replayed(blocked, maps, chained, machine), chained.filter("run is null").select("key", "state", "until")
 
 

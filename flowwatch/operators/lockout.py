@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowwatch.operators.folds import BLOCK_ROWS, KEEP, Machine, fold_commands, fold_onward
+from flowwatch.session import Scratch
 
 LOCK_AFTER = 5
 LOCK_MINUTES = 15.0
@@ -42,14 +43,14 @@ def login_verdicts(
 
 
 def lockout_onward(
-    logins: DataFrame, carried: DataFrame, lock_after: int = LOCK_AFTER, lock_minutes: float = LOCK_MINUTES
+    logins: DataFrame, carried: DataFrame, scratch: Scratch, lock_after: int = LOCK_AFTER, lock_minutes: float = LOCK_MINUTES
 ) -> tuple[DataFrame, DataFrame]:
     """The verdicts from the states (key, state, until) that earlier attempts have left, and those that are left now.
 
-    A state is the number of failures in a row, or ``lock_after`` with the end of the lock. This runs jobs.
+    A state is the number of failures in a row, or ``lock_after`` with the end of the lock. This runs jobs; both results read tables in ``scratch``.
     """
     machine = lockout_machine(lock_after, int(lock_minutes * 60))
-    folded, left = fold_onward(_attempts(logins), carried, machine, "lockout")
+    folded, left = fold_onward(_attempts(logins), carried, machine, scratch)
     return _verdicts(folded, lock_after), left
 
 

@@ -14,7 +14,7 @@ from flowwatch.operators.features import zero_filled
 from flowwatch.operators.iforest import SUBSAMPLE, Forest, exact_quantile, grow_forest, predict, raw_score, sample_trees
 from flowwatch.operators.scaler import fit_scaler, scaled
 from flowwatch.schemas import FEATURES, NODE
-from flowwatch.session import materialize
+from flowwatch.session import Scratch
 
 VERSION = "1.0.0"
 _META = (
@@ -100,8 +100,13 @@ def fit(
     """
     names = names or FEATURES
     raw = [zero_filled(F.col(n)).alias(f"x{i}") if n in features.columns else F.lit(0.0).alias(f"x{i}") for i, n in enumerate(names)]
-    # Three passes read these rows, so the costly feature plan runs once.
-    rows = materialize(features.select(*key, *raw), "features")
+    with Scratch(features.sparkSession) as scratch:
+        # Three passes read these rows, so the costly feature plan runs once.
+        rows = scratch.keep(features.select(*key, *raw), "features")
+        return _fit(rows, params, names, key, trained_at, subsample, scratch)
+
+
+def _fit(rows: DataFrame, params: Params, names: list[str], key: tuple[str, ...], trained_at: str | None, subsample: int, scratch: Scratch) -> Model:
     vector = F.array(*[F.col(f"x{i}") for i in range(len(names))])
     stats = fit_scaler(rows.select(vector.alias("features")), names).orderBy("feature_idx").collect()
     n_rows = stats[0]["n_rows"]
@@ -121,7 +126,7 @@ def fit(
     raw_scores = points.select(
         raw_score(points, Forest(nodes, psi), [F.col(f"x{i}") for i in range(len(names))]).alias("score")
     )
-    offset = exact_quantile(materialize(raw_scores, "scores"), params.contamination).first()["quantile"]
+    offset = exact_quantile(scratch.keep(raw_scores, "scores"), params.contamination).first()["quantile"]
     stamp = trained_at or datetime.now(timezone.utc).isoformat()
     return Model(list(names), means, scales, nodes, psi, float(offset), params, stamp)
 

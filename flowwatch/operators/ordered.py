@@ -5,7 +5,7 @@ single ordered window over a sensor would put all its rows in one task. Here the
 sequence is cut into pieces that follow one another in (ts, seq) order:
 
 * a *slot* of fixed width where traffic is ordinary;
-* inside a slot that holds far more than its share of all rows, one piece per
+* inside a slot of over ``HEAVY_FLOOR`` rows, one piece per
   timestamp and block of ``PIECE_ROWS`` sequence numbers.
 
 Every piece is small, whatever the data looks like. A per-piece summary, computed
@@ -22,27 +22,25 @@ from flowwatch.session import materialize
 SLOT_US = 15_000_000
 PIECE_ROWS = 1 << 20
 
-# A group is heavy if it holds more than 1/HEAVY_SHARE of all rows. At most
-# HEAVY_SHARE groups can be, which is the size bound of every table broadcast below.
-HEAVY_SHARE = 20_000
+# A group is heavy if it holds more rows than this, whatever the size of the table.
 HEAVY_FLOOR = 1 << 20
+# So many heavy groups at most are listed on the driver and broadcast; beyond that they are a table to join.
+HEAVY_LISTED = 20_000
 
 
-def heavy_groups(
-    loads: DataFrame, keys: list[str], rows: str = "n_rows", floor: int = HEAVY_FLOOR, share: int = HEAVY_SHARE
-) -> DataFrame | None:
-    """Keys (as ``h_<key>``) and ``h_rows`` of the heavy groups, ready to broadcast; None if no
+def heavy_groups(loads: DataFrame, keys: list[str], rows: str = "n_rows", floor: int = HEAVY_FLOOR) -> DataFrame | None:
+    """Keys (as ``h_<key>``) and ``h_rows`` of the heavy groups; None if no
     group is heavy, as is usual. ``loads`` has one row per group and should be written or
     cheap, since this looks at it at once."""
-    top = loads.agg(F.max(rows).alias("most"), F.sum(rows).alias("total")).first()
-    least = max(floor, (top["total"] or 0) // share)
-    if (top["most"] or 0) <= least:
-        return None
-    found = loads.filter(F.col(rows) > least).select(
+    found = loads.filter(F.col(rows) > floor).select(
         *[F.col(k).alias(f"h_{k}") for k in keys], F.col(rows).alias("h_rows")
     )
-    # At most ``share`` rows.
-    return F.broadcast(loads.sparkSession.createDataFrame(found.collect(), found.schema))
+    listed = found.limit(HEAVY_LISTED + 1).collect()
+    if not listed:
+        return None
+    if len(listed) <= HEAVY_LISTED:
+        return F.broadcast(loads.sparkSession.createDataFrame(listed, found.schema))
+    return materialize(found, "heavy")
 
 
 def in_heavy(keys: list[str]) -> Column:

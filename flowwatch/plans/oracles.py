@@ -367,6 +367,19 @@ SELECT m.ip, first_seen, last_seen, coalesce(n.name, m.name) AS name FROM merged
     "function_rule": f"""WITH {_FEATURES}
 SELECT seq, 'large-inbound' AS rule, packet_size FROM feat
 WHERE packet_size > 300 AND direction = 0 AND sport % 499 <> 0""",
+    "context_rule": f"""WITH {_PACKETS}, counted AS (
+  SELECT seq, sum(CASE WHEN packet_size >= 300 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY src_ip ORDER BY ts_us, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n FROM packets)
+SELECT seq, 'burst-of-large' AS rule, CAST(n AS BIGINT) AS large_of_ten FROM counted WHERE n >= 5""",
+    "rules_toggled": f"""WITH {_FEATURES}
+SELECT seq, '{PORT_SCAN[0]}' AS rule, 'on' AS setting FROM feat WHERE unique_dports_15s >= 5
+UNION ALL SELECT seq, '{SENSITIVE_PORT[0]}', 'on' FROM feat WHERE direction = 0 AND dport IN (23, 1001)""",
+    "threshold_texts": f"""WITH {_EV}, s AS (SELECT event_id AS seq, (k - 60) / 400.0::DOUBLE AS s FROM ev)
+SELECT seq, CASE WHEN s <= -0.08::DOUBLE THEN 'high' WHEN s <= -0.01::DOUBLE THEN 'medium' ELSE 'low' END AS wide,
+  CASE WHEN s <= -0.12::DOUBLE THEN 'high' WHEN s <= -0.02::DOUBLE THEN 'medium' ELSE 'low' END AS spaced,
+  CASE WHEN s <= -0.1::DOUBLE THEN 'high' WHEN s <= -0.05::DOUBLE THEN 'medium' ELSE 'low' END AS unreadable FROM s""",
+    "conformed_blocks": f"""WITH {_EV}, {_BLOCKS}
+SELECT id, {_iso("ts")} AS ts, ip, action, '' AS reason, CAST(NULL AS VARCHAR) AS expires_at FROM blocks""",
     "signature_dedup": f"""WITH RECURSIVE {_HITS}, {_DEDUP}
 SELECT rule, src_ip, dest_ip, second, seq FROM chain""",
     "signature_alerts": f"""WITH {_HITS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from flowwatch.functions import coerce, ips, ports, severity as sv, text as tx
@@ -462,6 +462,39 @@ def function_rule(spark, sf):
     return sg.evaluate(rows, [rule]).select("seq", "rule", "packet_size")
 
 
+@query
+def context_rule(spark, sf):
+    """A rule that looks at the packets around: the source's fifth packet of a size or more within its last ten."""
+    last_ten = Window.partitionBy("src_ip").orderBy("ts_us", "seq").rowsBetween(-9, 0)
+    large = F.sum((F.col("packet_size") >= 300).cast("int")).over(last_ten)
+    rule = sg.Rule("burst-of-large", "medium", "Five large packets of the last ten.", F.col("large_of_ten") >= 5, {"large_of_ten": large})
+    return sg.evaluate(_packets(spark, sf), [rule]).select("seq", "rule", "large_of_ten")
+
+
+@query
+def rules_toggled(spark, sf):
+    """Hits of the default rules with a lower limit and other ports, and of rules that are switched off."""
+    rows = _engineered(spark, sf)
+    on = sg.evaluate(rows, sg.default_rules(threshold=5.0, ports=[23, 1001]))
+    off = sg.evaluate(rows, sg.default_rules(enabled=False))
+    pick = lambda hits, name: hits.select("seq", "rule", F.lit(name).alias("setting"))
+    return pick(on, "on").unionByName(pick(off, "off"))
+
+
+@query
+def threshold_texts(spark, sf):
+    """Severities under thresholds given as text, one of them unreadable."""
+    rows = _events(spark, sf).select(F.col("event_id").alias("seq"), ((fx._k() - 60) / F.lit(400.0)).alias("s"))
+    texts = {"wide": "-0.08, -0.01", "spaced": " -0.12 ,-0.02,", "unreadable": "high, medium"}
+    return rows.select("seq", *(sv.severity_of(F.col("s"), sv.Thresholds.parse(t)).alias(n) for n, t in texts.items()))
+
+
+@query
+def conformed_blocks(spark, sf):
+    """Block rows of an older table, without reason and end, in today's columns."""
+    return rt.conform(fx.blocks(_events(spark, sf)).drop("reason", "expires_at"), BLOCK).withColumns(_iso("ts", "expires_at"))
+
+
 @query
 def signature_dedup(spark, sf):
     hits = sg.evaluate(_engineered(spark, sf), sg.default_rules())

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from flowwatch.operators.lockout import LOCK_AFTER, LOCK_MINUTES, lockout_onward
-from flowwatch.session import use_rocksdb
+from flowwatch.session import Scratch, use_rocksdb
 from flowwatch.streaming import versions
 
 _HIT = "rule string, src_ip string, dest_ip string, second bigint, ts_us bigint, seq bigint"
@@ -120,13 +120,14 @@ class Lockout:
         spark = logins.sparkSession
         carried = versions.before(spark, f"{self.out}/state", batch_id, _STATE)
         clock = versions.before(spark, f"{self.out}/clock", batch_id, _CLOCK)
-        verdicts, left = lockout_onward(logins, carried, self.lock_after, self.lock_minutes)
-        versions.add(verdicts.select("username", "seq", "verdict"), f"{self.out}/verdicts", batch_id)
         now = clock.unionByName(logins.select(F.unix_seconds("ts").alias("tick"))).agg(F.max("tick").alias("tick"))
         now = versions.leave(now, f"{self.out}/clock", batch_id)
         tick = now.first()["tick"]
         over = F.lit(False) if tick is None else (F.col("state") == self.lock_after) & (F.col("until") + self.lateness <= tick)
-        versions.leave(left.filter((F.col("state") != 0) & ~over), f"{self.out}/state", batch_id)
+        with Scratch(spark) as scratch:
+            verdicts, left = lockout_onward(logins, carried, scratch, self.lock_after, self.lock_minutes)
+            versions.add(verdicts.select("username", "seq", "verdict"), f"{self.out}/verdicts", batch_id)
+            versions.leave(left.filter((F.col("state") != 0) & ~over), f"{self.out}/state", batch_id)
 
 
 def start_lockout(logins: DataFrame, lockout: Lockout, checkpoint: str, **trigger) -> StreamingQuery:

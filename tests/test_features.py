@@ -8,7 +8,7 @@ import pytest
 from conftest import packet_rows
 from pyspark.sql import functions as F
 
-from flowwatch.operators import features as ft
+from flowwatch.operators import features as ft, ordered
 from flowwatch.schemas import FEATURES, PACKET
 
 S = 1_000_000
@@ -101,6 +101,24 @@ def test_per_event_against_brute_force(spark, floor):
     assert {r["seq"]: r["unique_dports_15s"] for r in got} == count
 
 
+def test_more_heavy_groups_than_are_listed(spark, monkeypatch):
+    """Beyond the list the heavy groups are a table to join; results are the same."""
+    monkeypatch.setattr(ordered, "HEAVY_LISTED", 2)
+    rows, df = lopsided(spark)
+    gap, count, index = brute(rows)
+    loads = df.groupBy("src_ip").agg(F.count("*").alias("n_rows"))
+    assert "LocalTableScan" not in plan_of(ordered.heavy_groups(loads, ["src_ip"], floor=0))
+    got = ft.engineer(df, [], floor=5).select("seq", "time_diff", "unique_dports_15s").collect()
+    assert {r["seq"]: r["time_diff"] for r in got} == pytest.approx(gap)
+    assert {r["seq"]: r["unique_dports_15s"] for r in got} == count
+    got = ft.with_arrival_index(df, floor=5).collect()
+    assert {r["seq"]: r["arrival_index"] for r in got} == index
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("horizon", [15 * S, 4 * S, 40 * S])
 def test_other_horizons(spark, horizon):
     rows, df = lopsided(spark, seed=8)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from flowwatch.operators import alerts as al, containment as ct, devices as dv, folds, lockout as lk, logs as lg, retention as rt
 from flowwatch.schemas import ALERT, BLOCK, DEVICE, RAW_PACKET, TRUSTED
+from flowwatch.session import Scratch
 from flowwatch.sources import packets as pk, stores
 
 T0 = datetime(2024, 1, 1)
@@ -353,10 +354,13 @@ def test_a_fold_goes_on_from_what_is_left(spark, cut):
     rows = [(rng.choice("ab"), rng.randint(0, 3000), q, int(rng.random() < 0.2), 0) for q in range(900)]
     df = spark.createDataFrame(rows, "key string, tick long, seq long, op int, arg long")
     machine, nothing = lk.lockout_machine(3, 200), spark.createDataFrame([], "key string, state int, until long")
-    first, left = folds.fold_onward(df.filter(F.col("tick") < cut), nothing, machine, "a", 100, 64)
-    second, _ = folds.fold_onward(df.filter(F.col("tick") >= cut), left, machine, "b", 100, 64)
     pick = lambda d: sorted((r["seq"], r["state_before"], r["verdict"]) for r in d.collect())
-    assert pick(first.unionByName(second)) == pick(folds.fold_commands(df, machine))
+    with Scratch(spark) as scratch:
+        first, left = folds.fold_onward(df.filter(F.col("tick") < cut), nothing, machine, scratch, 100, 64)
+        second, _ = folds.fold_onward(df.filter(F.col("tick") >= cut), left, machine, scratch, 100, 64)
+        assert pick(first.unionByName(second)) == pick(folds.fold_commands(df, machine))
+        assert os.path.isdir(scratch.path)
+    assert not os.path.exists(scratch.path)
 
 
 def test_older_tables_conform(spark):
