@@ -90,6 +90,8 @@ def _smallest(factors: np.ndarray, psi: int):
                 part = batch.slice(at, _SAMPLE_ROWS)
                 high, low = (part.column(n).to_numpy()[:, None] for n in ("_high", "_low"))
                 order = (high * a + low * b) % _PRIME
+                if part.num_rows > psi:
+                    np.minimum(cut, np.partition(order, psi - 1, axis=0)[psi - 1], out=cut)
                 row, tree = np.nonzero(order <= cut)
                 found = part.take(pa.array(row))
                 held.append(found.append_column("tree_id", pa.array(tree, pa.int32())).append_column("_order", pa.array(order[row, tree])))
