@@ -83,5 +83,14 @@ def with_level(lines: DataFrame, severity: str = "severity") -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Alert lines (line, severity) as text, in a folder per log level."""
-    with_level(lines).select(F.col("line").alias("value"), "level").write.mode("append").partitionBy("level").text(path)
+    """Alert lines (line, severity) as text, in a folder per log level.
+
+    A task has a file open for each of the three levels, so no task sorts its lines by level, which takes memory for all of them.
+    """
+    conf, name = lines.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, "3")
+    try:
+        with_level(lines).select(F.col("line").alias("value"), "level").write.mode("append").partitionBy("level").text(path)
+    finally:
+        conf.set(name, before)

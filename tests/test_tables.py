@@ -382,3 +382,18 @@ def test_empty_tables(spark):
     assert lg.log_events(alerts, blocks).count() == 0
     assert lg.stats_snapshot(alerts, blocks, 200).first().asDict() == {"alerts_200": 0, "blocks_200": 0, "alerts": 0, "blocks": 0}
     assert ct.latest_action(blocks).count() == 0
+
+
+def test_lines_are_written_without_a_sort_by_level(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    name, text, seen = "spark.sql.maxConcurrentOutputFileWriters", DataFrameWriter.text, []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **b: (seen.append(int(spark.conf.get(name))), text(self, *a, **b))[1])
+    lines = spark.range(900).selectExpr("concat('l', id) AS line", "element_at(array('high', 'medium', 'low'), int(id % 3) + 1) AS severity").coalesce(1)
+    stores.write_lines(lines, str(tmp_path / "lines"))
+    # A file for each level is open in a task at once; with fewer, lines are sorted by level.
+    assert seen == [3] and spark.conf.get(name) == before
+    got = spark.read.text(str(tmp_path / "lines"))
+    assert {r["level"]: r["count"] for r in got.groupBy("level").count().collect()} == {"ERROR": 300, "WARNING": 300, "INFO": 300}
+    assert got.select("value").distinct().count() == 900
