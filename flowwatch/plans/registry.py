@@ -27,7 +27,7 @@ from flowwatch.operators import (
 from flowwatch.plans import train
 from flowwatch.plans.monitor import Settings
 from flowwatch.schemas import BLOCK, FEATURES, HIT, NODE, PACKET
-from flowwatch.session import share_package, shared_dir
+from flowwatch.session import share_package, shared_dir, state_by_core
 from flowwatch.sources import fixtures as fx, packets as pk, stores
 from flowwatch.streaming import feeds, inventory, keyed
 from flowwatch.streaming.inventory import start_blocks, start_devices
@@ -939,12 +939,13 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     out = _scratch(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{out}-check").trigger(availableNow=True)
-    if mode == "append":
-        running = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        running = writer.foreachBatch(
-            lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
-        ).outputMode(mode).start()
+    with state_by_core(spark):
+        if mode == "append":
+            running = writer.format("parquet").option("path", out).outputMode("append").start()
+        else:
+            running = writer.foreachBatch(
+                lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+            ).outputMode(mode).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -977,7 +978,9 @@ def _monitored(spark, sf) -> str:
             start_blocks(spark, out, f"{out}-blocks").awaitTermination()
             hits = spark.readStream.schema(HIT).parquet(f"{out}/hits/batch=*")
             limited = keyed.limit_hits(hits, 5.0, "1 day").writeStream.format("parquet").option("path", f"{out}/limited")
-            limited.option("checkpointLocation", f"{out}-limited").trigger(availableNow=True).start().awaitTermination()
+            with state_by_core(spark):
+                running = limited.option("checkpointLocation", f"{out}-limited").trigger(availableNow=True).start()
+            running.awaitTermination()
 
         _run(spark, sf, out, job, follow)
         _MONITORED[key] = out

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from flowwatch.functions.ips import is_ip
 from flowwatch.schemas import BLOCK, DEVICE
-from flowwatch.session import use_rocksdb
+from flowwatch.session import state_by_core, use_rocksdb
 from flowwatch.streaming import versions
 
 _SEEN = StructType([f for f in DEVICE.fields if f.name in ("ip", "first_seen", "last_seen")])
@@ -39,7 +39,8 @@ def start_devices(packets: DataFrame, out: str, checkpoint: str, **trigger) -> S
         versions.add(changed, f"{out}/devices", batch_id)
 
     writer = device_changes(packets).writeStream.outputMode("update").foreachBatch(write)
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+    with state_by_core(packets.sparkSession):
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
 def devices(spark: SparkSession, out: str, names: DataFrame | None = None) -> DataFrame:
@@ -85,4 +86,5 @@ def start_blocks(spark: SparkSession, out: str, checkpoint: str, **trigger) -> S
     """Appends to ``out``/blocks each source that the monitor's candidates name for the first time."""
     candidates = spark.readStream.schema(BLOCK).option("ignoreMissingFiles", True).parquet(f"{out}/candidates/batch=*")
     writer = first_blocks(candidates).writeStream.format("parquet").option("path", f"{out}/blocks").outputMode("append")
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+    with state_by_core(spark):
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

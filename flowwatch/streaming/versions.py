@@ -47,10 +47,16 @@ def add(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def add_dated(rows: DataFrame, path: str, batch_id: int, date: Column) -> DataFrame:
-    """Append rows by date and micro-batch, replacing an earlier attempt at the same micro-batch, and read them back."""
-    dated = rows.withColumns({"event_date": date, "batch": F.lit(batch_id)}).hint("rebalance", "event_date")
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
+    """Append rows by date and micro-batch, replacing an earlier attempt at the same micro-batch, and read them back.
+
+    A date is dealt in pieces, two for each core, so that a large micro-batch of one date is written, and read by what
+    follows, on all cores. Adaptive execution joins small ones.
+    """
     spark = rows.sparkSession
+    pieces = 2 * max(1, spark.sparkContext.defaultParallelism)
+    piece = F.pmod(F.xxhash64(*rows.columns), F.lit(pieces))
+    dated = rows.withColumns({"event_date": date, "batch": F.lit(batch_id), "_piece": piece}).hint("rebalance", "event_date", "_piece").drop("_piece")
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
     if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
         spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*/batch={batch_id}")
     ):

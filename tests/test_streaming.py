@@ -339,3 +339,26 @@ def test_old_versions_go(spark, tmp_path):
     assert versions.before(spark, str(tmp_path / "none"), 0, table.schema).count() == 0
     with pytest.raises(FileNotFoundError):
         versions.before(spark, str(tmp_path / "none"), 5, table.schema)
+
+
+def test_a_large_micro_batch_of_one_date_is_several_files(spark, tmp_path):
+    # Before, whatever came below 64 MB was one file, which one task wrote and all that follows read by one task.
+    many = spark.range(600_000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
+    for i, rows_ in enumerate([many, many.limit(50)]):
+        got = versions.add_dated(rows_, str(tmp_path / "t"), i, F.to_date(F.lit("2024-01-01")))
+        assert rows(got.agg(F.count("*"), F.sum("id"))) == rows(rows_.agg(F.count("*"), F.sum("id")))
+    files = [[f for f in os.listdir(tmp_path / "t" / "event_date=2024-01-01" / f"batch={i}") if f.endswith(".parquet")] for i in (0, 1)]
+    assert 2 <= len(files[0]) <= 16 and len(files[1]) == 1
+
+
+def test_state_is_dealt_by_core(spark, packets, tmp_path):
+    path, name = in_files(packets, "ts_us", tmp_path / "in", parts=1), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "50")
+    try:
+        q = start_devices(read_packet_stream(spark, path, max_files=1), str(tmp_path / "out"), str(tmp_path / "c"))
+        q.awaitTermination(300)
+        assert spark.conf.get(name) == "50"
+        assert {s["numShufflePartitions"] for p in q.recentProgress for s in p["stateOperators"]} == {8}
+    finally:
+        spark.conf.set(name, before)
