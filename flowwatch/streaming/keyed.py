@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -34,14 +34,15 @@ def _first_per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 class _Timed(StatefulProcessor):
-    """A processor with one timer per key."""
+    """A processor with one timer per key, whose time follows from the state, so that timers need not be listed."""
 
     handle: StatefulProcessorHandle
 
-    def set_timer(self, at_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            if old != at_ms:
-                self.handle.deleteTimer(old)
+    def set_timer(self, old_ms: int | None, at_ms: int) -> None:
+        if old_ms == at_ms:
+            return
+        if old_ms is not None:
+            self.handle.deleteTimer(old_ms)
         self.handle.registerTimer(at_ms)
 
     def close(self) -> None:
@@ -61,7 +62,8 @@ class _Limit(_Timed):
         self.last = handle.getValueState("last", "second bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        held = self.last.get()
+        last = before = None if held is None else held[0]
         best: dict[int, tuple[int, int]] = {}
         for b in rows:
             for second, ts, seq in zip(b["second"].tolist(), b["ts_us"].tolist(), b["seq"].tolist()):
@@ -74,12 +76,15 @@ class _Limit(_Timed):
                 out.append((*key, second, *best[second]))
         if out:
             self.last.update((last,))
-            self.set_timer(int((last + self.seconds) * 1000) + 1)
-        yield pd.DataFrame(out, columns=self.columns)
+            self.set_timer(None if before is None else self.over(before), self.over(last))
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def over(self, second: int) -> int:
+        return int((second + self.seconds) * 1000) + 1
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        yield from ()
 
 
 def limit_hits(hits: DataFrame, seconds: float = 5.0, delay: str = "0 seconds") -> DataFrame:
@@ -135,51 +140,51 @@ def start_lockout(logins: DataFrame, lockout: Lockout, checkpoint: str, **trigge
     return logins.writeStream.foreachBatch(lockout).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-_BAN = "ip string, ts timestamp, id string, ends bigint"
+_BAN = "ip string, ts timestamp, us bigint, id string, ends bigint"
 
 
 def _last_of_a_time(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.sort_values("id").drop_duplicates(["ip", "ts"], keep="last")
+        yield b.sort_values("id").drop_duplicates(["ip", "us"], keep="last")
 
 
 class _Bans(_Timed):
-    """Keeps the newest row of an address and the end of its ban until both lie behind the watermark."""
+    """Keeps the newest row of an address and the end of its ban until both lie behind the watermark.
 
-    columns = ["ip", "ts", "action", "reason"]
+    It takes and gives rows: an address has few of them, for which a frame of its own would cost more than the rest.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ban = handle.getValueState("ban", "newest bigint, last_id string, ends bigint")
 
-    def rows(self, key: tuple, ended: list[int]) -> pd.DataFrame:
-        at = pd.to_datetime(pd.Series(ended, dtype="int64"), unit="us")
-        return pd.DataFrame({"ip": key[0], "ts": at, "action": "unblock", "reason": "auto-expired"}, columns=self.columns)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest, last_id, ends = self.ban.get() if self.ban.exists() else (-(1 << 62), "", 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.ban.get()
+        newest, last_id, ends = (-(1 << 62), "", 0) if held is None else held
         came: dict[int, tuple[str, int]] = {}
-        for b in rows:
-            for ts, row_id, end in zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["id"].tolist(), b["ends"].tolist()):
-                if ts not in came or row_id > came[ts][0]:
-                    came[ts] = (row_id, end)
-        ended = []
-        for ts in sorted(came):
-            row_id, end = came[ts]
-            if (ts, row_id) < (newest, last_id):
+        for r in rows:
+            if r.us not in came or r.id > came[r.us][0]:
+                came[r.us] = (r.id, r.ends)
+        for us in sorted(came):
+            row_id, end = came[us]
+            if (us, row_id) < (newest, last_id):
                 continue
-            if 0 < ends < ts:
-                ended.append(ends)
-            newest, last_id, ends = ts, row_id, end
-        self.ban.update((newest, last_id, ends))
+            if 0 < ends < us:
+                yield Row(ip=key[0], ended=ends)
+            newest, last_id, ends = us, row_id, end
+        if held is None or (newest, last_id, ends) != tuple(held):
+            self.ban.update((newest, last_id, ends))
+            self.set_timer(None if held is None else self.over(held[0], held[2]), self.over(newest, ends))
+
+    def over(self, newest: int, ends: int) -> int:
         # A ban ends after its last second.
-        self.set_timer(max(ends, newest) // 1000 + 1)
-        yield self.rows(key, ended)
+        return max(ends, newest) // 1000 + 1
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        ends = self.ban.get()[2] if self.ban.exists() else 0
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        held = self.ban.get()
         self.ban.clear()
-        yield self.rows(key, [ends] if ends > 0 else [])
+        if held is not None and held[2] > 0:
+            yield Row(ip=key[0], ended=held[2])
 
 
 def ban_expiry_stream(blocks: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -193,8 +198,7 @@ def ban_expiry_stream(blocks: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """
     use_rocksdb(blocks.sparkSession)
     ends = F.when((F.col("action") == "block") & F.col("expires_at").isNotNull(), F.unix_micros("expires_at")).otherwise(F.lit(0))
-    rows = blocks.select("ip", "ts", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(ends, F.lit(0)).cast("bigint").alias("ends"))
+    rows = blocks.select("ip", "ts", F.unix_micros("ts").alias("us"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(ends, F.lit(0)).cast("bigint").alias("ends"))
     thin = rows.mapInPandas(_last_of_a_time, _BAN).withWatermark("ts", delay)
-    return thin.groupBy("ip").transformWithStateInPandas(
-        _Bans(), "ip string, ts timestamp, action string, reason string", "append", "EventTime"
-    )
+    ended = thin.groupBy("ip").transformWithState(_Bans(), "ip string, ended bigint", "append", "EventTime")
+    return ended.select("ip", F.timestamp_micros("ended").alias("ts"), F.lit("unblock").alias("action"), F.lit("auto-expired").alias("reason"))

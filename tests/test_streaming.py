@@ -6,7 +6,7 @@ import os
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from flowwatch.operators import containment as ct, devices as dv, features as ft, lockout as lk, logs as lg, model as md, signatures as sg
 from flowwatch.plans import registry
@@ -362,3 +362,45 @@ def test_state_is_dealt_by_core(spark, packets, tmp_path):
         assert {s["numShufflePartitions"] for p in q.recentProgress for s in p["stateOperators"]} == {8}
     finally:
         spark.conf.set(name, before)
+
+
+class _Handle:
+    """State of one key that counts its calls; timers cannot be listed."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_an_address_takes_few_calls_of_state():
+    handle, bans = _Handle(), keyed._Bans()
+    bans.init(handle)
+    row = lambda us, ends: Row(us=us, id=str(us), ends=ends)
+    given = [[row(1000, 5000), row(9000, 20_000)], [row(15_000, 0)], [row(10_000, 99_000)]]
+    assert [[r.ended for r in bans.handleInputRows(("a",), iter(g), None)] for g in given] == [[5000], [], []]
+    # A ban that is replaced before its end, and a row older than the newest, change no other timer.
+    assert handle.timers == {16} and handle.value == (15_000, "15000", 0)
+    assert handle.calls == 3 + 4 + 1
+    assert list(bans.handleExpiredTimer(("a",), None, None)) == [] and handle.value is None
