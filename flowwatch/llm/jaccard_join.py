@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowwatch.llm import bloom, words as wd
 from flowwatch.llm.graph import components
 from flowwatch.llm.tables import text_key
-from flowwatch.session import materialize
+from flowwatch.session import Scratch, materialize
 
 LONG_LIST = 64
 BLOCK_SHINGLES = 1 << 16
@@ -236,12 +236,12 @@ def _prefix(size: Column, percent: int) -> Column:
     return (size - F.ceil(size * percent / F.lit(100)) + 1).cast("int")
 
 
-def _dense_links(dense: DataFrame, percent: int, block: int) -> DataFrame:
+def _dense_links(dense: DataFrame, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """Rows (a, b, copies): a spanning forest of links, and with a = b the linked copies of a set."""
     # Similar sets are in the same band or in neighbouring ones.
     banded = dense.withColumn("band", F.floor(F.log(F.col("size")) / F.log(F.lit(100.0 / (percent - 1)))).cast("int"))
     blocks = banded.groupBy("band").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
+    blocks = scratch.keep(blocks, "blocks")
     mine = banded.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     below = blocks.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     above = blocks.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
@@ -276,23 +276,41 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     """
     texts = docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     id_type = dict(texts.dtypes)["id"]
-    rows = materialize(texts.mapInArrow(_sketches(n, percent, spare), f"id {id_type}, text_key string, set_id long, size int, shown array<long>"), "sketches")
+    with Scratch(docs.sparkSession) as sketched:
+        rows = sketched.keep(texts.mapInArrow(_sketches(n, percent, spare), f"id {id_type}, text_key string, set_id long, size int, shown array<long>"), "sketches")
+        # The shown shingles, most of what is written here, stay with the sets only, and those until all links are known.
+        members = materialize(rows.select("id", "text_key", "set_id", "size"), "members")
+        with Scratch(docs.sparkSession) as scratch:
+            sets = _sets(rows, scratch)
+            sketched.drop()
+            named = materialize(_named(docs, text, sets, scratch, n, percent, long_list, block, spare), "components")
+    return members.join(named, "set_id", "left").select(
+        "id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _sets(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per set: size, shown shingles, a text and the smallest id of those that have it."""
     sets = rows.where("set_id is not null").groupBy("set_id").agg(
         F.first("size").alias("size"), F.first("shown").alias("shown"), F.min("text_key").alias("text_key"),
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"),
     )
-    sets = materialize(sets, "sets")
+    return scratch.keep(sets, "sets")
 
+
+def _named(docs: DataFrame, text: str, sets: DataFrame, scratch: Scratch, n: int, percent: int, long_list: int, block: int, spare: int) -> DataFrame:
+    """Component and links of each set; the tables on the way are in ``scratch``."""
     shown = sets.select("set_id", F.explode("shown").alias("shingle"))
-    long = materialize(shown.groupBy("shingle").count().where(F.col("count") > long_list).select("shingle"), "long")
+    long = scratch.keep(shown.groupBy("shingle").count().where(F.col("count") > long_list).select("shingle"), "long")
     burden = shown.join(long, "shingle").groupBy("set_id").agg(F.collect_list("shingle").alias("long"))
     p = _prefix(F.col("size"), percent)
     short = F.when(F.col("long").isNull(), F.col("shown")).otherwise(F.array_except("shown", "long"))
     sorted_out = sets.join(burden, "set_id", "left").select("set_id", "size", "text_key", "copies", p.alias("p"), short.alias("short"))
     sorted_out = sorted_out.withColumn("need", F.size("short") - F.col("p") + 1)
     plain = sorted_out.where("need >= 1")
-    dense = materialize(sorted_out.where("need < 1").select("set_id", "size", "text_key", "copies", "p"), "dense")
-    dense = materialize(_texts_of(docs, text, dense, n).join(dense, "set_id"), "dense-sets")
+    dense = scratch.keep(sorted_out.where("need < 1").select("set_id", "size", "text_key", "copies", "p"), "dense")
+    dense = scratch.keep(_texts_of(docs, text, dense, n).join(dense, "set_id"), "dense-sets")
 
     # Dealt as flat rows before they are collected, under one filter: both readers of the lists share the exchange.
     postings = plain.select(F.explode("short").alias("shingle"), "set_id", "size", "need").where("shingle is not null").repartition("shingle")
@@ -307,13 +325,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     fits = lambda x: (x["size"] * 100 >= size * percent) & (size * 100 >= x["size"] * percent)
     asked = asked.withColumn("list", F.filter("list", fits)).where(F.size("list") > 0)
     queries = asked.groupBy("set_id", "need").agg(F.collect_list("list").alias("lists"))
-    pairs = materialize(queries.mapInArrow(_merge, "a long, b long").distinct(), "pairs")
+    pairs = scratch.keep(queries.mapInArrow(_merge, "a long, b long").distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets, "set_id")
-    whole = materialize(_texts_of(docs, text, wanted, n), "whole")
+    whole = scratch.keep(_texts_of(docs, text, wanted, n), "whole")
     probed = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").mapInArrow(_probe(percent), "a long, b long")
-    links = materialize(probed, "links")
-    blocks = materialize(_dense_links(dense, percent, block), "dense-links")
+    links = scratch.keep(probed, "links")
+    blocks = scratch.keep(_dense_links(dense, percent, block, scratch), "dense-links")
 
     roots = components(links.unionAll(blocks.where("a <> b").select("a", "b")))
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -322,8 +340,4 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     named = sets.select("set_id", "copies", "least").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").join(n_links, "set_id", "left")
     named = named.withColumn("root", F.coalesce("root", "set_id"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "root").select("set_id", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return rows.join(named, "set_id", "left").select(
-        "id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return named.join(lowest, "root").select("set_id", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))

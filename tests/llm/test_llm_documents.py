@@ -14,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 import samples  # noqa: E402
 from flowwatch.llm import decontaminate, jaccard_join, licences, line_frequency, line_templates, lm_score, sharding  # noqa: E402
+from flowwatch.session import shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +84,16 @@ def test_join(data, empty, n, percent, long_list, block, spare):
     assert jaccard_join.join(empty, n=n, percent=percent).count() == 0
 
 
+def test_a_join_leaves_no_shingles(spark, data):
+    """Sketches and sets, most of what a join writes, go before it returns."""
+    shared = Path(shared_dir(spark))
+    before = set(shared.iterdir())
+    got = jaccard_join.join(data[1], n=2, percent=60)
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert "members" in left and not left & {"scratch", "sketches", "sets", "dense", "whole", "pairs", "links"}
+    assert got.count() == len(data[0])
+
+
 def test_line_frequency(data, empty):
     rows, docs = data
     got = line_frequency.judge(docs, max_docs=4).select("doc_id", "text", "source", F.col("base").alias("b"), "lines.kept").collect()
