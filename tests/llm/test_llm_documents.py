@@ -268,6 +268,55 @@ def test_lm_score_tells_all_words_apart(spark, data, monkeypatch):
         assert all(abs(x - y) < 2e-6 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
 
 
+def _zipf_batch(n_docs, size, vocabulary, seed=5):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"v{i}" for i in rng.zipf(1.2, size) % vocabulary) for _ in range(n_docs)]
+    return pa.RecordBatch.from_pydict({"ref": pa.array(np.arange(n_docs)), "is_target": pa.array(np.arange(n_docs) % 3 == 0), "text": pa.array(texts)})
+
+
+def test_lm_score_holds_little_text_at_once():
+    import tracemalloc
+
+    batch = _zipf_batch(2000, 1200, 100_000)
+    assert batch.column("text").nbytes > 8 << 20
+    tracemalloc.start()
+    try:
+        for _ in lm_score._words(None)(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_lm_score_moves_no_more_by_more_groups():
+    """Nor does a bigram that a run has a thousand times."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow.compute as pc
+
+    from flowwatch.llm import words as wd
+
+    batch = _zipf_batch(1000, 100, 5000)
+    words, counts = np.unique(wd.cut(batch.column("text")).hash, return_counts=True)
+    hot = np.argsort(-counts, kind="stable")[:400]
+    counts = np.stack([counts, counts]).astype(float)
+    model = SimpleNamespace(value=lm_score._Model(counts.sum(axis=1, keepdims=True), len(words), words[hot], counts[:, hot]))
+
+    def moved(groups, *batches):
+        rows = [r for b in batches for r in lm_score._deal(model, None, groups)(iter([b]))]
+        return sum(pc.sum(pc.binary_length(c)).as_py() or 0 for r in rows for c in r.columns[1:] if "binary" in str(c.type))
+
+    few, many = moved(8, batch), moved(1024, batch)
+    assert many < 1.5 * few  # 16 bytes are the numbers of each row
+    copies = batch.take(np.zeros(1000, int))
+    assert moved(8, copies) < 0.1 * few
+
+
 @pytest.mark.parametrize(("shards", "each"), [(8, 100_000), (3, 4), (200, 7)])
 def test_sharding(data, empty, shards, each):
     rows, docs = data
