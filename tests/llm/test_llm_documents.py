@@ -317,6 +317,26 @@ def test_lm_score_moves_no_more_by_more_groups():
     assert moved(8, copies) < 0.1 * few
 
 
+def test_lm_score_fails_where_rows_of_a_run_are_lost():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from flowwatch.llm import words as wd
+
+    batch = _zipf_batch(20, 100, 5000)
+    words, counts = np.unique(wd.cut(batch.column("text")).hash, return_counts=True)
+    hot = np.argsort(-counts, kind="stable")[:30]
+    counts = np.stack([counts, counts]).astype(float)
+    model = SimpleNamespace(value=lm_score._Model(counts.sum(axis=1, keepdims=True), len(words), words[hot], counts[:, hot]))
+    back = lm_score._count(model)(pa.Table.from_batches(lm_score._deal(model, None, 8)(iter([batch]))))
+    assert lm_score._add(model)(back)["n"].to_pylist() == [100] * 20
+    for rows in (back.slice(1), back.slice(0, len(back) - 1), pa.concat_tables([back, back])):
+        with pytest.raises(RuntimeError, match="has changed"):
+            lm_score._add(model)(rows)
+
+
 @pytest.mark.parametrize(("shards", "each"), [(8, 100_000), (3, 4), (200, 7)])
 def test_sharding(data, empty, shards, each):
     rows, docs = data
