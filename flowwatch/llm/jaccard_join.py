@@ -174,7 +174,7 @@ class _Block:
             wanted = (some[:, None] * len(self.sizes) + places[None, :]).ravel()
             spot = np.searchsorted(self.keys, wanted)
             spot[spot == len(self.keys)] = 0
-            seen = seen + (self.keys[spot] == wanted).reshape(len(some), -1).sum(0)
+            seen = seen + (self.keys[spot] == wanted).reshape(len(some), len(places)).sum(0)
         return places[100 * seen >= percent * (len(query) + self.sizes[places] - seen)]
 
 

@@ -84,6 +84,17 @@ def test_join(data, empty, n, percent, long_list, block, spare):
     assert jaccard_join.join(empty, n=n, percent=percent).count() == 0
 
 
+def test_a_text_of_one_frequent_shingle(spark):
+    """Its only shingle is in more sets than a short list holds, so it is dense and shares one shingle at least with any similar set."""
+    phrase = ["so it goes", "on and on"]
+    texts = [*phrase, phrase[0], *(f"{p} a{i} b{i}" for i in range(70) for p in phrase)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in (80, 50):
+        got = jaccard_join.join(docs, n=3, percent=percent)
+        want = brute.linked(list(enumerate(texts)), 3, percent)
+        same([(r.id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()], [(i, *w) for i, w in enumerate(want)])
+
+
 def test_a_join_leaves_no_shingles(spark, data):
     """Sketches and sets, most of what a join writes, go before it returns."""
     shared = Path(shared_dir(spark))
